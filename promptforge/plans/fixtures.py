@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TAB, NL = "\t", "\n"
@@ -94,10 +94,14 @@ class Tables:
     @cached_property
     def tifa_answers(self) -> DataFrame:
         o = self.orders.select("o_orderkey")
-        li = self.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+        li = self.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+                                  "l_linestatus")
         j = o.join(li, o.o_orderkey == li.l_orderkey, "left")
         answer = F.when(F.col("l_linestatus") == "F", "A").when(F.col("l_linestatus").isNotNull(), "N")
-        return j.select(F.col("o_orderkey").alias("prompt_id"), F.col("l_linenumber").alias("q_pos"),
+        # per-order question position (a window per order: at most 7 rows)
+        w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        q_pos = F.when(F.col("l_orderkey").isNotNull(), (F.row_number().over(w) - 1).cast("long"))
+        return j.select(F.col("o_orderkey").alias("prompt_id"), q_pos.alias("q_pos"),
                         F.concat(F.lit(" "), F.lower("l_returnflag"), F.lit(" ")).alias("picked"),
                         answer.alias("answer"))
 
@@ -109,7 +113,7 @@ class Tables:
                  .when(et == "signup", "no").otherwise("maybe"))
         token = F.when(et.isin("click", "view"), " Yes").when(et == "purchase", "yes.").otherwise("no")
         return e.select(F.col("user_id").alias("cand_id"), F.col("event_id").alias("chunk_pos"),
-                        F.to_date("ts").alias("day"), reply.alias("reply"), token.alias("token"),
+                        F.to_date("ts").alias("obs_day"), reply.alias("reply"), token.alias("token"),
                         (F.col("value") / -100).alias("logprob"))
 
     @cached_property

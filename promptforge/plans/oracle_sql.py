@@ -9,7 +9,8 @@ _SCORED = """select *, tifa + vqa sum, (tifa + vqa) / 2 score from f_candidates"
 
 _ITER_BEST = """select prompt_id, iter, max(tifa) best_tifa, max(vqa) best_vqa, max(sum) best_sum,
     max(cand_pos) filter (where rk = 1) best_cand_pos,
-    max(revised_prompt) filter (where rk = 1) best_paraphrase, count(*) n_candidates
+    max(revised_prompt) filter (where rk = 1) best_paraphrase, count(*) n_candidates,
+    max(tifa) filter (where rk = 1) winner_tifa, max(vqa) filter (where rk = 1) winner_vqa
   from (select *, row_number() over (partition by prompt_id, iter order by sum desc, cand_pos) rk from scored)
   group by prompt_id, iter"""
 
@@ -57,4 +58,303 @@ oracle("run_averages_iterative", f"""select 'best_tifa_at_each_iter' metric, {pc
                               "pm": "select prompt_id, max(best_tifa) t, max(best_vqa) v, max(best_sum) s "
                                     "from ib group by prompt_id"})
 
-__all__ = ["ORACLES"]
+
+
+# ================================================================ helpers
+from promptforge.operators import history as _hist  # noqa: E402
+from promptforge.operators import requests as _rq  # noqa: E402
+from promptforge.operators import training as _tr  # noqa: E402
+from promptforge.operators.replies import GENERATION_MARKER  # noqa: E402
+from promptforge.plans.oracles import one_line, strip  # noqa: E402
+
+
+def sq(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def key_(x: str) -> str:
+    return f"substring(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), 1, 50)"
+
+
+def esc(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def rid(stage: str, *keys: str) -> str:
+    return f"sha256(concat_ws(chr(31), {sq(stage)}, " + ", ".join(f"cast({k} as varchar)" for k in keys) + "))"
+
+
+def flat(stage: str, keys: list[str], n_messages: str, text: str, src: str, modality: str = "'text'",
+         where: str = "") -> str:
+    return (f"select {rid(stage, *keys)} request_id, {', '.join(keys)}, cast({n_messages} as bigint) n_messages, "
+            f"'user' last_role, {text} last_text, {modality} modality from {src} {where}")
+
+
+_INDEXED = f"select row_number() over (order by prompt_id) - 1 row_index, prompt_id, {strip('raw')} prompt from f_raw_prompts"
+
+# ------------------------------------------------------- prompts and rows
+oracle("prompt_lines", f"""select row_number() over (order by prompt_id, pos) - 1 line_no, {strip('line')} prompt
+  from (select prompt_id, unnest(l) line, generate_subscripts(l, 1) pos
+        from (select prompt_id, string_split(raw, chr(10)) l from f_raw_prompts))""", "f_raw_prompts")
+oracle("normalised_prompts", f"select prompt_id, {one_line('raw')} prompt from f_raw_prompts", "f_raw_prompts")
+oracle("indexed_rows", "select row_index, prompt_id, prompt from ix", "f_raw_prompts", extra={"ix": _INDEXED})
+oracle("batch_numbers", """select prompt_id, row_index, row_index // 4 batch_4, row_index // 40 batch_40,
+    row_index // 1000 batch_1000 from ix""", "f_raw_prompts", extra={"ix": _INDEXED})
+oracle("shard_numbers", """select prompt_id, row_number() over (order by prompt_id) - 1 row_index,
+    cast(ntile(8) over (order by prompt_id) - 1 as int) shard from f_raw_prompts""", "f_raw_prompts")
+oracle("row_slice", "select row_index, prompt_id, prompt from ix where row_index >= 100 and row_index < 600",
+       "f_raw_prompts", extra={"ix": _INDEXED})
+oracle("first_200", "select row_index, prompt_id, prompt from ix where row_index < 200",
+       "f_raw_prompts", extra={"ix": _INDEXED})
+oracle("prompts_to_score", f"""select doc_id prompt_id, {strip('cast(n_chars as varchar)')} scored_text,
+    {strip('text')} default_text from documents""")
+
+_P = strip("raw")
+oracle("req_noun_chunks", flat("noun_chunks", ["prompt_id"], "1",
+                               f"{sq(_rq.NOUN_PHRASE_INSTRUCTION + chr(10) + chr(10))} || {_P}", "f_raw_prompts"),
+       "f_raw_prompts")
+oracle("req_visual_questions", flat("visual_questions", ["prompt_id"], str(len(_rq.DEFAULT_FEW_SHOT) + 1),
+                                    f"{sq(_rq.DESCRIPTION_PREFIX)} || {_P}", "f_raw_prompts"), "f_raw_prompts")
+oracle("req_instant", flat("instant", ["prompt_id"], "1", (
+    sq("Write 4 paraphrases of this text-to-image prompt that keep its meaning: ") + f" || '\"' || {_P} || '\"' || "
+    + sq(". Put each on its own numbered line. Rate each from 0 to 10 for how faithful and appealing "
+         "its image would be and keep improving until one earns 10/10. Finally copy the best one "
+         "between <BEST> and </BEST>, with nothing else inside the tags.")), "f_raw_prompts"), "f_raw_prompts")
+oracle("req_iter_first", flat("iter_0", ["prompt_id"], "1", (
+    sq(_rq.OPTIMIZER_ROLE + "Write 4 paraphrases of this text-to-image prompt that keep its meaning: ")
+    + f" || '\"' || {_P} || '\"' || "
+    + sq(". Put each on its own numbered line. They should lead to faithful, appealing images; "
+         "added details are welcome when they do not contradict the prompt.")), "f_raw_prompts"), "f_raw_prompts")
+oracle("req_generation", f"""select {rid('generation', 'prompt_id', 'row_index')} request_id, prompt_id,
+    row_index // 4 batch_no,
+    {sq(_tr.FORMATS['hf'][0] + _tr.DEFAULT_INSTRUCTION)} || prompt || {sq(_tr.FORMATS['hf'][1] + GENERATION_MARKER)}
+    request_text from ix""", "f_raw_prompts", extra={"ix": _INDEXED})
+
+# ------------------------------------------------------------ noun chunks
+_CHUNKS = "string_split(coalesce(noun_chunks, 'nan'), ',')"
+_CROWS = f"""select doc_id, prompt, unnest(l) raw_chunk, generate_subscripts(l, 1) - 1 chunk_pos
+    from (select doc_id, prompt, {_CHUNKS} l from f_noun_chunks)"""
+oracle("noun_chunk_arrays", f"""select doc_id, len({_CHUNKS}) n_chunks,
+    array_to_string(list_transform({_CHUNKS}, lambda x: {strip('x')}), ' | ') chunks from f_noun_chunks""",
+       "f_noun_chunks")
+oracle("noun_chunk_rows", f"select doc_id, chunk_pos, {strip('raw_chunk')} chunk from cr", "f_noun_chunks",
+       extra={"cr": _CROWS})
+oracle("eval_rows_chunks_only", f"""select doc_id, {strip('prompt')} original_prompt, len({_CHUNKS}) n_chunks,
+    'NOUN_CHUNK' kind from f_noun_chunks where prompt is not null""", "f_noun_chunks")
+oracle("req_vqa", flat("vqa", ["doc_id", "chunk_pos"], "1",
+                       f"""'Is \"' || {strip('raw_chunk')} || '\" visible in this image? Answer with yes or no only.'""",
+                       "cr", "'multimodal'"), "f_noun_chunks", extra={"cr": _CROWS})
+oracle("chunk_scores", f"""select doc_id, chunk_pos, {strip('raw_chunk')} chunk, round(1.0 / (chunk_pos + 1), 6) prob,
+    '- ' || {strip('raw_chunk')} || ': ' || cast(trunc((1.0 / (chunk_pos + 1)) * 100) as int) line from cr""",
+       "f_noun_chunks", extra={"cr": _CROWS})
+
+# -------------------------------------------------------------------- QCA
+_QPARTS = f"""select doc_id, unnest(ps) part, generate_subscripts(ps, 1) k
+    from (select doc_id, string_split(visual_questions, 'Q: ')[2:] ps from f_qca_replies)"""
+_QFIELDS = f"""select doc_id, k,
+    {strip("string_split(part, 'Choices: ')[1]")} q,
+    {strip("string_split(string_split(part, 'Choices: ')[2], 'A: ')[1]")} c,
+    {strip("string_split(string_split(part, 'A: ')[2], chr(10))[1]")} a from qparts"""
+_QBAD = """select doc_id, min(k) filter (where c is null or a is null) first_bad from qf group by doc_id"""
+_QGOOD = """select qf.* from qf left join qbad using (doc_id) where qbad.first_bad is null or qf.k < qbad.first_bad"""
+_QAGG = """select r.doc_id, r.prompt, r.visual_questions text, count(g.k) n_questions,
+    coalesce(string_agg(g.q, ' | ' order by g.k), '') questions,
+    coalesce(string_agg(g.c, ' | ' order by g.k), '') choices,
+    coalesce(string_agg(g.a, ' | ' order by g.k), '') answers,
+    (r.visual_questions is null or max(b.first_bad) is not null) anomaly
+  from f_qca_replies r left join qgood g on r.doc_id = g.doc_id left join qbad b on r.doc_id = b.doc_id
+  group by r.doc_id, r.prompt, r.visual_questions"""
+_QX = {"qparts": _QPARTS, "qf": _QFIELDS, "qbad": _QBAD, "qgood": _QGOOD, "qagg": _QAGG}
+oracle("qca_parse", "select doc_id, n_questions, questions, choices, answers, anomaly from qagg",
+       "f_qca_replies", extra=_QX)
+oracle("qca_rows", "select doc_id, k - 1 q_pos, q question, c choices, a answer from qgood",
+       "f_qca_replies", extra=_QX)
+oracle("qca_errors", """select 'documents' dataset, row_index, prompt, text
+  from (select *, row_number() over (order by doc_id) - 1 row_index from qagg) where anomaly""",
+       "f_qca_replies", extra=_QX)
+oracle("qca_json_roundtrip", "select doc_id, prompt, n_questions, questions, choices, answers from qagg",
+       "f_qca_replies", extra=_QX)
+oracle("eval_rows_qca_only", f"""select doc_id, {strip('prompt')} original_prompt, n_questions, 'QCA' kind
+  from qagg where prompt is not null""", "f_qca_replies", extra=_QX)
+oracle("req_tifa", flat("tifa", ["doc_id", "q_pos"], "1",
+                        "'Answer the question about the image below by copying exactly one of the choices.' || chr(10) "
+                        "|| 'Question: ' || q || chr(10) || 'Choices: ' || c || chr(10) || 'Image:'",
+                        "(select doc_id, k - 1 q_pos, q, c from qgood)", "'multimodal'"),
+       "f_qca_replies", extra=_QX)
+_EVAL = f"""select a.doc_id doc_id_x, b.doc_id doc_id_y, {strip('a.prompt')} original_prompt, a.n_questions,
+    len({_CHUNKS.replace('noun_chunks', 'b.noun_chunks')}) n_chunks, a.prompt
+  from qagg a join f_noun_chunks b on a.prompt = b.prompt where a.prompt is not null"""
+oracle("eval_rows", "select doc_id_x, doc_id_y, original_prompt, n_questions, n_chunks from ev",
+       "f_qca_replies", "f_noun_chunks", extra={**_QX, "ev": _EVAL})
+oracle("eval_rows_scored", """select doc_id_x, doc_id_y, original_prompt, n_questions, n_chunks, s.quality
+  from ev join (select d.text prompt, l.quality from documents d join labels l on d.doc_id = l.doc_id) s
+  on ev.prompt = s.prompt""", "f_qca_replies", "f_noun_chunks", extra={**_QX, "ev": _EVAL})
+
+# ---------------------------------------------------------------- replies
+oracle("paraphrase_candidates", f"""select request_id, generate_subscripts(l, 1) - 1 cand_pos, unnest(l) revised_prompt
+  from (select request_id, list_filter(list_transform(string_split({strip('reply')}, chr(10)), lambda x: {strip('x')}),
+                                       lambda x: length(x) > 0) l from f_replies)""", "f_replies")
+oracle("best_from_reply", f"select request_id, {strip('reply')} best_paraphrase from f_replies", "f_replies")
+oracle("effective_replies", """select request_id, status, case when status = 'filtered' then '' else reply end reply_used
+  from f_replies""", "f_replies")
+oracle("attach_replies", """select q.request_id, q.request_text, r.reply from f_requests q
+  join f_replies r on q.request_id = r.request_id""", "f_requests", "f_replies")
+oracle("open_requests", """select request_id from f_requests q where not exists (
+  select 1 from f_replies r where r.request_id = q.request_id and r.status = 'ok' and r.reply is not null)""",
+       "f_requests", "f_replies")
+oracle("req_select_all", flat("select_all", ["reply_id"], "1", sq(
+    "Below is a model's reply that should contain 4 paraphrases of a prompt. Copy the 4 "
+    "paraphrases, one per line, without numbers or indentation, and nothing else.\nReply:\n")
+    + " || '\"' || reply || '\"'", "(select request_id reply_id, reply from f_replies)"), "f_replies")
+oracle("req_select_best", flat("select_best", ["reply_id"], "1", sq(
+    "Below is a model's reply with 4 scored paraphrases of a prompt; the best may be marked "
+    "with <BEST> tags. Reply with one line only: the paraphrase the model chose as best, "
+    "without numbers or indentation.\nReply:\n")
+    + " || '\"' || reply || '\"'", "(select request_id reply_id, reply from f_replies)"), "f_replies")
+oracle("request_modality", """select request_id, case when conv_id % 2 = 0 then 'multimodal' else 'text' end modality,
+    cast(case when conv_id % 2 = 0 then 2 else 1 end as bigint) n_parts from f_replies""", "f_replies")
+
+# ----------------------------------------------------- history / annotation
+_SEL = {"scored": _SCORED, "ib": _ITER_BEST}
+oracle("parse_list_column", "select prompt_id, count(*) n_items, round(max(best_sum), 6) max_sum from ib group by prompt_id",
+       "f_candidates", extra=_SEL)
+oracle("history_rows", """select prompt_id, row_number() over (partition by prompt_id order by iter, cand_pos) - 1 hist_pos,
+    iter, cand_pos, revised_prompt from scored""", "f_candidates", extra={"scored": _SCORED})
+_QL = f"""select c.prompt_id, c.iter, c.cand_pos, a.q_pos, '- question ' || a.q_pos || ' | choices: A; N | correct: '
+    || a.answer || ' | picked: ' || a.picked || ' | ' || case when a.picked <> a.answer then 'wrong' else 'right' end
+    || chr(10) line from scored c join f_tifa_answers a on c.prompt_id = a.prompt_id where a.q_pos is not null"""
+_QB = "select prompt_id, iter, cand_pos, string_agg(line, '' order by q_pos) qblock from ql group by all"
+_ENT = """select s.*, revised_prompt || chr(10) || 'Overall: ' || cast(trunc(score * 100) as int)
+    || ' | TIFA: ' || cast(trunc(tifa * 100) as int) || ' | VQA: ' || cast(trunc(vqa * 100) as int)
+    || chr(10) || 'Questions:' || chr(10) || coalesce(qblock, '') || 'Elements:' || chr(10) entry
+  from scored s left join qb using (prompt_id, iter, cand_pos)"""
+_HIST = """select prompt_id, count(*) n_entries, string_agg(chr(10) || chr(10) || rn || '. ' || entry, '' order by rn) history
+  from (select *, row_number() over (partition by prompt_id order by score, iter, cand_pos) rn from ent)
+  group by prompt_id"""
+_HX = {"scored": _SCORED, "ql": _QL, "qb": _QB, "ent": _ENT, "hist": _HIST}
+oracle("history_text", "select * from hist", "f_candidates", "f_tifa_answers", extra=_HX)
+oracle("req_iter_next", flat("iter_3", ["prompt_id"], "1", (
+    sq(_rq.OPTIMIZER_ROLE + "Improve this prompt written by a person: ") + " || '\"' || original_prompt || '\"' || "
+    + sq(". Earlier attempts follow in ascending order of score (0-100). TIFA is the share of "
+         "multiple-choice questions about the image answered correctly; VQA is the mean presence "
+         "score of the prompt's visual elements.") + " || history || "
+    + sq("\n\nWrite 4 new paraphrases of the initial prompt that keep its meaning and score higher "
+         "than every attempt above, fixing the elements that were missed. Prefer substitutions and "
+         "reorderings to additions. Put each on its own numbered line.")),
+    "(select h.*, p.original_prompt from hist h join f_cand_prompts p using (prompt_id))"),
+       "f_candidates", "f_tifa_answers", "f_cand_prompts", extra=_HX)
+_CUR = """select ib.prompt_id, ib.iter, coalesce(lag(best_paraphrase) over w, p.original_prompt) current_prompt,
+    lag(winner_tifa) over w prev_t, lag(winner_vqa) over w prev_v, lag(best_sum) over w prev_s
+  from ib join f_cand_prompts p using (prompt_id) window w as (partition by ib.prompt_id order by ib.iter)"""
+_ANN = f"""select *, './annotations/ds_' || {key_('prompt_used_for_generation')} || '.png' image_path from (
+    select s.prompt_id, s.iter, s.cand_pos, s.tifa, s.vqa, s.sum, s.revised_prompt prompt_used_for_generation,
+           c.current_prompt original_prompt from scored s join cur c using (prompt_id, iter)
+    union all
+    select prompt_id, iter, -1, prev_t, prev_v, prev_s, current_prompt, current_prompt from cur)"""
+_AX = {"scored": _SCORED, "ib": _ITER_BEST, "cur": _CUR, "ann": _ANN}
+oracle("annotation_rows", """select prompt_id, iter, cand_pos, round(tifa, 6) tifa, round(vqa, 6) vqa,
+    round(sum, 6) sum, prompt_used_for_generation, original_prompt, image_path from ann""",
+       "f_candidates", "f_cand_prompts", extra=_AX)
+oracle("annotation_html", f"""select cast(0 as bigint) seq, {sq(_hist.HTML_HEADER)} html
+  union all select row_number() over (order by prompt_id, iter, cand_pos),
+    '<div class="item"><span class="index">' || row_number() over (order by prompt_id, iter, cand_pos)
+    || '.</span><img src="' || {esc('image_path')} || '" alt="image"><p>' || {esc('original_prompt')}
+    || '</p></div><div class="sep"></div>' from ann
+  union all select count(*) + 1, {sq(_hist.HTML_FOOTER)} from ann""", "f_candidates", "f_cand_prompts", extra=_AX)
+
+# ------------------------------------------------------------------ scores
+_CORRECT = f"cast(lower({strip('picked')}) = lower({strip('answer')}) as int)"
+oracle("tifa_answers", f"""select prompt_id, q_pos, picked, answer, {_CORRECT} correct from f_tifa_answers
+  where q_pos is not null""", "f_tifa_answers")
+oracle("tifa_scores", f"""select prompt_id, count(answer) n_questions,
+    cast(coalesce(sum({_CORRECT}) filter (where answer is not null), 0) as bigint) n_correct,
+    round(coalesce(cast(sum({_CORRECT}) filter (where answer is not null) as double) / nullif(count(answer), 0), 0.0), 6) tifa,
+    coalesce(string_agg(picked, ' | ' order by q_pos) filter (where answer is not null), '') answers
+  from f_tifa_answers group by prompt_id""", "f_tifa_answers")
+_YN = f"lower({strip('reply')})"
+oracle("vqa_hard_scores", f"""select cand_id, n_chunks, n_yes, n_open,
+    case when n_open = 0 then round(coalesce(cast(n_yes as double) / nullif(n_chunks, 0), 0.0), 6) end vqa
+  from (select cand_id, count(*) n_chunks, count(*) filter (where {_YN} = 'yes') n_yes,
+               count(*) filter (where {_YN} is null or {_YN} not in ('yes', 'no')) n_open
+        from f_vqa_replies group by cand_id)""", "f_vqa_replies")
+_YP = f"""select cand_id, obs_day, coalesce(exp(arg_min(logprob, chunk_pos)
+    filter (where starts_with(lower({strip('token')}), 'yes'))), 0.0) yes_prob from f_vqa_replies group by cand_id, obs_day"""
+oracle("yes_probability", "select cand_id, cast(obs_day as varchar) obs_day, round(yes_prob, 6) yes_prob from yp",
+       "f_vqa_replies", extra={"yp": _YP})
+oracle("vqa_soft_scores", "select cand_id, count(*) n_chunks, round(avg(yes_prob), 6) vqa from yp group by cand_id",
+       "f_vqa_replies", extra={"yp": _YP})
+
+# ------------------------------------------------------------------ shards
+_PAT = "'process(\\d+)_nextline_(\\d+)'"
+_SH = f"""select *, cast(regexp_extract(file_name, {_PAT}, 1) as int) process,
+    cast(regexp_extract(file_name, {_PAT}, 2) as int) nextline from f_shards"""
+oracle("parse_shard_name", f"""select distinct file_name, process, nextline, split_part(file_name, '.', 1) stem
+  from sh""", "f_shards", extra={"sh": _SH})
+oracle("latest_shard", """select process, max(nextline) nextline, arg_max(file_name, nextline) file_name
+  from (select distinct process, nextline, file_name from sh) group by process""", "f_shards", extra={"sh": _SH})
+oracle("merge_shards", """select case when source_rank = 1 then file_name end file_name,
+    case when source_rank = 1 then process end process, case when source_rank = 1 then nextline end nextline,
+    source_rank, row_index, original_prompt, round(score, 6) score from sh""", "f_shards", extra={"sh": _SH})
+oracle("dedup_keep_first", """select original_prompt, file_name, row_index, round(score, 6) score from (
+    select *, row_number() over (partition by original_prompt order by source_rank, process, nextline, row_index) r
+    from sh where original_prompt is not null) where r = 1""", "f_shards", extra={"sh": _SH})
+oracle("csv_roundtrip", "select doc_id, text, case when lang = 'es' then null else lang end lang from documents")
+
+# ------------------------------------------------------------------ timers
+oracle("timer_averages", """select purpose, min(seq) first_seq, round(coalesce(avg(elapsed), -1.0), 6) average_time
+  from f_purposes group by purpose""", "f_purposes")
+oracle("perplexity_by_step", "select step, round(exp(avg(eval_loss)), 6) perplexity from f_eval_log group by step",
+       "f_eval_log")
+
+# ---------------------------------------------------------------- training
+_PAIRS = """select conv_id, turn, original_prompt,
+    case when corrected_prompt = 'Correct.' then rephrased_prompt else corrected_prompt end rephrased_prompt from f_pairs"""
+_PX = {"pairs": _PAIRS}
+oracle("corrected_pairs", "select * from pairs", "f_pairs", extra=_PX)
+for _f in ("hf", "gemma", "chatml"):
+    _o, _c = _tr.FORMATS[_f]
+    oracle(f"train_text_{_f}", f"""select conv_id, turn, {sq(_o + _tr.DEFAULT_INSTRUCTION)} || original_prompt
+        || {sq(_c + _tr.ASSISTANT_LEAD)} || rephrased_prompt text from pairs""", "f_pairs", extra=_PX)
+oracle("train_messages_qwen", f"""select conv_id, turn, 'user' user_from,
+    {sq(_tr.DEFAULT_INSTRUCTION)} || original_prompt user_value, 'assistant' assistant_from,
+    {sq(_tr.ASSISTANT_LEAD)} || rephrased_prompt assistant_value from pairs""", "f_pairs", extra=_PX)
+oracle("train_pairs_test", """select conv_id, turn, original_prompt, rephrased_prompt rephrased_and_corrected_prompt
+  from pairs""", "f_pairs", extra=_PX)
+_ICL = """select conv_id, turn, original_prompt prompt, rephrased_prompt best_paraphrase,
+    md5('42' || conv_id || '-' || turn) sample_key from pairs order by sample_key, conv_id || '-' || turn limit 100"""
+oracle("icl_examples", "select conv_id, turn, prompt, best_paraphrase from icl", "f_pairs",
+       extra={**_PX, "icl": _ICL})
+oracle("req_icl", f"""select {rid('icl', 'conv_id', 'turn')} request_id, conv_id, turn,
+    (select 2 + 2 * count(*) from icl) n_messages, 'user' last_role, 'User prompt: ' || original_prompt last_text,
+    'text' modality, (select 'User prompt: ' || arg_min(prompt, sample_key) from icl) first_example from f_pairs""",
+       "f_pairs", extra={**_PX, "icl": _ICL})
+
+# ------------------------------------------------------- existing / resume
+_EXSET = "select prompt from f_existing union all select text from benchmark"
+oracle("existing_prompts", f"select {one_line('line')} prompt from (select unnest(string_split(prompt, chr(10))) line from ex)",
+       "f_existing", extra={"ex": _EXSET})
+_FRESH = f"""select doc_id, text from documents d where not exists (
+    select 1 from ex where {one_line('ex.prompt')} = {one_line('d.text')})"""
+oracle("new_prompts_anti", "select doc_id, text prompt from fresh", "f_existing",
+       extra={"ex": _EXSET, "fresh": _FRESH})
+oracle("sample_new_prompts", f"""select doc_id, prompt, sample_key from (
+    select doc_id, {one_line('text')} prompt, md5('42' || doc_id) sample_key,
+           row_number() over (partition by {one_line('text')} order by md5('42' || doc_id), doc_id) r from fresh)
+  where r = 1 order by sample_key, doc_id limit 300""", "f_existing", extra={"ex": _EXSET, "fresh": _FRESH})
+oracle("resume_pending", f"""select prompt_id from f_raw_prompts r where not exists (
+    select 1 from f_existing e where e.prompt = {strip('r.raw')})""", "f_raw_prompts", "f_existing")
+oracle("resume_by_offset", "select row_index, prompt_id from ix where row_index >= (select count(*) from f_existing)",
+       "f_raw_prompts", "f_existing", extra={"ix": _INDEXED})
+oracle("generated_prompts", f"""select conv_id, turn, g generated_prompt, g is null rejected from (
+    select conv_id, turn, {strip("string_split(output, " + sq(GENERATION_MARKER) + ")[2]")} g from f_generated)""",
+       "f_generated")
+
+# ------------------------------------------------------------------ images
+_MIME = """case lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) when 'png' then 'image/png'
+    when 'jpg' then 'image/jpeg' when 'html' then 'text/html' else 'application/octet-stream' end"""
+oracle("data_url", f"""select path image_name, {_MIME} mime, cast(octet_length(encode(html || chr(10))) as bigint) length,
+    'data:' || {_MIME} || ';base64,' || base64(encode(html || chr(10))) data_url from f_images""", "f_images")
+oracle("image_keys", f"select item_id, {key_('text')} image_key from benchmark")
+oracle("image_paths", f"""select item_id, 'out/annotations/benchmark_' || {key_('text')} || '.png' annotation_path,
+    'out/benchmark_process3_' || {key_('text')} || '.png' process_path,
+    './annotations/benchmark_' || {key_('text')} || '.png' relative_path from benchmark""")

@@ -56,11 +56,12 @@ FIXTURE_SQL = {
         floor(max(l_quantity) / 10) / 5 tifa, floor(max(l_discount) * 40 + 0.5) / 4 vqa
         from lineitem group by l_orderkey, cast(l_suppkey % 3 as int), cast(l_partkey % 4 as int)""",
     "f_cand_prompts": """select o_orderkey prompt_id, 'prompt ' || o_orderkey original_prompt from orders""",
-    "f_tifa_answers": """select o_orderkey prompt_id, l_linenumber q_pos,
+    "f_tifa_answers": """select o_orderkey prompt_id, case when l_orderkey is not null then row_number() over
+        (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 end q_pos,
         ' ' || lower(l_returnflag) || ' ' picked,
         case when l_linestatus = 'F' then 'A' when l_linestatus is not null then 'N' end answer
         from orders left join lineitem on o_orderkey = l_orderkey""",
-    "f_vqa_replies": """select user_id cand_id, event_id chunk_pos, cast(ts as date) day,
+    "f_vqa_replies": """select user_id cand_id, event_id chunk_pos, cast(ts as date) obs_day,
         case event_type when 'click' then ' Yes' when 'view' then 'yes' when 'error' then 'No '
              when 'signup' then 'no' else 'maybe' end reply,
         case when event_type in ('click', 'view') then ' Yes' when event_type = 'purchase' then 'yes.'

@@ -95,3 +95,594 @@ def q_run_averages_iterative(spark, sf_dir):
     lists = select.iteration_lists(_iter_best(Tables(spark, sf_dir)))
     cols = [select.ITER_LIST_TEMPLATE.format(m) for m in ("tifa", "vqa", "sum")]
     return select.run_averages_iterative(lists, cols)
+
+
+# ------------------------------------------------------------- shared bits
+from promptforge.functions import messages as M  # noqa: E402
+from promptforge.functions.qca import parse_qca  # noqa: E402
+from promptforge.functions.text import (  # noqa: E402
+    dataset_name, image_key, one_line, pct_int, split_chunks, strip)
+from promptforge.operators import (  # noqa: E402
+    evalrows, history, merge, misc, replies, requests, rows, sampling, training)
+from promptforge.session import scratch_dir  # noqa: E402
+from promptforge.sources import io  # noqa: E402
+
+
+def L(c) -> F.Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+def _indexed_prompts(t: Tables) -> DataFrame:
+    p = t.raw_prompts.select("prompt_id", strip("raw").alias("prompt"))
+    return rows.with_row_index(p, ["prompt_id"])
+
+
+# ------------------------------------------------------- prompts and rows
+@query("prompt_lines")
+def q_prompt_lines(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    path = scratch_dir(spark, "prompt_lines")
+    t.raw_prompts.orderBy("prompt_id").select("raw").write.text(path)
+    return io.read_prompt_lines(spark, path)
+
+
+@query("normalised_prompts")
+def q_normalised_prompts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.raw_prompts.select("prompt_id", one_line("raw").alias("prompt"))
+
+
+@query("indexed_rows")
+def q_indexed_rows(spark, sf_dir):
+    return _indexed_prompts(Tables(spark, sf_dir)).select("row_index", "prompt_id", "prompt")
+
+
+@query("batch_numbers")
+def q_batch_numbers(spark, sf_dir):
+    ix = _indexed_prompts(Tables(spark, sf_dir))
+    return ix.select("prompt_id", "row_index", rows.batch_number("row_index", 4).alias("batch_4"),
+                     rows.batch_number("row_index", 40).alias("batch_40"),
+                     rows.batch_number("row_index", 1000).alias("batch_1000"))
+
+
+@query("shard_numbers")
+def q_shard_numbers(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    p = t.raw_prompts.select("prompt_id")
+    ix = rows.with_row_index(p, ["prompt_id"], with_total=True)
+    return ix.select("prompt_id", "row_index", rows.shard_number("row_index", "_pf_total", 8).alias("shard"))
+
+
+@query("row_slice")
+def q_row_slice(spark, sf_dir):
+    ix = _indexed_prompts(Tables(spark, sf_dir))
+    return rows.row_slice(ix, 100, 600).select("row_index", "prompt_id", "prompt")
+
+
+@query("first_200")
+def q_first_200(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    p = t.raw_prompts.select("prompt_id", strip("raw").alias("prompt"))
+    return rows.first_rows(p, ["prompt_id"], 200).select("row_index", "prompt_id", "prompt")
+
+
+@query("prompts_to_score")
+def q_prompts_to_score(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"),
+                                               "n_chars")
+    chosen = evalrows.prompt_to_score(d, "n_chars").withColumnRenamed("prompt_to_score", "scored_text")
+    return evalrows.prompt_to_score(chosen, "").select("prompt_id", "scored_text",
+                                                       F.col("prompt_to_score").alias("default_text"))
+
+
+def _req(df: DataFrame, keys: list[str]) -> DataFrame:
+    return requests.flat_request(df, keys).withColumn("n_messages", L("n_messages"))
+
+
+@query("req_noun_chunks")
+def q_req_noun_chunks(spark, sf_dir):
+    p = Tables(spark, sf_dir).raw_prompts
+    return _req(requests.noun_chunk_requests(p, prompt="raw"), ["prompt_id"])
+
+
+@query("req_visual_questions")
+def q_req_visual_questions(spark, sf_dir):
+    p = Tables(spark, sf_dir).raw_prompts
+    return _req(requests.visual_question_requests(p, prompt="raw"), ["prompt_id"])
+
+
+@query("req_instant")
+def q_req_instant(spark, sf_dir):
+    p = Tables(spark, sf_dir).raw_prompts
+    return _req(requests.instant_requests(p, prompt="raw"), ["prompt_id"])
+
+
+@query("req_iter_first")
+def q_req_iter_first(spark, sf_dir):
+    p = Tables(spark, sf_dir).raw_prompts
+    return _req(requests.first_iteration_requests(p, prompt="raw"), ["prompt_id"])
+
+
+@query("req_generation")
+def q_req_generation(spark, sf_dir):
+    ix = _indexed_prompts(Tables(spark, sf_dir))
+    r = requests.generation_requests(ix, prompt="prompt", keys=("prompt_id", "row_index"))
+    return r.select("request_id", "prompt_id", rows.batch_number("row_index", 4).alias("batch_no"),
+                    "request_text")
+
+
+# ------------------------------------------------------------ noun chunks
+@query("noun_chunk_arrays")
+def q_noun_chunk_arrays(spark, sf_dir):
+    nc = evalrows.chunk_arrays(Tables(spark, sf_dir).noun_chunks)
+    return nc.select("doc_id", L(F.size("chunks")).alias("n_chunks"),
+                     F.array_join("chunks", " | ").alias("chunks"))
+
+
+@query("noun_chunk_rows")
+def q_noun_chunk_rows(spark, sf_dir):
+    r = evalrows.chunk_rows(Tables(spark, sf_dir).noun_chunks, keys=("doc_id",))
+    return r.select("doc_id", L("chunk_pos").alias("chunk_pos"), "chunk")
+
+
+@query("eval_rows_chunks_only")
+def q_eval_rows_chunks_only(spark, sf_dir):
+    er, kind = evalrows.load_eval_rows(chunks=Tables(spark, sf_dir).noun_chunks)
+    info = evalrows.eval_info(er, kind)
+    return info.select("doc_id", "original_prompt", L(F.size("chunks")).alias("n_chunks"),
+                       F.lit(kind).alias("kind"))
+
+
+def _image_url(prompt_col: str, dataset: str) -> F.Column:
+    return misc.image_path(dataset, strip(prompt_col), 0, annotate=False)
+
+
+@query("req_vqa")
+def q_req_vqa(spark, sf_dir):
+    nc = Tables(spark, sf_dir).noun_chunks
+    cands = nc.select("doc_id", _image_url("prompt", "nc").alias("image_url"))
+    chunks = evalrows.chunk_rows(nc, keys=("doc_id",))
+    r = requests.vqa_requests(cands, chunks, ["doc_id"], ["doc_id"])
+    return _req(r, ["doc_id", "chunk_pos"]).withColumn("chunk_pos", L("chunk_pos"))
+
+
+@query("chunk_scores")
+def q_chunk_scores(spark, sf_dir):
+    nc = evalrows.chunk_arrays(Tables(spark, sf_dir).noun_chunks)
+    probs = F.transform("chunks", lambda x, i: F.lit(1.0) / (i + 1))
+    z = nc.select("doc_id", F.posexplode(F.arrays_zip(F.col("chunks").alias("chunk"), probs.alias("prob")))
+                  .alias("chunk_pos", "z"))
+    return z.select("doc_id", L("chunk_pos").alias("chunk_pos"), F.col("z.chunk").alias("chunk"),
+                    round6("z.prob").alias("prob"),
+                    F.concat(F.lit("- "), F.col("z.chunk"), F.lit(": "), pct_int("z.prob").cast("string"))
+                    .alias("line"))
+
+
+# -------------------------------------------------------------------- QCA
+def _qca(t: Tables) -> DataFrame:
+    return evalrows.qca_table(t.qca_replies, keep=("doc_id",))
+
+
+def _qca_flat(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, L(F.size("qca.questions")).alias("n_questions"),
+                     F.array_join("qca.questions", " | ").alias("questions"),
+                     F.array_join("qca.choices", " | ").alias("choices"),
+                     F.array_join("qca.answers", " | ").alias("answers"))
+
+
+@query("qca_parse")
+def q_qca_parse(spark, sf_dir):
+    q = _qca(Tables(spark, sf_dir))
+    return _qca_flat(q, ["doc_id"]).join(q.select("doc_id", "anomaly"), "doc_id")
+
+
+@query("qca_rows")
+def q_qca_rows(spark, sf_dir):
+    r = evalrows.qca_rows(_qca(Tables(spark, sf_dir)), keys=("doc_id",))
+    return r.select("doc_id", L("q_pos").alias("q_pos"), "question", "choices", "answer")
+
+
+@query("qca_errors")
+def q_qca_errors(spark, sf_dir):
+    q = rows.with_row_index(_qca(Tables(spark, sf_dir)), ["doc_id"])
+    return evalrows.qca_errors(q, "documents")
+
+
+@query("qca_json_roundtrip")
+def q_qca_json_roundtrip(spark, sf_dir):
+    q = _qca(Tables(spark, sf_dir)).select("doc_id", "prompt", "qca")
+    path = scratch_dir(spark, "qca_json")
+    io.write_json(q, path)
+    back = spark.read.schema("doc_id bigint, prompt string, qca struct<questions: array<string>, "
+                             "choices: array<string>, answers: array<string>>").json(path)
+    return _qca_flat(back, ["doc_id", "prompt"])
+
+
+@query("eval_rows_qca_only")
+def q_eval_rows_qca_only(spark, sf_dir):
+    er, kind = evalrows.load_eval_rows(qca=_qca(Tables(spark, sf_dir)))
+    info = evalrows.eval_info(er, kind)
+    return info.select("doc_id", "original_prompt", L(F.size("questions")).alias("n_questions"),
+                       F.lit(kind).alias("kind"))
+
+
+@query("req_tifa")
+def q_req_tifa(spark, sf_dir):
+    q = _qca(Tables(spark, sf_dir))
+    cands = q.select("doc_id", _image_url("prompt", "qca").alias("image_url"))
+    qs = evalrows.qca_rows(q, keys=("doc_id",))
+    r = requests.tifa_requests(cands, qs, ["doc_id"], ["doc_id"])
+    return _req(r, ["doc_id", "q_pos"]).withColumn("q_pos", L("q_pos"))
+
+
+def _eval_rows(t: Tables, scored: bool) -> DataFrame:
+    q = _qca(t).select("doc_id", "prompt", "qca")
+    nc = t.noun_chunks
+    scoring = None
+    if scored:
+        lab = t.labels.select("doc_id", "quality")
+        scoring = t.documents.select("doc_id", F.col("text").alias("prompt")).join(lab, "doc_id") \
+                   .select("prompt", "quality")
+    er, kind = evalrows.load_eval_rows(qca=q, chunks=nc, scoring=scoring)
+    return evalrows.eval_info(er, kind)
+
+
+@query("eval_rows")
+def q_eval_rows(spark, sf_dir):
+    e = _eval_rows(Tables(spark, sf_dir), False)
+    return e.select("doc_id_x", "doc_id_y", "original_prompt", L(F.size("questions")).alias("n_questions"),
+                    L(F.size("chunks")).alias("n_chunks"))
+
+
+@query("eval_rows_scored")
+def q_eval_rows_scored(spark, sf_dir):
+    e = _eval_rows(Tables(spark, sf_dir), True)
+    return e.select("doc_id_x", "doc_id_y", "original_prompt", L(F.size("questions")).alias("n_questions"),
+                    L(F.size("chunks")).alias("n_chunks"), "quality")
+
+
+# ---------------------------------------------------------------- replies
+@query("paraphrase_candidates")
+def q_paraphrase_candidates(spark, sf_dir):
+    r = replies.paraphrase_candidates(Tables(spark, sf_dir).replies)
+    return r.select("request_id", L("cand_pos").alias("cand_pos"), "revised_prompt")
+
+
+@query("best_from_reply")
+def q_best_from_reply(spark, sf_dir):
+    r = Tables(spark, sf_dir).replies
+    return r.select("request_id", replies.best_from_reply("reply").alias("best_paraphrase"))
+
+
+@query("effective_replies")
+def q_effective_replies(spark, sf_dir):
+    r = Tables(spark, sf_dir).replies
+    return r.select("request_id", "status", scores.effective_reply("status", "reply").alias("reply_used"))
+
+
+@query("attach_replies")
+def q_attach_replies(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = replies.attach_replies(t.requests.select("request_id", "request_text"),
+                               t.replies.select("request_id", "reply"))
+    return j.select("request_id", "request_text", "reply")
+
+
+@query("open_requests")
+def q_open_requests(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    valid = (F.col("status") == "ok") & F.col("reply").isNotNull()
+    return replies.open_requests(t.requests.select("request_id"), t.replies, valid)
+
+
+@query("req_select_all")
+def q_req_select_all(spark, sf_dir):
+    r = Tables(spark, sf_dir).replies.withColumnRenamed("request_id", "reply_id")
+    return _req(requests.select_all_requests(r, keys=("reply_id",)), ["reply_id"])
+
+
+@query("req_select_best")
+def q_req_select_best(spark, sf_dir):
+    r = Tables(spark, sf_dir).replies.withColumnRenamed("request_id", "reply_id")
+    return _req(requests.select_best_requests(r, keys=("reply_id",)), ["reply_id"])
+
+
+@query("request_modality")
+def q_request_modality(spark, sf_dir):
+    r = Tables(spark, sf_dir).replies
+    msg = F.when(F.col("conv_id") % 2 == 0,
+                 F.array(M.message("user", M.image_part(F.concat(F.lit("img_"), F.col("request_id"))),
+                                   M.text_part("reply")))) \
+           .otherwise(F.array(M.text_message("user", F.col("reply"))))
+    return r.select("request_id", M.modality(msg).alias("modality"),
+                    L(F.size(F.get(msg, 0)["content"])).alias("n_parts"))
+
+
+# ----------------------------------------------------- history / annotation
+@query("parse_list_column")
+def q_parse_list_column(spark, sf_dir):
+    lists = select.iteration_lists(_iter_best(Tables(spark, sf_dir)))
+    as_text = lists.select("prompt_id", F.concat(
+        F.lit("["), F.array_join(F.transform("best_sum_at_each_iter", lambda x: x.cast("string")), ", "),
+        F.lit("]")).alias("stored"))
+    back = as_text.select("prompt_id", io.parse_list_col("stored").alias("vals"))
+    return back.select("prompt_id", L(F.size("vals")).alias("n_items"), round6(F.array_max("vals")).alias("max_sum"))
+
+
+@query("history_rows")
+def q_history_rows(spark, sf_dir):
+    h = history.history_rows(_scored(Tables(spark, sf_dir)))
+    return h.select("prompt_id", "hist_pos", "iter", "cand_pos", "revised_prompt")
+
+
+def _history(t: Tables) -> DataFrame:
+    sc = _scored(t)
+    ta = t.tifa_answers.filter(F.col("q_pos").isNotNull())
+    qa = sc.select("prompt_id", "iter", "cand_pos").join(ta, "prompt_id").select(
+        "prompt_id", "iter", "cand_pos", "q_pos",
+        F.concat(F.lit("question "), F.col("q_pos").cast("string")).alias("question"),
+        F.lit("A, N").alias("choices"), "answer", "picked")
+    return history.history_text(sc, qa=qa)
+
+
+@query("history_text")
+def q_history_text(spark, sf_dir):
+    h = _history(Tables(spark, sf_dir))
+    return h.select("prompt_id", L("n_entries").alias("n_entries"), "history")
+
+
+@query("req_iter_next")
+def q_req_iter_next(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    h = _history(t).join(t.cand_prompts, "prompt_id")
+    return _req(requests.next_iteration_requests(h, 3), ["prompt_id"])
+
+
+def _annotations(t: Tables) -> DataFrame:
+    return history.annotation_rows(_scored(t), _iter_best(t), t.cand_prompts, "ds")
+
+
+@query("annotation_rows")
+def q_annotation_rows(spark, sf_dir):
+    a = _annotations(Tables(spark, sf_dir))
+    return a.select("prompt_id", "iter", "cand_pos", round6("tifa").alias("tifa"), round6("vqa").alias("vqa"),
+                    round6("sum").alias("sum"), "prompt_used_for_generation", "original_prompt", "image_path")
+
+
+@query("annotation_html")
+def q_annotation_html(spark, sf_dir):
+    a = _annotations(Tables(spark, sf_dir))
+    return history.annotation_html(a, ["prompt_id", "iter", "cand_pos"])
+
+
+# ------------------------------------------------------------------ scores
+@query("tifa_answers")
+def q_tifa_answers(spark, sf_dir):
+    a = Tables(spark, sf_dir).tifa_answers.filter(F.col("q_pos").isNotNull())
+    return scores.tifa_answer_rows(a).select("prompt_id", "q_pos", "picked", "answer", "correct")
+
+
+@query("tifa_scores")
+def q_tifa_scores(spark, sf_dir):
+    s = scores.tifa_scores(Tables(spark, sf_dir).tifa_answers, ["prompt_id"])
+    return s.select("prompt_id", "n_questions", "n_correct", round6("tifa").alias("tifa"),
+                    F.array_join("answers", " | ").alias("answers"))
+
+
+@query("vqa_hard_scores")
+def q_vqa_hard_scores(spark, sf_dir):
+    s = scores.vqa_hard_scores(Tables(spark, sf_dir).vqa_replies, ["cand_id"])
+    return s.select("cand_id", "n_chunks", "n_yes", "n_open", round6("vqa").alias("vqa"))
+
+
+def _yes_probs(t: Tables) -> DataFrame:
+    return scores.yes_probability_rows(t.vqa_replies, ["cand_id", "obs_day"], rank="chunk_pos")
+
+
+@query("yes_probability")
+def q_yes_probability(spark, sf_dir):
+    p = _yes_probs(Tables(spark, sf_dir))
+    return p.select("cand_id", F.col("obs_day").cast("string").alias("obs_day"),
+                    round6("yes_prob").alias("yes_prob"))
+
+
+@query("vqa_soft_scores")
+def q_vqa_soft_scores(spark, sf_dir):
+    s = scores.vqa_soft_scores(_yes_probs(Tables(spark, sf_dir)), ["cand_id"])
+    return s.select("cand_id", "n_chunks", round6("vqa").alias("vqa"))
+
+
+# ------------------------------------------------------------------ shards
+def _shards(t: Tables) -> DataFrame:
+    return merge.with_shard_parts(t.shards)
+
+
+@query("parse_shard_name")
+def q_parse_shard_name(spark, sf_dir):
+    s = Tables(spark, sf_dir).shards.select("file_name").distinct()
+    return merge.with_shard_parts(s).select("file_name", "process", "nextline",
+                                            dataset_name("file_name").alias("stem"))
+
+
+@query("latest_shard")
+def q_latest_shard(spark, sf_dir):
+    return merge.latest_shard(Tables(spark, sf_dir).shards)
+
+
+SHARD_SCHEMA = "row_index bigint, original_prompt string, score double"
+
+
+@query("merge_shards")
+def q_merge_shards(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    root = scratch_dir(spark, "shards")
+    s = t.shards
+    io.write_csv(s.filter("source_rank = 0").select("row_index", "original_prompt", "score"), f"{root}/combined")
+    io.write_result_shards(s.filter("source_rank = 1").select("file_name", "row_index", "original_prompt", "score"),
+                           f"{root}/parts")
+    combined = io.read_csv(spark, f"{root}/combined", SHARD_SCHEMA).withColumn("source_rank", F.lit(0))
+    parts = io.read_result_shards(spark, f"{root}/parts", "ds", SHARD_SCHEMA).withColumn("source_rank", F.lit(1))
+    m = merge.merge_results(combined, parts)
+    return m.select("file_name", "process", "nextline", "source_rank", "row_index", "original_prompt",
+                    round6("score").alias("score"))
+
+
+@query("dedup_keep_first")
+def q_dedup_keep_first(spark, sf_dir):
+    s = _shards(Tables(spark, sf_dir))
+    d = merge.dedup_keep_first(s, "original_prompt", ["source_rank", "process", "nextline", "row_index"])
+    return d.select("original_prompt", "file_name", "row_index", round6("score").alias("score"))
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang")
+    d = d.withColumn("lang", F.when(F.col("lang") == "es", F.lit("")).otherwise(F.col("lang")))
+    path = scratch_dir(spark, "csv")
+    io.write_csv(d, path)
+    return io.read_csv(spark, path, "doc_id bigint, text string, lang string")
+
+
+# ------------------------------------------------------------------ timers
+@query("timer_averages")
+def q_timer_averages(spark, sf_dir):
+    a = misc.timer_averages(Tables(spark, sf_dir).purposes)
+    return a.select("purpose", "first_seq", round6("average_time").alias("average_time"))
+
+
+@query("perplexity_by_step")
+def q_perplexity_by_step(spark, sf_dir):
+    p = misc.perplexity(Tables(spark, sf_dir).eval_log)
+    return p.select("step", round6("perplexity").alias("perplexity"))
+
+
+# ---------------------------------------------------------------- training
+def _pairs(t: Tables) -> DataFrame:
+    return training.corrected_pairs(t.pairs)
+
+
+@query("corrected_pairs")
+def q_corrected_pairs(spark, sf_dir):
+    return _pairs(Tables(spark, sf_dir)).select("conv_id", "turn", "original_prompt", "rephrased_prompt")
+
+
+def _fmt(fmt):
+    def run(spark, sf_dir):
+        return training.format_pairs(_pairs(Tables(spark, sf_dir)), fmt, keys=("conv_id", "turn"))
+    return run
+
+
+for _f in ("hf", "gemma", "chatml"):
+    query(f"train_text_{_f}")(_fmt(_f))
+
+
+@query("train_messages_qwen")
+def q_train_messages_qwen(spark, sf_dir):
+    q = training.format_pairs(_pairs(Tables(spark, sf_dir)), "qwen", keys=("conv_id", "turn"))
+    m0, m1 = F.get("messages", 0), F.get("messages", 1)
+    return q.select("conv_id", "turn", m0["from"].alias("user_from"), m0["value"].alias("user_value"),
+                    m1["from"].alias("assistant_from"), m1["value"].alias("assistant_value"))
+
+
+@query("train_pairs_test")
+def q_train_pairs_test(spark, sf_dir):
+    return training.format_pairs(_pairs(Tables(spark, sf_dir)), "test", keys=("conv_id", "turn"))
+
+
+def _icl_examples(t: Tables) -> DataFrame:
+    p = _pairs(t).select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("pair_key"),
+                         F.col("original_prompt").alias("prompt"),
+                         F.col("rephrased_prompt").alias("best_paraphrase"))
+    return sampling.seeded_sample(p, "pair_key", 100, seed=42)
+
+
+@query("icl_examples")
+def q_icl_examples(spark, sf_dir):
+    return _icl_examples(Tables(spark, sf_dir)).select("conv_id", "turn", "prompt", "best_paraphrase")
+
+
+@query("req_icl")
+def q_req_icl(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    tests = t.pairs.select("conv_id", "turn", F.col("original_prompt").alias("prompt"))
+    r = requests.icl_requests(tests, _icl_examples(t), keys=("conv_id", "turn"))
+    return _req(r, ["conv_id", "turn"]).join(
+        r.select("request_id", M.message_text(F.get("messages", 1)).alias("first_example")), "request_id")
+
+
+# ------------------------------------------------------- existing / resume
+def _existing_folder(spark, t: Tables) -> str:
+    folder = scratch_dir(spark, "existing")
+    t.existing.select("prompt").write.text(folder)
+    t.benchmark.select("text").write.mode("append").text(folder)
+    t.benchmark.select("item_id", "text").write.mode("append").csv(folder)  # not *.txt: ignored
+    return folder
+
+
+@query("existing_prompts")
+def q_existing_prompts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return io.read_prompt_folder(spark, _existing_folder(spark, t))
+
+
+def _existing_set(t: Tables) -> DataFrame:
+    return t.existing.select("prompt").unionByName(t.benchmark.select(F.col("text").alias("prompt")))
+
+
+@query("new_prompts_anti")
+def q_new_prompts_anti(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    d = t.documents.select("doc_id", F.col("text").alias("prompt"))
+    return sampling.new_prompts(d, _existing_set(t))
+
+
+@query("sample_new_prompts")
+def q_sample_new_prompts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return sampling.sample_new_prompts(t.documents, _existing_set(t), 300, seed=42)
+
+
+@query("resume_pending")
+def q_resume_pending(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    done = t.existing.select(F.col("prompt").alias("original_prompt"))
+    return sampling.resume_pending(t.raw_prompts, done, prompt="raw").select("prompt_id")
+
+
+@query("resume_by_offset")
+def q_resume_by_offset(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return rows.skip_first(_indexed_prompts(t), t.existing).select("row_index", "prompt_id")
+
+
+@query("generated_prompts")
+def q_generated_prompts(spark, sf_dir):
+    g = Tables(spark, sf_dir).generated
+    gp = replies.generated_prompt("output")
+    return g.select("conv_id", "turn", gp.alias("generated_prompt"), gp.isNull().alias("rejected"))
+
+
+# ------------------------------------------------------------------ images
+@query("data_url")
+def q_data_url(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    root = scratch_dir(spark, "images")
+    t.images.select(F.col("path").alias("image_name"), "html").write.partitionBy("image_name").text(root)
+    files = io.read_images(spark, root)
+    return files.select("image_name", misc.mime_type("image_name").alias("mime"), "length",
+                        misc.data_url("image_name", "content").alias("data_url"))
+
+
+@query("image_keys")
+def q_image_keys(spark, sf_dir):
+    b = Tables(spark, sf_dir).benchmark
+    return b.select("item_id", image_key("text").alias("image_key"))
+
+
+@query("image_paths")
+def q_image_paths(spark, sf_dir):
+    b = Tables(spark, sf_dir).benchmark
+    ann = misc.image_path("benchmark", "text", 0, annotate=True, out_dir="out/")
+    return b.select("item_id", ann.alias("annotation_path"),
+                    misc.image_path("benchmark", "text", 3, annotate=False, out_dir="out/").alias("process_path"),
+                    misc.relative_path(ann, "out/").alias("relative_path"))
