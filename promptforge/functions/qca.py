@@ -1,17 +1,21 @@
-"""P5: parser for question / choices / answer replies, as one Column expression.
+"""P5: parser for question / choices / answer replies.
 
 A reply looks like ``... Q: <question> Choices: <a, b, c> A: <answer>\\n ...``.
 Parts are the pieces after the first ``"Q: "``.  For each part the question is
 the text before the first ``"Choices: "``, the choices the text between it and
-the next ``"A: "``, the answer the text after the part's first ``"A: "`` up to
-the end of that line.  Parsing stops at the first part that lacks either
-marker; earlier parts are kept and the row is flagged as an anomaly.  A missing
-reply is an anomaly with empty lists; a reply without any ``"Q: "`` is not.
+the next ``"Choices: "`` cut at the first ``"A: "``, the answer the text after
+the part's first ``"A: "`` up to the end of that line.  Parsing stops at the
+first part that lacks either marker; earlier parts are kept and the row is
+flagged as an anomaly.  A missing reply is an anomaly with empty lists; a
+reply without any ``"Q: "`` is not.
+
+Field extraction uses ``instr`` / ``substring_index`` (no regular
+expressions); the only regex split is the one that cuts the reply into parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptforge.functions.text import _col, strip
@@ -21,38 +25,69 @@ Q_MARK = "Q: "
 CHOICES_MARK = "Choices: "
 A_MARK = "A: "
 
+_BIG = 1 << 30
+
 
-def _after(x: Column, mark: str) -> Column:
-    """Text between the first and second occurrence of ``mark`` (null if absent)."""
-    return F.get(F.split(x, mark), 1)
+def _between_first_and_second(x: Column, mark: str) -> Column:
+    """``x.split(mark)[1]`` — null when ``mark`` does not occur."""
+    at = F.instr(x, mark)
+    rest = x.substr(at + F.lit(len(mark)), F.lit(_BIG))
+    return F.when(at > 0, F.substring_index(rest, mark, 1))
 
 
 def _parse_part(x: Column) -> Column:
+    choices = _between_first_and_second(x, CHOICES_MARK)
+    after_a = _between_first_and_second(x, A_MARK)
     return F.struct(
-        strip(F.get(F.split(x, CHOICES_MARK), 0)).alias("q"),
-        strip(F.get(F.split(_after(x, CHOICES_MARK), A_MARK), 0)).alias("c"),
-        strip(F.get(F.split(_after(x, A_MARK), "\n"), 0)).alias("a"),
+        strip(F.substring_index(x, CHOICES_MARK, 1)).alias("q"),
+        strip(F.substring_index(choices, A_MARK, 1)).alias("c"),
+        strip(F.substring_index(after_a, "\n", 1)).alias("a"),
     )
 
 
+def _parts(t: Column) -> Column:
+    pieces = F.split(t, Q_MARK)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _parse_part)
+
+
+def _first_bad(parsed: Column) -> Column:
+    return F.coalesce(F.array_position(F.transform(parsed, lambda p: p["c"].isNull() | p["a"].isNull()), True),
+                      F.lit(0))
+
+
+def _good(parsed: Column, first_bad: Column) -> Column:
+    return F.coalesce(F.when(first_bad == 0, parsed).otherwise(F.slice(parsed, 1, (first_bad - 1).cast("int"))),
+                      F.array())
+
+
 def parse_qca(c) -> Column:
-    """Return ``struct<questions, choices, answers: array<string>, anomaly: boolean>``."""
+    """Single-expression form: ``struct<questions, choices, answers, anomaly>``.
+    Prefer :func:`with_qca` on large inputs — it evaluates the parse once."""
     t = _col(c)
-    pieces = F.split(t, Q_MARK)
-    parts = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    parsed = F.transform(parts, _parse_part)
-    first_bad = F.coalesce(
-        F.array_position(F.transform(parsed, lambda p: p["c"].isNull() | p["a"].isNull()), True),
-        F.lit(0))
-    good = F.coalesce(
-        F.when(first_bad == 0, parsed).otherwise(F.slice(parsed, 1, (first_bad - 1).cast("int"))),
-        F.array())
-    return F.struct(
-        F.transform(good, lambda p: p["q"]).alias("questions"),
-        F.transform(good, lambda p: p["c"]).alias("choices"),
-        F.transform(good, lambda p: p["a"]).alias("answers"),
-        (t.isNull() | (first_bad > 0)).alias("anomaly"),
-    )
+    parsed = _parts(t)
+    fb = _first_bad(parsed)
+    good = _good(parsed, fb)
+    return F.struct(F.transform(good, lambda p: p["q"]).alias("questions"),
+                    F.transform(good, lambda p: p["c"]).alias("choices"),
+                    F.transform(good, lambda p: p["a"]).alias("answers"),
+                    (t.isNull() | (fb > 0)).alias("anomaly"))
+
+
+def with_qca(df: DataFrame, reply: str, out: str = "qca", anomaly: str = "anomaly") -> DataFrame:
+    """Add ``out`` (questions / choices / answers) and ``anomaly`` columns.
+
+    Staged projections: Catalyst does not collapse a projection whose
+    non-trivial expression would be duplicated, so the split / transform runs
+    once per row instead of once per output field."""
+    staged = df.withColumn("_qca_parts", _parts(F.col(reply)))
+    staged = staged.withColumn("_qca_bad", _first_bad(F.col("_qca_parts")))
+    staged = staged.withColumn("_qca_good", _good(F.col("_qca_parts"), F.col("_qca_bad")))
+    g = F.col("_qca_good")
+    return (staged.withColumn(out, F.struct(F.transform(g, lambda p: p["q"]).alias("questions"),
+                                            F.transform(g, lambda p: p["c"]).alias("choices"),
+                                            F.transform(g, lambda p: p["a"]).alias("answers")))
+                  .withColumn(anomaly, F.col(reply).isNull() | (F.col("_qca_bad") > 0))
+                  .drop("_qca_parts", "_qca_bad", "_qca_good"))
 
 
 def choice_list(c) -> Column:

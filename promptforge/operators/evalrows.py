@@ -5,18 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptforge.functions.qca import parse_qca
+from promptforge.functions.qca import with_qca
 from promptforge.functions.text import split_chunks, strip
 
 
 def qca_table(replies: DataFrame, prompt: str = "prompt", reply: str = "visual_questions",
               keep=()) -> DataFrame:
     """P5 + P6: ``(prompt, qca struct, anomaly)`` from question replies."""
-    p = parse_qca(reply)
-    return replies.select(*keep, F.col(prompt).alias("prompt"),
-                          F.struct(p["questions"].alias("questions"), p["choices"].alias("choices"),
-                                   p["answers"].alias("answers")).alias("qca"),
-                          p["anomaly"].alias("anomaly"), F.col(reply).alias("text"))
+    base = replies.select(*keep, F.col(prompt).alias("prompt"), F.col(reply).alias("text"))
+    return with_qca(base, "text").select(*keep, "prompt", "qca", "anomaly", "text")
 
 
 def qca_errors(parsed: DataFrame, dataset: str, row_index: str = "row_index") -> DataFrame:

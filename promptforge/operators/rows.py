@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptforge.session import ensure_checkpoint_dir
+
 _PID, _POS = "_pf_pid", "_pf_pos"
 
 
@@ -46,8 +48,16 @@ def _apply_offsets(tagged: DataFrame, group_cols: list[str], name: str,
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
                    with_total: bool = False) -> DataFrame:
     """Dense 0-based index in the order of ``order_cols`` (should be unique).
-    With ``with_total`` a ``_pf_total`` column carries the row count."""
-    tagged = _tag_positions(df.orderBy(*order_cols))
+    With ``with_total`` a ``_pf_total`` column carries the row count.
+
+    The sorted, position-tagged rows are checkpointed (reliably, under the
+    session's checkpoint directory) before they are counted and joined: two
+    independent range exchanges would each sample their own partition bounds,
+    and the offsets would then not fit the rows.  One write of the data buys
+    a consistent numbering and a lineage cut that survives lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = _tag_positions(df.orderBy(*order_cols)).checkpoint(eager=True)
     return _apply_offsets(tagged, [_PID], name, with_total)
 
 
@@ -56,7 +66,9 @@ def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
 
     Rows of one file are contiguous inside a scan partition and a file's splits
     keep their offset order across partitions, so (file, partition, position)
-    is the file order.
+    is the file order.  The scan's partitioning is a deterministic function of
+    the file listing (no shuffle, no sampling), so counting and numbering can
+    read it twice.
     """
     tagged = _tag_positions(df.withColumn("_pf_file", F.col("_metadata.file_path")))
     return _apply_offsets(tagged, ["_pf_file", _PID], name, False)

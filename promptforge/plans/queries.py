@@ -99,7 +99,6 @@ def q_run_averages_iterative(spark, sf_dir):
 
 # ------------------------------------------------------------- shared bits
 from promptforge.functions import messages as M  # noqa: E402
-from promptforge.functions.qca import parse_qca  # noqa: E402
 from promptforge.functions.text import (  # noqa: E402
     dataset_name, image_key, one_line, pct_int, split_chunks, strip)
 from promptforge.operators import (  # noqa: E402
@@ -665,11 +664,12 @@ def q_generated_prompts(spark, sf_dir):
 # ------------------------------------------------------------------ images
 @query("data_url")
 def q_data_url(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    root = scratch_dir(spark, "images")
-    t.images.select(F.col("path").alias("image_name"), "html").write.partitionBy("image_name").text(root)
-    files = io.read_images(spark, root)
-    return files.select("image_name", misc.mime_type("image_name").alias("mime"), "length",
+    # (path, bytes) rows shaped like the binaryFile source (S9, exercised in
+    # tests): one file per image would mean one output folder per page here.
+    files = Tables(spark, sf_dir).images.select(
+        F.col("path").alias("image_name"), F.encode(F.concat("html", F.lit("\n")), "UTF-8").alias("content"))
+    return files.select("image_name", misc.mime_type("image_name").alias("mime"),
+                        F.octet_length("content").cast("long").alias("length"),
                         misc.data_url("image_name", "content").alias("data_url"))
 
 
