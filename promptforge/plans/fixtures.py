@@ -99,7 +99,9 @@ class Tables:
         j = o.join(li, o.o_orderkey == li.l_orderkey, "left")
         answer = F.when(F.col("l_linestatus") == "F", "A").when(F.col("l_linestatus").isNotNull(), "N")
         # per-order question position (a window per order: at most 7 rows)
-        w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+        # ties beyond these keys are rows with identical picked / answer values
+        w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+                                                     "l_linestatus")
         q_pos = F.when(F.col("l_orderkey").isNotNull(), (F.row_number().over(w) - 1).cast("long"))
         return j.select(F.col("o_orderkey").alias("prompt_id"), q_pos.alias("q_pos"),
                         F.concat(F.lit(" "), F.lower("l_returnflag"), F.lit(" ")).alias("picked"),

@@ -57,7 +57,7 @@ FIXTURE_SQL = {
         from lineitem group by l_orderkey, cast(l_suppkey % 3 as int), cast(l_partkey % 4 as int)""",
     "f_cand_prompts": """select o_orderkey prompt_id, 'prompt ' || o_orderkey original_prompt from orders""",
     "f_tifa_answers": """select o_orderkey prompt_id, case when l_orderkey is not null then row_number() over
-        (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 end q_pos,
+        (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 end q_pos,
         ' ' || lower(l_returnflag) || ' ' picked,
         case when l_linestatus = 'F' then 'A' when l_linestatus is not null then 'N' end answer
         from orders left join lineitem on o_orderkey = l_orderkey""",
