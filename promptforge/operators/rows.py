@@ -61,6 +61,13 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
     return _apply_offsets(tagged, [_PID], name, with_total)
 
 
+def row_index_table(df: DataFrame, order_cols: list[str], name: str = "row_index") -> DataFrame:
+    """G4 on the key columns only: ``(order_cols..., name)``.  Cheaper than
+    numbering wide rows when the caller keeps only a subset of them (join the
+    few survivors back on the key)."""
+    return with_row_index(df.select(*order_cols), order_cols, name)
+
+
 def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     """Line numbers of a file scan in file-name order then in-file order.
 

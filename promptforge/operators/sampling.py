@@ -21,29 +21,36 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def new_prompts(candidates: DataFrame, existing: DataFrame, text: str = "prompt",
-                existing_text: str = "prompt") -> DataFrame:
+                existing_text: str = "prompt", normalised: bool = False) -> DataFrame:
     """Candidates whose normalised text is not among the normalised
-    existing prompts — a hash anti-join instead of a list scan per row."""
-    ex = existing.select(one_line(existing_text).alias("_norm")).filter(F.col("_norm").isNotNull())
+    existing prompts — a hash anti-join instead of a list scan per row.  With
+    ``normalised`` the candidate column already holds the one-line form and
+    is the join key itself, so a later grouping on it reuses the partitioning."""
+    # distinct combines repeated existing prompts map-side before the shuffle
+    ex = existing.select(one_line(existing_text).alias("_norm")).filter(F.col("_norm").isNotNull()).distinct()
+    if normalised:
+        return candidates.join(ex.withColumnRenamed("_norm", text), text, "left_anti")
     cand = candidates.withColumn("_norm", one_line(text))
     return cand.join(ex, "_norm", "left_anti").drop("_norm")
 
 
 def sample_new_prompts(corpus: DataFrame, existing: DataFrame, n: int, seed: int = 42, key: str = "doc_id",
                        text: str = "text", existing_text: str = "prompt") -> DataFrame:
-    """C1 (L4 + L5 + J3 + P2): normalise, drop prompts that already exist,
-    keep one row per distinct prompt, then take n in seeded order.  Anti-join
-    first means every sampled row is new in one pass (no redraw loop)."""
-    norm = corpus.select(key, one_line(text).alias("prompt"))
-    fresh = new_prompts(norm, existing, "prompt", existing_text)
-    keyed = fresh.withColumn("sample_key", sample_key(key, seed))
-    one = keyed.groupBy("prompt").agg(F.min(F.struct("sample_key", key)).alias("_m"))
-    return (one.select(F.col(f"_m.{key}").alias(key), "prompt", F.col("_m.sample_key").alias("sample_key"))
-               .orderBy("sample_key", key).limit(n))
+    """C1 (L4 + L5 + J3 + P2): normalise, keep one row per distinct prompt,
+    drop prompts that already exist, then take n in seeded order.  Filtering
+    before sampling means every sampled row is new in one pass (no redraw loop)."""
+    norm = corpus.select(key, one_line(text).alias("prompt"), sample_key(key, seed).alias("sample_key"))
+    # de-duplicate first: the partial min runs map-side, so a text held by a
+    # third of the corpus reaches the shuffle as one row per task; the
+    # anti-join then reuses the prompt partitioning (one exchange per side)
+    one = norm.groupBy("prompt").agg(F.min(F.struct("sample_key", key)).alias("_m")) \
+              .select(F.col(f"_m.{key}").alias(key), "prompt", F.col("_m.sample_key").alias("sample_key"))
+    fresh = new_prompts(one, existing, "prompt", existing_text, normalised=True)
+    return fresh.orderBy("sample_key", key).limit(n)
 
 
 def resume_pending(rows: DataFrame, finished: DataFrame, prompt: str = "prompt",
                    finished_col: str = "original_prompt") -> DataFrame:
     """Rows whose stripped prompt is not among the finished prompts."""
-    done = finished.select(F.col(finished_col).alias("_p")).filter(F.col("_p").isNotNull())
+    done = finished.select(F.col(finished_col).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
     return rows.withColumn("_p", strip(prompt)).join(done, "_p", "left_anti").drop("_p")

@@ -283,8 +283,9 @@ def q_qca_rows(spark, sf_dir):
 
 @query("qca_errors")
 def q_qca_errors(spark, sf_dir):
-    q = rows.with_row_index(_qca(Tables(spark, sf_dir)), ["doc_id"])
-    return evalrows.qca_errors(q, "documents")
+    q = _qca(Tables(spark, sf_dir))
+    idx = rows.row_index_table(q, ["doc_id"])  # index the keys, join back only the anomalies
+    return evalrows.qca_errors(q.filter("anomaly").join(idx, "doc_id"), "documents")
 
 
 @query("qca_json_roundtrip")
