@@ -57,5 +57,8 @@ def mime_type(path) -> Column:
 
 
 def data_url(path, content) -> Column:
-    """``data:<mime>;base64,<content>`` (needs chunkBase64String off)."""
-    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), F.base64(_col(content)))
+    """``data:<mime>;base64,<content>``, one unbroken line whatever the
+    session's ``spark.sql.chunkBase64String.enabled`` says (MIME chunking
+    inserts CRLF every 76 characters; those are removed)."""
+    b64 = F.replace(F.base64(_col(content)), F.lit("\r\n"), F.lit(""))
+    return F.concat(F.lit("data:"), mime_type(path), F.lit(";base64,"), b64)

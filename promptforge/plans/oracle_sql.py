@@ -96,7 +96,8 @@ _INDEXED = f"select row_number() over (order by prompt_id) - 1 row_index, prompt
 oracle("prompt_lines", f"""select row_number() over (order by prompt_id, pos) - 1 line_no, {strip('line')} prompt
   from (select prompt_id, unnest(l) line, generate_subscripts(l, 1) pos
         from (select prompt_id, string_split(raw, chr(10)) l from f_raw_prompts))""", "f_raw_prompts")
-oracle("normalised_prompts", f"select prompt_id, {one_line('raw')} prompt from f_raw_prompts", "f_raw_prompts")
+oracle("normalised_prompts", f"""select row_number() over (order by prompt_id) - 1 line_no, {one_line('raw')} prompt
+  from f_raw_prompts""", "f_raw_prompts")
 oracle("indexed_rows", "select row_index, prompt_id, prompt from ix", "f_raw_prompts", extra={"ix": _INDEXED})
 oracle("batch_numbers", """select prompt_id, row_index, row_index // 4 batch_4, row_index // 40 batch_40,
     row_index // 1000 batch_1000 from ix""", "f_raw_prompts", extra={"ix": _INDEXED})

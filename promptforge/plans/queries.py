@@ -67,7 +67,7 @@ def q_best_paraphrase(spark, sf_dir):
 def q_iteration_lists(spark, sf_dir):
     lists = select.iteration_lists(_iter_best(Tables(spark, sf_dir)))
     return lists.select(
-        "prompt_id", F.size("iters").alias("n_iters"),
+        "prompt_id", L(F.size("iters")).alias("n_iters"),
         F.array_join(F.transform("iters", lambda x: x.cast("string")), ",").alias("iters"),
         fmt_doubles("best_tifa_at_each_iter").alias("best_tifa_at_each_iter"),
         fmt_doubles("best_vqa_at_each_iter").alias("best_vqa_at_each_iter"),
@@ -127,13 +127,20 @@ def q_prompt_lines(spark, sf_dir):
 
 @query("normalised_prompts")
 def q_normalised_prompts(spark, sf_dir):
+    """K1 + P2: one prompt per line through the text sink, read back."""
     t = Tables(spark, sf_dir)
-    return t.raw_prompts.select("prompt_id", one_line("raw").alias("prompt"))
+    path = scratch_dir(spark, "prompt_sink")
+    io.write_prompt_lines(t.raw_prompts.orderBy("prompt_id"), path, col="raw")
+    return io.read_prompt_lines(spark, path)
 
 
 @query("indexed_rows")
 def q_indexed_rows(spark, sf_dir):
-    return _indexed_prompts(Tables(spark, sf_dir)).select("row_index", "prompt_id", "prompt")
+    """G4 + K2: leading 0-based row index, CSV sink, read back."""
+    path = scratch_dir(spark, "indexed_csv")
+    io.write_csv(_indexed_prompts(Tables(spark, sf_dir)).select("row_index", "prompt_id", "prompt"), path,
+                 index_col="row_index")
+    return io.read_csv(spark, path, "row_index bigint, prompt_id bigint, prompt string", pandas_na=False)
 
 
 @query("batch_numbers")

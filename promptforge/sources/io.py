@@ -130,6 +130,11 @@ def write_result_shards(df: DataFrame, root: str, shard_col: str = "file_name",
         .options(**_CSV_OPTS).csv(root)
 
 
+def append_annotations(df: DataFrame, path: str) -> None:
+    """New annotation rows are appended to the existing ones (no rewrite)."""
+    _flatten_for_csv(df).write.mode("append").options(**_CSV_OPTS).csv(path)
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K4: JSON records (one per line)."""
     df.write.mode(mode).json(path)

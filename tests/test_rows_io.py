@@ -134,3 +134,20 @@ def test_sinks(spark, tmp_dir):
     io.write_incremental(inc, f"{tmp_dir}/k8")
     io.write_incremental(inc, f"{tmp_dir}/k8")
     assert spark.read.parquet(f"{tmp_dir}/k8").count() == 4
+
+
+def test_averages_html_and_annotation_append(spark, tmp_dir):
+    from promptforge.operators import history, select
+    res = spark.createDataFrame([(0.5, 1.0), (0.25, 0.0)], "tifa_score double, vqa_score double")
+    io.write_averages(select.run_averages_scoring(res, ["tifa_score", "vqa_score"]), f"{tmp_dir}/k5")
+    back = {r.metric: r.value for r in io.read_csv(spark, f"{tmp_dir}/k5", "metric string, value double").collect()}
+    assert back == {"tifa_score": 37.5, "vqa_score": 50.0}
+    rows = spark.createDataFrame([(1, "b & c", "./x.png"), (0, "a", "./y.png")], "k long, original_prompt string, image_path string")
+    io.write_annotation_html(history.annotation_html(rows, ["k"]), f"{tmp_dir}/k7")
+    page = "".join(open(os.path.join(f"{tmp_dir}/k7", f)).read() for f in sorted(os.listdir(f"{tmp_dir}/k7"))
+                   if f.endswith(".txt"))
+    assert page.index("<p>a</p>") < page.index("<p>b &amp; c</p>") < page.index("</html>")
+    ann = spark.createDataFrame([(1, "p")], "k long, v string")
+    io.append_annotations(ann, f"{tmp_dir}/u3")
+    io.append_annotations(ann, f"{tmp_dir}/u3")
+    assert io.read_csv(spark, f"{tmp_dir}/u3", "k long, v string").count() == 2
