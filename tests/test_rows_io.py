@@ -151,3 +151,23 @@ def test_averages_html_and_annotation_append(spark, tmp_dir):
     io.append_annotations(ann, f"{tmp_dir}/u3")
     io.append_annotations(ann, f"{tmp_dir}/u3")
     assert io.read_csv(spark, f"{tmp_dir}/u3", "k long, v string").count() == 2
+
+
+def test_line_numbers_survive_split_files(spark, tmp_dir):
+    """One file cut into many scan splits, plus small files packed together."""
+    os.makedirs(tmp_dir, exist_ok=True)
+    with open(f"{tmp_dir}/a_big.txt", "w") as f:
+        for i in range(5000):
+            f.write(f"line {i:05d} " + "x" * (i % 37) + "\n")
+    for j in range(3):
+        open(f"{tmp_dir}/b_small{j}.txt", "w").write(f"small {j}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = io.read_prompt_lines(spark, tmp_dir)
+        assert df.rdd.getNumPartitions() > 20
+        got = [r.prompt for r in df.orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    exp = [(f"line {i:05d} " + "x" * (i % 37)).strip() for i in range(5000)] + [f"small {j}" for j in range(3)]
+    assert got == exp
