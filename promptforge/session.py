@@ -32,6 +32,8 @@ def get_spark(master: str | None = None, app: str = "promptforge",
         # hash map far past the default of 128 keys per task before sorting
         .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.sql.session.timeZone", "UTC")
+        # checkpoint files of row numbering are dropped once unreferenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # base64() must not break lines every 76 characters (data URLs)
         .config("spark.sql.chunkBase64String.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PF_DRIVER_MEMORY", "16g"))

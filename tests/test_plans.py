@@ -75,3 +75,31 @@ def test_oracle_gate_sf0001(spark):
         if s[0] != d[0] or s[2] != d[2]:
             bad.append(name)
     assert not bad
+
+
+def _plan(df):
+    import contextlib
+    import io as _io
+    df.write.format("noop").mode("overwrite").save()  # let AQE settle the final plan
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_best_of_is_partial_before_shuffle_and_pruned(spark):
+    p = _plan(E.queries()["best_paraphrase"](spark, SF0001))
+    assert "partial_max(struct(" in p
+    # only the five lineitem columns the candidates need are read
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_quantity:double," \
+           "l_discount:double>" in p
+
+
+def test_sampling_dedups_map_side_and_is_top_k(spark):
+    p = _plan(E.queries()["sample_new_prompts"](spark, SF0001))
+    assert "partial_min(struct(" in p and "TakeOrderedAndProject" in p and "LeftAnti" in p
+
+
+def test_filters_reach_the_scan(spark):
+    p = _plan(E.queries()["new_prompts_anti"](spark, SF0001))
+    assert "PushedFilters: [IsNotNull(quality), EqualTo(quality,1)" in p
