@@ -32,8 +32,10 @@ def corrected_pairs(df: DataFrame, original: str = "original_prompt", rephrased:
 
 def format_pairs(df: DataFrame, fmt: str, keys=(), instruction: str = DEFAULT_INSTRUCTION,
                  lead: str = ASSISTANT_LEAD) -> DataFrame:
-    """Render (original_prompt, rephrased_prompt) pairs; P26: unknown
-    formats fail before any plan is built."""
+    """Render (original_prompt, rephrased_prompt) pairs: P21 ``hf``, P22
+    ``gemma``, P23 ``chatml``, P24 ``qwen`` (two from/value messages), P25
+    ``test``; P26: unknown formats fail before any plan is built.  The pair
+    columns come from the same row (J9), so no join is involved."""
     if fmt not in ALL_FORMATS:
         raise ValueError(f"unknown format {fmt!r}; choose from {', '.join(ALL_FORMATS)}")
     keys = list(keys)

@@ -254,6 +254,7 @@ def q_req_vqa(spark, sf_dir):
 
 @query("chunk_scores")
 def q_chunk_scores(spark, sf_dir):
+    """Positional zip of each chunk with its presence probability (1 / (1 + i))."""
     nc = evalrows.chunk_arrays(Tables(spark, sf_dir).noun_chunks)
     probs = F.transform("chunks", lambda x, i: F.lit(1.0) / (i + 1))
     z = nc.select("doc_id", F.posexplode(F.arrays_zip(F.col("chunks").alias("chunk"), probs.alias("prob")))
