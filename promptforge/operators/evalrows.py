@@ -83,7 +83,9 @@ def eval_info(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def prompt_to_score(rows: DataFrame, scoring_column: str = "") -> DataFrame:
-    """The chosen column (as text, stripped) or else the original prompt."""
+    """The chosen column (as text, stripped) or else the original prompt.
+    A missing value reads as pandas' NaN, whose text form is ``"nan"``."""
     if scoring_column:
-        return rows.withColumn("prompt_to_score", strip(F.col(scoring_column).cast("string")))
+        as_text = F.coalesce(F.col(scoring_column).cast("string"), F.lit("nan"))
+        return rows.withColumn("prompt_to_score", strip(as_text))
     return rows.withColumn("prompt_to_score", strip("prompt"))

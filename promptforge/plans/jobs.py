@@ -17,6 +17,20 @@ from promptforge.operators import (evalrows, history, merge, misc, replies, requ
 from promptforge.sources import io
 
 
+# The run modes of the optimiser.
+MODES = ("scoring", "instant", "iterative", "iterative_for_annotation")
+
+
+def check_mode(mode: str, metrics: list[str] | None = None) -> str:
+    """Unknown modes fail before any plan is built; the iterative
+    modes need both TIFA and VQA (their history and score use both)."""
+    if mode not in MODES:
+        raise ValueError(f"invalid mode {mode!r}; choose from {', '.join(MODES)}")
+    if mode.startswith("iterative") and metrics is not None and set(metrics) != {"tifa", "vqa"}:
+        raise ValueError("iterative modes need both the tifa and the vqa metric")
+    return mode
+
+
 # C1 -------------------------------------------------------------------------
 def sample_prompts(corpus: DataFrame, existing_folder: str, n: int, out_path: str, seed: int = 42) -> DataFrame:
     """Corpus -> drop prompts already in the folder's *.txt files -> n seeded,

@@ -55,3 +55,58 @@ def test_iterative_loop_is_a_query_over_scores(spark):
     assert got == {1: (0, "a"), 2: (-1, "")}
     assert {r.metric for r in avg.collect()} == {"best_tifa_at_each_iter", "best_vqa_at_each_iter",
                                                   "best_sum_at_each_iter"}
+
+
+def test_mode_checks_and_prompt_to_score(spark):
+    import pytest
+    from promptforge.operators import evalrows
+    assert jobs.check_mode("scoring", ["tifa"]) == "scoring"
+    with pytest.raises(ValueError):
+        jobs.check_mode("optimise")
+    with pytest.raises(ValueError):
+        jobs.check_mode("iterative", ["tifa"])
+    df = spark.createDataFrame([(" p ", " s "), ("q", None)], "prompt string, alt string")
+    got = [r.prompt_to_score for r in evalrows.prompt_to_score(df, "alt").collect()]
+    assert got == ["s", "nan"]
+    assert [r.prompt_to_score for r in evalrows.prompt_to_score(df).collect()] == ["p", "q"]
+
+
+def test_scoring_job_end_to_end(spark, tmp_dir):
+    from promptforge.operators import evalrows, training
+    from promptforge.sources import io
+    qca = evalrows.qca_table(spark.createDataFrame(
+        [("a red kite", "Q: is there a kite?\nChoices: yes, no\nA: yes\nQ: color?\nChoices: red, blue\nA: red")],
+        "prompt string, visual_questions string"))
+    chunks = spark.createDataFrame([("a red kite", "red kite, sky")], "prompt string, noun_chunks string")
+    rows_, kind = evalrows.load_eval_rows(qca=qca.select("prompt", "qca"), chunks=chunks)
+    ev = evalrows.eval_info(rows_, kind).withColumn("prompt_id", F.lit(1).cast("long"))
+    cands = ev.select("prompt_id", F.lit(0).alias("cand_pos"), F.col("original_prompt").alias("prompt_to_score"))
+    treq, vreq = jobs.scoring_requests(cands, ev, "ds", ["prompt_id", "cand_pos"])
+    assert treq.count() == 2 and vreq.count() == 2
+    # replies produced elsewhere, keyed by request_id
+    trep = treq.select("request_id", F.lit("ok").alias("status"),
+                       F.when(F.col("q_pos") == 0, " Yes").otherwise("blue").alias("reply"))
+    vrep = vreq.select("request_id", F.lit("ok").alias("status"),
+                       F.when(F.col("chunk_pos") == 0, "yes").otherwise("no").alias("reply"))
+    sc = jobs.candidate_score_table(treq, trep, vreq, vrep, ev, ["prompt_id", "cand_pos"]).collect()[0]
+    assert (sc.tifa, sc.vqa, sc["sum"], sc.answers) == (0.5, 0.5, 1.0, [" Yes", "blue"])
+
+    # Combined file first, then shards; C9: training text from the merged rows
+    shards = spark.createDataFrame([("ds_process0_nextline_40.csv", 3, "p", "shard"), ("ds_process1_nextline_40.csv", 1, "q", "x")],
+                                   "file_name string, row_index long, original_prompt string, best_paraphrase string")
+    io.write_result_shards(shards, f"{tmp_dir}/parts")
+    io.write_csv(spark.createDataFrame([(0, "p", "combined")], "row_index long, original_prompt string, best_paraphrase string"),
+                 f"{tmp_dir}/combined")
+    first, _ = jobs.merge_results(spark, f"{tmp_dir}/combined", f"{tmp_dir}/parts", "ds",
+                                  "row_index long, original_prompt string, best_paraphrase string")
+    got = {r.original_prompt: r.best_paraphrase for r in first.collect()}
+    assert got == {"p": "combined", "q": "x"}
+    text = {r.text for r in jobs.training_table(first, "chatml").collect()}
+    assert any(t.startswith("<|im_start|>user ") and t.endswith("Here is the rephrased prompt: combined") for t in text)
+
+    # C11: examples sampled once, folded into every request
+    ex = first.select(F.col("original_prompt").alias("prompt"), "best_paraphrase")
+    tests = spark.createDataFrame([(7, "new prompt")], "prompt_id long, prompt string")
+    msgs = jobs.icl_requests(ex, tests, n_examples=1).collect()[0].messages
+    assert len(msgs) == 4 and msgs[-1].content[0].text == "User prompt: new prompt"
+    assert training is not None
