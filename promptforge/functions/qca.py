@@ -28,64 +28,67 @@ A_MARK = "A: "
 _BIG = 1 << 30
 
 
-def _between_first_and_second(x: Column, mark: str) -> Column:
-    """``x.split(mark)[1]`` — null when ``mark`` does not occur."""
-    at = F.instr(x, mark)
-    rest = x.substr(at + F.lit(len(mark)), F.lit(_BIG))
-    return F.when(at > 0, F.substring_index(rest, mark, 1))
+def _after_first(x: Column, mark: str) -> Column:
+    """``x.split(mark)[1]`` for a part known to contain ``mark``."""
+    return F.substring_index(x.substr(F.instr(x, mark) + F.lit(len(mark)), F.lit(_BIG)), mark, 1)
 
 
-def _parse_part(x: Column) -> Column:
-    choices = _between_first_and_second(x, CHOICES_MARK)
-    after_a = _between_first_and_second(x, A_MARK)
-    return F.struct(
-        strip(F.substring_index(x, CHOICES_MARK, 1)).alias("q"),
-        strip(F.substring_index(choices, A_MARK, 1)).alias("c"),
-        strip(F.substring_index(after_a, "\n", 1)).alias("a"),
-    )
+def _question(x: Column) -> Column:
+    return strip(F.substring_index(x, CHOICES_MARK, 1))
+
+
+def _choices(x: Column) -> Column:
+    return strip(F.substring_index(_after_first(x, CHOICES_MARK), A_MARK, 1))
+
+
+def _answer(x: Column) -> Column:
+    return strip(F.substring_index(_after_first(x, A_MARK), "\n", 1))
 
 
 def _parts(t: Column) -> Column:
     pieces = F.split(t, Q_MARK)
-    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), _parse_part)
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
-def _first_bad(parsed: Column) -> Column:
-    return F.coalesce(F.array_position(F.transform(parsed, lambda p: p["c"].isNull() | p["a"].isNull()), True),
-                      F.lit(0))
+def _first_bad(parts: Column) -> Column:
+    """1-based position of the first part missing a marker, 0 when none."""
+    bad = F.transform(parts, lambda x: (F.instr(x, CHOICES_MARK) == 0) | (F.instr(x, A_MARK) == 0))
+    return F.coalesce(F.array_position(bad, True), F.lit(0))
 
 
-def _good(parsed: Column, first_bad: Column) -> Column:
-    return F.coalesce(F.when(first_bad == 0, parsed).otherwise(F.slice(parsed, 1, (first_bad - 1).cast("int"))),
+def _good(parts: Column, first_bad: Column) -> Column:
+    return F.coalesce(F.when(first_bad == 0, parts).otherwise(F.slice(parts, 1, (first_bad - 1).cast("int"))),
                       F.array())
 
 
+def _fields(good: Column) -> Column:
+    return F.struct(F.transform(good, _question).alias("questions"),
+                    F.transform(good, _choices).alias("choices"),
+                    F.transform(good, _answer).alias("answers"))
+
+
 def parse_qca(c) -> Column:
     """Single-expression form: ``struct<questions, choices, answers, anomaly>``.
-    Prefer :func:`with_qca` on large inputs — it evaluates the parse once."""
+    Prefer :func:`with_qca` on large inputs — it evaluates the split once."""
     t = _col(c)
-    parsed = _parts(t)
-    fb = _first_bad(parsed)
-    good = _good(parsed, fb)
-    return F.struct(F.transform(good, lambda p: p["q"]).alias("questions"),
-                    F.transform(good, lambda p: p["c"]).alias("choices"),
-                    F.transform(good, lambda p: p["a"]).alias("answers"),
-                    (t.isNull() | (fb > 0)).alias("anomaly"))
+    parts = _parts(t)
+    fb = _first_bad(parts)
+    f = _fields(_good(parts, fb))
+    return F.struct(f["questions"].alias("questions"), f["choices"].alias("choices"),
+                    f["answers"].alias("answers"), (t.isNull() | (fb > 0)).alias("anomaly"))
 
 
 def with_qca(df: DataFrame, reply: str, out: str = "qca", anomaly: str = "anomaly") -> DataFrame:
     """Add ``out`` (questions / choices / answers) and ``anomaly`` columns.
 
     Staged projections: Catalyst does not collapse a projection whose
-    non-trivial expression would be duplicated, so the split / transform runs
-    once per row instead of once per output field."""
+    non-trivial expression would be duplicated, so the split runs once per
+    row.  Markers are checked with two ``instr`` calls per part; the three
+    fields are extracted only for the parts before the first bad one."""
     staged = df.withColumn("_qca_parts", _parts(F.col(reply)))
     staged = staged.withColumn("_qca_bad", _first_bad(F.col("_qca_parts")))
     staged = staged.withColumn("_qca_good", _good(F.col("_qca_parts"), F.col("_qca_bad")))
-    g = F.col("_qca_good")
-    return (staged.withColumn(out, F.struct(F.transform(g, lambda p: p["q"]).alias("questions"),
-                                            F.transform(g, lambda p: p["c"]).alias("choices"),
-                                            F.transform(g, lambda p: p["a"]).alias("answers")))
+    return (staged.withColumn(out, _fields(F.col("_qca_good")))
                   .withColumn(anomaly, F.col(reply).isNull() | (F.col("_qca_bad") > 0))
                   .drop("_qca_parts", "_qca_bad", "_qca_good"))
 
