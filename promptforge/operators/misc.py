@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptforge.functions.text import _col, image_key
 
+# Fixed value: annotation images and the gallery live under this folder name.
 ANNOTATION_FOLDER = "annotations"
 
 # File extension -> MIME type, as Python's ``mimetypes`` maps the

@@ -30,6 +30,8 @@ DEFAULT_FEW_SHOT = [
                   "Q: what color is the kite?\nChoices: red, blue, green\nA: red\n"
                   "Q: how many boats are there?\nChoices: 1, 2, 3\nA: 2"),
 ]
+ICL_PROMPT_LABEL = "Prompt: "
+ICL_ANSWER_LABEL = "Rewritten: "
 ICL_SYSTEM = ("You rewrite user prompts for a text-to-image model so that its images stay faithful to "
               "the user's intent while becoming more complete and appealing.")
 
@@ -138,7 +140,8 @@ def vqa_requests(cands: DataFrame, chunks: DataFrame, join_keys: list[str], cand
 
 def icl_requests(prompts: DataFrame, examples: DataFrame, prompt: str = "prompt", keys=("prompt_id",),
                  ex_prompt: str = "prompt", ex_best: str = "best_paraphrase", ex_order: str = "sample_key",
-                 system: str = ICL_SYSTEM) -> DataFrame:
+                 system: str = ICL_SYSTEM, prompt_label: str = ICL_PROMPT_LABEL,
+                 answer_label: str = ICL_ANSWER_LABEL) -> DataFrame:
     """System message + example pairs + the user prompt.
 
     The examples (at most the sample size, 100 by default) are folded once
@@ -148,11 +151,11 @@ def icl_requests(prompts: DataFrame, examples: DataFrame, prompt: str = "prompt"
         F.struct(F.col(ex_order).alias("k"), F.col(ex_prompt).alias("p"), F.col(ex_best).alias("b"))))
         .alias("_ex"))
     shots = pairs.select(F.flatten(F.transform("_ex", lambda e: F.array(
-        M.text_message("user", F.concat(F.lit("User prompt: "), e["p"])),
-        M.text_message("assistant", F.concat(F.lit("Improved prompt: "), e["b"]))))).alias("_shots"))
+        M.text_message("user", F.concat(F.lit(prompt_label), e["p"])),
+        M.text_message("assistant", F.concat(F.lit(answer_label), e["b"]))))).alias("_shots"))
     # scalar subquery: evaluated once, its value inlined into every row's expression
     msgs = F.concat(F.array(M.text_message("system", F.lit(system))), shots.scalar(),
-                    F.array(M.text_message("user", F.concat(F.lit("User prompt: "), F.col(prompt)))))
+                    F.array(M.text_message("user", F.concat(F.lit(prompt_label), F.col(prompt)))))
     return _with_messages(prompts, "icl", list(keys), msgs)
 
 

@@ -326,8 +326,8 @@ _ICL = """select conv_id, turn, original_prompt prompt, rephrased_prompt best_pa
 oracle("icl_examples", "select conv_id, turn, prompt, best_paraphrase from icl", "f_pairs",
        extra={**_PX, "icl": _ICL})
 oracle("req_icl", f"""select {rid('icl', 'conv_id', 'turn')} request_id, conv_id, turn,
-    (select 2 + 2 * count(*) from icl) n_messages, 'user' last_role, 'User prompt: ' || original_prompt last_text,
-    'text' modality, (select 'User prompt: ' || arg_min(prompt, sample_key) from icl) first_example from f_pairs""",
+    (select 2 + 2 * count(*) from icl) n_messages, 'user' last_role, {sq(_rq.ICL_PROMPT_LABEL)} || original_prompt last_text,
+    'text' modality, (select {sq(_rq.ICL_PROMPT_LABEL)} || arg_min(prompt, sample_key) from icl) first_example from f_pairs""",
        "f_pairs", extra={**_PX, "icl": _ICL})
 
 # ------------------------------------------------------- existing / resume

@@ -108,5 +108,5 @@ def test_scoring_job_end_to_end(spark, tmp_dir):
     ex = first.select(F.col("original_prompt").alias("prompt"), "best_paraphrase")
     tests = spark.createDataFrame([(7, "new prompt")], "prompt_id long, prompt string")
     msgs = jobs.icl_requests(ex, tests, n_examples=1).collect()[0].messages
-    assert len(msgs) == 4 and msgs[-1].content[0].text == "User prompt: new prompt"
+    assert len(msgs) == 4 and msgs[-1].content[0].text == "Prompt: new prompt"
     assert training is not None

@@ -53,7 +53,7 @@ def test_icl_requests_fold_examples_once(spark):
     tests = spark.createDataFrame([(1, "u")], "prompt_id long, prompt string")
     msgs = requests.icl_requests(tests, ex).collect()[0].messages
     assert [m.role for m in msgs] == ["system", "user", "assistant", "user", "assistant", "user"]
-    assert msgs[1].content[0].text == "User prompt: p0" and msgs[-1].content[0].text == "User prompt: u"
+    assert msgs[1].content[0].text == "Prompt: p0" and msgs[-1].content[0].text == "Prompt: u"
 
 
 def test_training_formats(spark):
