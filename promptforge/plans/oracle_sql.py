@@ -359,3 +359,9 @@ oracle("image_keys", f"select item_id, {key_('text')} image_key from benchmark")
 oracle("image_paths", f"""select item_id, 'out/annotations/benchmark_' || {key_('text')} || '.png' annotation_path,
     'out/benchmark_process3_' || {key_('text')} || '.png' process_path,
     './annotations/benchmark_' || {key_('text')} || '.png' relative_path from benchmark""")
+
+# ------------------------------------------------------------- streaming
+oracle("incremental_replies", f"""select r.request_id, generate_subscripts(l, 1) - 1 cand_pos, unnest(l) revised_prompt
+  from (select request_id, list_filter(list_transform(string_split({strip('reply')}, chr(10)), lambda x: {strip('x')}),
+                                       lambda x: length(x) > 0) l from f_replies) r
+  where r.request_id in (select request_id from f_requests)""", "f_replies", "f_requests")

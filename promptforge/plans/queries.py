@@ -695,3 +695,23 @@ def q_image_paths(spark, sf_dir):
     return b.select("item_id", ann.alias("annotation_path"),
                     misc.image_path("benchmark", "text", 3, annotate=False, out_dir="out/").alias("process_path"),
                     misc.relative_path(ann, "out/").alias("relative_path"))
+
+
+# ------------------------------------------------------------- streaming
+@query("incremental_replies")
+def q_incremental_replies(spark, sf_dir):
+    """K8 / R6 / R2 incrementally: reply files arrive in two waves; each
+    availableNow run of the streaming ingester picks up only the new files
+    (progress in its checkpoint), joins them to the requests and splits them
+    into paraphrase candidates."""
+    from promptforge.streaming.replies import ingest_replies
+    t = Tables(spark, sf_dir)
+    root = scratch_dir(spark, "stream")
+    reqs = t.requests.select("request_id", "conv_id", "turn")
+    wave = F.col("conv_id") % 2 == 0
+    parse = lambda df: replies.paraphrase_candidates(df, keys=("request_id",))
+    for cond in (wave, ~wave):
+        t.replies.filter(cond).select("request_id", "status", "reply").write.mode("append").parquet(f"{root}/in")
+        ingest_replies(spark, f"{root}/in", reqs, f"{root}/out", f"{root}/ck", parse=parse).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select("request_id", L("cand_pos").alias("cand_pos"), "revised_prompt")
