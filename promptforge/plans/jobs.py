@@ -185,10 +185,12 @@ def timer_summary(times: DataFrame, out_path: str) -> DataFrame:
 
 def eval_rows_from_files(spark: SparkSession, qca_json: str | None, chunks_csv: str | None,
                          scoring_csv: str | None = None, scoring_column: str = "") -> DataFrame:
-    """Optional inputs choose the plan; at least one of QCA / chunks."""
-    qca = io.read_qca_json(spark, qca_json) if qca_json else None
-    chunks = io.read_csv(spark, chunks_csv, "_c0 long, prompt string, noun_chunks string") if chunks_csv else None
-    scoring = io.read_csv(spark, scoring_csv) if (scoring_csv and scoring_column) else None
+    """Inputs that are not given or do not exist are skipped and the rest
+    choose the plan; at least one of QCA / chunks must be there."""
+    qca = io.read_optional(io.read_qca_json, spark, qca_json) if qca_json else None
+    chunks = io.read_optional(io.read_csv, spark, chunks_csv, "_c0 long, prompt string, noun_chunks string") \
+        if chunks_csv else None
+    scoring = io.read_optional(io.read_csv, spark, scoring_csv) if (scoring_csv and scoring_column) else None
     rows_, kind = evalrows.load_eval_rows(qca, chunks, scoring)
     out = evalrows.eval_info(rows_, kind)
     return evalrows.prompt_to_score(out, scoring_column).withColumn("original_prompt", strip("prompt"))

@@ -74,6 +74,18 @@ def read_qca_json(spark: SparkSession, path: str, array_file: bool = False) -> D
     return spark.read.schema(QCA_SCHEMA).option("multiLine", array_file).json(path)
 
 
+def read_optional(read, *args, **kwargs) -> DataFrame | None:
+    """A reader whose path may be missing returns None instead of failing,
+    so the caller's plan can choose between QCA, noun chunks or both."""
+    from pyspark.errors import AnalysisException
+    try:
+        return read(*args, **kwargs)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return None
+        raise
+
+
 def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
     """S7 + S8: the result shards of dataset ``name`` under ``root``, as written
     by ``write_result_shards`` (one ``shard=<file name>`` folder per shard);

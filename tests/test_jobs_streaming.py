@@ -110,3 +110,15 @@ def test_scoring_job_end_to_end(spark, tmp_dir):
     msgs = jobs.icl_requests(ex, tests, n_examples=1).collect()[0].messages
     assert len(msgs) == 4 and msgs[-1].content[0].text == "Prompt: new prompt"
     assert training is not None
+
+
+def test_eval_rows_from_files_skips_missing_inputs(spark, tmp_dir):
+    import pandas as pd
+    import pytest
+    os.makedirs(tmp_dir, exist_ok=True)
+    pd.DataFrame({"prompt": [" a ", "b"], "noun_chunks": ["x, y", None]}).to_csv(f"{tmp_dir}/nc.csv")
+    rows = jobs.eval_rows_from_files(spark, f"{tmp_dir}/missing.json", f"{tmp_dir}/nc.csv")
+    got = sorted((r.original_prompt, r.chunks) for r in rows.collect())
+    assert got == [("a", ["x", "y"]), ("b", ["nan"])]
+    with pytest.raises(ValueError):
+        jobs.eval_rows_from_files(spark, f"{tmp_dir}/missing.json", f"{tmp_dir}/missing.csv")
