@@ -1,4 +1,4 @@
-"""promptforge — prompt-alignment data work as Spark DataFrame plans.
+"""promptforge — text-to-image prompt optimisation data work as Spark DataFrame plans.
 
 Sub-packages:
 
