@@ -134,7 +134,7 @@ def merge_results(spark: SparkSession, combined_path: str | None, shards_root: s
                   schema: str, metric_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Combined file first, then every shard; first row per prompt wins; then
     the scoring-mode averages over the merged rows."""
-    parts = io.read_result_shards(spark, shards_root, dataset, schema).withColumn("source_rank", F.lit(1))
+    parts = io.read_result_shards(spark, shards_root, dataset, schema)
     frames = [parts]
     if combined_path:
         frames.insert(0, io.read_csv(spark, combined_path, schema).withColumn("source_rank", F.lit(0)))

@@ -529,7 +529,7 @@ def q_merge_shards(spark, sf_dir):
     io.write_result_shards(s.filter("source_rank = 1").select("file_name", "row_index", "original_prompt", "score"),
                            f"{root}/parts")
     combined = io.read_csv(spark, f"{root}/combined", SHARD_SCHEMA).withColumn("source_rank", F.lit(0))
-    parts = io.read_result_shards(spark, f"{root}/parts", "ds", SHARD_SCHEMA).withColumn("source_rank", F.lit(1))
+    parts = io.read_result_shards(spark, f"{root}/parts", "ds", SHARD_SCHEMA)
     m = merge.merge_results(combined, parts)
     return m.select("file_name", "process", "nextline", "source_rank", "row_index", "original_prompt",
                     round6("score").alias("score"))

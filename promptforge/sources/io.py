@@ -55,14 +55,32 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _as_schema(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
+    if isinstance(schema, T.StructType):
+        return schema
+    return spark.createDataFrame([], schema).schema
+
+
+def _by_name(df: DataFrame, schema: T.StructType | None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Drop unnamed index columns, then select the schema's columns by header
+    name (``try_cast``: unparsable values become null, as in PERMISSIVE mode),
+    plus the ``extra`` columns unchanged."""
+    df = df.drop(*[c for c in df.columns if c in INDEX_COLUMNS])
+    if schema is None:
+        return df
+    fields = [f for f in schema.fields if f.name not in INDEX_COLUMNS]
+    return df.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields], *extra)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              pandas_na: bool = True) -> DataFrame:
-    """CSV with header, quoted commas / newlines; a leading unnamed index
-    column is dropped.  With ``pandas_na`` the NA spellings pandas reads as
-    missing become null in string columns (SURVEY 4.3 #9)."""
-    r = spark.read.options(**_CSV_OPTS)
-    df = r.schema(schema).csv(path) if schema is not None else r.csv(path)
-    df = df.drop(*[c for c in df.columns if c in INDEX_COLUMNS])
+    """CSV with header, quoted commas / newlines.  Columns are matched to
+    ``schema`` by header name, not position, so a leading unnamed index column
+    (as pandas writes it) is simply dropped.  With ``pandas_na`` the NA
+    spellings pandas reads as missing become null in string columns
+    (SURVEY 4.3 #9)."""
+    df = _by_name(spark.read.options(**_CSV_OPTS).csv(path),
+                  _as_schema(spark, schema) if schema is not None else None)
     if pandas_na:
         df = df.select(*[F.when(~F.col(f.name).isin(PANDAS_NA), F.col(f.name)).alias(f.name)
                          if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
@@ -86,15 +104,33 @@ def read_optional(read, *args, **kwargs) -> DataFrame | None:
         raise
 
 
-def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
-    """S7 + S8: the result shards of dataset ``name`` under ``root``, as written
-    by ``write_result_shards`` (one ``shard=<file name>`` folder per shard);
-    corrupt or empty files are skipped.  Adds ``file_name``, ``process`` and
-    ``nextline``."""
+def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str,
+                       layout: str = "partitioned") -> DataFrame:
+    """S7 + S8: the result shards of dataset ``name`` under ``root``; corrupt or
+    empty files are skipped.  Adds ``file_name``, ``process``, ``nextline`` and
+    ``source_rank`` (0 for the combined file, 1 for shards).
+
+    ``layout="partitioned"``: as written by ``write_result_shards`` (one
+    ``shard=<file name>`` folder per shard).  ``layout="flat"``: the original
+    pipeline's files side by side — ``{name}_process{p}_nextline_{n}.csv`` and
+    ``{name}_combined.csv``; other files with the same prefix (averages, timer
+    results, longer dataset names) are not read.  All files of one read must
+    share one header layout (Spark's CSV scan applies the first header to every
+    file); the original pipeline writes them all the same way.
+    """
     root = root.rstrip("/")
-    df = (spark.read.options(**_CSV_OPTS).option("ignoreCorruptFiles", "true").option("mode", "PERMISSIVE")
-          .option("basePath", root).schema(schema).csv(f"{root}/shard={name}*"))
-    return with_shard_parts(df.withColumnRenamed("shard", "file_name"), "file_name")
+    st = _as_schema(spark, schema)
+    r = spark.read.options(**_CSV_OPTS).option("ignoreCorruptFiles", "true").option("mode", "PERMISSIVE")
+    if layout == "partitioned":
+        raw = r.option("basePath", root).csv(f"{root}/shard={name}*").withColumnRenamed("shard", "file_name")
+        df = _by_name(raw, st, ("file_name",)).withColumn("source_rank", F.lit(1))
+    elif layout == "flat":
+        raw = r.csv(f"{root}/{{{name}_process*_nextline_*.csv,{name}_combined.csv}}")
+        df = _by_name(raw.withColumn("file_name", F.col("_metadata.file_name")), st, ("file_name",))
+        df = df.withColumn("source_rank", F.when(F.col("file_name") == f"{name}_combined.csv", 0).otherwise(1))
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
+    return with_shard_parts(df, "file_name")
 
 
 def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

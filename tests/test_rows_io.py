@@ -62,7 +62,7 @@ def test_csv_reads_pandas_file_with_index_quotes_and_na(spark, tmp_dir):
     os.makedirs(tmp_dir, exist_ok=True)
     pdf = pd.DataFrame({"prompt": ["a, b", 'say "hi"\nthere', "NA", ""], "n": [1, 2, 3, 4]})
     pdf.to_csv(f"{tmp_dir}/f.csv")  # leading unnamed index column, as the reference writes
-    df = io.read_csv(spark, f"{tmp_dir}/f.csv", "_c0 int, prompt string, n int")
+    df = io.read_csv(spark, f"{tmp_dir}/f.csv", "prompt string, n int")  # by name: the index column is skipped
     got = sorted((r.n, r.prompt) for r in df.collect())
     assert got == [(1, "a, b"), (2, 'say "hi"\nthere'), (3, None), (4, None)]
     assert df.columns == ["prompt", "n"]
@@ -171,3 +171,19 @@ def test_line_numbers_survive_split_files(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     exp = [(f"line {i:05d} " + "x" * (i % 37)).strip() for i in range(5000)] + [f"small {j}" for j in range(3)]
     assert got == exp
+
+
+def test_flat_reference_layout_shards(spark, tmp_dir):
+    from promptforge.operators import merge
+    os.makedirs(tmp_dir, exist_ok=True)
+    cols = ["original_prompt", "best_paraphrase"]
+    pd.DataFrame([["p", "from combined"]], columns=cols).to_csv(f"{tmp_dir}/ds_combined.csv", index=False)
+    pd.DataFrame([["p", "late"], ["q", "x"]], columns=cols).to_csv(f"{tmp_dir}/ds_process0_nextline_40.csv", index=False)
+    pd.DataFrame([["r", "y"]], columns=cols).to_csv(f"{tmp_dir}/ds_process1_nextline_80.csv", index=False)
+    pd.DataFrame([["tifa", 50.0]], columns=["metric", "value"]).to_csv(f"{tmp_dir}/ds_average_scores.csv")
+    pd.DataFrame([["z", "other"]], columns=cols).to_csv(f"{tmp_dir}/ds2_process0_nextline_40.csv", index=False)
+    df = io.read_result_shards(spark, tmp_dir, "ds", "original_prompt string, best_paraphrase string", layout="flat")
+    assert df.count() == 4
+    first = merge.dedup_keep_first(df, "original_prompt", ["source_rank", "process", "nextline"])
+    got = {r.original_prompt: r.best_paraphrase for r in first.collect()}
+    assert got == {"p": "from combined", "q": "x", "r": "y"}
