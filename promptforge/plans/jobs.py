@@ -110,6 +110,25 @@ def iteration_requests(scored: DataFrame, prompts: DataFrame, iteration: int, qa
     return requests.next_iteration_requests(prompts.join(hist, "prompt_id", "left"), iteration, n=n)
 
 
+def selection_requests(gen_reqs: DataFrame, gen_replies: DataFrame, iteration: int, n: int = 4,
+                       best_only: bool = False) -> DataFrame:
+    """C5 / C6, second model call: the paraphrase reply of each prompt goes
+    back out as a selection request (M6 all n / M7 best one), keyed by
+    (prompt_id, iteration)."""
+    j = replies.attach_replies(gen_reqs.select("request_id", "prompt_id"), gen_replies) \
+        .withColumn("iter", F.lit(iteration))
+    build = requests.select_best_requests if best_only else requests.select_all_requests
+    return build(j, keys=("prompt_id", "iter"), n=n)
+
+
+def candidates_from_selection(sel_reqs: DataFrame, sel_replies: DataFrame) -> DataFrame:
+    """R2: one candidate per non-empty line of the selection reply, with its
+    0-based position, keyed by (prompt_id, iter)."""
+    j = replies.attach_replies(sel_reqs.select("request_id", "prompt_id", "iter"), sel_replies)
+    return replies.paraphrase_candidates(j, keys=("prompt_id", "iter")).withColumn("cand_pos",
+                                                                                 F.col("cand_pos").cast("int"))
+
+
 def iterative_results(scored: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C6 tail: per-iteration best (A5/A6), lists (A8), best paraphrase
     and the run averages (A10)."""

@@ -122,3 +122,22 @@ def test_eval_rows_from_files_skips_missing_inputs(spark, tmp_dir):
     assert got == [("a", ["x", "y"]), ("b", ["nan"])]
     with pytest.raises(ValueError):
         jobs.eval_rows_from_files(spark, f"{tmp_dir}/missing.json", f"{tmp_dir}/missing.csv")
+
+
+def test_two_iterations_through_request_and_reply_tables(spark):
+    from promptforge.operators import scores
+    prompts = spark.createDataFrame([(1, "a cat"), (2, "a dog")], "prompt_id long, original_prompt string")
+    scored = None
+    for it in range(2):
+        gen = jobs.iteration_requests(scored, prompts, it) if it else jobs.iteration_requests(None, prompts, 0)
+        gen_rep = gen.select("request_id", F.concat(F.lit("1. x\n2. y")).alias("reply"))
+        sel = jobs.selection_requests(gen, gen_rep, it)
+        sel_rep = sel.select("request_id", F.concat(F.lit(f"v{it}a\n\n v{it}b ")).alias("reply"))
+        cands = jobs.candidates_from_selection(sel, sel_rep)
+        new = scores.candidate_scores(cands.withColumn("tifa", F.when(F.col("cand_pos") == 0, 0.5).otherwise(0.25))
+                                      .withColumn("vqa", F.lit(0.5)))
+        scored = new if scored is None else scored.unionByName(new)
+    assert scored.count() == 8
+    result, _ = jobs.iterative_results(scored, prompts)
+    got = {r.prompt_id: (r.best_iter, r.best_paraphrase) for r in result.collect()}
+    assert got == {1: (1, "v1a"), 2: (1, "v1a")}  # equal sums: the later iteration wins
