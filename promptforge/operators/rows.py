@@ -46,8 +46,8 @@ def _apply_offsets(tagged: DataFrame, group_cols: list[str], name: str,
 
 
 def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
-                   with_total: bool = False) -> DataFrame:
-    """Dense 0-based index in the order of ``order_cols`` (should be unique).
+                   with_total: bool = False, unique_keys: bool = False) -> DataFrame:
+    """Dense 0-based index in the order of ``order_cols``.
     With ``with_total`` a ``_pf_total`` column carries the row count.
 
     The sorted, position-tagged rows are checkpointed (reliably, under the
@@ -55,7 +55,19 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
     independent range exchanges would each sample their own partition bounds,
     and the offsets would then not fit the rows.  One write of the data buys
     a consistent numbering and a lineage cut that survives lost executors.
+
+    With ``unique_keys`` (the order columns identify a row) only the key
+    columns are sorted, numbered and checkpointed, and the wide rows are
+    joined back once — one shuffle of the wide data instead of a shuffle plus
+    a checkpoint write and read of it.  Use it when ``df`` is cheap to read
+    twice (a scan); for an expensive derived table the default computes it once.
     """
+    if unique_keys:
+        cols = [c for c in order_cols if isinstance(c, str)]
+        if len(cols) != len(order_cols):
+            raise ValueError("unique_keys needs plain column names as order keys")
+        idx = with_row_index(df.select(*cols), cols, name, with_total)
+        return df.join(idx, cols)
     ensure_checkpoint_dir(df.sparkSession)
     tagged = _tag_positions(df.orderBy(*order_cols)).checkpoint(eager=True)
     return _apply_offsets(tagged, [_PID], name, with_total)

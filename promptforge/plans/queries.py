@@ -113,7 +113,7 @@ def L(c) -> F.Column:
 
 def _indexed_prompts(t: Tables) -> DataFrame:
     p = t.raw_prompts.select("prompt_id", strip("raw").alias("prompt"))
-    return rows.with_row_index(p, ["prompt_id"])
+    return rows.with_row_index(p, ["prompt_id"], unique_keys=True)
 
 
 # ------------------------------------------------------- prompts and rows
@@ -155,7 +155,7 @@ def q_batch_numbers(spark, sf_dir):
 def q_shard_numbers(spark, sf_dir):
     t = Tables(spark, sf_dir)
     p = t.raw_prompts.select("prompt_id")
-    ix = rows.with_row_index(p, ["prompt_id"], with_total=True)
+    ix = rows.with_row_index(p, ["prompt_id"], with_total=True, unique_keys=True)
     return ix.select("prompt_id", "row_index", rows.shard_number("row_index", "_pf_total", 8).alias("shard"))
 
 

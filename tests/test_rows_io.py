@@ -9,10 +9,12 @@ from promptforge.sources import io
 
 
 def test_row_index_dense_and_ordered(spark):
-    df = spark.range(0, 5000, 1, numPartitions=7).select((F.col("id") * 7 % 5003).alias("k"))
-    got = rows.with_row_index(df, ["k"], with_total=True).orderBy("k").collect()
-    assert [r.row_index for r in got] == list(range(5000))
-    assert {r._pf_total for r in got} == {5000}
+    df = spark.range(0, 5000, 1, numPartitions=7).select((F.col("id") * 7 % 5003).alias("k"),
+                                                          F.lit("x").alias("wide"))
+    for unique in (False, True):
+        got = rows.with_row_index(df, ["k"], with_total=True, unique_keys=unique).orderBy("k").collect()
+        assert [r.row_index for r in got] == list(range(5000))
+        assert {r._pf_total for r in got} == {5000} and {r.wide for r in got} == {"x"}
 
 
 @pytest.mark.parametrize("total,n", [(10, 3), (7, 8), (16, 8), (1, 4)])
