@@ -31,12 +31,15 @@ def _apply_offsets(tagged: DataFrame, group_cols: list[str], name: str,
     group_cols are constant inside a partition run."""
     counts = tagged.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_pf_n"),
                                              F.min(_POS).alias("_pf_p0"))
-    w = Window.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
+    # A single window group on purpose: ``counts`` has one row per (file,)
+    # partition, so its size is bounded by the partition count, not the data.
+    one = Window.partitionBy(F.lit(0))
+    w = one.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_pf_off", F.coalesce(F.sum("_pf_n").over(w), F.lit(0)))
     if with_total:
         offsets = offsets.withColumn(
-            "_pf_total", F.sum("_pf_n").over(Window.rowsBetween(Window.unboundedPreceding,
-                                                                Window.unboundedFollowing)))
+            "_pf_total", F.sum("_pf_n").over(one.rowsBetween(Window.unboundedPreceding,
+                                                             Window.unboundedFollowing)))
     # one row per (group, partition): the size bound that makes broadcast safe
     out = tagged.join(F.broadcast(offsets), group_cols)
     out = out.withColumn(name, F.col("_pf_off") + F.col(_POS) - F.col("_pf_p0"))
@@ -122,7 +125,7 @@ def row_slice(df: DataFrame, start: int, end: int, row_index: str = "row_index")
 def first_rows(df: DataFrame, order_cols: list, n: int, name: str = "row_index") -> DataFrame:
     """L3: the first ``n`` rows in input order (top-k, no full sort), numbered."""
     top = df.orderBy(*order_cols).limit(n)
-    w = Window.orderBy(*order_cols)  # at most n rows
+    w = Window.partitionBy(F.lit(0)).orderBy(*order_cols)  # one group of at most n rows
     return top.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
