@@ -130,3 +130,22 @@ def test_annotation_rows_use_true_winner(spark):
     blocks = [r.html for r in html.orderBy("seq").collect()]
     assert blocks[0] == history.HTML_HEADER and blocks[-1] == history.HTML_FOOTER and len(blocks) == 7
     assert "orig &lt;x&gt;" in blocks[1] and ">1.</span>" in blocks[1]
+
+
+def test_long_prompts_sharing_50_chars_share_an_image_key_not_a_request(spark):
+    from promptforge.functions.text import image_key
+    base = "a very long prompt about a lighthouse on a cliff at dusk, "
+    df = spark.createDataFrame([(1, base + "with gulls"), (2, base + "with boats")], "prompt_id long, prompt string")
+    keys = {r.k for r in df.select(image_key("prompt").alias("k")).collect()}
+    assert len(keys) == 1 and len(next(iter(keys))) == 50
+    ids = {r.request_id for r in requests.noun_chunk_requests(df).collect()}
+    assert len(ids) == 2
+
+
+def test_non_breaking_space_padding(spark):
+    from promptforge.functions.text import one_line, strip
+    vals = ["\xa0 prompt\xa0", " x ", "﻿keep"]  # BOM is not whitespace in Python
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v string").select(strip("v")).collect()]
+    assert got == [v.strip() for v in vals]
+    got2 = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v string").select(one_line("v")).collect()]
+    assert got2 == [v.replace("\n", " ").strip() for v in vals]
