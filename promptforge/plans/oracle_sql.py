@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from promptforge.plans.oracles import ORACLES, oracle, pct2
+from promptforge.plans.oracles import ORACLES, oracle, pct2  # noqa: F401  (ORACLES is re-exported)
 
 # ---------------------------------------------------------------- selection
 _SCORED = """select *, tifa + vqa sum, (tifa + vqa) / 2 score from f_candidates"""

@@ -99,8 +99,7 @@ def q_run_averages_iterative(spark, sf_dir):
 
 # ------------------------------------------------------------- shared bits
 from promptforge.functions import messages as M  # noqa: E402
-from promptforge.functions.text import (  # noqa: E402
-    dataset_name, image_key, one_line, pct_int, split_chunks, strip)
+from promptforge.functions.text import dataset_name, image_key, pct_int, strip  # noqa: E402
 from promptforge.operators import (  # noqa: E402
     evalrows, history, merge, misc, replies, requests, rows, sampling, training)
 from promptforge.session import scratch_dir  # noqa: E402
