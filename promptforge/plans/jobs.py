@@ -83,21 +83,19 @@ def scoring_requests(cands: DataFrame, eval_rows: DataFrame, dataset: str, cand_
 def candidate_score_table(tifa_reqs: DataFrame, tifa_replies: DataFrame, vqa_reqs: DataFrame,
                           vqa_replies: DataFrame, eval_rows: DataFrame, cand_keys: list[str],
                           soft: bool = False) -> DataFrame:
-    """Replies -> TIFA (A1) and VQA (A2 hard / A3 soft) per candidate -> sum (A4)."""
+    """Replies -> TIFA (A1) and VQA (A2 hard / A3 soft) per candidate -> sum
+    (A4), reduced in one aggregation over the stacked question / chunk rows."""
     ta = replies.attach_replies(tifa_reqs.select("request_id", *cand_keys, "q_pos"), tifa_replies)
     answers = evalrows.qca_rows(eval_rows.select("prompt_id", "qca"), keys=("prompt_id",)) \
         .select("prompt_id", "q_pos", "answer")
     ta = ta.join(answers, ["prompt_id", "q_pos"]).withColumn("picked", scores.effective_reply("status", "reply"))
-    tifa = scores.tifa_scores(ta, cand_keys)
     va = replies.attach_replies(vqa_reqs.select("request_id", *cand_keys, "chunk_pos"), vqa_replies)
     if soft:
         va = va.withColumn("yes_prob", F.when(F.col("status") == scores.FILTERED_STATUS, F.lit(0.0))
                            .otherwise(scores.yes_probability("top_logprobs")))
-        vqa = scores.vqa_soft_scores(va, cand_keys)
     else:
-        vqa = scores.vqa_hard_scores(va.withColumn("reply", scores.effective_reply("status", "reply")), cand_keys)
-    return scores.combine_scores(tifa.select(*cand_keys, "tifa", "answers"), vqa.select(*cand_keys, "vqa"),
-                                 cand_keys)
+        va = va.withColumn("reply", scores.effective_reply("status", "reply"))
+    return scores.score_candidates(ta, va, cand_keys, soft=soft)
 
 
 def iteration_requests(scored: DataFrame, prompts: DataFrame, iteration: int, qa: DataFrame | None = None,

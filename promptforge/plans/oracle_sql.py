@@ -365,3 +365,19 @@ oracle("incremental_replies", f"""select r.request_id, generate_subscripts(l, 1)
   from (select request_id, list_filter(list_transform(string_split({strip('reply')}, chr(10)), lambda x: {strip('x')}),
                                        lambda x: length(x) > 0) l from f_replies) r
   where r.request_id in (select request_id from f_requests)""", "f_replies", "f_requests")
+
+_ST = f"""select prompt_id cand, count(answer) n_questions,
+      cast(coalesce(sum({_CORRECT}) filter (where answer is not null), 0) as bigint) n_correct,
+      coalesce(cast(sum({_CORRECT}) filter (where answer is not null) as double) / nullif(count(answer), 0), 0.0) tifa,
+      coalesce(string_agg(picked, ' | ' order by q_pos) filter (where answer is not null), '') answers
+    from f_tifa_answers group by prompt_id"""
+_SV = f"""select cand_id cand, count(*) n_chunks,
+      count(*) filter (where {_YN} is null or {_YN} not in ('yes', 'no')) n_open,
+      count(*) filter (where {_YN} = 'yes') n_yes from f_vqa_replies group by cand_id"""
+_VQ = "case when coalesce(v.n_open, 0) = 0 then coalesce(cast(v.n_yes as double) / nullif(v.n_chunks, 0), 0.0) end"
+oracle("candidate_score_table", f"""select coalesce(t.cand, v.cand) cand, coalesce(t.n_questions, 0) n_questions,
+    coalesce(t.n_correct, 0) n_correct, round(coalesce(t.tifa, 0.0), 6) tifa, coalesce(v.n_chunks, 0) n_chunks,
+    coalesce(v.n_open, 0) n_open, round({_VQ}, 6) vqa, round(coalesce(t.tifa, 0.0) + {_VQ}, 6) sum,
+    coalesce(t.answers, '') answers
+  from st t full outer join sv v on t.cand = v.cand""", "f_tifa_answers", "f_vqa_replies",
+       extra={"st": _ST, "sv": _SV})

@@ -714,3 +714,16 @@ def q_incremental_replies(spark, sf_dir):
         ingest_replies(spark, f"{root}/in", reqs, f"{root}/out", f"{root}/ck", parse=parse).awaitTermination()
     out = spark.read.parquet(f"{root}/out")
     return out.select("request_id", L("cand_pos").alias("cand_pos"), "revised_prompt")
+
+
+@query("candidate_score_table")
+def q_candidate_score_table(spark, sf_dir):
+    """A1 + A2 + A4 (+ R4) in one aggregation over stacked question and
+    noun-chunk reply rows (one shuffle on the candidate key)."""
+    t = Tables(spark, sf_dir)
+    tq = t.tifa_answers.withColumnRenamed("prompt_id", "cand")
+    vq = t.vqa_replies.withColumnRenamed("cand_id", "cand")
+    s = scores.score_candidates(tq, vq, ["cand"])
+    return s.select("cand", "n_questions", "n_correct", round6("tifa").alias("tifa"), "n_chunks", "n_open",
+                    round6("vqa").alias("vqa"), round6("sum").alias("sum"),
+                    F.array_join("answers", " | ").alias("answers"))

@@ -90,3 +90,24 @@ def test_yes_probability_array_and_rows_agree(spark):
 def test_effective_reply(spark):
     df = spark.createDataFrame([("filtered", "x"), ("ok", "y")], "s string, t string")
     assert [r[0] for r in df.select(scores.effective_reply("s", "t")).collect()] == ["", "y"]
+
+
+@pytest.mark.parametrize("soft", [False, True])
+def test_one_pass_scores_match_two_pass(spark, soft):
+    import random
+    rnd = random.Random(3)
+    t_rows = [(c, q, rnd.choice([" a", "B", "c "]), rnd.choice(["a", "b", None])) for c in range(40) for q in range(rnd.randint(0, 4))]
+    t_rows += [(99, None, None, None)]  # candidate without questions
+    v_rows = [(c, k, rnd.choice(["yes", " No", "maybe", None]), rnd.random()) for c in range(40) for k in range(rnd.randint(1, 4))]
+    t = spark.createDataFrame(t_rows, "cand long, q_pos long, picked string, answer string")
+    v = spark.createDataFrame(v_rows, "cand long, chunk_pos long, reply string, yes_prob double")
+    one = {r.cand: r for r in scores.score_candidates(t, v, ["cand"], soft=soft).collect()}
+    ts = {r.cand: r for r in scores.tifa_scores(t, ["cand"]).collect()}
+    vs = {r.cand: r for r in (scores.vqa_soft_scores(v, ["cand"]) if soft else scores.vqa_hard_scores(v, ["cand"])).collect()}
+    for c, r in one.items():
+        if c not in ts:  # only chunk rows: no questions scores 0.0, as in the reference
+            assert (r.tifa, r.n_questions, r.answers) == (0.0, 0, [])
+        else:
+            assert (r.tifa, r.n_questions, r.answers) == (ts[c].tifa, ts[c].n_questions, ts[c].answers)
+        if c in vs:
+            assert r.vqa == pytest.approx(vs[c].vqa) if vs[c].vqa is not None else r.vqa is None
