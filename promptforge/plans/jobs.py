@@ -128,12 +128,16 @@ def candidates_from_selection(sel_reqs: DataFrame, sel_replies: DataFrame) -> Da
 
 
 def iterative_results(scored: DataFrame, prompts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """C6 tail: per-iteration best (A5/A6), lists (A8), best paraphrase
-    and the run averages (A10)."""
-    ib = select.iteration_best(scored)
-    lists = select.iteration_lists(ib)
-    best = select.best_paraphrase(ib, prompts)
-    result = prompts.join(lists, "prompt_id", "left").join(best, "prompt_id")
+    """C6 tail: per-iteration best (A5/A6), lists (A8), best paraphrase (A7,
+    read off the lists in-row) and the run averages (A10).  Two shuffles in
+    all: (prompt, iteration) and prompt."""
+    lists = select.best_from_lists(select.iteration_lists(select.iteration_best(scored)))
+    result = prompts.join(lists, "prompt_id", "left").select(
+        *prompts.columns, *[c for c in lists.columns if c not in ("prompt_id", "best_iter", "best_paraphrase",
+                                                                  "best_sum")],
+        F.coalesce("best_iter", F.lit(-1)).alias("best_iter"),
+        F.coalesce("best_paraphrase", F.lit("")).alias("best_paraphrase"),
+        F.coalesce("best_sum", F.lit(0.0)).alias("best_sum"))
     cols = [select.ITER_LIST_TEMPLATE.format(m) for m in ("tifa", "vqa", "sum")]
     return result, select.run_averages_iterative(lists, cols)
 

@@ -111,3 +111,16 @@ def test_one_pass_scores_match_two_pass(spark, soft):
             assert (r.tifa, r.n_questions, r.answers) == (ts[c].tifa, ts[c].n_questions, ts[c].answers)
         if c in vs:
             assert r.vqa == pytest.approx(vs[c].vqa) if vs[c].vqa is not None else r.vqa is None
+
+
+def test_best_from_lists_matches_best_paraphrase(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(p, i, c, f"c{p}-{i}-{c}", rnd.choice([0.0, 0.25, 0.5, float("nan")]), rnd.choice([0.0, 0.5]))
+            for p in range(30) for i in range(3) for c in range(3)]
+    sc = scores.candidate_scores(spark.createDataFrame(rows, SCHEMA))
+    ib = select.iteration_best(sc)
+    a = {r.prompt_id: (r.best_iter, r.best_paraphrase) for r in select.best_paraphrase(ib).collect()}
+    b = {r.prompt_id: (r.best_iter, r.best_paraphrase) for r in
+         select.best_from_lists(select.iteration_lists(ib)).collect() if r.best_iter >= 0}
+    assert a == b
