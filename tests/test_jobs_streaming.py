@@ -141,3 +141,42 @@ def test_two_iterations_through_request_and_reply_tables(spark):
     result, _ = jobs.iterative_results(scored, prompts)
     got = {r.prompt_id: (r.best_iter, r.best_paraphrase) for r in result.collect()}
     assert got == {1: (1, "v1a"), 2: (1, "v1a")}  # equal sums: the later iteration wins
+
+
+def test_preparation_and_reply_jobs(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/in", exist_ok=True)
+    open(f"{tmp_dir}/in/ds.txt", "w").write(" a red kite \nblue sea\n")
+    finished = spark.createDataFrame([("blue sea",)], "prompt string")
+    reqs = jobs.preparation_requests(spark, f"{tmp_dir}/in", finished=finished)
+    assert reqs.count() == 1
+    lines = __import__("promptforge.sources.io", fromlist=["io"]).read_prompt_lines(spark, f"{tmp_dir}/in")
+    rep = reqs.select("request_id", F.lit("kite, sea").alias("reply"))
+    nc = jobs.noun_chunk_table(reqs, lines, rep).collect()
+    assert [(r.prompt, r.noun_chunks) for r in nc] == [("a red kite", "kite, sea")]
+    vreqs = jobs.preparation_requests(spark, f"{tmp_dir}/in", kind="visual_questions")
+    vrep = vreqs.select("request_id", F.when(F.col("line_no") == 0, "Q: kite?\nChoices: yes, no\nA: yes")
+                        .otherwise("Q: broken").alias("reply"))
+    parsed, errors = jobs.qca_table(vreqs, lines, vrep, "ds")
+    assert parsed.count() == 2 and [r.row_index for r in errors.collect()] == [1]
+
+
+def test_instant_annotation_and_timer_jobs(spark, tmp_dir):
+    from promptforge.operators import replies, scores
+    prompts = spark.createDataFrame([(1, "a cat")], "prompt_id long, original_prompt string")
+    from promptforge.operators import requests as rq
+    gen = rq.instant_requests(prompts, prompt="original_prompt")
+    gen_rep = gen.select("request_id", F.lit("1. x <BEST>y</BEST>").alias("reply"))
+    sel = jobs.selection_requests(gen, gen_rep, 0, best_only=True)
+    assert "one line only" in sel.collect()[0].messages[0].content[0].text
+    best = replies.attach_replies(sel.select("request_id", "prompt_id"),
+                                  sel.select("request_id", F.lit("  y ").alias("reply")))
+    assert best.select(replies.best_from_reply("reply")).first()[0] == "y"
+    sc = scores.candidate_scores(spark.createDataFrame([(1, 0, 0, "p <b>", 0.5, 0.5)],
+                                                       "prompt_id long, iter int, cand_pos int, revised_prompt string, tifa double, vqa double"))
+    ann = jobs.annotation_run(sc, prompts, "ds", f"{tmp_dir}/html")
+    assert ann.count() == 2
+    page = "".join(open(os.path.join(f"{tmp_dir}/html", f)).read() for f in sorted(os.listdir(f"{tmp_dir}/html"))
+                   if f.endswith(".txt"))
+    assert "p &lt;b&gt;" not in page and "a cat" in page  # the page shows the current prompt of each row
+    times = spark.createDataFrame([("gen", 0, 2.0), ("gen", 1, 4.0)], "purpose string, seq long, elapsed double")
+    assert jobs.timer_summary(times, f"{tmp_dir}/timers").collect()[0].average_time == 3.0
