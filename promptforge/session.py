@@ -28,9 +28,6 @@ def get_spark(master: str | None = None, app: str = "promptforge",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # collect_list aggregates here hold small bounded lists; keep them in the
-        # hash map far past the default of 128 keys per task before sorting
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "65536")
         .config("spark.sql.session.timeZone", "UTC")
         # checkpoint files of row numbering are dropped once unreferenced
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
