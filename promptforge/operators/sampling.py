@@ -14,10 +14,36 @@ def sample_key(key, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), _col(key).cast("string")))
 
 
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows without replacement in seeded random order.  Top-k
-    (TakeOrderedAndProject): each task keeps n rows, no full sort."""
-    return df.withColumn("sample_key", sample_key(key, seed)).orderBy("sample_key", key).limit(n)
+# Up to this many rows a plain top-k is used: its final merge sees at most
+# (#partitions x n) rows in one task.  Larger samples are pre-filtered.
+TOPK_DIRECT_LIMIT = 10000
+
+
+def top_by_sample_key(df: DataFrame, n: int, tiebreak: str, topk_direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
+    """The n rows with the smallest ``sample_key`` (md5 hex), exactly.
+
+    For large n the keys' uniformity is used: only rows whose 60-bit key
+    prefix lies below a threshold sized for ~n + 8*sqrt(n) rows go into the
+    top-k, so no task ever merges (#partitions x n) rows.  The threshold is a
+    lazy scalar subquery on the row count, and a second one switches the
+    filter off if it ever admits fewer than n rows — the result is exact
+    either way, with no driver-side loop."""
+    ordered = lambda d: d.orderBy("sample_key", tiebreak).limit(n)
+    if n <= topk_direct_limit:
+        return ordered(df)
+    prefix = F.conv(F.substring("sample_key", 1, 15), 16, 10).cast("double")
+    total = df.select(F.count(F.lit(1))).scalar()
+    target = float(n + 8 * n ** 0.5 + 64)
+    below = prefix <= F.lit(target) / total * float(2 ** 60)
+    enough = df.filter(below).select(F.count(F.lit(1))).scalar() >= F.lit(n)
+    return ordered(df.filter(below | ~enough))
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42,
+                  topk_direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
+    """N rows without replacement in seeded random order (exact top-n
+    by ``md5(seed || key)``; see :func:`top_by_sample_key`)."""
+    return top_by_sample_key(df.withColumn("sample_key", sample_key(key, seed)), n, key, topk_direct_limit)
 
 
 def new_prompts(candidates: DataFrame, existing: DataFrame, text: str = "prompt",
@@ -35,7 +61,8 @@ def new_prompts(candidates: DataFrame, existing: DataFrame, text: str = "prompt"
 
 
 def sample_new_prompts(corpus: DataFrame, existing: DataFrame, n: int, seed: int = 42, key: str = "doc_id",
-                       text: str = "text", existing_text: str = "prompt") -> DataFrame:
+                       text: str = "text", existing_text: str = "prompt",
+                       topk_direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
     """C1 (L4 + L5 + J3 + P2): normalise, keep one row per distinct prompt,
     drop prompts that already exist, then take n in seeded order.  Filtering
     before sampling means every sampled row is new in one pass (no redraw loop)."""
@@ -46,7 +73,7 @@ def sample_new_prompts(corpus: DataFrame, existing: DataFrame, n: int, seed: int
     one = norm.groupBy("prompt").agg(F.min(F.struct("sample_key", key)).alias("_m")) \
               .select(F.col(f"_m.{key}").alias(key), "prompt", F.col("_m.sample_key").alias("sample_key"))
     fresh = new_prompts(one, existing, "prompt", existing_text, normalised=True)
-    return fresh.orderBy("sample_key", key).limit(n)
+    return top_by_sample_key(fresh, n, key, topk_direct_limit)
 
 
 def resume_pending(rows: DataFrame, finished: DataFrame, prompt: str = "prompt",

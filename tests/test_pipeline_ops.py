@@ -149,3 +149,19 @@ def test_non_breaking_space_padding(spark):
     assert got == [v.strip() for v in vals]
     got2 = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v string").select(one_line("v")).collect()]
     assert got2 == [v.replace("\n", " ").strip() for v in vals]
+
+
+@pytest.mark.parametrize("n", [1, 37, 500, 4999, 5000, 6000])
+def test_threshold_sampling_equals_plain_top_k(spark, n):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"))
+    plain = [r.doc_id for r in sampling.seeded_sample(df, "doc_id", n, seed=9).collect()]
+    thresh = [r.doc_id for r in sampling.seeded_sample(df, "doc_id", n, seed=9, topk_direct_limit=0).collect()]
+    assert thresh == plain and len(plain) == min(n, 5000)
+
+
+def test_threshold_sampling_keeps_new_prompt_semantics(spark):
+    corpus = spark.createDataFrame([(i, f"t{i % 700}") for i in range(3000)], "doc_id long, text string")
+    existing = spark.createDataFrame([("t1",), ("t5",)], "prompt string")
+    a = sampling.sample_new_prompts(corpus, existing, 400, seed=2).collect()
+    b = sampling.sample_new_prompts(corpus, existing, 400, seed=2, topk_direct_limit=0).collect()
+    assert [r.doc_id for r in a] == [r.doc_id for r in b] and len(a) == 400
