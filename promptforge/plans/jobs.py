@@ -205,10 +205,13 @@ def timer_summary(times: DataFrame, out_path: str) -> DataFrame:
 
 
 def eval_rows_from_files(spark: SparkSession, qca_json: str | None, chunks_csv: str | None,
-                         scoring_csv: str | None = None, scoring_column: str = "") -> DataFrame:
+                         scoring_csv: str | None = None, scoring_column: str = "",
+                         qca_array_file: bool = True) -> DataFrame:
     """Inputs that are not given or do not exist are skipped and the rest
-    choose the plan; at least one of QCA / chunks must be there."""
-    qca = io.read_optional(io.read_qca_json, spark, qca_json) if qca_json else None
+    choose the plan; at least one of QCA / chunks must be there.  The QCA file
+    is a JSON array as the original pipeline writes it (``qca_array_file``;
+    False for JSON lines as ``io.write_json`` writes them)."""
+    qca = io.read_optional(io.read_qca_json, spark, qca_json, qca_array_file) if qca_json else None
     chunks = io.read_optional(io.read_csv, spark, chunks_csv, "_c0 long, prompt string, noun_chunks string") \
         if chunks_csv else None
     scoring = io.read_optional(io.read_csv, spark, scoring_csv) if (scoring_csv and scoring_column) else None

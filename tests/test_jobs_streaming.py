@@ -180,3 +180,36 @@ def test_instant_annotation_and_timer_jobs(spark, tmp_dir):
     assert "p &lt;b&gt;" not in page and "a cat" in page  # the page shows the current prompt of each row
     times = spark.createDataFrame([("gen", 0, 2.0), ("gen", 1, 4.0)], "purpose string, seq long, elapsed double")
     assert jobs.timer_summary(times, f"{tmp_dir}/timers").collect()[0].average_time == 3.0
+
+
+def test_readme_quick_start(spark, tmp_dir):
+    """The README's quick start, on small files and in-memory reply tables."""
+    import pandas as pd
+    from promptforge.operators import scores
+    from promptforge.sources import io
+    os.makedirs(f"{tmp_dir}/prompts", exist_ok=True)
+    os.makedirs(f"{tmp_dir}/data", exist_ok=True)
+    open(f"{tmp_dir}/prompts/ds.txt", "w").write("a red kite\n")
+    pd.DataFrame({"prompt": ["a red kite"], "qca": [{"questions": ["kite?"], "choices": ["yes, no"],
+                                                    "answers": ["yes"]}]}) \
+        .to_json(f"{tmp_dir}/data/ds_eval_q_a.json", orient="records")
+    pd.DataFrame({"prompt": ["a red kite"], "noun_chunks": ["red kite"]}).to_csv(f"{tmp_dir}/data/ds_noun_chunks.csv")
+
+    prompts = io.read_prompt_lines(spark, f"{tmp_dir}/prompts/*.txt") \
+        .select(F.col("line_no").alias("prompt_id"), F.col("prompt").alias("original_prompt"))
+    gen = jobs.iteration_requests(None, prompts, 0)
+    sel = jobs.selection_requests(gen, gen.select("request_id", F.lit("1. p\n2. q").alias("reply")), 0)
+    cands = jobs.candidates_from_selection(sel, sel.select("request_id", F.lit("kite in red\nred kite").alias("reply")))
+    ev = jobs.eval_rows_from_files(spark, f"{tmp_dir}/data/ds_eval_q_a.json", f"{tmp_dir}/data/ds_noun_chunks.csv") \
+        .join(prompts, "original_prompt")
+    tifa_req, vqa_req = jobs.scoring_requests(cands.withColumnRenamed("revised_prompt", "prompt_to_score"),
+                                              ev, "ds", ["prompt_id", "iter", "cand_pos"])
+    tifa_rep = tifa_req.select("request_id", F.lit("ok").alias("status"),
+                               F.when(F.col("cand_pos") == 1, "yes").otherwise("no").alias("reply"))
+    vqa_rep = vqa_req.select("request_id", F.lit("ok").alias("status"), F.lit("yes").alias("reply"))
+    scored = jobs.candidate_score_table(tifa_req, tifa_rep, vqa_req, vqa_rep, ev, ["prompt_id", "iter", "cand_pos"])
+    result, averages = jobs.iterative_results(
+        scores.candidate_scores(scored.join(cands, ["prompt_id", "iter", "cand_pos"])), prompts)
+    r = result.collect()[0]
+    assert (r.best_iter, r.best_paraphrase, r.best_sum) == (0, "red kite", 2.0)
+    assert {a.metric: a.value for a in averages.collect()}["best_sum_at_each_iter"] == 200.0
