@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptforge.functions.qca import with_qca
 from promptforge.functions.text import split_chunks, strip
+from promptforge.operators.merge import dedup_keep_first
 
 
 def qca_table(replies: DataFrame, prompt: str = "prompt", reply: str = "visual_questions",
@@ -50,17 +51,28 @@ def _suffix_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def load_eval_rows(qca: DataFrame | None = None, chunks: DataFrame | None = None,
-                   scoring: DataFrame | None = None) -> tuple[DataFrame, str]:
+                   scoring: DataFrame | None = None, first_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """S6 + J1 + J2: QCA join noun chunks on ``prompt`` (duplicates multiply,
     as an inner join does), plus the scoring table when both exist.  Returns
     the rows and their kind: MERGED, NOUN_CHUNK or QCA.  Null prompts are
-    dropped first (the reference crashes on them)."""
+    dropped first (the reference crashes on them).
+
+    ``first_by``: keep only the first row per prompt of each input (ordered by
+    these columns, which every input must have) before joining — the row the
+    final first-wins merge would keep anyway — so a prompt repeated across a
+    large share of the inputs never turns into a pair product.  A partial
+    ``min(struct)`` per prompt, combined map-side."""
     if qca is None and chunks is None:
         raise ValueError("need a question table, a noun-chunk table or both")
-    if qca is not None:
-        qca = qca.filter(F.col("prompt").isNotNull())
-    if chunks is not None:
-        chunks = chunks.filter(F.col("prompt").isNotNull())
+
+    def prep(df):
+        df = df.filter(F.col("prompt").isNotNull())
+        return dedup_keep_first(df, "prompt", list(first_by)) if first_by else df
+
+    qca = prep(qca) if qca is not None else None
+    chunks = prep(chunks) if chunks is not None else None
+    if scoring is not None and first_by and all(c in scoring.columns for c in first_by):
+        scoring = prep(scoring)
     if qca is not None and chunks is not None:
         rows = _suffix_join(qca, chunks, "prompt")
         if scoring is not None:

@@ -98,6 +98,9 @@ def test_eval_rows_kinds_and_suffixes(spark):
     rows, kind = evalrows.load_eval_rows(qca=q, chunks=c)
     assert kind == "MERGED" and rows.count() == 4 and {"doc_id_x", "doc_id_y"} <= set(rows.columns)
     assert evalrows.load_eval_rows(chunks=c)[1] == "NOUN_CHUNK"
+    first, _ = evalrows.load_eval_rows(qca=q, chunks=c, first_by=["doc_id"])
+    got = [(r.doc_id_x, r.doc_id_y, r.noun_chunks) for r in first.collect()]
+    assert got == [(1, 8, "c")]  # first of each side by doc_id, no pair product
     with pytest.raises(ValueError):
         evalrows.load_eval_rows()
 
