@@ -34,7 +34,7 @@ def top_by_sample_key(df: DataFrame, n: int, tiebreak: str, topk_direct_limit: i
     prefix = F.conv(F.substring("sample_key", 1, 15), 16, 10).cast("double")
     total = df.select(F.count(F.lit(1))).scalar()
     target = float(n + 8 * n ** 0.5 + 64)
-    below = prefix <= F.lit(target) / total * float(2 ** 60)
+    below = prefix <= F.try_divide(F.lit(target), total) * float(2 ** 60)  # null on empty input
     enough = df.filter(below).select(F.count(F.lit(1))).scalar() >= F.lit(n)
     return ordered(df.filter(below | ~enough))
 

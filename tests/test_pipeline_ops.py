@@ -168,3 +168,8 @@ def test_threshold_sampling_keeps_new_prompt_semantics(spark):
     a = sampling.sample_new_prompts(corpus, existing, 400, seed=2).collect()
     b = sampling.sample_new_prompts(corpus, existing, 400, seed=2, topk_direct_limit=0).collect()
     assert [r.doc_id for r in a] == [r.doc_id for r in b] and len(a) == 400
+
+
+def test_threshold_sampling_on_empty_input(spark):
+    df = spark.range(0).select(F.col("id").alias("doc_id"))
+    assert sampling.seeded_sample(df, "doc_id", 50, topk_direct_limit=0).count() == 0
