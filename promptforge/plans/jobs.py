@@ -155,11 +155,16 @@ def merge_results(spark: SparkSession, combined_path: str | None, shards_root: s
                   schema: str, metric_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Combined file first, then every shard; first row per prompt wins; then
     the scoring-mode averages over the merged rows."""
-    parts = io.read_result_shards(spark, shards_root, dataset, schema)
-    frames = [parts]
-    if combined_path:
-        frames.insert(0, io.read_csv(spark, combined_path, schema).withColumn("source_rank", F.lit(0)))
+    parts = io.read_optional(io.read_result_shards, spark, shards_root, dataset, schema)
+    combined = io.read_optional(io.read_csv, spark, combined_path, schema) if combined_path else None
+    frames = ([combined.withColumn("source_rank", F.lit(0))] if combined is not None else []) + \
+             ([parts] if parts is not None else [])
+    if not frames:
+        raise ValueError(f"no result files for dataset {dataset!r}")
     merged = merge.merge_results(*frames)
+    for c in ("process", "nextline", "file_name"):
+        if c not in merged.columns:
+            merged = merged.withColumn(c, F.lit(None).cast("string" if c == "file_name" else "int"))
     if "row_index" not in merged.columns:
         merged = merged.withColumn("row_index", F.lit(0).cast("long"))
     first = merge.dedup_keep_first(merged, "original_prompt", ["source_rank", "process", "nextline", "row_index"])

@@ -213,3 +213,16 @@ def test_readme_quick_start(spark, tmp_dir):
     r = result.collect()[0]
     assert (r.best_iter, r.best_paraphrase, r.best_sum) == (0, "red kite", 2.0)
     assert {a.metric: a.value for a in averages.collect()}["best_sum_at_each_iter"] == 200.0
+
+
+def test_merge_results_with_combined_file_only(spark, tmp_dir):
+    import pytest
+    from promptforge.sources import io
+    io.write_csv(spark.createDataFrame([(0, "p", "x"), (1, "p", "y")],
+                                       "row_index long, original_prompt string, best_paraphrase string"),
+                 f"{tmp_dir}/combined")
+    first, _ = jobs.merge_results(spark, f"{tmp_dir}/combined", f"{tmp_dir}/no_shards", "ds",
+                                  "row_index long, original_prompt string, best_paraphrase string")
+    assert [(r.original_prompt, r.best_paraphrase) for r in first.collect()] == [("p", "x")]
+    with pytest.raises(ValueError):
+        jobs.merge_results(spark, None, f"{tmp_dir}/no_shards", "ds", "original_prompt string")
