@@ -33,6 +33,8 @@ def _apply_offsets(tagged: DataFrame, group_cols: list[str], name: str,
                                              F.min(_POS).alias("_pf_p0"))
     # A single window group on purpose: ``counts`` has one row per (file,)
     # partition, so its size is bounded by the partition count, not the data.
+    # (Spark drops the constant key and still logs "No Partition Defined for
+    # Window operation" for this and for the top-k window in first_rows.)
     one = Window.partitionBy(F.lit(0))
     w = one.orderBy(*group_cols).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_pf_off", F.coalesce(F.sum("_pf_n").over(w), F.lit(0)))
