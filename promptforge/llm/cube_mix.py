@@ -153,7 +153,7 @@ class Hold:
 def _fly(seed: int, level: int, final: bool):
     """mapInPandas over rows sorted by block and source: settles p to 0 or 1
     where it can; with ``final`` the last open units land, else they keep p."""
-    columns = ["doc_id", "source", "size", "_block", "_p"]
+    columns = ["doc_id", "key", "source", "size", "_block", "_p"]
 
     def frame(out: list[tuple]) -> pd.DataFrame:
         table = pd.DataFrame([key[:-1] + (p,) for key, p, _ in out], columns=columns)
@@ -171,14 +171,15 @@ def _fly(seed: int, level: int, final: bool):
             out: list[tuple] = []
             ids = rows["doc_id"].astype("Int64").astype(object).where(rows["doc_id"].notna(), None)
             sources = rows["source"].astype(object).where(rows["source"].notna(), None)
-            for row in zip(ids, sources, rows["size"], rows["_block"], rows["_p"]):
-                if (row[3], row[1]) != now:
+            for row in zip(ids, rows["key"], sources, rows["size"], rows["_block"], rows["_p"]):
+                _, _, source, size, block, p = row
+                if (block, source) != now:
                     out += close()
-                    now = row[3], row[1]
-                    flight = Flight(f"{seed}|{level}|{row[3]}|{row[1]!r}")
-                    hold = Hold(flight.random) if row[3] == 0 else None  # one block of each level
-                unit = row, row[4], int(row[2])
-                if hold is not None and _EPS < row[4] < 1 - _EPS:
+                    now = block, source
+                    flight = Flight(f"{seed}|{level}|{block}|{source!r}")
+                    hold = Hold(flight.random) if block == 0 else None  # one block of each level
+                unit = row, p, int(size)
+                if hold is not None and _EPS < p < 1 - _EPS:
                     unit = hold.swap(unit)
                 if unit is not None:
                     out += flight.add(*unit)
@@ -191,16 +192,17 @@ def _fly(seed: int, level: int, final: bool):
 
 
 def picks(units: DataFrame, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Settle ``units(doc_id, source, size, _p)``: the same rows, ``_p`` 0 or 1."""
+    """Settle ``units(doc_id, key, source, size, _p)``: the same rows, ``_p`` 0
+    or 1.  ``key`` is a hash of the text, which tells rows of one id apart."""
     blocks = max(1, -(-units.count() // block_rows))
-    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(blocks)).cast("int")
-    work = units.select("doc_id", "source", "size", block.alias("_block"), "_p")
+    block = F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.lit(blocks)).cast("int")
+    work = units.select("doc_id", "key", "source", "size", block.alias("_block"), "_p")
     level, done = 0, []
     while True:
         final = blocks == 1
         # first each task takes whole blocks; later, with few rows, sources land in parallel
         flown = work.repartition(*["_block", "source"][:1 + (level > 0)]) \
-            .sortWithinPartitions("_block", "source", F.desc("size"), F.xxhash64("doc_id", F.lit(seed)), "doc_id") \
+            .sortWithinPartitions("_block", "source", F.desc("size"), F.xxhash64("doc_id", "key", F.lit(seed)), "doc_id", "key") \
             .mapInPandas(_fly(seed, level, final), work.schema)
         if final:
             return reduce(DataFrame.unionByName, [*done, flown.drop("_block")])
@@ -214,20 +216,34 @@ def picks(units: DataFrame, seed: int = 42, block_rows: int = BLOCK_ROWS) -> Dat
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42,
         block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, times.
+    """One row per document: doc_id, size, source_size, target, taken, times, key.
 
-    ``times`` is how often the mix repeats the document, ``taken`` its words.
+    ``times`` is how often the mix repeats the document, ``taken`` its words,
+    ``key`` the hash of its text.
     """
-    sizes = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                        word_count(text_col).alias("size"))
+    sizes = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("key"),
+                        F.col(f"`{source_col}`").alias("source"), word_count(text_col).alias("size"))
     sizes = materialise(sizes, "mix-sizes")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     per = source_targets(sizes, weights, share, most).withColumn("_whole", F.floor(ratio + _EPS))
     per = materialise(per.select(F.col("source").alias("_source"), "source_size", "target", "_whole",
                                  F.greatest(F.lit(0.0), ratio - F.col("_whole")).alias("_frac")), "mix-targets")
     units = sizes.join(per, F.col("source").eqNullSafe(F.col("_source")))
-    settled = picks(units.select("doc_id", "source", "size", F.col("_frac").alias("_p")), seed, block_rows)
+    settled = picks(units.select("doc_id", "key", "source", "size", F.col("_frac").alias("_p")), seed, block_rows)
     out = settled.join(per, F.col("source").eqNullSafe(F.col("_source")))
     times = (F.col("_whole") + F.col("_p")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"),
-                      times.alias("times"))
+                      times.alias("times"), "key")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of the mix, each as often as it is taken, with all columns of
+    ``docs``.  Rows that repeat id and text share what they are taken evenly."""
+    share = mix(docs, id_col, text_col, **options).groupBy("doc_id", "key").agg(F.sum("times").alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    share = share.where("_all > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_all", "_rows")
+    rows = docs.withColumn("_text_key", F.xxhash64(f"`{text_col}`"))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    extra = F.pmod(F.monotonically_increasing_id(), F.col("_rows")) < F.pmod(F.col("_all"), F.col("_rows"))
+    times = F.floor(F.col("_all") / F.col("_rows")) + extra.cast("long")
+    out = rows.join(share, same).withColumn("_times", times).where("_times > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

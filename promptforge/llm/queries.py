@@ -7,15 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptforge.llm import bit_sliced, cube_mix, exact_dedup, simhash_bk
+from promptforge.llm import (
+    binary_records,
+    bit_sliced,
+    cube_mix,
+    edit_tokens,
+    exact_dedup,
+    language_id,
+    sentencepiece_trie,
+    simhash_bk,
+    substring_chain,
+    warc,
+)
 from promptforge.llm.common import table
+from promptforge.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_file(name: str) -> str:
+    """Default place of a public tokenizer file; every operator takes a path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by words first, then shorter n-grams."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 or more words that documents share at similarity 0.8."""
+    return substring_chain.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words by source weights 5, 2, 1."""
-    return cube_mix.mix(table(spark, sf_dir, "documents")).drop("times")
+    return cube_mix.mix(table(spark, sf_dir, "documents")).drop("times", "key")
+
+
+def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as framed records and read back."""
+    path = scratch_dir(spark, "records")
+    binary_records.write(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    return binary_records.crc_of_ids(binary_records.read(spark, path))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +74,22 @@ def op8_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.components(table(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to its text."""
+    return sentencepiece_trie.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after the edits of a cleaning pass."""
+    import public_tokenizers
+
+    return edit_tokens.count_edited(table(spark, sf_dir, "documents"), edit_tokens.cleaning_edits,
+                                    tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["lang"])
+
+
 LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op4_cube_mix, op6_exact_dedup, op7_bit_sliced_topk, op8_simhash_bk)}
+    op1_warc_derivatives, op2_language_id, op3_substring_chains, op4_cube_mix, op5_binary_records, op6_exact_dedup,
+    op7_bit_sliced_topk, op8_simhash_bk, op9_sentencepiece, op10_edit_token_counts)}
 
 LLM_ORACLES: dict[str, str] = {
     "op6_exact_dedup": """
