@@ -2,7 +2,7 @@
 
 A message list is ``array<struct<role, content: array<struct<type, text, image_url>>>>``;
 text-only messages carry one ``text`` part.  Requests are keyed by a SHA-256 of
-the stage name and the business keys, so re-running a job yields the same ids
+the stage name, the scope (dataset and run) and the business keys, so re-running a job yields the same ids
 and replies can be joined back without any driver-side state.
 """
 
@@ -34,9 +34,15 @@ def text_message(role: str, text) -> Column:
     return message(role, text_part(text))
 
 
-def request_id(stage: str, *keys) -> Column:
-    """Deterministic request key: sha256(stage \\x1f key1 \\x1f key2 ...)."""
-    return F.sha2(F.concat_ws(KEY_SEP, F.lit(stage), *[_col(k).cast("string") for k in keys]), 256)
+def _key_text(key) -> Column:
+    """A key as text; a null is told apart from every value."""
+    return F.coalesce(F.concat(F.lit("="), _col(key).cast("string")), F.lit("~"))
+
+
+def request_id(stage: str, *keys, scope: str = "") -> Column:
+    """Deterministic request key: sha256 of stage, scope and keys.  ``scope``
+    names the dataset and run, so equal keys of two datasets differ."""
+    return F.sha2(F.concat_ws(KEY_SEP, F.lit(stage), F.lit(scope), *[_key_text(k) for k in keys]), 256)
 
 
 def message_text(msg) -> Column:

@@ -50,37 +50,38 @@ def _suffix_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "inner")
 
 
+def first_per_prompt(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """One row per non-null prompt: the first by ``order_by`` (by all columns
+    when it is None or the table lacks them).  A partial ``min(struct)``, so a
+    prompt that fills a third of the table reaches the shuffle once a task."""
+    df = df.filter(F.col("prompt").isNotNull())
+    order = [c for c in order_by or [] if c in df.columns] or [c for c in df.columns if c != "prompt"]
+    return dedup_keep_first(df, "prompt", order) if order else df.distinct()
+
+
 def load_eval_rows(qca: DataFrame | None = None, chunks: DataFrame | None = None,
-                   scoring: DataFrame | None = None, first_by: list[str] | None = None) -> tuple[DataFrame, str]:
-    """S6 + J1 + J2: QCA join noun chunks on ``prompt`` (duplicates multiply,
-    as an inner join does), plus the scoring table when both exist.  Returns
-    the rows and their kind: MERGED, NOUN_CHUNK or QCA.  Null prompts are
-    dropped first (the reference crashes on them).
-
-    ``first_by``: keep only the first row per prompt of each input (ordered by
-    these columns, which every input must have) before joining — the row the
-    final first-wins merge would keep anyway — so a prompt repeated across a
-    large share of the inputs never turns into a pair product.  A partial
-    ``min(struct)`` per prompt, combined map-side."""
+                   scoring: DataFrame | None = None, order_by: list[str] | None = None,
+                   multiply: bool = False) -> tuple[DataFrame, str]:
+    """S6 + J1 + J2: QCA join noun chunks on ``prompt``, plus the scoring table
+    when both exist.  Returns the rows and their kind: MERGED, NOUN_CHUNK or
+    QCA.  Null prompts are dropped first (the reference crashes on them).
+
+    When inputs are joined, each is first reduced to one row per prompt (the
+    row the final first-wins merge keeps anyway; ``order_by`` says which), so a
+    prompt repeated across a large share of the inputs never turns into a pair
+    product.  ``multiply`` asks for the plain inner join, in which repeated
+    prompts multiply."""
     if qca is None and chunks is None:
         raise ValueError("need a question table, a noun-chunk table or both")
-
-    def prep(df):
-        df = df.filter(F.col("prompt").isNotNull())
-        return dedup_keep_first(df, "prompt", list(first_by)) if first_by else df
-
-    qca = prep(qca) if qca is not None else None
-    chunks = prep(chunks) if chunks is not None else None
-    if scoring is not None and first_by and all(c in scoring.columns for c in first_by):
-        scoring = prep(scoring)
+    has_prompt = F.col("prompt").isNotNull()
     if qca is not None and chunks is not None:
-        rows = _suffix_join(qca, chunks, "prompt")
-        if scoring is not None:
-            rows = _suffix_join(rows, scoring.filter(F.col("prompt").isNotNull()), "prompt")
+        parts = [d.filter(has_prompt) if multiply else first_per_prompt(d, order_by)
+                 for d in (qca, chunks, *([scoring] if scoring is not None else []))]
+        rows = parts[0]
+        for other in parts[1:]:
+            rows = _suffix_join(rows, other, "prompt")
         return rows, "MERGED"
-    if chunks is not None:
-        return chunks, "NOUN_CHUNK"
-    return qca, "QCA"
+    return (chunks.filter(has_prompt), "NOUN_CHUNK") if chunks is not None else (qca.filter(has_prompt), "QCA")
 
 
 def eval_info(rows: DataFrame, kind: str) -> DataFrame:

@@ -44,6 +44,14 @@ def image_path(dataset: str, text, process=0, annotate: bool = False, out_dir: s
         process, int) else F.lit(str(process)), F.lit("_"), key, F.lit(".png"))
 
 
+def candidate_image(dataset: str, text, *keys, out_dir: str = "") -> Column:
+    """Path of a candidate's image, named by a hash of the dataset, the
+    candidate's keys and its whole text: texts with a common opening never
+    share an image (the 50-character form of :func:`image_path` can)."""
+    named = [F.coalesce(F.concat(F.lit("="), _col(k).cast("string")), F.lit("~")) for k in (*keys, text)]
+    return F.concat(F.lit(f"{out_dir}{dataset}_"), F.sha2(F.concat_ws("\x1f", F.lit(dataset), *named), 256), F.lit(".png"))
+
+
 def relative_path(path, base: str) -> Column:
     """P10: drop the output prefix, prepend ``./``."""
     return F.concat(F.lit("./"), F.substring(_col(path), len(base) + 1, 1 << 30))

@@ -10,6 +10,8 @@ the rephrased-prompt marker and the chat markers of the training formats).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,112 +38,122 @@ ICL_SYSTEM = ("You rewrite user prompts for a text-to-image model so that its im
               "the user's intent while becoming more complete and appealing.")
 
 
-def _with_messages(df: DataFrame, stage: str, keys: list[str], messages: Column) -> DataFrame:
-    return df.select(M.request_id(stage, *keys).alias("request_id"), F.lit(stage).alias("stage"),
+# Wording of the other requests: {n} is the number of paraphrases, the other
+# names in braces are columns of the request's row.
+INSTANT = ('Write {n} paraphrases of this text-to-image prompt that keep its meaning: "{prompt}". Put each on its own '
+           "numbered line. Rate each from 0 to 10 for how faithful and appealing its image would be and keep improving "
+           "until one earns 10/10. Finally copy the best one between <BEST> and </BEST>, with nothing else inside the tags.")
+FIRST_ITERATION = ('Write {n} paraphrases of this text-to-image prompt that keep its meaning: "{prompt}". Put each on its '
+                   "own numbered line. They should lead to faithful, appealing images; added details are welcome when "
+                   "they do not contradict the prompt.")
+NEXT_ITERATION = ('Improve this prompt written by a person: "{prompt}". Earlier attempts follow in ascending order of score '
+                  "(0-100). TIFA is the share of multiple-choice questions about the image answered correctly; VQA is the "
+                  "mean presence score of the prompt's visual elements.{history}\n\nWrite {n} new paraphrases of the "
+                  "initial prompt that keep its meaning and score higher than every attempt above, fixing the elements "
+                  "that were missed. Prefer substitutions and reorderings to additions. Put each on its own numbered line.")
+SELECT_ALL = ("Below is a model's reply that should contain {n} paraphrases of a prompt. Copy the {n} paraphrases, one per "
+              'line, without numbers or indentation, and nothing else.\nReply:\n"{reply}"')
+SELECT_BEST = ("Below is a model's reply with {n} scored paraphrases of a prompt; the best may be marked with <BEST> tags. "
+               "Reply with one line only: the paraphrase the model chose as best, without numbers or "
+               'indentation.\nReply:\n"{reply}"')
+TIFA_QUESTION = ("Answer the question about the image below by copying exactly one of the choices.\n"
+                 "Question: {question}\nChoices: {choices}\nImage:")
+VQA_QUESTION = 'Is "{chunk}" visible in this image? Answer with yes or no only.'
+
+
+def fill(template: str, n: int | None = None, **columns) -> Column:
+    """A template with its ``{name}`` places taken by columns (``{n}`` by the
+    number): one concat of literals and columns."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\{([a-z]+)\}", template)):
+        if i % 2 == 0:
+            parts.append(F.lit(piece))
+        elif piece == "n":
+            parts.append(F.lit(str(n)))
+        elif piece in columns:
+            parts.append(_col(columns[piece]))
+        else:
+            raise ValueError(f"no column for {{{piece}}}")
+    return F.concat(*parts)
+
+
+def _with_messages(df: DataFrame, stage: str, keys: list[str], messages: Column, scope: str = "") -> DataFrame:
+    return df.select(M.request_id(stage, *keys, scope=scope).alias("request_id"), F.lit(stage).alias("stage"),
                      *keys, messages.alias("messages"))
 
 
-def _q(c) -> Column:
-    return F.concat(F.lit('"'), _col(c), F.lit('"'))
+def _ask(df: DataFrame, stage: str, keys, text: Column, scope: str) -> DataFrame:
+    return _with_messages(df, stage, list(keys), F.array(M.text_message("user", text)), scope)
 
 
 def noun_chunk_requests(df: DataFrame, prompt: str = "prompt", keys=("prompt_id",),
-                        instruction: str = NOUN_PHRASE_INSTRUCTION) -> DataFrame:
+                        instruction: str = NOUN_PHRASE_INSTRUCTION, scope: str = "") -> DataFrame:
     """M1: instruction, blank line, stripped prompt."""
-    text = F.concat(F.lit(instruction + "\n\n"), strip(prompt))
-    return _with_messages(df, "noun_chunks", list(keys), F.array(M.text_message("user", text)))
+    return _ask(df, "noun_chunks", keys, F.concat(F.lit(instruction + "\n\n"), strip(prompt)), scope)
 
 
 def visual_question_requests(df: DataFrame, prompt: str = "prompt", keys=("prompt_id",),
-                             few_shot=None) -> DataFrame:
+                             few_shot=None, scope: str = "") -> DataFrame:
     """M2: a fixed few-shot dialogue (literal array, folded by the optimizer)
     followed by ``Description: <prompt>``."""
     shots = [M.text_message(r, F.lit(t)) for r, t in (few_shot or DEFAULT_FEW_SHOT)]
     last = M.text_message("user", F.concat(F.lit(DESCRIPTION_PREFIX), strip(prompt)))
-    return _with_messages(df, "visual_questions", list(keys), F.array(*shots, last))
+    return _with_messages(df, "visual_questions", list(keys), F.array(*shots, last), scope)
 
 
-def instant_requests(df: DataFrame, prompt: str = "prompt", keys=("prompt_id",), n: int = 4) -> DataFrame:
+def instant_requests(df: DataFrame, prompt: str = "prompt", keys=("prompt_id",), n: int = 4,
+                     template: str = INSTANT, scope: str = "") -> DataFrame:
     """M3: n numbered paraphrases, self-scored 0-10, best one in <BEST> tags."""
-    text = F.concat(
-        F.lit(f"Write {n} paraphrases of this text-to-image prompt that keep its meaning: "), _q(strip(prompt)),
-        F.lit(". Put each on its own numbered line. Rate each from 0 to 10 for how faithful and appealing "
-              "its image would be and keep improving until one earns 10/10. Finally copy the best one "
-              "between <BEST> and </BEST>, with nothing else inside the tags."))
-    return _with_messages(df, "instant", list(keys), F.array(M.text_message("user", text)))
+    return _ask(df, "instant", keys, fill(template, n, prompt=strip(prompt)), scope)
 
 
 def first_iteration_requests(df: DataFrame, prompt: str = "prompt", keys=("prompt_id",), n: int = 4,
-                             role_text: str = OPTIMIZER_ROLE) -> DataFrame:
+                             role_text: str = OPTIMIZER_ROLE, template: str = FIRST_ITERATION, scope: str = "") -> DataFrame:
     """M4: role sentence plus a request for n paraphrases."""
-    text = F.concat(
-        F.lit(role_text + f"Write {n} paraphrases of this text-to-image prompt that keep its meaning: "),
-        _q(strip(prompt)),
-        F.lit(". Put each on its own numbered line. They should lead to faithful, appealing images; "
-              "added details are welcome when they do not contradict the prompt."))
-    return _with_messages(df, "iter_0", list(keys), F.array(M.text_message("user", text)))
+    return _ask(df, "iter_0", keys, fill(role_text + template, n, prompt=strip(prompt)), scope)
 
 
 def next_iteration_requests(df: DataFrame, iteration: int, prompt: str = "original_prompt",
                             history: str = "history", keys=("prompt_id",), n: int = 4,
-                            role_text: str = OPTIMIZER_ROLE) -> DataFrame:
+                            role_text: str = OPTIMIZER_ROLE, template: str = NEXT_ITERATION, scope: str = "") -> DataFrame:
     """M5: initial prompt + history block (G2) + closing instruction."""
-    text = F.concat(
-        F.lit(role_text + "Improve this prompt written by a person: "), _q(prompt),
-        F.lit(". Earlier attempts follow in ascending order of score (0-100). TIFA is the share of "
-              "multiple-choice questions about the image answered correctly; VQA is the mean presence "
-              "score of the prompt's visual elements."),
-        F.coalesce(_col(history), F.lit("")),
-        F.lit(f"\n\nWrite {n} new paraphrases of the initial prompt that keep its meaning and score higher "
-              "than every attempt above, fixing the elements that were missed. Prefer substitutions and "
-              "reorderings to additions. Put each on its own numbered line."))
-    return _with_messages(df, f"iter_{iteration}", list(keys), F.array(M.text_message("user", text)))
-
-
-def select_all_requests(df: DataFrame, reply: str = "reply", keys=("request_id",), n: int = 4) -> DataFrame:
+    text = fill(role_text + template, n, prompt=prompt, history=F.coalesce(_col(history), F.lit("")))
+    return _ask(df, f"iter_{iteration}", keys, text, scope)
+
+
+def select_all_requests(df: DataFrame, reply: str = "reply", keys=("request_id",), n: int = 4,
+                        template: str = SELECT_ALL, scope: str = "") -> DataFrame:
     """M6: ask for the n paraphrases of a reply, one per line."""
-    text = F.concat(
-        F.lit(f"Below is a model's reply that should contain {n} paraphrases of a prompt. Copy the {n} "
-              "paraphrases, one per line, without numbers or indentation, and nothing else.\nReply:\n"),
-        _q(reply))
-    return _with_messages(df, "select_all", list(keys), F.array(M.text_message("user", text)))
+    return _ask(df, "select_all", keys, fill(template, n, reply=reply), scope)
 
 
-def select_best_requests(df: DataFrame, reply: str = "reply", keys=("request_id",), n: int = 4) -> DataFrame:
+def select_best_requests(df: DataFrame, reply: str = "reply", keys=("request_id",), n: int = 4,
+                         template: str = SELECT_BEST, scope: str = "") -> DataFrame:
     """M7: ask for the single best paraphrase of a reply on one line."""
-    text = F.concat(
-        F.lit(f"Below is a model's reply with {n} scored paraphrases of a prompt; the best may be marked "
-              "with <BEST> tags. Reply with one line only: the paraphrase the model chose as best, "
-              "without numbers or indentation.\nReply:\n"),
-        _q(reply))
-    return _with_messages(df, "select_best", list(keys), F.array(M.text_message("user", text)))
+    return _ask(df, "select_best", keys, fill(template, n, reply=reply), scope)
 
 
 def tifa_requests(cands: DataFrame, questions: DataFrame, join_keys: list[str], cand_keys: list[str],
-                  image_url: str = "image_url") -> DataFrame:
+                  image_url: str = "image_url", template: str = TIFA_QUESTION, scope: str = "") -> DataFrame:
     """One request per (candidate, question): text part + image part.
     ``questions`` is long-form ``(join_keys, q_pos, question, choices)``."""
     j = cands.join(questions, join_keys)
-    text = F.concat(F.lit("Answer the question about the image below by copying exactly one of the "
-                          "choices.\nQuestion: "), F.col("question"), F.lit("\nChoices: "), F.col("choices"),
-                    F.lit("\nImage:"))
-    msg = M.message("user", M.text_part(text), M.image_part(image_url))
-    return _with_messages(j, "tifa", cand_keys + ["q_pos"], F.array(msg))
+    msg = M.message("user", M.text_part(fill(template, question="question", choices="choices")), M.image_part(image_url))
+    return _with_messages(j, "tifa", cand_keys + ["q_pos"], F.array(msg), scope)
 
 
 def vqa_requests(cands: DataFrame, chunks: DataFrame, join_keys: list[str], cand_keys: list[str],
-                 image_url: str = "image_url") -> DataFrame:
+                 image_url: str = "image_url", template: str = VQA_QUESTION, scope: str = "") -> DataFrame:
     """One request per (candidate, noun chunk): image part + yes/no question."""
     j = cands.join(chunks, join_keys)
-    text = F.concat(F.lit('Is "'), F.col("chunk"), F.lit('" visible in this image? Answer with yes or no only.'))
-    msg = M.message("user", M.image_part(image_url), M.text_part(text))
-    return _with_messages(j, "vqa", cand_keys + ["chunk_pos"], F.array(msg))
+    msg = M.message("user", M.image_part(image_url), M.text_part(fill(template, chunk="chunk")))
+    return _with_messages(j, "vqa", cand_keys + ["chunk_pos"], F.array(msg), scope)
 
 
 def icl_requests(prompts: DataFrame, examples: DataFrame, prompt: str = "prompt", keys=("prompt_id",),
                  ex_prompt: str = "prompt", ex_best: str = "best_paraphrase", ex_order: str = "sample_key",
                  system: str = ICL_SYSTEM, prompt_label: str = ICL_PROMPT_LABEL,
-                 answer_label: str = ICL_ANSWER_LABEL) -> DataFrame:
+                 answer_label: str = ICL_ANSWER_LABEL, scope: str = "") -> DataFrame:
     """System message + example pairs + the user prompt.
 
     The examples (at most the sample size, 100 by default) are folded once
@@ -156,21 +168,26 @@ def icl_requests(prompts: DataFrame, examples: DataFrame, prompt: str = "prompt"
     # scalar subquery: evaluated once, its value inlined into every row's expression
     msgs = F.concat(F.array(M.text_message("system", F.lit(system))), shots.scalar(),
                     F.array(M.text_message("user", F.concat(F.lit(prompt_label), F.col(prompt)))))
-    return _with_messages(prompts, "icl", list(keys), msgs)
+    return _with_messages(prompts, "icl", list(keys), msgs, scope)
 
 
 def generation_requests(df: DataFrame, prompt: str = "prompt", keys=("prompt_id",),
-                        instruction: str = DEFAULT_INSTRUCTION) -> DataFrame:
+                        instruction: str = DEFAULT_INSTRUCTION, scope: str = "") -> DataFrame:
     """The fine-tuned model's input string in the ``hf`` chat markers,
     ending with the rephrased-prompt marker the reply parser splits on."""
     open_, close = FORMATS["hf"]
     text = F.concat(F.lit(open_ + instruction), _col(prompt), F.lit(close + GENERATION_MARKER))
-    return df.select(M.request_id("generation", *keys).alias("request_id"), *keys, text.alias("request_text"))
+    return df.select(M.request_id("generation", *keys, scope=scope).alias("request_id"), *keys, text.alias("request_text"))
 
 
-def flat_request(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Flatten a request table for comparison: message count, last role/text, image flag."""
-    last = F.get(F.col("messages"), F.size("messages") - 1)
-    return df.select("request_id", *keys, F.size("messages").alias("n_messages"),
+def flat_request(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """Flatten a request table for comparison: message count, last role and
+    text, image URL, a digest of the texts before, modality (and ``more``)."""
+    n = F.size("messages")
+    last = F.get(F.col("messages"), n - 1)
+    before = F.array_join(F.transform(F.slice("messages", F.lit(1), n - 1), M.message_text), "\x1e")
+    image = F.get(F.filter(last["content"], lambda p: p["type"] == "image_url"), 0)["image_url"]
+    return df.select("request_id", *keys, n.alias("n_messages"),
                      last["role"].alias("last_role"), M.message_text(last).alias("last_text"),
-                     M.modality("messages").alias("modality"))
+                     image.alias("image_url"), F.md5(before).alias("before_md5"),
+                     M.modality("messages").alias("modality"), *more)

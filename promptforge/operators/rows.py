@@ -6,7 +6,10 @@ whole table (which would pull every row into one task):
 1. range-partition and sort by the order key, then tag every row with its
    partition id and its position inside the partition;
 2. count rows per partition (one row per partition — bounded by the partition
-   count, not the data), turn the counts into offsets and broadcast them back.
+   count, not the data), turn the counts into offsets and join them back.
+
+Numbering runs Spark jobs while it is built: the tagged rows are written to the
+checkpoint folder once.
 """
 
 from __future__ import annotations
@@ -42,8 +45,9 @@ def _apply_offsets(tagged: DataFrame, group_cols: list[str], name: str,
         offsets = offsets.withColumn(
             "_pf_total", F.sum("_pf_n").over(one.rowsBetween(Window.unboundedPreceding,
                                                              Window.unboundedFollowing)))
-    # one row per (group, partition): the size bound that makes broadcast safe
-    out = tagged.join(F.broadcast(offsets), group_cols)
+    # one row per (group, partition): small as a rule, but a folder of very many
+    # files has many groups, so Spark chooses the join by size
+    out = tagged.join(offsets, group_cols)
     out = out.withColumn(name, F.col("_pf_off") + F.col(_POS) - F.col("_pf_p0"))
     drop = [_POS, "_pf_n", "_pf_p0", "_pf_off"] + [c for c in group_cols]
     out = out.drop(*drop)
@@ -71,8 +75,10 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index",
         cols = [c for c in order_cols if isinstance(c, str)]
         if len(cols) != len(order_cols):
             raise ValueError("unique_keys needs plain column names as order keys")
-        idx = with_row_index(df.select(*cols), cols, name, with_total)
-        return df.join(idx, cols)
+        keys = [f"_pf_k{i}" for i in range(len(cols))]
+        idx = with_row_index(df.select(*[F.col(c).alias(k) for c, k in zip(cols, keys)]), keys, name, with_total)
+        same = [df[c].eqNullSafe(idx[k]) for c, k in zip(cols, keys)]  # a null key is a key
+        return df.join(idx, same).drop(*keys)
     ensure_checkpoint_dir(df.sparkSession)
     tagged = _tag_positions(df.orderBy(*order_cols)).checkpoint(eager=True)
     return _apply_offsets(tagged, [_PID], name, with_total)

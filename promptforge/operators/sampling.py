@@ -14,70 +14,69 @@ def sample_key(key, seed: int) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), _col(key).cast("string")))
 
 
-# Up to this many rows a plain top-k is used: its final merge sees at most
-# (#partitions x n) rows in one task.  Larger samples are pre-filtered.
-TOPK_DIRECT_LIMIT = 10000
+# Hex digits of the key that the histogram counts: at most 16 ** 4 rows.
+_BUCKET_DIGITS = 4
 
 
-def top_by_sample_key(df: DataFrame, n: int, tiebreak: str, topk_direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
+def top_by_sample_key(df: DataFrame, n: int, tiebreak: str) -> DataFrame:
     """The n rows with the smallest ``sample_key`` (md5 hex), exactly.
 
-    For large n the keys' uniformity is used: only rows whose 60-bit key
-    prefix lies below a threshold sized for ~n + 8*sqrt(n) rows go into the
-    top-k, so no task ever merges (#partitions x n) rows.  The threshold is a
-    lazy scalar subquery on the row count, and a second one switches the
-    filter off if it ever admits fewer than n rows — the result is exact
-    either way, with no driver-side loop."""
-    ordered = lambda d: d.orderBy("sample_key", tiebreak).limit(n)
-    if n <= topk_direct_limit:
-        return ordered(df)
-    prefix = F.conv(F.substring("sample_key", 1, 15), 16, 10).cast("double")
-    total = df.select(F.count(F.lit(1))).scalar()
-    target = float(n + 8 * n ** 0.5 + 64)
-    below = prefix <= F.try_divide(F.lit(target), total) * float(2 ** 60)  # null on empty input
-    enough = df.filter(below).select(F.count(F.lit(1))).scalar() >= F.lit(n)
-    return ordered(df.filter(below | ~enough))
-
-
-def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42,
-                  topk_direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
+    A histogram over the first hex digits of the key (at most 65,536 rows,
+    map-side combined) names the bucket in which the n-th row lies; only rows
+    up to that bucket enter the top-k, so its last task sees about n rows
+    instead of n of every partition.  The bucket is a lazy scalar subquery."""
+    bucket = F.substring("sample_key", 1, _BUCKET_DIGITS)
+    counts = df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    start = F.struct(F.lit(0).cast("long").alias("rows"), F.lit(None).cast("string").alias("b"))
+    last = counts.agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("h")).select(
+        F.aggregate("h", start, lambda done, x: F.when(done["rows"] >= n, done).otherwise(
+            F.struct((done["rows"] + x["c"]).alias("rows"), x["b"].alias("b"))))["b"]).scalar()
+    return df.filter(bucket <= last).orderBy("sample_key", tiebreak).limit(n)
+
+
+def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """N rows without replacement in seeded random order (exact top-n
     by ``md5(seed || key)``; see :func:`top_by_sample_key`)."""
-    return top_by_sample_key(df.withColumn("sample_key", sample_key(key, seed)), n, key, topk_direct_limit)
+    return top_by_sample_key(df.withColumn("sample_key", sample_key(key, seed)), n, key)
+
+
+def text_key(c) -> Column:
+    """SHA-256 of a text: what membership joins shuffle instead of the text."""
+    return F.sha2(_col(c), 256)
 
 
 def new_prompts(candidates: DataFrame, existing: DataFrame, text: str = "prompt",
-                existing_text: str = "prompt", normalised: bool = False) -> DataFrame:
+                existing_text: str = "prompt") -> DataFrame:
     """Candidates whose normalised text is not among the normalised
-    existing prompts — a hash anti-join instead of a list scan per row.  With
-    ``normalised`` the candidate column already holds the one-line form and
-    is the join key itself, so a later grouping on it reuses the partitioning."""
+    existing prompts — an anti-join on a hash of the text, so the existing
+    side sends hashes alone."""
     # distinct combines repeated existing prompts map-side before the shuffle
-    ex = existing.select(one_line(existing_text).alias("_norm")).filter(F.col("_norm").isNotNull()).distinct()
-    if normalised:
-        return candidates.join(ex.withColumnRenamed("_norm", text), text, "left_anti")
-    cand = candidates.withColumn("_norm", one_line(text))
-    return cand.join(ex, "_norm", "left_anti").drop("_norm")
+    ex = existing.select(text_key(one_line(existing_text)).alias("_norm")).filter(F.col("_norm").isNotNull()).distinct()
+    return candidates.withColumn("_norm", text_key(one_line(text))).join(ex, "_norm", "left_anti").drop("_norm")
 
 
 def sample_new_prompts(corpus: DataFrame, existing: DataFrame, n: int, seed: int = 42, key: str = "doc_id",
-                       text: str = "text", existing_text: str = "prompt",
-                       topk_direct_limit: int = TOPK_DIRECT_LIMIT) -> DataFrame:
+                       text: str = "text", existing_text: str = "prompt") -> DataFrame:
     """C1 (L4 + L5 + J3 + P2): normalise, keep one row per distinct prompt,
     drop prompts that already exist, then take n in seeded order.  Filtering
-    before sampling means every sampled row is new in one pass (no redraw loop)."""
-    norm = corpus.select(key, one_line(text).alias("prompt"), sample_key(key, seed).alias("sample_key"))
+    before sampling means every sampled row is new in one pass (no redraw
+    loop).  Hashes and keys alone are shuffled; the n texts are joined last."""
+    norm = corpus.select(key, text_key(one_line(text)).alias("_norm"), sample_key(key, seed).alias("sample_key"))
     # de-duplicate first: the partial min runs map-side, so a text held by a
     # third of the corpus reaches the shuffle as one row per task; the
-    # anti-join then reuses the prompt partitioning (one exchange per side)
-    one = norm.groupBy("prompt").agg(F.min(F.struct("sample_key", key)).alias("_m")) \
-              .select(F.col(f"_m.{key}").alias(key), "prompt", F.col("_m.sample_key").alias("sample_key"))
-    fresh = new_prompts(one, existing, "prompt", existing_text, normalised=True)
-    return top_by_sample_key(fresh, n, key, topk_direct_limit)
+    # anti-join then reuses the hash partitioning (one exchange per side)
+    one = norm.groupBy("_norm").agg(F.min(F.struct("sample_key", key)).alias("_m")) \
+              .select("_norm", F.col(f"_m.{key}").alias(key), F.col("_m.sample_key").alias("sample_key"))
+    ex = existing.select(text_key(one_line(existing_text)).alias("_norm")).filter(F.col("_norm").isNotNull()).distinct()
+    # a null text has no hash and matches nothing, as before
+    picked = top_by_sample_key(one.join(ex, "_norm", "left_anti"), n, key)
+    texts = corpus.select(key, one_line(text).alias("prompt"), text_key(one_line(text)).alias("_norm"))
+    out = texts.join(picked, [key, "_norm"]).dropDuplicates(["_norm"])  # n rows; an id may repeat
+    return out.select(key, "prompt", "sample_key").orderBy("sample_key", key)
 
 
 def resume_pending(rows: DataFrame, finished: DataFrame, prompt: str = "prompt",
                    finished_col: str = "original_prompt") -> DataFrame:
     """Rows whose stripped prompt is not among the finished prompts."""
-    done = finished.select(F.col(finished_col).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
-    return rows.withColumn("_p", strip(prompt)).join(done, "_p", "left_anti").drop("_p")
+    done = finished.select(text_key(finished_col).alias("_p")).filter(F.col("_p").isNotNull()).distinct()
+    return rows.withColumn("_p", text_key(strip(prompt))).join(done, "_p", "left_anti").drop("_p")

@@ -95,49 +95,49 @@ def candidate_scores(cands: DataFrame, tifa: str = "tifa", vqa: str = "vqa") ->
                  .withColumn("score", (F.col(tifa) + F.col(vqa)) / 2))
 
 
-def combine_scores(tifa: DataFrame, vqa: DataFrame, keys: list[str], metrics=("tifa", "vqa")) -> DataFrame:
-    """Join per-candidate metric tables on the candidate key (same shuffle key)."""
-    out = tifa.join(vqa, keys, "full")
-    total = None
-    for m in metrics:
-        total = F.col(m) if total is None else total + F.col(m)
-    return out.withColumn("sum", total)
-
-
 def score_candidates(tifa_rows: DataFrame, vqa_rows: DataFrame, keys: list[str], soft: bool = False,
                      q_pos: str = "q_pos", picked: str = "picked", answer: str = "answer",
                      chunk_pos: str = "chunk_pos", reply: str = "reply", prob: str = "yes_prob") -> DataFrame:
-    """A1 + A2/A3 + A4 + R4 in ONE aggregation: question rows and noun-chunk
-    rows are stacked into a long (candidate, kind, value) table and reduced by
-    a single shuffle on the candidate key, instead of two aggregations and a
-    join.  Same results as :func:`tifa_scores` + :func:`vqa_hard_scores` /
-    :func:`vqa_soft_scores` + sum."""
+    """A1 + A2/A3 + A4 + R4 + R5 in ONE aggregation: question rows and
+    noun-chunk rows are stacked into a long (candidate, kind, value) table and
+    reduced by a single shuffle on the candidate key, instead of two
+    aggregations and a join.  Same results as :func:`tifa_scores` +
+    :func:`vqa_hard_scores` / :func:`vqa_soft_scores` + sum.
+
+    A null ``picked`` (``reply``, ``yes_prob``) is a question (chunk) without a
+    valid reply yet: it counts in ``n_open_questions`` (``n_open``), and the
+    score stays null until none is open.  ``answers`` and ``vqa_scores`` are
+    the replies and presence scores in order."""
     t = tifa_rows.select(*keys, F.lit("t").alias("_k"), F.col(q_pos).cast("long").alias("_pos"),
                          answer_correct(picked, answer).cast("double").alias("_v"),
-                         F.col(picked).alias("_txt"), F.col(answer).isNotNull().alias("_has"))
+                         F.col(picked).alias("_txt"), F.col(answer).isNotNull().alias("_counts"),
+                         F.col(picked).isNull().alias("_open"))
     if soft:
-        v_val, v_open = nan_to_null(prob), F.lit(False)
+        v_val = nan_to_null(prob)
+        v_open = F.col(prob).isNull()
     else:
         yn = yes_no(reply)
         v_val, v_open = (yn == "yes").cast("double"), yn.isNull()
     v = vqa_rows.select(*keys, F.lit("v").alias("_k"), F.col(chunk_pos).cast("long").alias("_pos"),
-                        v_val.alias("_v"), F.lit(None).cast("string").alias("_txt"), (~v_open).alias("_has"))
-    is_t = (F.col("_k") == "t") & F.col("_has")
+                        v_val.alias("_v"), F.lit(None).cast("string").alias("_txt"), F.lit(True).alias("_counts"),
+                        v_open.alias("_open"))
+    is_t = (F.col("_k") == "t") & F.col("_counts")
     is_v = F.col("_k") == "v"
+    n = lambda cond: F.count(F.when(cond, F.lit(1)))
+    in_order = lambda cond, c: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("_pos"), F.col(c)))))
     agg = t.unionByName(v).groupBy(*keys).agg(
-        F.count(F.when(is_t, F.lit(1))).alias("n_questions"),
+        n(is_t).alias("n_questions"), n(is_t & F.col("_open")).alias("n_open_questions"),
         F.coalesce(F.sum(F.when(is_t, F.col("_v"))), F.lit(0.0)).cast("long").alias("n_correct"),
-        F.array_sort(F.collect_list(F.when(is_t, F.struct(F.col("_pos"), F.col("_txt"))))).alias("_ans"),
-        F.count(F.when(is_v, F.lit(1))).alias("n_chunks"),
-        F.count(F.when(is_v & ~F.col("_has"), F.lit(1))).alias("n_open"),
-        F.sum(F.when(is_v, F.col("_v"))).alias("_vsum"),
-        F.avg(F.when(is_v, F.col("_v"))).alias("_vavg"))
-    tifa = F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_questions")), F.lit(0.0))
-    if soft:
-        vqa = F.col("_vavg")
-    else:
-        vqa = F.when(F.col("n_open") == 0, F.coalesce(F.try_divide(F.col("_vsum"), F.col("n_chunks")), F.lit(0.0)))
+        in_order(is_t, "_txt").alias("_ans"), n(is_v).alias("n_chunks"), n(is_v & F.col("_open")).alias("n_open"),
+        F.sum(F.when(is_v, F.col("_v"))).alias("_vsum"), F.avg(F.when(is_v, F.col("_v"))).alias("_vavg"),
+        in_order(is_v, "_v").alias("_vqa"))
+    tifa = F.when(F.col("n_open_questions") == 0,
+                  F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_questions")), F.lit(0.0)))
+    mean = F.col("_vavg") if soft else F.try_divide(F.col("_vsum"), F.col("n_chunks"))
+    # the mean of no presence score is undefined when soft, 0.0 when hard
+    vqa = F.when(F.col("n_open") == 0, mean if soft else F.coalesce(mean, F.lit(0.0)))
     return (agg.withColumn("tifa", tifa).withColumn("vqa", vqa)
                .withColumn("answers", F.transform("_ans", lambda x: x["_txt"]))
+               .withColumn("vqa_scores", F.transform("_vqa", lambda x: x["_v"]))
                .withColumn("sum", F.col("tifa") + F.col("vqa"))
-               .drop("_ans", "_vsum", "_vavg"))
+               .drop("_ans", "_vqa", "_vsum", "_vavg"))

@@ -43,8 +43,7 @@ class Tables:
     @cached_property
     def noun_chunks(self) -> DataFrame:
         d = self.documents
-        chunks = F.when(F.col("doc_id") % 50 == 7, F.lit(None).cast("string")) \
-                  .otherwise(F.substring_index(F.col("text"), NL, 1))
+        chunks = F.when(F.col("doc_id") % 50 != 7, F.col("text"))
         return d.select("doc_id", F.col("text").alias("prompt"), chunks.alias("noun_chunks"))
 
     @cached_property
@@ -70,7 +69,7 @@ class Tables:
 
     @cached_property
     def requests(self) -> DataFrame:
-        c = self.conversations.filter(F.col("role").isin("user", "assistant"))
+        c = self.conversations
         return c.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "conv_id", "turn",
                         F.col("text").alias("request_text"))
 
@@ -84,6 +83,14 @@ class Tables:
                        (F.floor(F.max("l_quantity") / 10) / 5).alias("tifa"),
                        (F.floor(F.max("l_discount") * 40 + 0.5) / 4).alias("vqa")))
 
+    @cached_property
+    def scored_originals(self) -> DataFrame:
+        """Scores of the original prompts, as candidate -1 of iteration 0."""
+        k = F.col("o_orderkey")
+        return self.orders.select(k.alias("prompt_id"), F.lit(0).alias("iter"), F.lit(-1).alias("cand_pos"),
+                                  F.concat(F.lit("prompt "), k.cast("string")).alias("revised_prompt"),
+                                  ((k % 6) / 5).alias("tifa"), ((k % 5) / 4).alias("vqa"))
+
     @cached_property
     def cand_prompts(self) -> DataFrame:
         """All prompts of the candidate run (orders without lineitems have no candidates)."""
@@ -161,6 +168,31 @@ class Tables:
                .when(F.col("page_id") % 4 == 2, ".html").otherwise(""))
         return p.select(F.concat(F.lit("img_"), F.col("page_id").cast("string"), ext).alias("path"), "html")
 
+    # ---- a scoring run with every kind of reply ------------------------
+    @cached_property
+    def run_candidates(self) -> DataFrame:
+        """Two iterations per document, of two candidates and one; they share far
+        more than their first 50 characters."""
+        grid = F.explode(F.expr("transform(sequence(0, 2), x -> struct(x div 2 as i, x % 2 as c))"))
+        d = self.documents.select(F.col("doc_id").alias("prompt_id"), "text", grid.alias("g"))
+        return d.select("prompt_id", F.col("g.i").cast("int").alias("iter"), F.col("g.c").cast("int").alias("cand_pos"),
+                        F.concat("text", F.lit(" v"), F.col("g.i").cast("string"), F.lit("."), F.col("g.c").cast("string"))
+                        .alias("revised_prompt"))
+
+    def run_replies(self, reqs: DataFrame, pos: str, yes: str, no: str) -> DataFrame:
+        """Replies of a request table: some missing, some filtered, some asked
+        again after an empty reply, some sent twice, the rest right or wrong."""
+        k = F.col("prompt_id") + F.col(pos) * 3 + F.col("iter") + F.col("cand_pos")
+        right = F.when(k % 4 != 0, F.lit(yes)).otherwise(F.lit(no))
+        row = lambda attempt, status, reply: F.struct(
+            F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), reply.cast("string").alias("reply"))
+        sent = (F.when(k % 29 == 0, F.array(row(0, "error", F.lit(None))))
+                .when(k % 31 == 3, F.array(row(0, "filtered", F.lit(None))))
+                .when(k % 7 == 0, F.array(row(0, "error", F.lit(None)), row(1, "ok", right)))
+                .when(k % 5 == 0, F.array(row(0, "ok", right), row(1, "ok", F.lit("late"))))
+                .otherwise(F.array(row(0, "ok", right))))
+        return reqs.filter(k % 37 != 1).select("request_id", F.inline(sent))
+
     @cached_property
     def eval_log(self) -> DataFrame:
         e = self.events

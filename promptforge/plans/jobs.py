@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptforge.functions.text import strip
+from promptforge.functions.text import strip, yes_no
 from promptforge.operators import (evalrows, history, merge, misc, replies, requests, rows, sampling, scores,
                                    select, training)
 from promptforge.sources import io
@@ -42,60 +42,119 @@ def sample_prompts(corpus: DataFrame, existing_folder: str, n: int, out_path: st
 
 
 # C2 / C3 (request halves) ------------------------------------------------------
-def preparation_requests(spark: SparkSession, prompt_file: str, finished: DataFrame | None = None,
+def prompt_lines(spark: SparkSession, prompt_file: str) -> DataFrame:
+    """(line_no, prompt, prompt_key): lines with a hash of their text, which
+    identifies a prompt when lines move."""
+    return io.read_prompt_lines(spark, prompt_file).withColumn("prompt_key", sampling.text_key("prompt"))
+
+
+def preparation_requests(spark: SparkSession, prompt_file: str, dataset: str, finished: DataFrame | None = None,
                          kind: str = "noun_chunks") -> DataFrame:
     """Prompt lines -> (resume: skip finished prompts) -> noun-phrase or
-    visual-question requests keyed by line number."""
-    lines = io.read_prompt_lines(spark, prompt_file)
+    visual-question requests.  Ids hold dataset, line and text, so replies of
+    one prompt file never attach to another."""
+    lines = prompt_lines(spark, prompt_file)
     if finished is not None:
         lines = sampling.resume_pending(lines, finished, "prompt", "prompt")
     build = requests.noun_chunk_requests if kind == "noun_chunks" else requests.visual_question_requests
-    return build(lines, prompt="prompt", keys=("line_no",))
+    return build(lines, prompt="prompt", keys=("line_no", "prompt_key"), scope=dataset)
 
 
 # C2 / C3 (reply halves) --------------------------------------------------------
-def noun_chunk_table(reqs: DataFrame, lines: DataFrame, reply_table: DataFrame) -> DataFrame:
-    """Replies joined back to their prompt: ``(prompt, noun_chunks)``."""
-    j = replies.attach_replies(reqs.select("request_id", "line_no"), reply_table)
-    return j.join(lines, "line_no").select("line_no", "prompt", F.col("reply").alias("noun_chunks"))
-
-
-def qca_table(reqs: DataFrame, lines: DataFrame, reply_table: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
-    """Replies -> parsed QCA table and the anomaly report."""
-    j = replies.attach_replies(reqs.select("request_id", "line_no"), reply_table).join(lines, "line_no")
+def _answered_lines(reqs: DataFrame, lines: DataFrame, reply_table: DataFrame) -> DataFrame:
+    one = replies.one_reply(reply_table, F.col("reply").isNotNull())
+    j = replies.attach_replies(reqs.select("request_id", "line_no", "prompt_key"), one)
+    return j.join(lines.select("line_no", "prompt_key", "prompt"), ["line_no", "prompt_key"])
+
+
+def noun_chunk_table(reqs: DataFrame, lines: DataFrame, reply_table: DataFrame, out_csv: str | None = None) -> DataFrame:
+    """Replies joined back to their prompt: ``(line_no, prompt, noun_chunks)``;
+    written as CSV (K3) when a path is given."""
+    out = _answered_lines(reqs, lines, reply_table).select("line_no", "prompt", F.col("reply").alias("noun_chunks"))
+    if out_csv:
+        io.write_csv(out.select("prompt", "noun_chunks"), out_csv)
+    return out
+
+
+def qca_table(reqs: DataFrame, lines: DataFrame, reply_table: DataFrame, dataset: str, out_json: str | None = None,
+              out_errors: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replies -> parsed QCA table and the anomaly report; written as JSON (K4)
+    and CSV (K3) when paths are given."""
+    j = _answered_lines(reqs, lines, reply_table)
     parsed = evalrows.qca_table(j.select("line_no", "prompt", F.col("reply").alias("visual_questions")),
                                 keep=("line_no",))
-    return parsed, evalrows.qca_errors(parsed.withColumnRenamed("line_no", "row_index"), dataset)
+    errors = evalrows.qca_errors(parsed.withColumnRenamed("line_no", "row_index"), dataset)
+    if out_json:
+        io.write_json(parsed.select("prompt", "qca"), out_json)
+    if out_errors:
+        io.write_csv(errors, out_errors)
+    return parsed, errors
 
 
 # C4 / C5 / C6 -------------------------------------------------------------------
 def scoring_requests(cands: DataFrame, eval_rows: DataFrame, dataset: str, cand_keys: list[str],
-                     prompt_col: str = "prompt_to_score") -> tuple[DataFrame, DataFrame]:
+                     prompt_col: str = "prompt_to_score", run: str = "") -> tuple[DataFrame, DataFrame]:
     """TIFA and VQA request tables for scored candidates (one per question /
-    noun chunk).  ``cands`` carries ``prompt_id`` and ``prompt_col``."""
-    c = cands.withColumn("image_url", misc.image_path(dataset, prompt_col, 0))
+    noun chunk).  ``cands`` carries ``prompt_id`` and ``prompt_col``; images
+    and requests are identified by dataset, run, candidate and whole text."""
+    scope = f"{dataset}/{run}"
+    c = cands.withColumn("image_url", misc.candidate_image(scope, prompt_col, *cand_keys))
     qs = evalrows.qca_rows(eval_rows.select("prompt_id", "qca"), keys=("prompt_id",))
     ch = eval_rows.select("prompt_id", F.posexplode("chunks").alias("chunk_pos", "chunk"))
-    return (requests.tifa_requests(c, qs, ["prompt_id"], cand_keys),
-            requests.vqa_requests(c, ch, ["prompt_id"], cand_keys))
+    return (requests.tifa_requests(c, qs, ["prompt_id"], cand_keys, scope=scope),
+            requests.vqa_requests(c, ch, ["prompt_id"], cand_keys, scope=scope))
 
 
-def candidate_score_table(tifa_reqs: DataFrame, tifa_replies: DataFrame, vqa_reqs: DataFrame,
+def candidate_score_table(cands: DataFrame, tifa_reqs: DataFrame, tifa_replies: DataFrame, vqa_reqs: DataFrame,
                           vqa_replies: DataFrame, eval_rows: DataFrame, cand_keys: list[str],
                           soft: bool = False) -> DataFrame:
     """Replies -> TIFA (A1) and VQA (A2 hard / A3 soft) per candidate -> sum
-    (A4), reduced in one aggregation over the stacked question / chunk rows."""
-    ta = replies.attach_replies(tifa_reqs.select("request_id", *cand_keys, "q_pos"), tifa_replies)
+    (A4), reduced in one aggregation over the stacked question / chunk rows.
+
+    Every request counts: it is joined with its one valid reply, or left open,
+    and a score stays null while one of its requests is open.  Every candidate
+    of ``cands`` has a row; without questions (chunks) its score is 0.0."""
+    picked = scores.effective_reply("status", "reply")
+    tr = replies.one_reply(tifa_replies.withColumn("picked", picked), F.col("picked").isNotNull())
+    ta = tifa_reqs.select("request_id", *cand_keys, "q_pos").join(tr.select("request_id", "picked"), "request_id", "left")
     answers = evalrows.qca_rows(eval_rows.select("prompt_id", "qca"), keys=("prompt_id",)) \
         .select("prompt_id", "q_pos", "answer")
-    ta = ta.join(answers, ["prompt_id", "q_pos"]).withColumn("picked", scores.effective_reply("status", "reply"))
-    va = replies.attach_replies(vqa_reqs.select("request_id", *cand_keys, "chunk_pos"), vqa_replies)
+    ta = ta.join(answers, ["prompt_id", "q_pos"])
+    vr = vqa_replies
     if soft:
-        va = va.withColumn("yes_prob", F.when(F.col("status") == scores.FILTERED_STATUS, F.lit(0.0))
-                           .otherwise(scores.yes_probability("top_logprobs")))
+        vr = vr.withColumn("yes_prob", F.when(F.col("status") == scores.FILTERED_STATUS, F.lit(0.0))
+                           .when(F.col("top_logprobs").isNotNull(), scores.yes_probability("top_logprobs")))
+        valid, keep = F.col("yes_prob").isNotNull(), "yes_prob"
     else:
-        va = va.withColumn("reply", scores.effective_reply("status", "reply"))
-    return scores.score_candidates(ta, va, cand_keys, soft=soft)
+        vr = vr.withColumn("reply", picked)
+        valid, keep = yes_no("reply").isNotNull(), "reply"
+    vr = replies.one_reply(vr, valid)
+    va = vqa_reqs.select("request_id", *cand_keys, "chunk_pos").join(vr.select("request_id", keep), "request_id", "left")
+    scored = scores.score_candidates(ta, va, cand_keys, soft=soft)
+    none = {"n_questions": 0, "n_open_questions": 0, "n_correct": 0, "n_chunks": 0, "n_open": 0}
+    out = cands.select(*cand_keys).join(scored, cand_keys, "left")
+    asked = F.col("n_questions").isNotNull()
+    out = out.select(*cand_keys, *[F.coalesce(c, F.lit(v).cast("long")).alias(c) for c, v in none.items()],
+                     F.when(asked, F.col("tifa")).otherwise(F.lit(0.0)).alias("tifa"),
+                     F.when(asked, F.col("vqa")).otherwise(F.lit(0.0)).alias("vqa"),
+                     F.coalesce("answers", F.array().cast("array<string>")).alias("answers"),
+                     F.coalesce("vqa_scores", F.array().cast("array<double>")).alias("vqa_scores"))
+    return out.withColumn("sum", F.col("tifa") + F.col("vqa"))
+
+
+def question_rows(scored: DataFrame, eval_rows: DataFrame, cand_keys: list[str]) -> DataFrame:
+    """The ``qa`` input of the history text (G2): every answered question of a
+    candidate, from the parsed questions and the candidate's ordered answers."""
+    picked = scored.select(*cand_keys, F.posexplode("answers").alias("q_pos", "picked"))
+    return picked.join(evalrows.qca_rows(eval_rows.select("prompt_id", "qca"), keys=("prompt_id",)), ["prompt_id", "q_pos"])
+
+
+def element_rows(scored: DataFrame, eval_rows: DataFrame, cand_keys: list[str]) -> DataFrame:
+    """The ``elements`` input of the history text (G2, J8): every noun chunk of
+    a candidate zipped with its presence score."""
+    probs = scored.select(*cand_keys, F.posexplode("vqa_scores").alias("chunk_pos", "prob"))
+    chunks = eval_rows.select("prompt_id", F.posexplode("chunks").alias("chunk_pos", "chunk"))
+    return probs.join(chunks, ["prompt_id", "chunk_pos"])
 
 
 def iteration_requests(scored: DataFrame, prompts: DataFrame, iteration: int, qa: DataFrame | None = None,
@@ -143,33 +202,39 @@ def iterative_results(scored: DataFrame, prompts: DataFrame) -> tuple[DataFrame,
 
 
 # C7 ---------------------------------------------------------------------------
-def annotation_run(scored: DataFrame, prompts: DataFrame, dataset: str, out_html: str) -> DataFrame:
-    ib = select.iteration_best(scored)
-    ann = history.annotation_rows(scored, ib, prompts, dataset)
-    io.write_annotation_html(history.annotation_html(ann, ["prompt_id", "iter", "cand_pos"]), out_html)
+def annotation_candidates(cands: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The candidates to score in annotation mode: those of the iterations and
+    the original prompt itself, as candidate -1 of iteration 0 (G7)."""
+    return cands.unionByName(history.current_prompt_rows(prompts), allowMissingColumns=True)
+
+
+def annotation_run(scored: DataFrame, prompts: DataFrame, dataset: str, out_html: str, out_rows: str | None = None,
+                   run: str = "0") -> DataFrame:
+    """Annotation rows (G7), the gallery page (K7) and, when a folder is given,
+    the run's rows added to the annotations there (U3)."""
+    ann = history.annotation_rows(scored, prompts, dataset)
+    order = ["prompt_id", "iter", "cand_pos"]
+    io.write_annotation_html(history.annotation_html(ann, order), out_html, order)
+    if out_rows:
+        io.append_annotations(ann, out_rows, run)
     return ann
 
 
 # C8 ---------------------------------------------------------------------------
-def merge_results(spark: SparkSession, combined_path: str | None, shards_root: str, dataset: str,
-                  schema: str, metric_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Combined file first, then every shard; first row per prompt wins; then
-    the scoring-mode averages over the merged rows."""
-    parts = io.read_optional(io.read_result_shards, spark, shards_root, dataset, schema)
-    combined = io.read_optional(io.read_csv, spark, combined_path, schema) if combined_path else None
-    frames = ([combined.withColumn("source_rank", F.lit(0))] if combined is not None else []) + \
-             ([parts] if parts is not None else [])
-    if not frames:
+def merge_results(spark: SparkSession, root: str, dataset: str, schema: str, metric_cols: list[str] | None = None,
+                  list_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The dataset's combined file first, then every shard by process, progress
+    and place in the file; first row per prompt wins; then the averages over
+    the merged rows: of ``metric_cols`` (scoring mode), or of the stringified
+    lists ``list_cols`` (iterative mode)."""
+    parts = io.read_optional(io.read_result_shards, spark, root, dataset, schema)
+    if parts is None:
         raise ValueError(f"no result files for dataset {dataset!r}")
-    merged = merge.merge_results(*frames)
-    for c in ("process", "nextline", "file_name"):
-        if c not in merged.columns:
-            merged = merged.withColumn(c, F.lit(None).cast("string" if c == "file_name" else "int"))
-    if "row_index" not in merged.columns:
-        merged = merged.withColumn("row_index", F.lit(0).cast("long"))
-    first = merge.dedup_keep_first(merged, "original_prompt", ["source_rank", "process", "nextline", "row_index"])
-    avg = select.run_averages_scoring(first, metric_cols) if metric_cols else None
-    return first, avg
+    first = merge.dedup_keep_first(parts, "original_prompt", ["source_rank", "process", "nextline", "file", "position"])
+    if list_cols:
+        lists = first.select(*[io.parse_list_col(c).alias(c) for c in list_cols])
+        return first, select.run_averages_iterative(lists, list_cols)
+    return first, select.run_averages_scoring(first, metric_cols) if metric_cols else None
 
 
 # C9 ---------------------------------------------------------------------------
@@ -202,6 +267,19 @@ def icl_requests(examples: DataFrame, tests: DataFrame, n_examples: int = 100, s
     return requests.icl_requests(tests, ex)
 
 
+def icl_table(reqs: DataFrame, tests: DataFrame, reply_table: DataFrame, keys: list[str] | None = None,
+              answer_label: str = requests.ICL_ANSWER_LABEL) -> DataFrame:
+    """C11, reply half: ``(prompt, improved_prompt)``, the reply without the
+    answer label it may repeat, stripped."""
+    keys = keys or ["prompt_id"]
+    j = replies.attach_replies(reqs.select("request_id", *keys), replies.one_reply(reply_table, F.col("reply").isNotNull()))
+    text = strip("reply")
+    text = F.when(F.startswith(text, F.lit(answer_label)), strip(F.substring(text, F.lit(len(answer_label) + 1), F.length(text)))) \
+        .otherwise(text)
+    return j.select(*keys, text.alias("improved_prompt")).join(tests.select(*keys, "prompt"), keys) \
+        .select("prompt", "improved_prompt")
+
+
 # C12 --------------------------------------------------------------------------
 def timer_summary(times: DataFrame, out_path: str) -> DataFrame:
     summary = misc.timer_averages(times)

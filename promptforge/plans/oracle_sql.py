@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from promptforge.plans.oracles import ORACLES, oracle, pct2  # noqa: F401  (ORACLES is re-exported)
 
 # ---------------------------------------------------------------- selection
@@ -80,14 +82,26 @@ def esc(x: str) -> str:
     return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-def rid(stage: str, *keys: str) -> str:
-    return f"sha256(concat_ws(chr(31), {sq(stage)}, " + ", ".join(f"cast({k} as varchar)" for k in keys) + "))"
+def rid(stage: str, *keys: str, scope: str = "") -> str:
+    parts = ", ".join(f"coalesce('=' || cast({k} as varchar), '~')" for k in keys)
+    return f"sha256(concat_ws(chr(31), {sq(stage)}, {sq(scope)}, {parts}))"
 
 
 def flat(stage: str, keys: list[str], n_messages: str, text: str, src: str, modality: str = "'text'",
-         where: str = "") -> str:
-    return (f"select {rid(stage, *keys)} request_id, {', '.join(keys)}, cast({n_messages} as bigint) n_messages, "
-            f"'user' last_role, {text} last_text, {modality} modality from {src} {where}")
+         image: str = "cast(null as varchar)", before: str = "''", scope: str = "") -> str:
+    return (f"select {rid(stage, *keys, scope=scope)} request_id, {', '.join(keys)}, cast({n_messages} as bigint) n_messages, "
+            f"'user' last_role, {text} last_text, {image} image_url, md5({before}) before_md5, {modality} modality from {src}")
+
+
+def said(template: str, n: int | None = None, **columns: str) -> str:
+    """SQL of a request text: its wording with columns put in."""
+    parts = re.split(r"\{([a-z]+)\}", template)
+    return " || ".join(sq(x) if i % 2 == 0 else sq(str(n)) if x == "n" else columns[x] for i, x in enumerate(parts))
+
+
+def image_sql(scope: str, text: str, *keys: str, folder: str = "") -> str:
+    named = ", ".join(f"coalesce('=' || cast({k} as varchar), '~')" for k in (*keys, text))
+    return f"{sq(folder + scope + '_')} || sha256(concat_ws(chr(31), {sq(scope)}, {named})) || '.png'"
 
 
 _INDEXED = f"select row_number() over (order by prompt_id) - 1 row_index, prompt_id, {strip('raw')} prompt from f_raw_prompts"
@@ -115,17 +129,11 @@ oracle("req_noun_chunks", flat("noun_chunks", ["prompt_id"], "1",
                                f"{sq(_rq.NOUN_PHRASE_INSTRUCTION + chr(10) + chr(10))} || {_P}", "f_raw_prompts"),
        "f_raw_prompts")
 oracle("req_visual_questions", flat("visual_questions", ["prompt_id"], str(len(_rq.DEFAULT_FEW_SHOT) + 1),
-                                    f"{sq(_rq.DESCRIPTION_PREFIX)} || {_P}", "f_raw_prompts"), "f_raw_prompts")
-oracle("req_instant", flat("instant", ["prompt_id"], "1", (
-    sq("Write 4 paraphrases of this text-to-image prompt that keep its meaning: ") + f" || '\"' || {_P} || '\"' || "
-    + sq(". Put each on its own numbered line. Rate each from 0 to 10 for how faithful and appealing "
-         "its image would be and keep improving until one earns 10/10. Finally copy the best one "
-         "between <BEST> and </BEST>, with nothing else inside the tags.")), "f_raw_prompts"), "f_raw_prompts")
-oracle("req_iter_first", flat("iter_0", ["prompt_id"], "1", (
-    sq(_rq.OPTIMIZER_ROLE + "Write 4 paraphrases of this text-to-image prompt that keep its meaning: ")
-    + f" || '\"' || {_P} || '\"' || "
-    + sq(". Put each on its own numbered line. They should lead to faithful, appealing images; "
-         "added details are welcome when they do not contradict the prompt.")), "f_raw_prompts"), "f_raw_prompts")
+                                    f"{sq(_rq.DESCRIPTION_PREFIX)} || {_P}", "f_raw_prompts",
+                                    before=" || chr(30) || ".join(sq(t) for _, t in _rq.DEFAULT_FEW_SHOT)), "f_raw_prompts")
+oracle("req_instant", flat("instant", ["prompt_id"], "1", said(_rq.INSTANT, 4, prompt=_P), "f_raw_prompts"), "f_raw_prompts")
+oracle("req_iter_first", flat("iter_0", ["prompt_id"], "1", said(_rq.OPTIMIZER_ROLE + _rq.FIRST_ITERATION, 4, prompt=_P),
+                              "f_raw_prompts"), "f_raw_prompts")
 oracle("req_generation", f"""select {rid('generation', 'prompt_id', 'row_index')} request_id, prompt_id,
     row_index // 4 batch_no,
     {sq(_tr.FORMATS['hf'][0] + _tr.DEFAULT_INSTRUCTION)} || prompt || {sq(_tr.FORMATS['hf'][1] + GENERATION_MARKER)}
@@ -142,13 +150,6 @@ oracle("noun_chunk_rows", f"select doc_id, chunk_pos, {strip('raw_chunk')} chunk
        extra={"cr": _CROWS})
 oracle("eval_rows_chunks_only", f"""select doc_id, {strip('prompt')} original_prompt, len({_CHUNKS}) n_chunks,
     'NOUN_CHUNK' kind from f_noun_chunks where prompt is not null""", "f_noun_chunks")
-oracle("req_vqa", flat("vqa", ["doc_id", "chunk_pos"], "1",
-                       f"""'Is \"' || {strip('raw_chunk')} || '\" visible in this image? Answer with yes or no only.'""",
-                       "cr", "'multimodal'"), "f_noun_chunks", extra={"cr": _CROWS})
-oracle("chunk_scores", f"""select doc_id, chunk_pos, {strip('raw_chunk')} chunk, round(1.0 / (chunk_pos + 1), 6) prob,
-    '- ' || {strip('raw_chunk')} || ': ' || cast(trunc((1.0 / (chunk_pos + 1)) * 100) as int) line from cr""",
-       "f_noun_chunks", extra={"cr": _CROWS})
-
 # -------------------------------------------------------------------- QCA
 _QPARTS = f"""select doc_id, unnest(ps) part, generate_subscripts(ps, 1) k
     from (select doc_id, string_split(visual_questions, 'Q: ')[2:] ps from f_qca_replies)"""
@@ -173,29 +174,72 @@ oracle("qca_rows", "select doc_id, k - 1 q_pos, q question, c choices, a answer
 oracle("qca_errors", """select 'documents' dataset, row_index, prompt, text
   from (select *, row_number() over (order by doc_id) - 1 row_index from qagg) where anomaly""",
        "f_qca_replies", extra=_QX)
-oracle("qca_json_roundtrip", "select doc_id, prompt, n_questions, questions, choices, answers from qagg",
+oracle("qca_json_roundtrip", "select prompt, n_questions, questions, choices, answers from qagg",
        "f_qca_replies", extra=_QX)
 oracle("eval_rows_qca_only", f"""select doc_id, {strip('prompt')} original_prompt, n_questions, 'QCA' kind
   from qagg where prompt is not null""", "f_qca_replies", extra=_QX)
-oracle("req_tifa", flat("tifa", ["doc_id", "q_pos"], "1",
-                        "'Answer the question about the image below by copying exactly one of the choices.' || chr(10) "
-                        "|| 'Question: ' || q || chr(10) || 'Choices: ' || c || chr(10) || 'Image:'",
-                        "(select doc_id, k - 1 q_pos, q, c from qgood)", "'multimodal'"),
-       "f_qca_replies", extra=_QX)
+def first_row(table: str, order: str) -> str:
+    return f"""select * from (select *, row_number() over (partition by prompt order by {order}) first_r from {table}
+        where prompt is not null) where first_r = 1"""
+
+
 _EVAL = f"""select a.doc_id doc_id_x, b.doc_id doc_id_y, {strip('a.prompt')} original_prompt, a.n_questions,
     len({_CHUNKS.replace('noun_chunks', 'b.noun_chunks')}) n_chunks, a.prompt
-  from qagg a join f_noun_chunks b on a.prompt = b.prompt where a.prompt is not null"""
+  from qfirst a join nfirst b on a.prompt = b.prompt"""
+_EX = {**_QX, "qfirst": first_row("qagg", "doc_id"), "nfirst": first_row("f_noun_chunks", "doc_id"), "ev": _EVAL}
 oracle("eval_rows", "select doc_id_x, doc_id_y, original_prompt, n_questions, n_chunks from ev",
-       "f_qca_replies", "f_noun_chunks", extra={**_QX, "ev": _EVAL})
-oracle("eval_rows_scored", """select doc_id_x, doc_id_y, original_prompt, n_questions, n_chunks, s.quality
-  from ev join (select d.text prompt, l.quality from documents d join labels l on d.doc_id = l.doc_id) s
-  on ev.prompt = s.prompt""", "f_qca_replies", "f_noun_chunks", extra={**_QX, "ev": _EVAL})
+       "f_qca_replies", "f_noun_chunks", extra=_EX)
+oracle("eval_rows_scored", """select doc_id_x, doc_id_y, original_prompt, n_questions, n_chunks, s.scored_id, s.quality
+  from ev join sfirst s on ev.prompt = s.prompt""", "f_qca_replies", "f_noun_chunks", extra={
+           **_EX, "scoring": "select d.text prompt, l.doc_id scored_id, l.quality from documents d join labels l on d.doc_id = l.doc_id",
+           "sfirst": first_row("scoring", "scored_id")})
+
+# ------------------------------------------------------------ scoring run
+_CAND = ["prompt_id", "iter", "cand_pos"]
+_RUN = {**_QX, "cr": _CROWS,
+        "cand": """select doc_id prompt_id, iter, cand_pos, text || ' v' || iter || '.' || cand_pos revised_prompt
+          from documents, (values (0, 0), (0, 1), (1, 0)) g(iter, cand_pos)""",
+        "tq": "select c.*, k - 1 q_pos, q, qgood.c choices, a, prompt_id + (k - 1) * 3 + iter + cand_pos kk from cand c "
+              "join qgood on qgood.doc_id = c.prompt_id",
+        "vq": f"select c.*, chunk_pos, {strip('raw_chunk')} chunk, prompt_id + chunk_pos * 3 + iter + cand_pos kk from cand c "
+              "join cr on cr.doc_id = c.prompt_id",
+        # what the replies amount to: nothing valid, filtered, or an answer
+        "ta": """select *, case when kk % 37 = 1 or kk % 29 = 0 then null when kk % 31 = 3 then ''
+          when kk % 4 <> 0 then 'Yes ' else 'two' end picked from tq""",
+        "va": """select *, case when kk % 37 = 1 or kk % 29 = 0 or kk % 31 = 3 then null
+          when kk % 4 <> 0 then 1 else 0 end seen from vq""",
+        "ts": f"""select prompt_id, iter, cand_pos, count(*) nq, count(*) filter (where picked is null) oq,
+            count(*) filter (where lower({strip('picked')}) = lower({strip('a')})) nc,
+            string_agg(coalesce(picked, '?'), '|' order by q_pos) answers from ta group by all""",
+        "vs": """select prompt_id, iter, cand_pos, count(*) nv, count(*) filter (where seen is null) ov, sum(seen) yes,
+            string_agg(coalesce(cast(seen as varchar), '?'), '' order by chunk_pos) seen_all from va group by all""",
+        "sc": """select c.*, coalesce(nq, 0) n_questions, coalesce(oq, 0) n_open_questions, coalesce(nc, 0) n_correct,
+            coalesce(nv, 0) n_chunks, coalesce(ov, 0) n_open, coalesce(answers, '') answers, coalesce(seen_all, '') vqa_scores,
+            case when coalesce(oq, 0) = 0 then coalesce(nc / nq, 0.0) end tifa,
+            case when coalesce(ov, 0) = 0 then coalesce(yes / nv, 0.0) end vqa
+          from cand c left join ts using (prompt_id, iter, cand_pos) left join vs using (prompt_id, iter, cand_pos)"""}
+_RF = ("f_qca_replies", "f_noun_chunks")
+_IMG = image_sql("docs/1", "revised_prompt", *_CAND)
+oracle("req_tifa", flat("tifa", [*_CAND, "q_pos"], "1", said(_rq.TIFA_QUESTION, question="q", choices="choices"), "tq",
+                        "'multimodal'", _IMG, scope="docs/1"), *_RF, extra=_RUN)
+oracle("req_vqa", flat("vqa", [*_CAND, "chunk_pos"], "1", said(_rq.VQA_QUESTION, chunk="chunk"), "vq",
+                       "'multimodal'", _IMG, scope="docs/1"), *_RF, extra=_RUN)
+oracle("score_run", """select prompt_id, iter, cand_pos, n_questions, n_open_questions, cast(n_correct as bigint) n_correct, n_chunks,
+    n_open, round(tifa, 6) tifa, round(vqa, 6) vqa, round(tifa + vqa, 6) sum, answers, vqa_scores from sc""", *_RF, extra=_RUN)
+oracle("chunk_scores", "select prompt_id, iter, cand_pos, chunk_pos, chunk, cast(seen as double) prob from va", *_RF, extra=_RUN)
+_IDS = " union all ".join(
+    f"select {sq(x)} scope, {rid('noun_chunks', 'prompt_id', 'prompt_key', scope=x)} request_id, prompt_id, prompt_key from ids"
+    for x in ("a/1", "a/2", "b/1"))
+oracle("request_ids", _IDS, "f_raw_prompts", extra={"ids": """select distinct case when prompt_id % 10 <> 0 then prompt_id end prompt_id,
+    raw, sha256(raw) prompt_key from f_raw_prompts"""})
 
 # ---------------------------------------------------------------- replies
 oracle("paraphrase_candidates", f"""select request_id, generate_subscripts(l, 1) - 1 cand_pos, unnest(l) revised_prompt
   from (select request_id, list_filter(list_transform(string_split({strip('reply')}, chr(10)), lambda x: {strip('x')}),
                                        lambda x: length(x) > 0) l from f_replies)""", "f_replies")
 oracle("best_from_reply", f"select request_id, {strip('reply')} best_paraphrase from f_replies", "f_replies")
+oracle("best_tag_extract", f"""select request_id, case when conv_id % 3 <> 0 then {strip("split_part(reply, '</BEST>', 1)")} end best
+  from f_replies""", "f_replies")
 oracle("effective_replies", """select request_id, status, case when status = 'filtered' then '' else reply end reply_used
   from f_replies""", "f_replies")
 oracle("attach_replies", """select q.request_id, q.request_text, r.reply from f_requests q
@@ -203,17 +247,12 @@ oracle("attach_replies", """select q.request_id, q.request_text, r.reply from f_
 oracle("open_requests", """select request_id from f_requests q where not exists (
   select 1 from f_replies r where r.request_id = q.request_id and r.status = 'ok' and r.reply is not null)""",
        "f_requests", "f_replies")
-oracle("req_select_all", flat("select_all", ["reply_id"], "1", sq(
-    "Below is a model's reply that should contain 4 paraphrases of a prompt. Copy the 4 "
-    "paraphrases, one per line, without numbers or indentation, and nothing else.\nReply:\n")
-    + " || '\"' || reply || '\"'", "(select request_id reply_id, reply from f_replies)"), "f_replies")
-oracle("req_select_best", flat("select_best", ["reply_id"], "1", sq(
-    "Below is a model's reply with 4 scored paraphrases of a prompt; the best may be marked "
-    "with <BEST> tags. Reply with one line only: the paraphrase the model chose as best, "
-    "without numbers or indentation.\nReply:\n")
-    + " || '\"' || reply || '\"'", "(select request_id reply_id, reply from f_replies)"), "f_replies")
+oracle("req_select_all", flat("select_all", ["reply_id"], "1", said(_rq.SELECT_ALL, 4, reply="reply"),
+                              "(select request_id reply_id, reply from f_replies)"), "f_replies")
+oracle("req_select_best", flat("select_best", ["reply_id"], "1", said(_rq.SELECT_BEST, 4, reply="reply"),
+                               "(select request_id reply_id, reply from f_replies)"), "f_replies")
 oracle("request_modality", """select request_id, case when conv_id % 2 = 0 then 'multimodal' else 'text' end modality,
-    cast(case when conv_id % 2 = 0 then 2 else 1 end as bigint) n_parts from f_replies""", "f_replies")
+    cast(case when conv_id % 2 = 0 then 2 else 1 end as bigint) n_parts, reply as text from f_replies""", "f_replies")
 
 # ----------------------------------------------------- history / annotation
 _SEL = {"scored": _SCORED, "ib": _ITER_BEST}
@@ -221,47 +260,44 @@ oracle("parse_list_column", "select prompt_id, count(*) n_items, round(max(best_
        "f_candidates", extra=_SEL)
 oracle("history_rows", """select prompt_id, row_number() over (partition by prompt_id order by iter, cand_pos) - 1 hist_pos,
     iter, cand_pos, revised_prompt from scored""", "f_candidates", extra={"scored": _SCORED})
-_QL = f"""select c.prompt_id, c.iter, c.cand_pos, a.q_pos, '- question ' || a.q_pos || ' | choices: A; N | correct: '
-    || a.answer || ' | picked: ' || a.picked || ' | ' || case when a.picked <> a.answer then 'wrong' else 'right' end
-    || chr(10) line from scored c join f_tifa_answers a on c.prompt_id = a.prompt_id where a.q_pos is not null"""
-_QB = "select prompt_id, iter, cand_pos, string_agg(line, '' order by q_pos) qblock from ql group by all"
-_ENT = """select s.*, revised_prompt || chr(10) || 'Overall: ' || cast(trunc(score * 100) as int)
+_QL = f"""select prompt_id, iter, cand_pos, string_agg('- ' || q || ' | choices: '
+    || array_to_string(list_transform(string_split(choices, ','), lambda x: {strip('x')}), '; ') || ' | correct: ' || a || ' | picked: '
+    || picked || ' | ' || case when picked <> a then 'wrong' else 'right' end || chr(10), '' order by q_pos) qblock from ta group by all"""
+_EL = """select prompt_id, iter, cand_pos, string_agg('- ' || chunk || ': ' || seen * 100 || chr(10), '' order by chunk_pos) eblock
+  from va group by all"""
+_ENT = """select s.*, (tifa + vqa) / 2 score, revised_prompt || chr(10) || 'Overall: ' || cast(trunc((tifa + vqa) / 2 * 100) as int)
     || ' | TIFA: ' || cast(trunc(tifa * 100) as int) || ' | VQA: ' || cast(trunc(vqa * 100) as int)
-    || chr(10) || 'Questions:' || chr(10) || coalesce(qblock, '') || 'Elements:' || chr(10) entry
-  from scored s left join qb using (prompt_id, iter, cand_pos)"""
+    || chr(10) || 'Questions:' || chr(10) || coalesce(qblock, '') || 'Elements:' || chr(10) || coalesce(eblock, '') entry
+  from sc s left join ql using (prompt_id, iter, cand_pos) left join el using (prompt_id, iter, cand_pos)
+  where tifa is not null and vqa is not null"""
 _HIST = """select prompt_id, count(*) n_entries, string_agg(chr(10) || chr(10) || rn || '. ' || entry, '' order by rn) history
   from (select *, row_number() over (partition by prompt_id order by score, iter, cand_pos) rn from ent)
   group by prompt_id"""
-_HX = {"scored": _SCORED, "ql": _QL, "qb": _QB, "ent": _ENT, "hist": _HIST}
-oracle("history_text", "select * from hist", "f_candidates", "f_tifa_answers", extra=_HX)
-oracle("req_iter_next", flat("iter_3", ["prompt_id"], "1", (
-    sq(_rq.OPTIMIZER_ROLE + "Improve this prompt written by a person: ") + " || '\"' || original_prompt || '\"' || "
-    + sq(". Earlier attempts follow in ascending order of score (0-100). TIFA is the share of "
-         "multiple-choice questions about the image answered correctly; VQA is the mean presence "
-         "score of the prompt's visual elements.") + " || history || "
-    + sq("\n\nWrite 4 new paraphrases of the initial prompt that keep its meaning and score higher "
-         "than every attempt above, fixing the elements that were missed. Prefer substitutions and "
-         "reorderings to additions. Put each on its own numbered line.")),
-    "(select h.*, p.original_prompt from hist h join f_cand_prompts p using (prompt_id))"),
-       "f_candidates", "f_tifa_answers", "f_cand_prompts", extra=_HX)
+_HX = {**_RUN, "ql": _QL, "el": _EL, "ent": _ENT, "hist": _HIST}
+oracle("history_text", "select * from hist", *_RF, extra=_HX)
+oracle("req_iter_next", flat("iter_3", ["prompt_id"], "1", said(_rq.OPTIMIZER_ROLE + _rq.NEXT_ITERATION, 4, prompt="original_prompt",
+                                                               history="history"),
+                             "(select h.*, d.text original_prompt from hist h join documents d on d.doc_id = h.prompt_id)"),
+       *_RF, extra=_HX)
 _CUR = """select ib.prompt_id, ib.iter, coalesce(lag(best_paraphrase) over w, p.original_prompt) current_prompt,
-    lag(winner_tifa) over w prev_t, lag(winner_vqa) over w prev_v, lag(best_sum) over w prev_s
-  from ib join f_cand_prompts p using (prompt_id) window w as (partition by ib.prompt_id order by ib.iter)"""
-_ANN = f"""select *, './annotations/ds_' || {key_('prompt_used_for_generation')} || '.png' image_path from (
+    case when lag(ib.iter) over w is null then o.tifa else lag(winner_tifa) over w end cur_t,
+    case when lag(ib.iter) over w is null then o.vqa else lag(winner_vqa) over w end cur_v
+  from ib join f_cand_prompts p using (prompt_id) join f_scored_originals o using (prompt_id)
+  window w as (partition by ib.prompt_id order by ib.iter)"""
+_ANN = f"""select *, {image_sql('ds', 'prompt_used_for_generation', folder='./annotations/')} image_path from (
     select s.prompt_id, s.iter, s.cand_pos, s.tifa, s.vqa, s.sum, s.revised_prompt prompt_used_for_generation,
            c.current_prompt original_prompt from scored s join cur c using (prompt_id, iter)
     union all
-    select prompt_id, iter, -1, prev_t, prev_v, prev_s, current_prompt, current_prompt from cur)"""
+    select prompt_id, iter, -1, cur_t, cur_v, cur_t + cur_v, current_prompt, current_prompt from cur)"""
 _AX = {"scored": _SCORED, "ib": _ITER_BEST, "cur": _CUR, "ann": _ANN}
+_AF = ("f_candidates", "f_cand_prompts", "f_scored_originals")
 oracle("annotation_rows", """select prompt_id, iter, cand_pos, round(tifa, 6) tifa, round(vqa, 6) vqa,
-    round(sum, 6) sum, prompt_used_for_generation, original_prompt, image_path from ann""",
-       "f_candidates", "f_cand_prompts", extra=_AX)
-oracle("annotation_html", f"""select cast(0 as bigint) seq, {sq(_hist.HTML_HEADER)} html
-  union all select row_number() over (order by prompt_id, iter, cand_pos),
-    '<div class="item"><span class="index">' || row_number() over (order by prompt_id, iter, cand_pos)
-    || '.</span><img src="' || {esc('image_path')} || '" alt="image"><p>' || {esc('original_prompt')}
-    || '</p></div><div class="sep"></div>' from ann
-  union all select count(*) + 1, {sq(_hist.HTML_FOOTER)} from ann""", "f_candidates", "f_cand_prompts", extra=_AX)
+    round(sum, 6) sum, prompt_used_for_generation, original_prompt, image_path from ann""", *_AF, extra=_AX)
+oracle("annotation_html", f"""select 0 part, null prompt_id, null iter, null cand_pos, {sq(_hist.HTML_HEADER)} html
+  union all select 1, prompt_id, iter, cand_pos, '<li><figure><img alt="" src="' || {esc('image_path')} || '"><figcaption>'
+    || {esc('original_prompt')} || '</figcaption></figure></li>' from ann
+  union all select 2, null, null, null, {sq(_hist.HTML_FOOTER)}""", *_AF, extra=_AX)
+oracle("annotation_append", "select prompt_id, iter, cand_pos, revised_prompt from scored", "f_candidates", extra={"scored": _SCORED})
 
 # ------------------------------------------------------------------ scores
 _CORRECT = f"cast(lower({strip('picked')}) = lower({strip('answer')}) as int)"
@@ -293,9 +329,24 @@ oracle("parse_shard_name", f"""select distinct file_name, process, nextline, spl
   from sh""", "f_shards", extra={"sh": _SH})
 oracle("latest_shard", """select process, max(nextline) nextline, arg_max(file_name, nextline) file_name
   from (select distinct process, nextline, file_name from sh) group by process""", "f_shards", extra={"sh": _SH})
-oracle("merge_shards", """select case when source_rank = 1 then file_name end file_name,
-    case when source_rank = 1 then process end process, case when source_rank = 1 then nextline end nextline,
-    source_rank, row_index, original_prompt, round(score, 6) score from sh""", "f_shards", extra={"sh": _SH})
+oracle("merge_shards", """select file_name, process, nextline, 1 source_rank, row_index, original_prompt, round(score, 6) score
+  from sh""", "f_shards", extra={"sh": _SH})
+_FLAT = """select *, case when source_rank = 0 then 'ds_combined.csv' else file_name end file from sh
+    where nextline <= 80 and (source_rank = 1 and process in (0, 1) or source_rank = 0 and process = 0)"""
+_MRG = """select * from (select *, row_number() over (partition by original_prompt order by source_rank,
+    case when source_rank = 1 then process end, case when source_rank = 1 then nextline end, row_index desc) r from flat) where r = 1"""
+_MX = {"sh": _SH, "flat": _FLAT, "mrg": _MRG}
+oracle("merge_run", f"""select original_prompt, row_index, file file_name, printf('%.4f', score) as value from mrg
+  union all select 'average value', null, null, printf('%.4f', {pct2('avg(score)')}) from mrg""", "f_shards", extra=_MX)
+oracle("merge_run_iterative", f"""select original_prompt, row_index, file file_name, '[' || score || ', 1.5]' as value from mrg
+  union all select 'average value', null, null, printf('%.4f', {pct2('avg(greatest(score, 1.5))')}) from mrg""", "f_shards", extra=_MX)
+oracle("averages_sink", f"""select 'tifa_score' metric, {pct2('avg(tifa)')} value from scored
+  union all select 'vqa_score', {pct2('avg(vqa)')} from scored
+  union all select 'sum_score', {pct2('avg(sum)')} from scored""", "f_candidates", extra={"scored": _SCORED})
+oracle("timer_sink", """select row_number() over (order by min(seq)) - 1 place, purpose, round(coalesce(avg(elapsed), -1.0), 6) average_time
+  from f_purposes group by purpose""", "f_purposes")
+oracle("incremental_batches", """select row_index // 40 batch_no, count(*) n, min(prompt_id) first_id from ix group by row_index // 40""",
+       "f_raw_prompts", extra={"ix": _INDEXED})
 oracle("dedup_keep_first", """select original_prompt, file_name, row_index, round(score, 6) score from (
     select *, row_number() over (partition by original_prompt order by source_rank, process, nextline, row_index) r
     from sh where original_prompt is not null) where r = 1""", "f_shards", extra={"sh": _SH})
@@ -325,8 +376,11 @@ _ICL = """select conv_id, turn, original_prompt prompt, rephrased_prompt best_pa
     md5('42' || conv_id || '-' || turn) sample_key from pairs order by sample_key, conv_id || '-' || turn limit 100"""
 oracle("icl_examples", "select conv_id, turn, prompt, best_paraphrase from icl", "f_pairs",
        extra={**_PX, "icl": _ICL})
+_SHOTS = (f"(select {sq(_rq.ICL_SYSTEM)} || string_agg(chr(30) || {sq(_rq.ICL_PROMPT_LABEL)} || prompt || chr(30) || "
+          f"{sq(_rq.ICL_ANSWER_LABEL)} || best_paraphrase, '' order by sample_key, prompt, best_paraphrase) from icl)")
 oracle("req_icl", f"""select {rid('icl', 'conv_id', 'turn')} request_id, conv_id, turn,
     (select 2 + 2 * count(*) from icl) n_messages, 'user' last_role, {sq(_rq.ICL_PROMPT_LABEL)} || original_prompt last_text,
+    cast(null as varchar) image_url, md5({_SHOTS}) before_md5,
     'text' modality, (select {sq(_rq.ICL_PROMPT_LABEL)} || arg_min(prompt, sample_key) from icl) first_example from f_pairs""",
        "f_pairs", extra={**_PX, "icl": _ICL})
 
@@ -360,6 +414,9 @@ oracle("image_paths", f"""select item_id, 'out/annotations/benchmark_' || {key_(
     'out/benchmark_process3_' || {key_('text')} || '.png' process_path,
     './annotations/benchmark_' || {key_('text')} || '.png' relative_path from benchmark""")
 
+oracle("image_files", """select page_id % 16 as bucket, sum(octet_length(encode(html || chr(10)))) as length,
+    'data:text/plain;base64,' || base64(encode(string_agg(html || chr(10), '' order by page_id))) data_url from pages group by all""")
+
 # ------------------------------------------------------------- streaming
 oracle("incremental_replies", f"""select r.request_id, generate_subscripts(l, 1) - 1 cand_pos, unnest(l) revised_prompt
   from (select request_id, list_filter(list_transform(string_split({strip('reply')}, chr(10)), lambda x: {strip('x')}),

@@ -2,7 +2,8 @@
 
 Written independently of the Spark expressions, straight from the reference's
 described behaviour, over the same fixture views (as CTEs on the driver
-tables).  Doubles are rounded to 6 places on both sides; DuckDB's ``cast`` of
+tables).  Two things are shared with the library: the wording of requests and
+of the gallery page, which are parameters, not behaviour.  Doubles are rounded to 6 places on both sides; DuckDB's ``cast`` of
 a double to int rounds, so truncation is spelled ``trunc``; pandas' half-even
 rounding is spelled out with ``floor``.
 """
@@ -35,7 +36,7 @@ FIXTURE_SQL = {
     "f_raw_prompts": """select doc_id prompt_id,
         case when doc_id % 3 = 0 then chr(9) || ' ' || text || chr(10) else text end raw from documents""",
     "f_noun_chunks": """select doc_id, text prompt,
-        case when doc_id % 50 = 7 then null else split_part(text, chr(10), 1) end noun_chunks from documents""",
+        case when doc_id % 50 <> 7 then text end noun_chunks from documents""",
     "f_qca_replies": """select doc_id, text prompt,
         case when doc_id % 17 = 0 then null
              when doc_id % 13 = 0 then text
@@ -50,11 +51,13 @@ FIXTURE_SQL = {
         case when conv_id % 9 = 0 then 'filtered' else 'ok' end status, text reply
         from conversations where role = 'assistant'""",
     "f_requests": """select conv_id || '-' || turn request_id, conv_id, turn, text request_text
-        from conversations where role in ('user', 'assistant')""",
+        from conversations""",
     "f_candidates": """select l_orderkey prompt_id, cast(l_suppkey % 3 as int) iter,
         cast(l_partkey % 4 as int) cand_pos, 'candidate ' || min(l_partkey) revised_prompt,
         floor(max(l_quantity) / 10) / 5 tifa, floor(max(l_discount) * 40 + 0.5) / 4 vqa
         from lineitem group by l_orderkey, cast(l_suppkey % 3 as int), cast(l_partkey % 4 as int)""",
+    "f_scored_originals": """select o_orderkey prompt_id, 0 iter, -1 cand_pos, 'prompt ' || o_orderkey revised_prompt,
+        (o_orderkey % 6) / 5 tifa, (o_orderkey % 5) / 4 vqa from orders""",
     "f_cand_prompts": """select o_orderkey prompt_id, 'prompt ' || o_orderkey original_prompt from orders""",
     "f_tifa_answers": """select o_orderkey prompt_id, case when l_orderkey is not null then row_number() over
         (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) - 1 end q_pos,

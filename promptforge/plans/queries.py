@@ -102,6 +102,7 @@ from promptforge.functions import messages as M  # noqa: E402
 from promptforge.functions.text import dataset_name, image_key, pct_int, strip  # noqa: E402
 from promptforge.operators import (  # noqa: E402
     evalrows, history, merge, misc, replies, requests, rows, sampling, training)
+from promptforge.plans import jobs  # noqa: E402
 from promptforge.session import scratch_dir  # noqa: E402
 from promptforge.sources import io  # noqa: E402
 
@@ -180,8 +181,8 @@ def q_prompts_to_score(spark, sf_dir):
                                                        F.col("prompt_to_score").alias("default_text"))
 
 
-def _req(df: DataFrame, keys: list[str]) -> DataFrame:
-    return requests.flat_request(df, keys).withColumn("n_messages", L("n_messages"))
+def _req(df: DataFrame, keys: list[str], *more) -> DataFrame:
+    return requests.flat_request(df, keys, *more).withColumn("n_messages", L("n_messages"))
 
 
 @query("req_noun_chunks")
@@ -238,32 +239,6 @@ def q_eval_rows_chunks_only(spark, sf_dir):
                        F.lit(kind).alias("kind"))
 
 
-def _image_url(prompt_col: str, dataset: str) -> F.Column:
-    return misc.image_path(dataset, strip(prompt_col), 0, annotate=False)
-
-
-@query("req_vqa")
-def q_req_vqa(spark, sf_dir):
-    nc = Tables(spark, sf_dir).noun_chunks
-    cands = nc.select("doc_id", _image_url("prompt", "nc").alias("image_url"))
-    chunks = evalrows.chunk_rows(nc, keys=("doc_id",))
-    r = requests.vqa_requests(cands, chunks, ["doc_id"], ["doc_id"])
-    return _req(r, ["doc_id", "chunk_pos"]).withColumn("chunk_pos", L("chunk_pos"))
-
-
-@query("chunk_scores")
-def q_chunk_scores(spark, sf_dir):
-    """Positional zip of each chunk with its presence probability (1 / (1 + i))."""
-    nc = evalrows.chunk_arrays(Tables(spark, sf_dir).noun_chunks)
-    probs = F.transform("chunks", lambda x, i: F.lit(1.0) / (i + 1))
-    z = nc.select("doc_id", F.posexplode(F.arrays_zip(F.col("chunks").alias("chunk"), probs.alias("prob")))
-                  .alias("chunk_pos", "z"))
-    return z.select("doc_id", L("chunk_pos").alias("chunk_pos"), F.col("z.chunk").alias("chunk"),
-                    round6("z.prob").alias("prob"),
-                    F.concat(F.lit("- "), F.col("z.chunk"), F.lit(": "), pct_int("z.prob").cast("string"))
-                    .alias("line"))
-
-
 # -------------------------------------------------------------------- QCA
 def _qca(t: Tables) -> DataFrame:
     return evalrows.qca_table(t.qca_replies, keep=("doc_id",))
@@ -279,7 +254,7 @@ def _qca_flat(df: DataFrame, keys: list[str]) -> DataFrame:
 @query("qca_parse")
 def q_qca_parse(spark, sf_dir):
     q = _qca(Tables(spark, sf_dir))
-    return _qca_flat(q, ["doc_id"]).join(q.select("doc_id", "anomaly"), "doc_id")
+    return _qca_flat(q, ["doc_id", "anomaly"])
 
 
 @query("qca_rows")
@@ -297,12 +272,10 @@ def q_qca_errors(spark, sf_dir):
 
 @query("qca_json_roundtrip")
 def q_qca_json_roundtrip(spark, sf_dir):
-    q = _qca(Tables(spark, sf_dir)).select("doc_id", "prompt", "qca")
+    """K4 + S5: records written as JSON lines and read by the QCA reader."""
     path = scratch_dir(spark, "qca_json")
-    io.write_json(q, path)
-    back = spark.read.schema("doc_id bigint, prompt string, qca struct<questions: array<string>, "
-                             "choices: array<string>, answers: array<string>>").json(path)
-    return _qca_flat(back, ["doc_id", "prompt"])
+    io.write_json(_qca(Tables(spark, sf_dir)).select("prompt", "qca"), path)
+    return _qca_flat(io.read_qca_json(spark, path), ["prompt"])
 
 
 @query("eval_rows_qca_only")
@@ -313,13 +286,69 @@ def q_eval_rows_qca_only(spark, sf_dir):
                        F.lit(kind).alias("kind"))
 
 
+# ------------------------------------------------------------ scoring run
+CAND = ["prompt_id", "iter", "cand_pos"]
+
+
+def _run_eval(t: Tables) -> DataFrame:
+    """prompt_id, qca, chunks of every document."""
+    q = _qca(t).select(F.col("doc_id").alias("prompt_id"), "qca")
+    return q.join(evalrows.chunk_arrays(t.noun_chunks).select(F.col("doc_id").alias("prompt_id"), "chunks"), "prompt_id")
+
+
+def _run_requests(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return jobs.scoring_requests(t.run_candidates, _run_eval(t), "docs", CAND, prompt_col="revised_prompt", run="1")
+
+
+def _run_scores(t: Tables) -> DataFrame:
+    tifa, vqa = _run_requests(t)
+    return jobs.candidate_score_table(t.run_candidates, tifa, t.run_replies(tifa, "q_pos", "Yes ", "two"),
+                                      vqa, t.run_replies(vqa, "chunk_pos", " Yes", "no"), _run_eval(t), CAND)
+
+
 @query("req_tifa")
 def q_req_tifa(spark, sf_dir):
-    q = _qca(Tables(spark, sf_dir))
-    cands = q.select("doc_id", _image_url("prompt", "qca").alias("image_url"))
-    qs = evalrows.qca_rows(q, keys=("doc_id",))
-    r = requests.tifa_requests(cands, qs, ["doc_id"], ["doc_id"])
-    return _req(r, ["doc_id", "q_pos"]).withColumn("q_pos", L("q_pos"))
+    r, _ = _run_requests(Tables(spark, sf_dir))
+    return _req(r, [*CAND, "q_pos"]).withColumn("q_pos", L("q_pos"))
+
+
+@query("req_vqa")
+def q_req_vqa(spark, sf_dir):
+    _, r = _run_requests(Tables(spark, sf_dir))
+    return _req(r, [*CAND, "chunk_pos"]).withColumn("chunk_pos", L("chunk_pos"))
+
+
+@query("score_run")
+def q_score_run(spark, sf_dir):
+    """C4 (R5, R7, A1, A2, A4): requests of every candidate, replies of which
+    some are missing, empty, asked again, filtered or sent twice, scores."""
+    s = _run_scores(Tables(spark, sf_dir))
+    return s.select(*CAND, "n_questions", "n_open_questions", "n_correct", "n_chunks", "n_open", round6("tifa").alias("tifa"),
+                    round6("vqa").alias("vqa"), round6("sum").alias("sum"),
+                    F.array_join("answers", "|", "?").alias("answers"),
+                    F.array_join(F.transform("vqa_scores", lambda x: x.cast("int").cast("string")), "", "?").alias("vqa_scores"))
+
+
+@query("chunk_scores")
+def q_chunk_scores(spark, sf_dir):
+    """Positional zip of each chunk with its presence score."""
+    t = Tables(spark, sf_dir)
+    e = jobs.element_rows(_run_scores(t), _run_eval(t), CAND)
+    return e.select(*CAND, L("chunk_pos").alias("chunk_pos"), "chunk", round6("prob").alias("prob"))
+
+
+@query("request_ids")
+def q_request_ids(spark, sf_dir):
+    """Ids of the same prompts in two datasets and two runs: all differ."""
+    p = Tables(spark, sf_dir).raw_prompts.select(F.when(F.col("prompt_id") % 10 != 0, F.col("prompt_id")).alias("prompt_id"), "raw") \
+        .distinct()
+    out = None
+    for scope in ("a/1", "a/2", "b/1"):
+        r = requests.noun_chunk_requests(p.withColumn("prompt_key", sampling.text_key("raw")), prompt="raw",
+                                         keys=("prompt_id", "prompt_key"), scope=scope)
+        r = r.select(F.lit(scope).alias("scope"), "request_id", "prompt_id", "prompt_key")
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def _eval_rows(t: Tables, scored: bool) -> DataFrame:
@@ -329,8 +358,8 @@ def _eval_rows(t: Tables, scored: bool) -> DataFrame:
     if scored:
         lab = t.labels.select("doc_id", "quality")
         scoring = t.documents.select("doc_id", F.col("text").alias("prompt")).join(lab, "doc_id") \
-                   .select("prompt", "quality")
-    er, kind = evalrows.load_eval_rows(qca=q, chunks=nc, scoring=scoring)
+                   .select("prompt", F.col("doc_id").alias("scored_id"), "quality")
+    er, kind = evalrows.load_eval_rows(qca=q, chunks=nc, scoring=scoring, order_by=["doc_id", "scored_id"])
     return evalrows.eval_info(er, kind)
 
 
@@ -345,7 +374,7 @@ def q_eval_rows(spark, sf_dir):
 def q_eval_rows_scored(spark, sf_dir):
     e = _eval_rows(Tables(spark, sf_dir), True)
     return e.select("doc_id_x", "doc_id_y", "original_prompt", L(F.size("questions")).alias("n_questions"),
-                    L(F.size("chunks")).alias("n_chunks"), "quality")
+                    L(F.size("chunks")).alias("n_chunks"), "scored_id", "quality")
 
 
 # ---------------------------------------------------------------- replies
@@ -361,6 +390,14 @@ def q_best_from_reply(spark, sf_dir):
     return r.select("request_id", replies.best_from_reply("reply").alias("best_paraphrase"))
 
 
+@query("best_tag_extract")
+def q_best_tag_extract(spark, sf_dir):
+    r = Tables(spark, sf_dir).replies
+    tagged = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("1. a <BEST> "), F.col("reply"), F.lit("\n</BEST> <BEST>b</BEST>"))) \
+        .otherwise(F.concat(F.lit("<BEST> no end "), F.col("reply")))
+    return r.select("request_id", replies.best_tag(tagged).alias("best"))
+
+
 @query("effective_replies")
 def q_effective_replies(spark, sf_dir):
     r = Tables(spark, sf_dir).replies
@@ -399,10 +436,10 @@ def q_request_modality(spark, sf_dir):
     r = Tables(spark, sf_dir).replies
     msg = F.when(F.col("conv_id") % 2 == 0,
                  F.array(M.message("user", M.image_part(F.concat(F.lit("img_"), F.col("request_id"))),
-                                   M.text_part("reply")))) \
+                                   M.text_part(F.col("reply"))))) \
            .otherwise(F.array(M.text_message("user", F.col("reply"))))
     return r.select("request_id", M.modality(msg).alias("modality"),
-                    L(F.size(F.get(msg, 0)["content"])).alias("n_parts"))
+                    L(F.size(F.get(msg, 0)["content"])).alias("n_parts"), M.message_text(F.get(msg, 0)).alias("text"))
 
 
 # ----------------------------------------------------- history / annotation
@@ -423,13 +460,10 @@ def q_history_rows(spark, sf_dir):
 
 
 def _history(t: Tables) -> DataFrame:
-    sc = _scored(t)
-    ta = t.tifa_answers.filter(F.col("q_pos").isNotNull())
-    qa = sc.select("prompt_id", "iter", "cand_pos").join(ta, "prompt_id").select(
-        "prompt_id", "iter", "cand_pos", "q_pos",
-        F.concat(F.lit("question "), F.col("q_pos").cast("string")).alias("question"),
-        F.lit("A, N").alias("choices"), "answer", "picked")
-    return history.history_text(sc, qa=qa)
+    """G2 over the scoring run: its parsed questions, answers and elements."""
+    run, ev = _run_scores(t), _run_eval(t)
+    sc = scores.candidate_scores(run.join(t.run_candidates, CAND))
+    return history.history_text(sc, qa=jobs.question_rows(run, ev, CAND), elements=jobs.element_rows(run, ev, CAND))
 
 
 @query("history_text")
@@ -441,12 +475,13 @@ def q_history_text(spark, sf_dir):
 @query("req_iter_next")
 def q_req_iter_next(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    h = _history(t).join(t.cand_prompts, "prompt_id")
-    return _req(requests.next_iteration_requests(h, 3), ["prompt_id"])
+    p = t.documents.select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("original_prompt"))
+    return _req(requests.next_iteration_requests(p.join(_history(t), "prompt_id"), 3), ["prompt_id"])
 
 
 def _annotations(t: Tables) -> DataFrame:
-    return history.annotation_rows(_scored(t), _iter_best(t), t.cand_prompts, "ds")
+    scored = t.candidates.unionByName(t.scored_originals)
+    return history.annotation_rows(scores.candidate_scores(scored), t.cand_prompts, "ds")
 
 
 @query("annotation_rows")
@@ -462,6 +497,17 @@ def q_annotation_html(spark, sf_dir):
     return history.annotation_html(a, ["prompt_id", "iter", "cand_pos"])
 
 
+@query("annotation_append")
+def q_annotation_append(spark, sf_dir):
+    """Two runs appended, one of them twice (a repeated job)."""
+    t = Tables(spark, sf_dir)
+    path = scratch_dir(spark, "annotations")
+    rows_ = _scored(t).select("prompt_id", "iter", "cand_pos", "revised_prompt")
+    for run in ("0", "1", "1"):
+        io.append_annotations(rows_.filter(F.col("iter") % 2 == int(run)), path, run)
+    return io.read_annotations(spark, path, "prompt_id bigint, iter int, cand_pos int, revised_prompt string")
+
+
 # ------------------------------------------------------------------ scores
 @query("tifa_answers")
 def q_tifa_answers(spark, sf_dir):
@@ -521,19 +567,91 @@ SHARD_SCHEMA = "row_index bigint, original_prompt string, score double"
 
 @query("merge_shards")
 def q_merge_shards(spark, sf_dir):
+    """K8 + S7: shards written one folder a name and read back."""
     t = Tables(spark, sf_dir)
     root = scratch_dir(spark, "shards")
-    s = t.shards
-    io.write_csv(s.filter("source_rank = 0").select("row_index", "original_prompt", "score"), f"{root}/combined")
-    io.write_result_shards(s.filter("source_rank = 1").select("file_name", "row_index", "original_prompt", "score"),
-                           f"{root}/parts")
-    combined = io.read_csv(spark, f"{root}/combined", SHARD_SCHEMA).withColumn("source_rank", F.lit(0))
-    parts = io.read_result_shards(spark, f"{root}/parts", "ds", SHARD_SCHEMA)
-    m = merge.merge_results(combined, parts)
+    io.write_result_shards(t.shards.select("file_name", "row_index", "original_prompt", "score"), root)
+    m = io.read_result_shards(spark, root, "ds", SHARD_SCHEMA)
     return m.select("file_name", "process", "nextline", "source_rank", "row_index", "original_prompt",
                     round6("score").alias("score"))
 
 
+def _flat_results(t: Tables, spark, iterative: bool) -> str:
+    """Result files as the original run leaves them, side by side: a combined
+    file and shards with headers in two orders, and a dataset whose name is
+    longer.  Rows stand in the files by descending price."""
+    root = scratch_dir(spark, "flat")
+    s = merge.with_shard_parts(t.shards).filter("nextline <= 80")
+    value = F.concat(F.lit("["), F.col("score").cast("string"), F.lit(", 1.5]")) if iterative else F.col("score")
+    s = s.select("file_name", "source_rank", "process", "row_index", "original_prompt", value.alias("value"))
+
+    def put(rows_, name, cols):
+        rows_.coalesce(1).sortWithinPartitions(F.desc("row_index")).select(*cols).write.option("header", True) \
+            .option("quote", '"').option("escape", '"').csv(f"{root}/{name}")
+
+    a, b = ["row_index", "original_prompt", "value"], ["value", "original_prompt", "row_index"]
+    put(s.filter("source_rank = 0 and process = 0"), "ds_combined.csv", a)
+    for p, nextline in ((0, 40), (0, 80), (1, 40), (1, 80)):
+        part = s.filter(f"source_rank = 1 and file_name = 'ds_process{p}_nextline_{nextline}.csv'")
+        put(part, f"ds_process{p}_nextline_{nextline}.csv", a if p else b)
+    put(s.withColumn("original_prompt", F.lit("other")), "ds_process_x_process0_nextline_40.csv", a)
+    put(s.withColumn("original_prompt", F.lit("other")), "ds2_process0_nextline_40.csv", a)
+    return root
+
+
+def _merge_run(spark, sf_dir, iterative: bool) -> DataFrame:
+    root = _flat_results(Tables(spark, sf_dir), spark, iterative)
+    kind = "string" if iterative else "double"
+    first, avg = jobs.merge_results(spark, root, "ds", f"row_index bigint, original_prompt string, value {kind}",
+                                    **({"list_cols": ["value"]} if iterative else {"metric_cols": ["value"]}))
+    got = first.select("original_prompt", "row_index", "file_name", F.col("value").cast("string").alias("value")) if iterative else \
+        first.select("original_prompt", "row_index", "file_name", F.format_string("%.4f", "value").alias("value"))
+    none = F.lit(None)
+    return got.unionByName(avg.select(F.concat(F.lit("average "), "metric").alias("original_prompt"), none.cast("long").alias("row_index"),
+                                      none.cast("string").alias("file_name"), F.format_string("%.4f", "value").alias("value")))
+
+
+@query("merge_run")
+def q_merge_run(spark, sf_dir):
+    """C8, scoring mode, over flat files with mixed headers."""
+    return _merge_run(spark, sf_dir, False)
+
+
+@query("merge_run_iterative")
+def q_merge_run_iterative(spark, sf_dir):
+    """C8, iterative mode: averages from stringified lists."""
+    return _merge_run(spark, sf_dir, True)
+
+
+@query("averages_sink")
+def q_averages_sink(spark, sf_dir):
+    """K5: the averages written and read back."""
+    path = scratch_dir(spark, "averages")
+    io.write_averages(q_run_averages_scoring(spark, sf_dir), path)
+    return io.read_csv(spark, path, "metric string, value double")
+
+
+@query("timer_sink")
+def q_timer_sink(spark, sf_dir):
+    """K6: the timer summary written in first-seen order and read back."""
+    path = scratch_dir(spark, "timers")
+    io.write_timer_summary(misc.timer_averages(Tables(spark, sf_dir).purposes), path)
+    back = io.read_csv(spark, path, "Purpose string, `Average Time` double")
+    back = back.select(F.col("Purpose").alias("purpose"), F.col("Average Time").alias("average_time"))
+    return rows.first_rows(back.withColumn("_at", F.monotonically_increasing_id()), ["_at"], 1000, "place") \
+        .select("place", "purpose", round6("average_time").alias("average_time"))
+
+
+@query("incremental_batches")
+def q_incremental_batches(spark, sf_dir):
+    """K8: rows appended in two calls, their batch a column."""
+    path = scratch_dir(spark, "batches")
+    numbered = _indexed_prompts(Tables(spark, sf_dir)).select("prompt_id", rows.batch_number("row_index", 40).alias("batch_no"))
+    for part in (0, 1):
+        io.write_incremental(numbered.filter(F.col("batch_no") % 2 == part), path)
+    return spark.read.parquet(path).groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.min("prompt_id").alias("first_id"))
+
+
 @query("dedup_keep_first")
 def q_dedup_keep_first(spark, sf_dir):
     s = _shards(Tables(spark, sf_dir))
@@ -613,8 +731,7 @@ def q_req_icl(spark, sf_dir):
     t = Tables(spark, sf_dir)
     tests = t.pairs.select("conv_id", "turn", F.col("original_prompt").alias("prompt"))
     r = requests.icl_requests(tests, _icl_examples(t), keys=("conv_id", "turn"))
-    return _req(r, ["conv_id", "turn"]).join(
-        r.select("request_id", M.message_text(F.get("messages", 1)).alias("first_example")), "request_id")
+    return _req(r, ["conv_id", "turn"], M.message_text(F.get("messages", 1)).alias("first_example"))
 
 
 # ------------------------------------------------------- existing / resume
@@ -672,8 +789,8 @@ def q_generated_prompts(spark, sf_dir):
 # ------------------------------------------------------------------ images
 @query("data_url")
 def q_data_url(spark, sf_dir):
-    # (path, bytes) rows shaped like the binaryFile source (S9, exercised in
-    # tests): one file per image would mean one output folder per page here.
+    # (path, bytes) rows shaped like the binaryFile source (S9: image_files):
+    # one file per image would mean one output folder per page here
     files = Tables(spark, sf_dir).images.select(
         F.col("path").alias("image_name"), F.encode(F.concat("html", F.lit("\n")), "UTF-8").alias("content"))
     return files.select("image_name", misc.mime_type("image_name").alias("mime"),
@@ -696,6 +813,16 @@ def q_image_paths(spark, sf_dir):
                     misc.relative_path(ann, "out/").alias("relative_path"))
 
 
+@query("image_files")
+def q_image_files(spark, sf_dir):
+    """S9 + P11: pages written as files (one a bucket) and read as bytes."""
+    path = scratch_dir(spark, "images")
+    p = Tables(spark, sf_dir).pages.withColumn("bucket", F.pmod("page_id", F.lit(16)))
+    p.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "html").write.partitionBy("bucket").text(path)
+    files = io.read_images(spark, path, "*.txt")
+    return files.select(L("bucket").alias("bucket"), L("length").alias("length"), misc.data_url("path", "content").alias("data_url"))
+
+
 # ------------------------------------------------------------- streaming
 @query("incremental_replies")
 def q_incremental_replies(spark, sf_dir):

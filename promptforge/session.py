@@ -1,59 +1,49 @@
 """Session construction and shared scratch locations.
 
-Scratch data (round-trip files, lineage cuts) always lives under the
-checkpoint directory the cluster names in ``spark.checkpoint.dir``; only when
-that is unset (local tests) do we create one ourselves.
+``get_spark`` sets nothing that the submitter of a cluster job owns (master,
+memory, shuffle partitions): pass such settings as ``conf`` where they are
+wanted, as ``tools/local.py`` does for tests and the bench.
+
+Scratch data (round-trip files, lineage cuts) lives under the checkpoint
+directory the cluster names in ``spark.checkpoint.dir``.  Only a local session
+that names none gets a folder of its own; on a cluster a machine-local folder
+would be invisible to the other executors, so that raises.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def get_spark(master: str | None = None, app: str = "promptforge",
-              shuffle_partitions: int | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        # checkpoint files of row numbering are dropped once unreferenced
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        # base64() must not break lines every 76 characters (data URLs)
-        .config("spark.sql.chunkBase64String.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("PF_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
+def get_spark(master: str | None = None, app: str = "promptforge", conf: dict[str, str] | None = None) -> SparkSession:
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory, creating a local one only
-    when the cluster configured none (tests, local runs)."""
+    """The session's checkpoint directory; a local session without one gets a
+    new temporary folder, any other is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="promptforge-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="promptforge-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:

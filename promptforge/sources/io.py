@@ -50,11 +50,6 @@ def read_prompt_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(f"{folder.rstrip('/')}/*.txt").select(one_line("value").alias("prompt"))
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a corpus table with a ``text`` column."""
-    return spark.read.parquet(path)
-
-
 def _as_schema(spark: SparkSession, schema: T.StructType | str) -> T.StructType:
     if isinstance(schema, T.StructType):
         return schema
@@ -104,33 +99,50 @@ def read_optional(read, *args, **kwargs) -> DataFrame | None:
         raise
 
 
-def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str,
-                       layout: str = "partitioned") -> DataFrame:
-    """S7 + S8: the result shards of dataset ``name`` under ``root``; corrupt or
-    empty files are skipped.  Adds ``file_name``, ``process``, ``nextline`` and
-    ``source_rank`` (0 for the combined file, 1 for shards).
-
-    ``layout="partitioned"``: as written by ``write_result_shards`` (one
-    ``shard=<file name>`` folder per shard).  ``layout="flat"``: the original
-    pipeline's files side by side — ``{name}_process{p}_nextline_{n}.csv`` and
-    ``{name}_combined.csv``; other files with the same prefix (averages, timer
-    results, longer dataset names) are not read.  All files of one read must
-    share one header layout (Spark's CSV scan applies the first header to every
-    file); the original pipeline writes them all the same way.
+def _shard_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(file, file_name, header) of the CSV files of dataset ``name`` under
+    ``root``, in either layout: ``{name}_process{p}_nextline_{n}.csv`` and
+    ``{name}_combined.csv`` side by side (files, or folders of part files), or
+    ``shard=<file name>`` folders.  The whole name must match, so a longer
+    dataset name is another dataset."""
+    exact = rf"/(?:shard=)?(\Q{name}\E_(?:process\d+_nextline_\d+|combined)\.csv)(?:/|$)"
+    pattern = f"{root}/{{{name}_*.csv,shard={name}_*.csv}}"
+    lines = spark.read.option("recursiveFileLookup", "true").text(pattern)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    lines = lines.withColumn("n", F.monotonically_increasing_id())  # rows of a split are in file order
+    lines = lines.withColumn("file_name", F.regexp_extract("file", exact, 1)).filter("file_name <> '' and at = 0")
+    return lines.groupBy("file", "file_name").agg(F.min_by("value", "n").alias("header"))
+
+
+def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
+    """S7 + S8: the result files of dataset ``name`` under ``root`` (layouts:
+    :func:`_shard_files`).  Files may have different headers: each group of
+    files with one header is read by it, and the groups are united by column
+    name (missing columns become null).  Empty files are skipped.
+
+    Adds ``file_name``, ``process``, ``nextline``, ``source_rank`` (0 for the
+    combined file, 1 for shards), ``file`` and ``position``, which orders the
+    rows of a file as they stand in it.
     """
-    root = root.rstrip("/")
+    from pyspark.errors import AnalysisException
+
     st = _as_schema(spark, schema)
-    r = spark.read.options(**_CSV_OPTS).option("ignoreCorruptFiles", "true").option("mode", "PERMISSIVE")
-    if layout == "partitioned":
-        raw = r.option("basePath", root).csv(f"{root}/shard={name}*").withColumnRenamed("shard", "file_name")
-        df = _by_name(raw, st, ("file_name",)).withColumn("source_rank", F.lit(1))
-    elif layout == "flat":
-        raw = r.csv(f"{root}/{{{name}_process*_nextline_*.csv,{name}_combined.csv}}")
-        df = _by_name(raw.withColumn("file_name", F.col("_metadata.file_name")), st, ("file_name",))
-        df = df.withColumn("source_rank", F.when(F.col("file_name") == f"{name}_combined.csv", 0).otherwise(1))
-    else:
-        raise ValueError(f"unknown layout {layout!r}")
-    return with_shard_parts(df, "file_name")
+    files = _shard_files(spark, root.rstrip("/"), name).collect()  # one row a file
+    if not files:
+        raise AnalysisException(f"PATH_NOT_FOUND: no result files of dataset {name!r} under {root}")
+    out = None
+    for header in sorted({f["header"] for f in files}):
+        paths = [f["file"] for f in files if f["header"] == header]
+        raw = spark.read.options(**_CSV_OPTS).csv(paths)
+        raw = raw.withColumn("file", F.col("_metadata.file_path")).withColumn("position", F.monotonically_increasing_id())
+        known = {c: F.col(f"`{c}`") for c in raw.columns}
+        fields = [known.get(f.name, F.lit(None)).try_cast(f.dataType).alias(f.name) for f in st.fields if f.name not in INDEX_COLUMNS]
+        part = raw.select(*fields, "file", "position")
+        out = part if out is None else out.unionByName(part)
+    exact = r"/(?:shard=)?([^/]*_(?:process\d+_nextline_\d+|combined)\.csv)(?:/|$)"
+    out = out.withColumn("file_name", F.regexp_extract("file", exact, 1))
+    out = out.withColumn("source_rank", F.when(F.endswith("file_name", F.lit("_combined.csv")), 0).otherwise(1))
+    return with_shard_parts(out, "file_name")
 
 
 def read_images(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -173,14 +185,22 @@ def write_csv(df: DataFrame, path: str, index_col: str | None = None, mode: str
 
 
 def write_result_shards(df: DataFrame, root: str, shard_col: str = "file_name", mode: str = "append") -> None:
-    """K8 counterpart of S7: one folder per shard name."""
-    _flatten_for_csv(df).withColumnRenamed(shard_col, "shard").write.mode(mode).partitionBy("shard") \
+    """K8 counterpart of S7: one folder and one file per shard name (rows are
+    brought together by shard first, not one file per task and shard)."""
+    _flatten_for_csv(df).withColumnRenamed(shard_col, "shard").repartition("shard").write.mode(mode).partitionBy("shard") \
         .options(**_CSV_OPTS).csv(root)
 
 
-def append_annotations(df: DataFrame, path: str) -> None:
-    """New annotation rows are appended to the existing ones (no rewrite)."""
-    _flatten_for_csv(df).write.mode("append").options(**_CSV_OPTS).csv(path)
+def append_annotations(df: DataFrame, path: str, run: str) -> None:
+    """The annotation rows of one run are added to the existing ones (no
+    rewrite).  They live in a folder of their own, so writing a run again
+    replaces its rows instead of adding them twice."""
+    _flatten_for_csv(df).write.mode("overwrite").options(**_CSV_OPTS).csv(f"{path.rstrip('/')}/run={run}")
+
+
+def read_annotations(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """All runs of :func:`append_annotations`."""
+    return read_csv(spark, f"{path.rstrip('/')}/run=*", schema)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -200,12 +220,13 @@ def write_timer_summary(df: DataFrame, path: str) -> None:
     out.coalesce(1).write.mode("overwrite").options(**_CSV_OPTS).csv(path)
 
 
-def write_annotation_html(blocks: DataFrame, path: str) -> None:
-    """K7: the gallery page, blocks in ``seq`` order (range-partitioned sort:
-    part files follow the order)."""
-    blocks.orderBy("seq").select("html").write.mode("overwrite").text(path)
+def write_annotation_html(blocks: DataFrame, path: str, order_cols: list[str]) -> None:
+    """K7: the gallery page, parts in order (range-partitioned sort: part files
+    follow the order)."""
+    blocks.orderBy("part", *order_cols).select("html").write.mode("overwrite").text(path)
 
 
 def write_incremental(df: DataFrame, path: str, batch_col: str = "batch_no") -> None:
-    """K8: results appended per batch; each batch is its own partition folder."""
-    df.write.mode("append").partitionBy(batch_col).parquet(path)
+    """K8: results appended per call; the batch number is a column of ordinary
+    files (a folder for every few rows would drown the file system)."""
+    df.sortWithinPartitions(batch_col).write.mode("append").parquet(path)

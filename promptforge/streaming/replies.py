@@ -5,7 +5,7 @@ finished prompts.  The Spark form of that loop: reply files land in a folder
 as they are produced; a streaming query picks up only new files, joins them
 to the (static) request table by ``request_id``, parses them and appends the
 result.  Progress lives in the checkpoint location, so a restarted or
-failed run continues exactly where it stopped (exactly-once file sink).
+failed run continues where it stopped, and batches are idempotent.
 """
 
 from __future__ import annotations
@@ -29,13 +29,26 @@ def reply_stream(spark: SparkSession, reply_dir: str, schema: str = REPLY_SCHEMA
 
 def ingest_replies(spark: SparkSession, reply_dir: str, requests: DataFrame, out_dir: str, checkpoint: str,
                    parse: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
-                   schema: str = REPLY_SCHEMA) -> StreamingQuery:
-    """Stream-static inner join of new reply files with the request table
-    (R6 / J10), optional parsing, append to Parquet."""
-    joined = reply_stream(spark, reply_dir, schema).join(requests, "request_id", "inner")
-    out = parse(joined) if parse else joined
-    w = (out.withColumn("ingested_at", F.current_timestamp())
-         .writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-         .outputMode("append"))
+                   schema: str = REPLY_SCHEMA, unmatched_dir: str | None = None) -> StreamingQuery:
+    """New reply files joined with the request table (R6 / J10), optionally
+    parsed, appended to Parquet under ``out_dir/batch=<n>``.
+
+    A reply whose request is not known yet is kept in ``unmatched_dir`` (beside
+    ``out_dir`` by default) and tried again with every later batch.  Each batch
+    overwrites folders of its own number, so a batch that is run again after a
+    failure leaves the same rows."""
+    waiting = (unmatched_dir or out_dir.rstrip("/") + "_unmatched").rstrip("/")
+
+    def write(batch: DataFrame, number: int) -> None:
+        pool = batch
+        if number:
+            pool = pool.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{waiting}/batch={number - 1}"))
+        joined = pool.join(requests, "request_id")
+        out = parse(joined) if parse else joined
+        out.withColumn("ingested_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={number}")
+        left = pool.join(requests.select("request_id"), "request_id", "left_anti")
+        left.select(*batch.columns).write.mode("overwrite").parquet(f"{waiting}/batch={number}")
+
+    w = reply_stream(spark, reply_dir, schema).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

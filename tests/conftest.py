@@ -10,8 +10,8 @@ SF0001 = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from promptforge.session import get_spark
-    s = get_spark(master="local[*]", shuffle_partitions=8)
+    from tools.local import local_spark
+    s = local_spark("*")
     yield s
     s.stop()
 

@@ -71,45 +71,80 @@ def test_mode_checks_and_prompt_to_score(spark):
     assert [r.prompt_to_score for r in evalrows.prompt_to_score(df).collect()] == ["p", "q"]
 
 
-def test_scoring_job_end_to_end(spark, tmp_dir):
-    from promptforge.operators import evalrows, training
-    from promptforge.sources import io
+def _scoring_inputs(spark):
+    from promptforge.operators import evalrows
     qca = evalrows.qca_table(spark.createDataFrame(
-        [("a red kite", "Q: is there a kite?\nChoices: yes, no\nA: yes\nQ: color?\nChoices: red, blue\nA: red")],
+        [("a red kite", "Q: is there a kite?\nChoices: yes, no\nA: yes\nQ: color?\nChoices: red, blue\nA: red"), ("plain", "no questions")],
         "prompt string, visual_questions string"))
-    chunks = spark.createDataFrame([("a red kite", "red kite, sky")], "prompt string, noun_chunks string")
+    chunks = spark.createDataFrame([("a red kite", "red kite, sky"), ("plain", "x")], "prompt string, noun_chunks string")
     rows_, kind = evalrows.load_eval_rows(qca=qca.select("prompt", "qca"), chunks=chunks)
-    ev = evalrows.eval_info(rows_, kind).withColumn("prompt_id", F.lit(1).cast("long"))
-    cands = ev.select("prompt_id", F.lit(0).alias("cand_pos"), F.col("original_prompt").alias("prompt_to_score"))
-    treq, vreq = jobs.scoring_requests(cands, ev, "ds", ["prompt_id", "cand_pos"])
-    assert treq.count() == 2 and vreq.count() == 2
-    # replies produced elsewhere, keyed by request_id
-    trep = treq.select("request_id", F.lit("ok").alias("status"),
-                       F.when(F.col("q_pos") == 0, " Yes").otherwise("blue").alias("reply"))
-    vrep = vreq.select("request_id", F.lit("ok").alias("status"),
-                       F.when(F.col("chunk_pos") == 0, "yes").otherwise("no").alias("reply"))
-    sc = jobs.candidate_score_table(treq, trep, vreq, vrep, ev, ["prompt_id", "cand_pos"]).collect()[0]
-    assert (sc.tifa, sc.vqa, sc["sum"], sc.answers) == (0.5, 0.5, 1.0, [" Yes", "blue"])
+    ids = F.when(F.col("prompt") == "plain", 2).otherwise(1).cast("long")
+    ev = evalrows.eval_info(rows_, kind).withColumn("prompt_id", ids)
+    # the plain prompt has no chunks either
+    return ev.withColumn("chunks", F.when(F.col("prompt_id") == 1, F.col("chunks")).otherwise(F.array().cast("array<string>")))
+
+
+def test_scoring_job_with_imperfect_replies(spark):
+    ev, keys = _scoring_inputs(spark), ["prompt_id", "cand_pos"]
+    long = "a common opening of more than fifty characters, then "
+    cands = spark.createDataFrame([(1, 0, long + "a"), (1, 1, long + "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, "plain")],
+                                  "prompt_id long, cand_pos int, prompt_to_score string")
+    treq, vreq = jobs.scoring_requests(cands, ev, "ds", keys)
+    assert treq.count() == 8 and vreq.count() == 8
+    urls = {r.u for r in vreq.select(vreq.messages[0].content[0].image_url.alias("u")).collect()}
+    assert len(urls) == 4  # one image per candidate
+    trep = treq.select("request_id", F.lit("ok").alias("status"), F.when(F.col("q_pos") == 0, " Yes").otherwise("blue").alias("reply"),
+                       "cand_pos", "q_pos")
+    vrep = vreq.select("request_id", F.lit("ok").alias("status"), F.when(F.col("chunk_pos") == 0, "yes").otherwise("no").alias("reply"),
+                       "cand_pos", "chunk_pos")
+    drop = ["cand_pos", "q_pos", "chunk_pos"]
+    # 1: one question unanswered; 2: an unclear reply asked again, and a reply sent twice; 3: filtered
+    trep = trep.filter("not (cand_pos = 1 and q_pos = 1)").unionByName(trep.filter("cand_pos = 2")) \
+        .withColumn("status", F.when(F.col("cand_pos") == 3, "filtered").otherwise("ok")) \
+        .withColumn("reply", F.when(F.col("cand_pos") == 3, None).otherwise(F.col("reply")))
+    vrep = vrep.unionByName(vrep.filter("cand_pos = 2").withColumn("reply", F.lit("perhaps")))
+    got = {(r.prompt_id, r.cand_pos): r for r in jobs.candidate_score_table(
+        cands, treq, trep.drop(*drop), vreq, vrep.drop(*drop), ev, keys).collect()}
+    assert (got[1, 0].tifa, got[1, 0].vqa, got[1, 0]["sum"], got[1, 0].answers, got[1, 0].vqa_scores) == (0.5, 0.5, 1.0, [" Yes", "blue"], [1.0, 0.0])
+    assert (got[1, 1].n_questions, got[1, 1].n_open_questions, got[1, 1].tifa, got[1, 1]["sum"]) == (2, 1, None, None)
+    assert (got[1, 2].n_questions, got[1, 2].n_chunks, got[1, 2].n_open, got[1, 2]["sum"]) == (2, 2, 0, 1.0)
+    assert (got[1, 3].tifa, got[1, 3].n_open_questions, got[1, 3].answers) == (0.0, 0, ["", ""])
+    assert (got[2, 0].tifa, got[2, 0].vqa, got[2, 0]["sum"], got[2, 0].answers) == (0.0, 0.0, 0.0, [])
 
+
+def test_soft_scores_in_order(spark):
+    ev, keys = _scoring_inputs(spark), ["prompt_id", "cand_pos"]
+    cands = spark.createDataFrame([(1, 0, "p")], "prompt_id long, cand_pos int, prompt_to_score string")
+    treq, vreq = jobs.scoring_requests(cands, ev, "ds", keys)
+    trep = treq.select("request_id", F.lit("ok").alias("status"), F.lit("yes").alias("reply"))
+    vrep = vreq.select("request_id", F.when(F.col("chunk_pos") == 0, "ok").otherwise("filtered").alias("status"),
+                       F.expr("array(struct('no' as token, -9.0D as logprob), struct(' Yes' as token, 0.0D as logprob))").alias("top_logprobs"))
+    got = jobs.candidate_score_table(cands, treq, trep, vreq, vrep, ev, keys, soft=True).collect()[0]
+    assert (got.vqa_scores, got.vqa, got.tifa) == ([1.0, 0.0], 0.5, 0.5)
+
+
+def test_merge_and_training_jobs(spark, tmp_dir):
+    from promptforge.sources import io
     # Combined file first, then shards; C9: training text from the merged rows
-    shards = spark.createDataFrame([("ds_process0_nextline_40.csv", 3, "p", "shard"), ("ds_process1_nextline_40.csv", 1, "q", "x")],
-                                   "file_name string, row_index long, original_prompt string, best_paraphrase string")
+    shards = spark.createDataFrame([("ds_combined.csv", "p", "combined"), ("ds_process0_nextline_40.csv", "p", "shard"),
+                                    ("ds_process1_nextline_40.csv", "q", "x"), ("ds2_process0_nextline_40.csv", "r", "other")],
+                                   "file_name string, original_prompt string, best_paraphrase string")
     io.write_result_shards(shards, f"{tmp_dir}/parts")
-    io.write_csv(spark.createDataFrame([(0, "p", "combined")], "row_index long, original_prompt string, best_paraphrase string"),
-                 f"{tmp_dir}/combined")
-    first, _ = jobs.merge_results(spark, f"{tmp_dir}/combined", f"{tmp_dir}/parts", "ds",
-                                  "row_index long, original_prompt string, best_paraphrase string")
+    first, _ = jobs.merge_results(spark, f"{tmp_dir}/parts", "ds", "original_prompt string, best_paraphrase string")
     got = {r.original_prompt: r.best_paraphrase for r in first.collect()}
     assert got == {"p": "combined", "q": "x"}
     text = {r.text for r in jobs.training_table(first, "chatml").collect()}
     assert any(t.startswith("<|im_start|>user ") and t.endswith("Here is the rephrased prompt: combined") for t in text)
 
-    # C11: examples sampled once, folded into every request
+    # C11: examples sampled once, folded into every request; replies give the improved prompts
     ex = first.select(F.col("original_prompt").alias("prompt"), "best_paraphrase")
-    tests = spark.createDataFrame([(7, "new prompt")], "prompt_id long, prompt string")
-    msgs = jobs.icl_requests(ex, tests, n_examples=1).collect()[0].messages
+    tests = spark.createDataFrame([(7, "new prompt"), (8, "other")], "prompt_id long, prompt string")
+    reqs = jobs.icl_requests(ex, tests, n_examples=1)
+    msgs = reqs.filter("prompt_id = 7").collect()[0].messages
     assert len(msgs) == 4 and msgs[-1].content[0].text == "Prompt: new prompt"
-    assert training is not None
+    rep = reqs.select("request_id", F.when(F.col("prompt_id") == 7, "Rewritten: a better one ").otherwise(" plain ").alias("reply"))
+    table = jobs.icl_table(reqs, tests, rep.unionByName(rep))
+    assert sorted(map(tuple, table.collect())) == [("new prompt", "a better one"), ("other", "plain")]
 
 
 def test_eval_rows_from_files_skips_missing_inputs(spark, tmp_dir):
@@ -147,17 +182,23 @@ def test_preparation_and_reply_jobs(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/in", exist_ok=True)
     open(f"{tmp_dir}/in/ds.txt", "w").write(" a red kite \nblue sea\n")
     finished = spark.createDataFrame([("blue sea",)], "prompt string")
-    reqs = jobs.preparation_requests(spark, f"{tmp_dir}/in", finished=finished)
+    reqs = jobs.preparation_requests(spark, f"{tmp_dir}/in", "ds", finished=finished)
     assert reqs.count() == 1
-    lines = __import__("promptforge.sources.io", fromlist=["io"]).read_prompt_lines(spark, f"{tmp_dir}/in")
+    other = jobs.preparation_requests(spark, f"{tmp_dir}/in", "ds2")
+    assert not {r.request_id for r in reqs.collect()} & {r.request_id for r in other.collect()}
+    lines = jobs.prompt_lines(spark, f"{tmp_dir}/in")
     rep = reqs.select("request_id", F.lit("kite, sea").alias("reply"))
-    nc = jobs.noun_chunk_table(reqs, lines, rep).collect()
+    nc = jobs.noun_chunk_table(reqs, lines, rep, out_csv=f"{tmp_dir}/chunks").collect()
     assert [(r.prompt, r.noun_chunks) for r in nc] == [("a red kite", "kite, sea")]
-    vreqs = jobs.preparation_requests(spark, f"{tmp_dir}/in", kind="visual_questions")
+    vreqs = jobs.preparation_requests(spark, f"{tmp_dir}/in", "ds", kind="visual_questions")
     vrep = vreqs.select("request_id", F.when(F.col("line_no") == 0, "Q: kite?\nChoices: yes, no\nA: yes")
                         .otherwise("Q: broken").alias("reply"))
-    parsed, errors = jobs.qca_table(vreqs, lines, vrep, "ds")
+    parsed, errors = jobs.qca_table(vreqs, lines, vrep, "ds", f"{tmp_dir}/qca", f"{tmp_dir}/errors")
     assert parsed.count() == 2 and [r.row_index for r in errors.collect()] == [1]
+    from promptforge.sources import io
+    assert io.read_csv(spark, f"{tmp_dir}/chunks", "prompt string, noun_chunks string").count() == 1
+    assert io.read_qca_json(spark, f"{tmp_dir}/qca").count() == 2
+    assert io.read_csv(spark, f"{tmp_dir}/errors", "dataset string, row_index long").collect()[0].row_index == 1
 
 
 def test_instant_annotation_and_timer_jobs(spark, tmp_dir):
@@ -173,7 +214,9 @@ def test_instant_annotation_and_timer_jobs(spark, tmp_dir):
     assert best.select(replies.best_from_reply("reply")).first()[0] == "y"
     sc = scores.candidate_scores(spark.createDataFrame([(1, 0, 0, "p <b>", 0.5, 0.5)],
                                                        "prompt_id long, iter int, cand_pos int, revised_prompt string, tifa double, vqa double"))
-    ann = jobs.annotation_run(sc, prompts, "ds", f"{tmp_dir}/html")
+    both = jobs.annotation_candidates(sc.select("prompt_id", "iter", "cand_pos", "revised_prompt"), prompts)
+    assert {(r.cand_pos, r.revised_prompt) for r in both.collect()} == {(0, "p <b>"), (-1, "a cat")}
+    ann = jobs.annotation_run(sc, prompts, "ds", f"{tmp_dir}/html", f"{tmp_dir}/ann", "1")
     assert ann.count() == 2
     page = "".join(open(os.path.join(f"{tmp_dir}/html", f)).read() for f in sorted(os.listdir(f"{tmp_dir}/html"))
                    if f.endswith(".txt"))
@@ -207,7 +250,7 @@ def test_readme_quick_start(spark, tmp_dir):
     tifa_rep = tifa_req.select("request_id", F.lit("ok").alias("status"),
                                F.when(F.col("cand_pos") == 1, "yes").otherwise("no").alias("reply"))
     vqa_rep = vqa_req.select("request_id", F.lit("ok").alias("status"), F.lit("yes").alias("reply"))
-    scored = jobs.candidate_score_table(tifa_req, tifa_rep, vqa_req, vqa_rep, ev, ["prompt_id", "iter", "cand_pos"])
+    scored = jobs.candidate_score_table(cands, tifa_req, tifa_rep, vqa_req, vqa_rep, ev, ["prompt_id", "iter", "cand_pos"])
     result, averages = jobs.iterative_results(
         scores.candidate_scores(scored.join(cands, ["prompt_id", "iter", "cand_pos"])), prompts)
     r = result.collect()[0]
@@ -216,13 +259,26 @@ def test_readme_quick_start(spark, tmp_dir):
 
 
 def test_merge_results_with_combined_file_only(spark, tmp_dir):
+    import pandas as pd
     import pytest
-    from promptforge.sources import io
-    io.write_csv(spark.createDataFrame([(0, "p", "x"), (1, "p", "y")],
-                                       "row_index long, original_prompt string, best_paraphrase string"),
-                 f"{tmp_dir}/combined")
-    first, _ = jobs.merge_results(spark, f"{tmp_dir}/combined", f"{tmp_dir}/no_shards", "ds",
-                                  "row_index long, original_prompt string, best_paraphrase string")
-    assert [(r.original_prompt, r.best_paraphrase) for r in first.collect()] == [("p", "x")]
+    os.makedirs(tmp_dir, exist_ok=True)
+    pd.DataFrame({"original_prompt": ["p", "p"], "best_paraphrase": ["z", "a"], "lists": ["[0.5, 0.75]", "[0.1]"]}) \
+        .to_csv(f"{tmp_dir}/ds_combined.csv")
+    first, avg = jobs.merge_results(spark, tmp_dir, "ds", "original_prompt string, best_paraphrase string, lists string",
+                                    list_cols=["lists"])
+    assert [(r.original_prompt, r.best_paraphrase) for r in first.collect()] == [("p", "z")]  # file order, not text order
+    assert avg.collect()[0].value == 75.0
     with pytest.raises(ValueError):
-        jobs.merge_results(spark, None, f"{tmp_dir}/no_shards", "ds", "original_prompt string")
+        jobs.merge_results(spark, f"{tmp_dir}/no_shards", "ds", "original_prompt string")
+
+
+def test_replies_before_their_request_are_kept(spark, tmp_dir):
+    reply_dir, out, ck = f"{tmp_dir}/replies", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    rep = "request_id string, status string, reply string"
+    spark.createDataFrame([("r1", "ok", "a"), ("r2", "ok", "early")], rep).write.mode("append").parquet(reply_dir)
+    one = spark.createDataFrame([("r1",)], "request_id string")
+    ingest_replies(spark, reply_dir, one, out, ck).awaitTermination()
+    both = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "request_id string")
+    spark.createDataFrame([("r3", "ok", "c")], rep).write.mode("append").parquet(reply_dir)
+    ingest_replies(spark, reply_dir, both, out, ck).awaitTermination()
+    assert sorted(r.reply for r in spark.read.parquet(out).collect()) == ["a", "c", "early"]

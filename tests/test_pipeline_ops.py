@@ -95,10 +95,10 @@ def test_resume_pending(spark):
 def test_eval_rows_kinds_and_suffixes(spark):
     q = spark.createDataFrame([("p", 1), ("p", 2), (None, 3)], "prompt string, doc_id long")
     c = spark.createDataFrame([("p", "a,b", 9), ("p", "c", 8)], "prompt string, noun_chunks string, doc_id long")
-    rows, kind = evalrows.load_eval_rows(qca=q, chunks=c)
+    rows, kind = evalrows.load_eval_rows(qca=q, chunks=c, multiply=True)
     assert kind == "MERGED" and rows.count() == 4 and {"doc_id_x", "doc_id_y"} <= set(rows.columns)
     assert evalrows.load_eval_rows(chunks=c)[1] == "NOUN_CHUNK"
-    first, _ = evalrows.load_eval_rows(qca=q, chunks=c, first_by=["doc_id"])
+    first, _ = evalrows.load_eval_rows(qca=q, chunks=c, order_by=["doc_id"])
     got = [(r.doc_id_x, r.doc_id_y, r.noun_chunks) for r in first.collect()]
     assert got == [(1, 8, "c")]  # first of each side by doc_id, no pair product
     with pytest.raises(ValueError):
@@ -121,18 +121,48 @@ def test_history_text_sorted_ascending_and_stable(spark):
 
 def test_annotation_rows_use_true_winner(spark):
     sc = scores.candidate_scores(spark.createDataFrame(
-        [(1, 0, 0, "a", 0.1, 0.1), (1, 0, 1, "b", 0.9, 0.9), (1, 1, 0, "c", 0.2, 0.2)],
+        [(1, 0, -1, "orig <x>", 0.3, 0.4), (1, 0, 0, "a", 0.1, 0.1), (1, 0, 1, "b", 0.9, 0.9), (1, 1, 0, "c", 0.2, 0.2)],
         "prompt_id long, iter int, cand_pos int, revised_prompt string, tifa double, vqa double"))
-    ib = select.iteration_best(sc)
     prompts = spark.createDataFrame([(1, "orig <x>")], "prompt_id long, original_prompt string")
-    ann = {(r.iter, r.cand_pos): r for r in history.annotation_rows(sc, ib, prompts, "ds").collect()}
-    assert ann[(0, -1)].prompt_used_for_generation == "orig <x>" and ann[(0, -1)].tifa is None
+    rows = history.annotation_rows(sc, prompts, "ds")
+    ann = {(r.iter, r.cand_pos): r for r in rows.collect()}
+    assert set(ann) == {(0, -1), (0, 0), (0, 1), (1, -1), (1, 0)}
+    assert ann[(0, -1)].prompt_used_for_generation == "orig <x>" and (ann[(0, -1)].tifa, ann[(0, -1)].vqa) == (0.3, 0.4)
     assert ann[(1, -1)].prompt_used_for_generation == "b" and ann[(1, -1)].tifa == 0.9
-    assert ann[(1, 0)].original_prompt == "b"
-    html = history.annotation_html(history.annotation_rows(sc, ib, prompts, "ds"), ["prompt_id", "iter", "cand_pos"])
-    blocks = [r.html for r in html.orderBy("seq").collect()]
+    assert ann[(1, 0)].original_prompt == "b" and ann[(1, -1)].image_path == ann[(0, 1)].image_path
+    html = history.annotation_html(rows, ["prompt_id", "iter", "cand_pos"])
+    blocks = [r.html for r in html.orderBy("part", "prompt_id", "iter", "cand_pos").collect()]
     assert blocks[0] == history.HTML_HEADER and blocks[-1] == history.HTML_FOOTER and len(blocks) == 7
-    assert "orig &lt;x&gt;" in blocks[1] and ">1.</span>" in blocks[1]
+    assert "<figcaption>orig &lt;x&gt;</figcaption>" in blocks[1]
+    # images are named by the whole text
+    long = "a long common opening of far more than fifty characters "
+    two = spark.createDataFrame([(1, 0, 0, long + "x", 0.1, 0.1), (1, 0, 1, long + "y", 0.2, 0.2)],
+                                "prompt_id long, iter int, cand_pos int, revised_prompt string, tifa double, vqa double")
+    paths = {r.image_path for r in history.annotation_rows(scores.candidate_scores(two), prompts, "ds").collect()}
+    assert len(paths) == 3
+
+
+def test_request_ids_hold_scope_and_nulls(spark):
+    df = spark.createDataFrame([(1, None, "p"), (None, 1, "p"), (1, 1, "p")], "a long, b long, prompt string")
+    ids = [r.request_id for scope in ("x", "y") for r in requests.noun_chunk_requests(df, keys=("a", "b"), scope=scope).collect()]
+    assert len(set(ids)) == 6
+
+
+def test_own_wording_of_every_request(spark):
+    df = spark.createDataFrame([(1, "cat", "some reply", "h", 0, "q?", "a, b", 0, "tail")],
+                               "prompt_id long, prompt string, reply string, history string, q_pos int, question string, "
+                               "choices string, chunk_pos int, chunk string")
+    one = df.select("prompt_id", F.lit("u").alias("image_url"))
+    made = [requests.instant_requests(df, n=2, template="I{n} {prompt}"), requests.first_iteration_requests(df, template="F {prompt}", role_text=""),
+            requests.next_iteration_requests(df, 1, prompt="prompt", template="N {prompt}{history}", role_text=""),
+            requests.select_all_requests(df, template="A {reply}", keys=("prompt_id",)),
+            requests.select_best_requests(df, template="B {reply}", keys=("prompt_id",)),
+            requests.tifa_requests(one, df, ["prompt_id"], ["prompt_id"], template="T {question} {choices}"),
+            requests.vqa_requests(one, df.drop("image_url"), ["prompt_id"], ["prompt_id"], template="V {chunk}")]
+    texts = [m.select(M.message_text(F.get("messages", 0)).alias("t")).first().t for m in made]
+    assert texts == ["I2 cat", "F cat", "N cath", "A some reply", "B some reply", "T q? a, b", "V tail"]
+    with pytest.raises(ValueError, match="no column"):
+        requests.instant_requests(df, template="{other}")
 
 
 def test_long_prompts_sharing_50_chars_share_an_image_key_not_a_request(spark):
@@ -154,22 +184,14 @@ def test_non_breaking_space_padding(spark):
     assert got2 == [v.replace("\n", " ").strip() for v in vals]
 
 
-@pytest.mark.parametrize("n", [1, 37, 500, 4999, 5000, 6000])
-def test_threshold_sampling_equals_plain_top_k(spark, n):
+@pytest.mark.parametrize("n", [0, 1, 37, 500, 4999, 5000, 6000])
+def test_sampling_is_the_exact_top_n(spark, n):
+    import hashlib
     df = spark.range(5000).select(F.col("id").alias("doc_id"))
-    plain = [r.doc_id for r in sampling.seeded_sample(df, "doc_id", n, seed=9).collect()]
-    thresh = [r.doc_id for r in sampling.seeded_sample(df, "doc_id", n, seed=9, topk_direct_limit=0).collect()]
-    assert thresh == plain and len(plain) == min(n, 5000)
+    got = [r.doc_id for r in sampling.seeded_sample(df, "doc_id", n, seed=9).collect()]
+    assert got == sorted(range(5000), key=lambda i: hashlib.md5(f"9{i}".encode()).hexdigest())[:n]
 
 
-def test_threshold_sampling_keeps_new_prompt_semantics(spark):
-    corpus = spark.createDataFrame([(i, f"t{i % 700}") for i in range(3000)], "doc_id long, text string")
-    existing = spark.createDataFrame([("t1",), ("t5",)], "prompt string")
-    a = sampling.sample_new_prompts(corpus, existing, 400, seed=2).collect()
-    b = sampling.sample_new_prompts(corpus, existing, 400, seed=2, topk_direct_limit=0).collect()
-    assert [r.doc_id for r in a] == [r.doc_id for r in b] and len(a) == 400
-
-
-def test_threshold_sampling_on_empty_input(spark):
+def test_sampling_on_empty_input(spark):
     df = spark.range(0).select(F.col("id").alias("doc_id"))
-    assert sampling.seeded_sample(df, "doc_id", 50, topk_direct_limit=0).count() == 0
+    assert sampling.seeded_sample(df, "doc_id", 50).count() == 0

@@ -145,14 +145,15 @@ def test_averages_html_and_annotation_append(spark, tmp_dir):
     back = {r.metric: r.value for r in io.read_csv(spark, f"{tmp_dir}/k5", "metric string, value double").collect()}
     assert back == {"tifa_score": 37.5, "vqa_score": 50.0}
     rows = spark.createDataFrame([(1, "b & c", "./x.png"), (0, "a", "./y.png")], "k long, original_prompt string, image_path string")
-    io.write_annotation_html(history.annotation_html(rows, ["k"]), f"{tmp_dir}/k7")
+    io.write_annotation_html(history.annotation_html(rows, ["k"]), f"{tmp_dir}/k7", ["k"])
     page = "".join(open(os.path.join(f"{tmp_dir}/k7", f)).read() for f in sorted(os.listdir(f"{tmp_dir}/k7"))
                    if f.endswith(".txt"))
-    assert page.index("<p>a</p>") < page.index("<p>b &amp; c</p>") < page.index("</html>")
+    assert page.startswith("<!DOCTYPE html>")
+    assert page.index("<figcaption>a</") < page.index("<figcaption>b &amp; c</") < page.index("</html>")
     ann = spark.createDataFrame([(1, "p")], "k long, v string")
-    io.append_annotations(ann, f"{tmp_dir}/u3")
-    io.append_annotations(ann, f"{tmp_dir}/u3")
-    assert io.read_csv(spark, f"{tmp_dir}/u3", "k long, v string").count() == 2
+    for run in ("a", "b", "b"):  # a run that is written again replaces its rows
+        io.append_annotations(ann, f"{tmp_dir}/u3", run)
+    assert io.read_annotations(spark, f"{tmp_dir}/u3", "k long, v string").count() == 2
 
 
 def test_line_numbers_survive_split_files(spark, tmp_dir):
@@ -175,17 +176,37 @@ def test_line_numbers_survive_split_files(spark, tmp_dir):
     assert got == exp
 
 
-def test_flat_reference_layout_shards(spark, tmp_dir):
+def test_flat_layout_headers_names_and_file_order(spark, tmp_dir):
     from promptforge.operators import merge
     os.makedirs(tmp_dir, exist_ok=True)
     cols = ["original_prompt", "best_paraphrase"]
     pd.DataFrame([["p", "from combined"]], columns=cols).to_csv(f"{tmp_dir}/ds_combined.csv", index=False)
-    pd.DataFrame([["p", "late"], ["q", "x"]], columns=cols).to_csv(f"{tmp_dir}/ds_process0_nextline_40.csv", index=False)
-    pd.DataFrame([["r", "y"]], columns=cols).to_csv(f"{tmp_dir}/ds_process1_nextline_80.csv", index=False)
+    pd.DataFrame([["late", "p"], ["z", "q"], ["a", "q"]], columns=cols[::-1]).to_csv(f"{tmp_dir}/ds_process0_nextline_40.csv")
+    pd.DataFrame([["r", "y", 1]], columns=[*cols, "more"]).to_csv(f"{tmp_dir}/ds_process1_nextline_80.csv", index=False)
     pd.DataFrame([["tifa", 50.0]], columns=["metric", "value"]).to_csv(f"{tmp_dir}/ds_average_scores.csv")
-    pd.DataFrame([["z", "other"]], columns=cols).to_csv(f"{tmp_dir}/ds2_process0_nextline_40.csv", index=False)
-    df = io.read_result_shards(spark, tmp_dir, "ds", "original_prompt string, best_paraphrase string", layout="flat")
-    assert df.count() == 4
-    first = merge.dedup_keep_first(df, "original_prompt", ["source_rank", "process", "nextline"])
-    got = {r.original_prompt: r.best_paraphrase for r in first.collect()}
-    assert got == {"p": "from combined", "q": "x", "r": "y"}
+    pd.DataFrame([["x", "other"]], columns=cols).to_csv(f"{tmp_dir}/ds2_process0_nextline_40.csv", index=False)
+    pd.DataFrame([["x", "other"]], columns=cols).to_csv(f"{tmp_dir}/ds_process0_nextline_40_process0_nextline_40.csv", index=False)
+    open(f"{tmp_dir}/ds_process3_nextline_40.csv", "w").close()  # empty
+    df = io.read_result_shards(spark, tmp_dir, "ds", "original_prompt string, best_paraphrase string, more int")
+    first = merge.dedup_keep_first(df, "original_prompt", ["source_rank", "process", "nextline", "file", "position"])
+    got = {r.original_prompt: (r.best_paraphrase, r.more) for r in first.collect()}
+    assert got == {"p": ("from combined", None), "q": ("z", None), "r": ("y", 1)}  # the first row of a file wins
+
+
+def test_row_index_keeps_null_keys(spark):
+    df = spark.createDataFrame([(2, "b"), (None, "n"), (1, "a")], "k long, v string")
+    for unique in (False, True):
+        got = sorted((r.row_index, r.v) for r in rows.with_row_index(df, ["k"], unique_keys=unique).collect())
+        assert got == [(0, "n"), (1, "a"), (2, "b")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from promptforge import session
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))
+    sc.master = "local-cluster[3,2,1024]"
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc))

@@ -50,3 +50,14 @@ def test_hot_text_sampling_is_exact(spark):
     assert len(rows) == 1 + (9000 - 3000) - 2  # every distinct new text once, none dropped
     assert sum(r.prompt == "same text" for r in rows) == 1
     assert got.filter(F.col("prompt") == "text 1").count() == 0
+
+
+def test_hot_prompt_in_eval_rows_makes_no_product(spark):
+    from promptforge.operators import evalrows
+    n = 3000
+    q = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"p{i}", i) for i in range(n)], "doc_id long, prompt string, a long")
+    c = spark.createDataFrame([(i, "hot" if i % 3 == 0 else f"p{i}", "x, y") for i in range(n)], "doc_id long, prompt string, noun_chunks string")
+    rows, _ = evalrows.load_eval_rows(qca=q, chunks=c, scoring=c.select("prompt", F.col("doc_id").alias("s")), order_by=["doc_id", "s"])
+    got = rows.collect()
+    assert len(got) == 1 + n - n // 3
+    assert [(r.doc_id_x, r.doc_id_y, r.s) for r in got if r.prompt == "hot"] == [(0, 0, 0)]
