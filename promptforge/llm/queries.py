@@ -91,7 +91,46 @@ LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc_derivatives, op2_language_id, op3_substring_chains, op4_cube_mix, op5_binary_records, op6_exact_dedup,
     op7_bit_sliced_topk, op8_simhash_bk, op9_sentencepiece, op10_edit_token_counts)}
 
+
+def _warc_sql() -> str:
+    """The derivative records in DuckDB: same record rule, own expressions."""
+    crlf = "chr(13) || chr(10)"
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    swap = lambda x, pattern, to: f"regexp_replace({x}, {quoted(pattern)}, {to}, 'g')"
+    uuid = lambda *p: (f"(select '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' "
+                       f"from (select md5(concat_ws(chr(10), {', '.join(p)})) h))")
+    digit = lambda i, s: f"'{warc._BASE32}'[(((cast('0x' || d[{5 * i + 1}:{5 * i + 5}] as bigint) >> {s}) & 31) + 1)]"
+    sha = lambda x: (f"(select 'sha1:' || {' || '.join(digit(i, s) for i in range(8) for s in (15, 10, 5, 0))} "
+                     f"from (select sha1({x}) d))")
+    line = lambda x: f"trim({swap(x, '[ \t\n\x0b\f\r]+', quoted(' '))})"
+    field = lambda name, x: f"case when length({x}) > 0 then '{name}: ' || {x} || {crlf} else '' end"
+    text = swap(swap(swap("payload", warc._DROP, "' '"), warc._BREAK, "chr(10)"), warc._TAG, "''")
+    for name, char in warc._ENTITIES:
+        text = f"replace({text}, {quoted(name)}, {quoted(char)})"
+    text = swap(swap(swap(text, r"[ \t\r\f\x0b]+", "' '"), r" ?\n[ \n]*", "chr(10)"), r"\A[ \n]+|[ \n]+\z", "''")
+    block = " || ".join([
+        field("conversion-id", "conversion_id"), field("source-status", "'200 OK'"),
+        f"'source-Content-Type: text/html; charset=utf-8' || {crlf}", field("source-payload-digest", "source_digest"),
+        field("source-length", "cast(strlen(payload) as varchar)"), field("title", "title"), field("language", "lang"),
+        f"coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || {line('x')} || {crlf}), ''), '')"])
+    return f"""
+        with r as (select page_id, coalesce(url, '') target_uri, coalesce(html, '') payload from pages),
+        s as (select *, {uuid("'response'", "coalesce(cast(page_id as varchar), '')", "target_uri", "md5(payload)")} refers_to,
+                {sha('payload')} source_digest, {line(f"regexp_extract(payload, {quoted(warc._TITLE)}, 1)")} title,
+                {line(f"regexp_extract(payload, {quoted(warc._LANG)}, 1)")} lang,
+                regexp_extract_all(payload, {quoted(warc._LINK)}, 1) links from r),
+        c as (select *, {uuid("'conversion'", "refers_to", "source_digest")} conversion_id,
+                {uuid("'metadata'", "refers_to", "source_digest")} metadata_id from s),
+        b as (select page_id, 'metadata' record_type, metadata_id record_id, refers_to, target_uri, 'application/warc-fields' content_type,
+                source_digest, {block} as block from c
+              union all select page_id, 'conversion', conversion_id, refers_to, target_uri, 'text/plain; charset=utf-8', source_digest,
+                {text} from c)
+        select page_id, record_type, record_id, refers_to, target_uri, '{warc.CRAWL_DATE}' as date, content_type, source_digest,
+               {sha('block')} block_digest, strlen(block) content_length, block from b"""
+
+
 LLM_ORACLES: dict[str, str] = {
+    "op1_warc_derivatives": _warc_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
