@@ -107,7 +107,7 @@ def _warc_sql() -> str:
     text = swap(swap(swap("payload", warc._DROP, "' '"), warc._BREAK, "chr(10)"), warc._TAG, "''")
     for name, char in warc._ENTITIES:
         text = f"replace({text}, {quoted(name)}, {quoted(char)})"
-    text = swap(swap(swap(text, r"[ \t\r\f\x0b]+", "' '"), r" ?\n[ \n]*", "chr(10)"), r"\A[ \n]+|[ \n]+\z", "''")
+    text = "trim(" + swap(swap(text, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", "' '"), r" ?\n[ \n]*", "chr(10)") + ", ' ' || chr(10))"
     block = " || ".join([
         field("conversion-id", "conversion_id"), field("source-status", "'200 OK'"),
         f"'source-Content-Type: text/html; charset=utf-8' || {crlf}", field("source-payload-digest", "source_digest"),

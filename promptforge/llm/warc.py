@@ -31,8 +31,9 @@ HTTP_HEADERS = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRL
 # fixed values: RFC 4648 base32 alphabet
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
-_DROP = r"(?is)<!--.*?(-->|\z)|<(script|style|noscript|template)\b.*?(</(script|style|noscript|template)\s*>|\z)"
-_BREAK = r"(?i)<(/?(p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|title|head|body)\b[^<>]*|[bh]r\b[^<>]*)>"
+_DROP = r"(?is)<(?:!--.*?(?:-->|\z)|(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\z))"
+_BREAK = (r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|section|article|header|footer|nav|aside|blockquote|pre|title|head|body)|[bh]r)"
+          r"\b[^<>]*>")
 _TAG = r"(?s)<[/!?A-Za-z][^<>]*>"
 #: named entities that become text, the ampersand last
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
@@ -42,8 +43,8 @@ _LINK = r"""(?i)<a\b[^<>]*\bhref=["']([^"'<>]*)["']"""
 
 
 def _trim_lines(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[ \t\r\f\x0b]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"\A[ \n]+|[ \n]+\z", "")
+    text = F.regexp_replace(text, r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " ")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def plain_text(html: Column) -> Column:
@@ -93,7 +94,7 @@ def responses_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 def _field(name: str, value: Column) -> Column:
     """A header line, or nothing if the value is empty."""
-    return F.when(F.length(value) > 0, F.concat(F.lit(name + ": "), value, F.lit(CRLF))).otherwise(F.lit(""))
+    return _once(value, lambda v: F.when(F.length(v) > 0, F.concat(F.lit(name + ": "), v, F.lit(CRLF))).otherwise(F.lit("")))
 
 
 def _one_line(text: Column) -> Column:
@@ -105,7 +106,7 @@ def derive(responses: DataFrame) -> DataFrame:
     record_type, record_id, refers_to, target_uri, date, content_type,
     source_digest, block_digest, content_length, block."""
     r = responses.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", "date", "http_headers", "payload")
-    r = r.withColumn("source_digest", sha1_base32(F.col("payload"))).withColumn("text", plain_text(F.col("payload")))
+    r = r.withColumn("source_digest", sha1_base32(F.col("payload")))
     status = F.regexp_extract("http_headers", r"\AHTTP/\S+ ([^\r\n]*)", 1)
     source_headers = F.regexp_replace("http_headers", r"\AHTTP/[^\r\n]*\r?\n", "")
     source_headers = F.regexp_replace(source_headers, r"(?m)^([!-9;-~]+:)", "source-$1")
@@ -118,14 +119,15 @@ def derive(responses: DataFrame) -> DataFrame:
         _field("source-length", F.octet_length("payload").cast("string")),
         _field("title", _one_line(F.regexp_extract("payload", _TITLE, 1))),
         _field("language", _one_line(F.regexp_extract("payload", _LANG, 1))), outlinks)
-    two = F.array(
-        F.struct(F.lit("metadata").alias("record_type"), _uuid(F.lit("metadata"), F.col("refers_to"), F.col("source_digest")).alias("record_id"),
-                 F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), conversion.alias("record_id"),
-                 F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")))
-    out = r.withColumn("_two", two).select("page_id", "refers_to", "target_uri", "date", "source_digest", F.inline("_two"))
-    return out.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "source_digest",
-                      sha1_base32(F.col("block")).alias("block_digest"), F.octet_length("block").cast("long").alias("content_length"), "block")
+    # the two kinds come from a constant list, so that neither block is computed for the row count alone
+    out = r.withColumn("record_type", F.explode(F.array(F.lit("metadata"), F.lit("conversion"))))
+    meta = F.col("record_type") == "metadata"
+    out = out.select(
+        "page_id", "record_type", _uuid(F.col("record_type"), F.col("refers_to"), F.col("source_digest")).alias("record_id"), "refers_to",
+        "target_uri", "date", F.when(meta, F.lit("application/warc-fields")).otherwise(F.lit("text/plain; charset=utf-8")).alias("content_type"),
+        "source_digest", F.when(meta, fields).otherwise(plain_text(F.col("payload"))).alias("block"))
+    return out.select(*[c for c in out.columns if c != "block"], sha1_base32(F.col("block")).alias("block_digest"),
+                      F.octet_length("block").cast("long").alias("content_length"), "block")
 
 
 def render(records: DataFrame) -> DataFrame:
