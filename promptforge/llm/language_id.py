@@ -83,31 +83,37 @@ class Model:
         return None
 
 
-def _top(counts: DataFrame, key: str, parts: list[str], quota: int) -> DataFrame:
-    best = Window.partitionBy(*parts).orderBy(F.desc("n"), key)
-    return counts.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= quota).drop("_r")
+def _top(counts: DataFrame, parts: list[str], quota: int) -> DataFrame:
+    """The ``quota`` most frequent keys of each part, with the part's total."""
+    every = Window.partitionBy(*parts)
+    ranked = counts.withColumn("total", F.sum("n").over(every)).withColumn(
+        "_r", F.row_number().over(every.orderBy(F.desc("n"), "key")))
+    return ranked.where(F.col("_r") <= quota).drop("_r")
 
 
 def fit(sample: DataFrame, longest: int = LONGEST, max_entries: int = MAX_ENTRIES) -> Model:
-    """Count words and n-grams of the sample in Spark; the most frequent of
-    each language (``max_entries`` in all) come to the driver as the model."""
+    """Count the words of the sample, and the n-grams of the words kept, in
+    Spark; the most frequent of each language (``max_entries`` in all) come to
+    the driver as the model."""
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
     words = materialise(words.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")), "langid-words")
-    total = {(r["lang"], 0): r["t"] for r in words.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
-    langs = sorted({lang for lang, _ in total})
+    langs = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return Model([], {}, [], np.zeros((0, 0)))
     quota = max(1, max_entries // (len(langs) * (longest + 1)))
-    marked = words.select("lang", F.concat(F.lit(" "), "key", F.lit(" ")).alias("w"), "n")
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda g: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("w") - g + 1)),
-        lambda i: F.struct(g.alias("g"), F.col("w").substr(i, g).alias("key")))))
-    grams = marked.select("lang", "n", F.explode(cut).alias("_c")).select("lang", "n", "_c.g", "_c.key").where(F.length("key") == F.col("g"))
-    grams = materialise(grams.groupBy("lang", "g", "key").agg(F.sum("n").alias("n")), "langid-grams")
-    total |= {(r["lang"], r["g"]): r["t"] for r in grams.groupBy("lang", "g").agg(F.sum("n").alias("t")).collect()}
-    kept = _top(words, "key", ["lang"], quota).select("lang", F.lit(0).alias("g"), "key", "n").unionByName(
-        _top(grams, "key", ["lang", "g"], quota))
-    rows = kept.orderBy("g", "key", "lang").collect()  # at most max_entries rows
+    kept = materialise(_top(words, ["lang"], quota), "langid-kept")
+    marked = kept.select("lang", F.concat(F.lit(" "), "key", F.lit(" ")).alias("w"), "n")
+    grams = None
+    for g in range(1, longest + 1):
+        at = F.sequence(F.lit(1), F.length("w") - g + 1)
+        cut = marked.where(F.length("w") >= g).select("lang", F.lit(g).alias("g"), "n", F.explode(F.transform(
+            at, lambda i: F.substring("w", i, F.lit(g)))).alias("key"))  # noqa: B023
+        grams = cut if grams is None else grams.unionByName(cut)
+    grams = grams.groupBy("lang", "g", "key").agg(F.sum("n").alias("n"))
+    columns = ["lang", "g", "key", "n", "total"]
+    rows = kept.withColumn("g", F.lit(0)).select(*columns).collect() + _top(grams, ["lang", "g"], quota).select(*columns).collect()
+    rows.sort(key=lambda r: (r["g"], r["key"], r["lang"]))  # at most max_entries rows
+    total = {(r["lang"], r["g"]): r["total"] for r in rows}
     known: list[dict[str, int]] = [{} for _ in range(longest + 1)]
     size = 0
     for r in rows:
@@ -121,7 +127,7 @@ def fit(sample: DataFrame, longest: int = LONGEST, max_entries: int = MAX_ENTRIE
             floor = [np.log(0.5 / total.get((lang, g), 1)) for lang in langs]
             scores[min(keys.values()):max(keys.values()) + 1] = floor
     for r in rows:
-        scores[known[r["g"]][r["key"]], at[r["lang"]]] = np.log(r["n"] / total[r["lang"], r["g"]])
+        scores[known[r["g"]][r["key"]], at[r["lang"]]] = np.log(r["n"] / r["total"])
     return Model(langs, known[0], known[1:], scores)
 
 
