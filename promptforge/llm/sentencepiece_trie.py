@@ -70,19 +70,40 @@ class Vocabulary:
         self.unknown = sp.unk_id()
         self.bytes = [byte.get(f"<0x{b:02X}>", self.unknown) for b in range(256)]
         self.byte_of = {i: int(p[3:5], 16) for p, i in byte.items()}
+        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        self.barrier = "" if "\n" in joined else "\n"
+        # a byte piece below 128 is a character whatever stands beside it
+        self.text = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else "" if hidden[i] else p for i, p in enumerate(self.pieces)]
+        self.high = np.array([self.byte_of.get(i, 0) >= 128 for i in range(self.size)])
         self.low = min((self.scores[i] for i in self.ids.values()), default=0.0) + _UNKNOWN
 
 
-def marked_words(text: str, prefix: bool = True) -> list[str]:
-    """Cut before every mark that follows another character; joined, the words
+def marked_words(text: str, prefix: bool = True, barrier: str = "") -> list[str]:
+    """Cut before every mark that follows another character, and around each
+    ``barrier`` (a character that no piece joins to others); joined, the words
     are the marked text."""
     text = text.replace(" ", MARK)
     if not text:
         return []
     if prefix:
         text = MARK + text
+    if not barrier or barrier not in text:
+        return _cut_marks(text)
+    out = []
+    for n, line in enumerate(text.split(barrier)):
+        if n:
+            out.append(barrier)
+        if line:
+            out += _cut_marks(line)
+    return out
+
+
+def _cut_marks(text: str) -> list[str]:
     first, *parts = text.split(MARK)
-    out, run = [first] if first else [], ""
+    out = [first] if first else []
+    if "" not in parts:  # no run of marks
+        return out + [MARK + p for p in parts]
+    run = ""
     for part in parts:
         run += MARK
         if part:
@@ -96,6 +117,7 @@ class Trie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.whole: dict[str, bool] = {}
         self.apart: dict[tuple[str, str], bool] = {}
 
     def encode(self, words: list[str]) -> dict[str, tuple[int, ...]]:
@@ -133,35 +155,29 @@ class Trie:
 
     def _follow(self, word: str, end: int, table: list) -> tuple[int, float]:
         """(start of the last piece, 0) of word[:end] under merging."""
-        ids = self.v.ids
-        for start in range(max(0, end - self.v.longest), end):
+        whole, apart = self.whole, self.apart
+        # exactly one piece fits; short ones are tried first, as they fit most often
+        for start in range(end - 1, max(-1, end - 1 - self.v.longest), -1):
             piece = word[start:end]
-            if start < end - 1 and piece not in ids:
-                continue
-            if not self._whole(piece):
+            known = whole.get(piece)
+            if known is None:  # pieces that merging their own characters gives
+                known = end - start == 1 or piece in self.v.ids and self._merge(piece) == [piece]
+                if known or piece in self.v.ids:
+                    whole[piece] = known
+            if not known:
                 continue
-            if start == 0 or self._apart(word[table[start][0]:start], piece):
+            if start == 0:
+                return 0, 0.0
+            pair = word[table[start][0]:start], piece
+            fine = apart.get(pair)
+            if fine is None:  # two pieces that merging leaves apart
+                if len(apart) > 1_000_000:
+                    apart.clear()
+                fine = apart[pair] = self._merge(pair[0] + piece) == list(pair)
+            if fine:
                 return start, 0.0
         raise ValueError(f"no last piece for {word[:end]!r}")
 
-    def _whole(self, piece: str) -> bool:
-        """Does merging the characters of the piece give the piece?"""
-        key = (piece, "")
-        known = self.apart.get(key)
-        if known is None:
-            known = self.apart[key] = len(piece) == 1 or self._merge(piece) == [piece]
-        return known
-
-    def _apart(self, a: str, b: str) -> bool:
-        """Does merging the characters of a + b give the pieces a and b?"""
-        key = (a, b)
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) > 1_000_000:
-                self.apart.clear()
-            known = self.apart[key] = self._merge(a + b) == [a, b]
-        return known
-
     def _merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none merge."""
         ids, scores = self.v.ids, self.v.scores
@@ -199,28 +215,33 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.room:
             self.known.clear()
-        words = [marked_words(t or "", self.v.prefix) for t in texts]
+        words = [marked_words(t or "", self.v.prefix, self.v.barrier) for t in texts]
         new = {w for ws in words for w in ws if w not in self.known}
         self.known.update((w, np.array(i, dtype="<i4").tobytes()) for w, i in self.trie.encode(list(new)).items())
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<i4") for ws in words]
 
     def decode(self, ids: np.ndarray) -> str:
-        pieces, byte_of, hidden = self.v.pieces, self.v.byte_of, self.v.hidden
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids.tolist():
-            if not hidden[i]:
-                if raw:
-                    out.append(raw.decode("utf-8", errors="replace"))
-                    raw.clear()
-                out.append(pieces[i])
-            elif i in byte_of:
-                raw.append(byte_of[i])
-        if raw:
-            out.append(raw.decode("utf-8", errors="replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if self.v.prefix and text.startswith(" ") else text
+        v = self.v
+        if v.high[ids].any():
+            text = self._decode_bytes(ids.tolist())
+        else:
+            text = "".join(map(v.text.__getitem__, ids.tolist()))
+        text = text.replace(MARK, " ")
+        return text[1:] if v.prefix and text.startswith(" ") else text
+
+    def _decode_bytes(self, ids: list[int]) -> str:
+        """With bytes beyond ASCII: a run of byte pieces is decoded together."""
+        v, out, raw = self.v, [], bytearray()
+        for i in ids:
+            if i in v.byte_of:
+                raw.append(v.byte_of[i])
+                continue
+            if raw:
+                out.append(raw.decode("utf-8", errors="replace"))
+                raw.clear()
+            out.append(v.text[i])
+        return "".join(out) + raw.decode("utf-8", errors="replace")
 
 
 def _encode(path: str, text_col: str):
