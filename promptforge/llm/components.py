@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating star steps.
 
-Each round is two joins against per-node minima (map-side combined), written
-to the shared folder; the number of rounds grows with the logarithm of the
+Each round is two joins against per-node minima (map-side combined), whose
+results are written to the shared folder; the number of rounds grows with the logarithm of the
 longest path.  Nodes and edges never reach the driver, only two sums do.
 """
 
@@ -22,10 +22,12 @@ def stars(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node point to the smallest of its neighbourhood
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are read from a table: both sides of each join are plain shuffles, so a hub's rows can be split
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-minima")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large, "star-edges")
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "star-minima")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "star-edges")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

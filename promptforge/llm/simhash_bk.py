@@ -195,7 +195,9 @@ def links(nodes: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS) -> Data
     met = placed.withColumn("mine", mine).select("band", "key", "fp", F.explode(meets).alias("_m"))
     met = met.select("band", "key", "_m.part", "_m.other", "_m.role", "fp")
     by = ["band", "key", "part", "other"]
-    return met.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(_links(radius), "a long, b long")
+    # a fixed number of tasks: small rows, but much work for each
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, *by).sortWithinPartitions(*by, "fp").mapInArrow(_links(radius), "a long, b long")
 
 
 def _labelled(fps: DataFrame, radius: int, tree_rows: int) -> DataFrame:
