@@ -33,14 +33,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptforge.llm.common import materialise
+from promptforge.llm.common import materialise, slices_by_bytes
 
 DOCS_PER_LANG = 800
 MAX_DOCS = 20_000
 MAX_ENTRIES = 400_000
 LEAST_SCORE = 0.3        # a text under this share of the likelihood is not recognised
 LONGEST = 4              # characters of the longest n-gram
-_CACHE_CELLS = 8_000_000  # floats of one task's table of scored tokens
+_ROOM = 400_000          # white-space tokens whose scores a task keeps, fewer with very many languages
+_CELLS = 4_000_000
 _LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -137,7 +138,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.langs = model, len(model.langs)
-        self.room = max(1024, _CACHE_CELLS // (self.langs + 1))
+        self.room = max(1024, min(_ROOM, _CELLS // (self.langs + 1)))
         self.table = np.empty((self.room, self.langs + 1))
         self.rows: dict[str, int] = {}
 
@@ -185,7 +186,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_by_bytes(whole, text_col)):
             found = [score(t.as_py()) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
