@@ -171,7 +171,7 @@ class Trie:
             pair = word[table[start][0]:start], piece
             fine = apart.get(pair)
             if fine is None:  # two pieces that merging leaves apart
-                if len(apart) > 1_000_000:
+                if len(apart) > 200_000:
                     apart.clear()
                 fine = apart[pair] = self._merge(pair[0] + piece) == list(pair)
             if fine:
@@ -205,21 +205,34 @@ class Trie:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of ``room`` words at most."""
+    """Encodes and decodes texts.  Words that have not been met for ``room``
+    other words are forgotten, so at most twice as many are kept (and those of
+    one call)."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 120_000):
         self.v = Vocabulary(path)
         self.trie, self.room = Trie(self.v), room
-        self.known: dict[str, bytes] = {}
+        self.late: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        now, new = {}, []
+        for w in words:
+            ids = self.late.get(w) or self.old.get(w)
+            if ids:
+                now[w] = ids
+            else:
+                new.append(w)
+        now.update((w, np.array(i, dtype="<i4").tobytes()) for w, i in self.trie.encode(new).items())
+        self.late.update(now)
+        if len(self.late) > self.room:
+            self.late, self.old = {}, self.late
+        return now
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.known) > self.room:
-            self.known.clear()
         words = [marked_words(t or "", self.v.prefix, self.v.barrier) for t in texts]
-        new = {w for ws in words for w in ws if w not in self.known}
-        self.known.update((w, np.array(i, dtype="<i4").tobytes()) for w, i in self.trie.encode(list(new)).items())
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in ws]), dtype="<i4") for ws in words]
+        get = self._learn(set().union(*words)).__getitem__
+        return [np.frombuffer(b"".join(map(get, ws)), dtype="<i4") for ws in words]
 
     def decode(self, ids: np.ndarray) -> str:
         v = self.v
