@@ -198,3 +198,31 @@ def test_pipeline_awkward_rows(spark, tmp_path):
     docs(spark, AWKWARD).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert "ids" in out.columns and out.where(F.col("text").isNull()).count() == 0
+
+
+def edited(rnd, run, share):
+    """About ``share`` of the words replaced, dropped or joined by another, at random places."""
+    out = []
+    for w in run:
+        kind = rnd.randrange(3) if rnd.random() < share else None
+        out += [w] if kind is None else [] if kind == 1 else ["n" + w] if kind == 0 else [w, "n" + w]
+    return out
+
+
+def test_fuzzy_passages_at_random_edits_by_brute_force(spark):
+    rnd = random.Random(11)
+    rows, pairs = [], []
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for _ in range(60):
+            run = words(rnd, rnd.choice([60, 80, 120]))
+            other = edited(rnd, run, share)
+            if min(len(run), len(other)) < 50 or 1 - levenshtein(run, other) / max(len(run), len(other)) < 0.8:
+                continue
+            d = len(rows)
+            pairs.append((share, d + 1, d))
+            rows += [(d + i, " ".join(words(rnd, 80) + r + words(rnd, 80))) for i, r in enumerate((run, other))]
+    got = {(r.doc_id, r.other_id) for r in substring_chain.repeated_passages(docs(spark, rows)).collect()}
+    assert got <= {(a, b) for _, a, b in pairs}
+    for share, least in ((0.05, 0.95), (0.1, 0.95), (0.15, 0.95), (0.2, 0.95)):
+        asked = [(a, b) in got for s, a, b in pairs if s == share]
+        assert len(asked) > 10 and sum(asked) / len(asked) >= least, share
