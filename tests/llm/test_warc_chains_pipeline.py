@@ -226,3 +226,17 @@ def test_fuzzy_passages_at_random_edits_by_brute_force(spark):
     for share, least in ((0.05, 0.95), (0.1, 0.95), (0.15, 0.95), (0.2, 0.95)):
         asked = [(a, b) in got for s, a, b in pairs if s == share]
         assert len(asked) > 10 and sum(asked) / len(asked) >= least, share
+
+
+def test_passages_whose_seeds_stand_first_in_fragments(spark):
+    rnd = random.Random(12)
+    rows = []
+    for case in range(20):
+        run, d = words(rnd, 80), 4 * case
+        around = [words(rnd, 60) for _ in range(8)]
+        parts = [run[:40], run[40:], run, run]
+        rows += [(d + i, " ".join(around[2 * i] + p + around[2 * i + 1])) for i, p in enumerate(parts)]
+    got = {(r.doc_id, r.other_id): r for r in substring_chain.repeated_passages(docs(spark, rows)).collect()}
+    for case in range(20):
+        r = got[4 * case + 3, 4 * case + 2]
+        assert r.words >= 80 and r.similarity > 0.9
