@@ -240,3 +240,10 @@ def test_passages_whose_seeds_stand_first_in_fragments(spark):
     for case in range(20):
         r = got[4 * case + 3, 4 * case + 2]
         assert r.words >= 80 and r.similarity > 0.9
+
+
+def test_extension_passes_added_and_dropped_words():
+    run = list(range(60))
+    other = run[:22] + run[23:40] + [900] + run[40:]  # the seeds lie between both
+    got = substring_chain.passages(run, other, [(23, 22), (35, 34)])
+    assert [(x0, x1, y0, y1) for x0, x1, y0, y1, _ in got] == [(0, 60, 0, 60)]
