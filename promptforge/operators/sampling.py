@@ -61,18 +61,23 @@ def sample_new_prompts(corpus: DataFrame, existing: DataFrame, n: int, seed: int
     drop prompts that already exist, then take n in seeded order.  Filtering
     before sampling means every sampled row is new in one pass (no redraw
     loop).  Hashes and keys alone are shuffled; the n texts are joined last."""
-    norm = corpus.select(key, text_key(one_line(text)).alias("_norm"), sample_key(key, seed).alias("sample_key"))
+    # a null text is no prompt; prompts without an id come last, in the order of
+    # their hashes ("g" sorts behind the hex digits)
+    norm = corpus.select(key, text_key(one_line(text)).alias("_norm")).where("_norm is not null")
+    norm = norm.withColumn("sample_key", F.coalesce(sample_key(key, seed), F.concat(F.lit("g"), "_norm")))
     # de-duplicate first: the partial min runs map-side, so a text held by a
     # third of the corpus reaches the shuffle as one row per task; the
     # anti-join then reuses the hash partitioning (one exchange per side)
     one = norm.groupBy("_norm").agg(F.min(F.struct("sample_key", key)).alias("_m")) \
               .select("_norm", F.col(f"_m.{key}").alias(key), F.col("_m.sample_key").alias("sample_key"))
     ex = existing.select(text_key(one_line(existing_text)).alias("_norm")).filter(F.col("_norm").isNotNull()).distinct()
-    # a null text has no hash and matches nothing, as before
     picked = top_by_sample_key(one.join(ex, "_norm", "left_anti"), n, key)
     texts = corpus.select(key, one_line(text).alias("prompt"), text_key(one_line(text)).alias("_norm"))
-    out = texts.join(picked, [key, "_norm"]).dropDuplicates(["_norm"])  # n rows; an id may repeat
-    return out.select(key, "prompt", "sample_key").orderBy("sample_key", key)
+    here = picked.select(F.col(key).alias("_key"), F.col("_norm").alias("_picked"), "sample_key")
+    out = texts.join(here, (F.col("_norm") == F.col("_picked")) & texts[key].eqNullSafe(F.col("_key")))
+    out = out.dropDuplicates(["_norm"])  # n rows; an id may repeat
+    drawn = F.when(F.col("_key").isNotNull(), F.col("sample_key")).alias("sample_key")
+    return out.select(texts[key], "prompt", drawn).orderBy(F.asc_nulls_last("sample_key"), key)
 
 
 def resume_pending(rows: DataFrame, finished: DataFrame, prompt: str = "prompt",

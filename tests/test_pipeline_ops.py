@@ -195,3 +195,14 @@ def test_sampling_is_the_exact_top_n(spark, n):
 def test_sampling_on_empty_input(spark):
     df = spark.range(0).select(F.col("id").alias("doc_id"))
     assert sampling.seeded_sample(df, "doc_id", 50).count() == 0
+
+
+def test_sampling_new_prompts_with_null_ids_and_texts(spark):
+    rows = [(i, f"t{i}") for i in range(20)] + [(None, f"t{i}") for i in range(10)] + [(None, "a"), (None, "b"), (None, None), (30, None)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    existing = spark.createDataFrame([("t1",)], "prompt string")
+    got = sampling.sample_new_prompts(corpus, existing, 20, seed=3).collect()
+    assert len(got) == 20 and [r.doc_id for r in got].count(None) == 1
+    got = sampling.sample_new_prompts(corpus, existing, 100, seed=3).collect()
+    assert sorted(r.prompt for r in got) == sorted({f"t{i}" for i in range(20) if i != 1} | {"a", "b"})
+    assert {r.prompt for r in got if r.doc_id is None} == {"a", "b"}
