@@ -219,13 +219,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
              radius: int = 3, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """The rows whose (id, fingerprint) is the smallest of their component, with
-    all columns (rows that repeat that pair all stay; null ids stay only where
-    a component has no other)."""
+    """One row of each component, with all columns: of the rows with the
+    smallest (id, fingerprint) the one with the smallest hash of all columns
+    (a null id stays only where a component has no other)."""
     rows = docs.mapInArrow(_fingerprints(width, text_col, docs.columns), T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
-    fps = materialise(rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col("_fp").alias("fp")), "simhash-fingerprints")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rows = rows.withColumn("_tie", F.xxhash64(*cols, *[c.isNull() for c in cols]))
+    fps = materialise(rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_tie").alias("tie")),
+                      "simhash-fingerprints")
     by = F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("id"), F.col("fp").alias("fp"))
-    best = _labelled(fps, radius, tree_rows).groupBy("root").agg(F.min(by).alias("_b"))
-    best = best.select(F.col("_b.id").alias("_kept_id"), F.col("_b.fp").alias("_kept_fp"))
-    same = (F.col("_fp") == F.col("_kept_fp")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_kept_id"))
-    return rows.join(best, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    best = _labelled(fps, radius, tree_rows).groupBy("root").agg(F.min(by).alias("_b")).select(F.col("_b.fp").alias("fp"))
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("m"))
+    best = best.join(first, "fp").select(F.col("fp").alias("_fp"), F.col("m.tie").alias("_tie"))
+    # rows that are equal in all columns stand together after the join
+    return rows.join(best, ["_fp", "_tie"], "left_semi").dropDuplicates(["_fp", "_tie"]).select(*cols)

@@ -161,3 +161,12 @@ def test_sorted_groups_span_batches():
     for size in range(1, 10):
         got = [g.column("v").to_pylist() for g in sorted_groups(iter(table.to_batches(max_chunksize=size)), ["k"])]
         assert got == [[0, 1], [2], [3, 4], [5, 6, 7], [8]]
+
+
+def test_simhash_keeps_a_single_row_of_null_and_repeated_ids(spark):
+    same, other = "one two three four five six", "some quite different words stand in this text"
+    rows = [(None, same, "en"), (None, same, "de"), (None, same, "de"), (None, same.upper(), "en"),
+            (7, other, "en"), (7, other, "de"), (7, other.upper(), "en"), (None, other, "en")]
+    kept = simhash_bk.keep_one(docs(spark, rows)).collect()
+    assert sorted((r.doc_id for r in kept), key=str) == [7, None]
+    assert {r.text.lower() for r in kept} == {same, other}
