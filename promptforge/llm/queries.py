@@ -13,9 +13,12 @@ from promptforge.llm import (
     cube_mix,
     edit_tokens,
     exact_dedup,
+    hat_trie,
     language_id,
     sentencepiece_trie,
     simhash_bk,
+    slack_packing,
+    source_audit,
     substring_chain,
     warc,
 )
@@ -87,9 +90,26 @@ def op10_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, carry=["lang"])
 
 
+def op11_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of 2048, filled by subset sums."""
+    pieces = slack_packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), window=2048, end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 strongest phrases of 2 to 4 words."""
+    return hat_trie.collocations(table(spark, sf_dir, "documents"), least=30, share=80, top=2000, scale=2_000_000)
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between a language's sources, and the terms that mark each."""
+    return source_audit.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
 LLM_QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc_derivatives, op2_language_id, op3_substring_chains, op4_cube_mix, op5_binary_records, op6_exact_dedup,
-    op7_bit_sliced_topk, op8_simhash_bk, op9_sentencepiece, op10_edit_token_counts)}
+    op7_bit_sliced_topk, op8_simhash_bk, op9_sentencepiece, op10_edit_token_counts, op11_slack_packing, op12_phrase_mining,
+    op13_source_audit)}
 
 
 def _warc_sql() -> str:
@@ -129,7 +149,57 @@ def _warc_sql() -> str:
                {sha('block')} block_digest, strlen(block) content_length, block from b"""
 
 
+def _lower(x: str) -> str:
+    return f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_PHRASES_SQL = f"""
+    WITH p AS (SELECT lang, list_filter(string_split_regex(x, '[ \t]+'), lambda w: w <> '') AS ws
+               FROM (SELECT coalesce(lang, 'und') AS lang,
+                            unnest(string_split_regex({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS x FROM documents)),
+    o AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+          FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+    f AS (SELECT lang, phrase, k, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+    t AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang),
+    w AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+    c AS (SELECT lang, phrase, k, f AS a, ws, unnest(range(1, k)) AS cut FROM w),
+    s AS (SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * c.a // (l.f + r.f) AS score
+          FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
+                 JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:c.k], ' ')),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    i AS (SELECT w.lang, w.f, array_to_string(ws[j:j + m - 1], ' ') AS phrase
+          FROM w, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS j) WHERE m < k AND j + m - 1 <= k),
+    d AS (SELECT DISTINCT i.lang, i.phrase FROM i JOIN b ON b.lang = i.lang AND b.phrase = i.phrase
+          WHERE CAST(100 AS HUGEINT) * i.f >= CAST(80 AS HUGEINT) * b.a)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+          FROM b ANTI JOIN d ON d.lang = b.lang AND d.phrase = b.phrase) JOIN t USING (lang) WHERE rank <= 2000"""
+
+_AUDIT_SQL = f"""
+    WITH x AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+    u AS (SELECT doc, lang, source, unnest(ts) AS term FROM x),
+    k AS (SELECT lang, term, count(*) AS q_n FROM u GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+    v AS (SELECT lang, count(*) AS v, sum(q_n) AS q_total FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM x),
+    c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN k USING (lang, term) GROUP BY ALL),
+    dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, q_n, v, q_total,
+                     sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+              FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    p AS (SELECT *, 1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (total + 5 * v) AS p,
+                 1 + CAST(1000000000 AS HUGEINT) * (q_n + 5) // (q_total + 5 * v) AS q FROM dense),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                     coalesce((SELECT sum(abs(s.p - t.p)) FROM p s JOIN p t ON s.term = t.term AND s.lang = t.lang
+                               WHERE s.lang = a.lang AND s.source = a.source AND t.source = b.source), 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+          FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 50"""
+
 LLM_ORACLES: dict[str, str] = {
+    "op12_phrase_mining": _PHRASES_SQL,
+    "op13_source_audit": _AUDIT_SQL,
     "op1_warc_derivatives": _warc_sql(),
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
