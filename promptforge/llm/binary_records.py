@@ -18,12 +18,12 @@ order (null ids first); a task streams its rows, one batch of tokens at a time.
 Defined cases: a null or empty text is the end id alone; rows that repeat get
 a record each (an id that fills many rows may span shards); a null id is kept
 as null; an empty table gives no shard and no rows; a text of any length is
-encoded whole; strings of special tokens are ordinary text; further columns are ignored.
+encoded whole; strings of special tokens are what the
+tokenizer's own defaults make of them; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promptforge.llm.byte_bpe import encoder, with_end
 from promptforge.llm.common import slices_by_bytes
 
 ENTRY = np.dtype([("offset", "<i8"), ("length", "<i8"), ("before", "<i8")])
@@ -142,120 +143,6 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(0xA282EAD8)
 
 
-# ---------------------------------------------------------------- encoding
-
-class WordEncoder:
-    """Encodes whole texts word by word, with the ids of words that were seen
-    taken from bounded tables.
-
-    The tokenizer's pre-token pattern starts a new token before a blank between
-    two words, and takes a line end between two words as a token of its own.
-    So a text whose words are parted by single blanks and line ends alone
-    encodes as its words do (each with the blank before it); any other text
-    goes to the tokenizer whole."""
-
-    def __init__(self, path: str, dtype: str, room: int = 200_000):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.dtype, self.room = np.dtype(dtype), room
-        self.first = {}, {}  # words at the start of a line: those of late, and older ones
-        self.inner = {}, {}  # words after a blank
-        self.end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.line_end = np.array([self.end], dtype=self.dtype).tobytes()
-        pieces = self.tokenizer.get_vocab()
-        lead = self.tokenizer.encode(" a", add_special_tokens=False).tokens[0][0]  # how a piece spells a blank
-        self.leads = np.zeros(max(pieces.values()) + 1, dtype=bool)
-        self.leads[[i for p, i in pieces.items() if p.startswith(lead)]] = True
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
-
-    def _parted(self, words: list[str], by: str, at_once: int = 1024) -> list[bytes]:
-        """Ids of words, many in one text.  After a blank each begins at the one
-        token that begins with a blank; between line ends each lies between
-        two tokens of line ends."""
-        out, width = [], self.dtype.itemsize
-        texts = [by + by.join(words[i:i + at_once]) for i in range(0, len(words), at_once)]
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids)
-            marks = np.flatnonzero(self.leads[ids] if by == " " else ids == self.end)
-            cut = [*(marks * width).tolist(), len(ids) * width]
-            skip = 0 if by == " " else width
-            data = ids.astype(self.dtype).tobytes()
-            out += [data[a + skip:b] for a, b in zip(cut, cut[1:])]
-        if len(out) != len(words):
-            raise ValueError("a word does not begin at a token of its own")
-        return out
-
-    def _learn(self, known: tuple[dict, dict], words: set[str], by: str) -> tuple[dict, tuple[dict, dict]]:
-        """Ids of ``words``, and the tables with them: words that have not been
-        met for ``room`` other words are forgotten."""
-        late, old = known
-        now, new = {}, []
-        for w in words:
-            ids = late.get(w) or old.get(w)
-            if ids:
-                now[w] = ids
-            else:
-                new.append(w)
-        now.update(zip(new, self._parted(new, by)))
-        late.update(now)
-        return now, (({}, late) if len(late) > self.room else (late, old))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[list[str], list[list[str]]] | None] = []
-        first: set[str] = set()
-        inner: set[str] = set()
-        for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            if not _plain(text, lines):
-                cut.append(None)
-                continue
-            heads = [line.pop(0) for line in lines]
-            cut.append((heads, lines))
-            first.update(heads)
-            inner.update(*lines)
-        starts, self.first = self._learn(self.first, first, "\n")
-        rest, self.inner = self._learn(self.inner, inner, " ")
-        get, out = rest.__getitem__, []
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                out.append(self._whole([text])[0])
-                continue
-            ids: list[bytes] = []
-            for head, line in zip(*parts):
-                ids.append(self.line_end)
-                ids.append(starts[head])
-                ids += map(get, line)
-            out.append(b"".join(ids[1:]))
-        return out
-
-
-#: what parts no words of a plain ASCII text: other white space, and blanks or line ends side by side or outermost
-_ODD = ("  ", "\n ", " \n", "\n\n", *"\t\r\v\f\x1c\x1d\x1e\x1f")
-
-
-def _plain(text: str, lines: list[list[str]]) -> bool:
-    """Are the text's words parted by single blanks and line ends alone?"""
-    if text.isascii():
-        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(s in text for s in _ODD)
-    return [w for line in lines for w in line] == text.split()
-
-
-_ENCODERS: dict[tuple[str, str], WordEncoder] = {}
-
-
-def _encoder(path: str, dtype: str) -> WordEncoder:
-    """One encoder per worker process, so its tables outlive a task."""
-    if (path, dtype) not in _ENCODERS:
-        _ENCODERS[path, dtype] = WordEncoder(path, dtype)
-    return _ENCODERS[path, dtype]
-
-
 # ---------------------------------------------------------------- writing
 
 
@@ -269,7 +156,7 @@ def payload(doc_id: int | None, codes: bytes, flag: int) -> bytes:
 
 def _write(path: str, tokenizer: str, end_id: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _encoder(tokenizer, dtype), np.array([end_id], dtype=dtype).tobytes()
+        encode = encoder(tokenizer)
         width = np.dtype(dtype).itemsize
         flag = _WIDE if width == 4 else 0
         shard = TaskContext.get().partitionId()
@@ -281,16 +168,15 @@ def _write(path: str, tokenizer: str, end_id: int, dtype: str):
             if data is None:
                 fs.create_dir(base, recursive=True)
                 data, index = fs.open_output_stream(f"{base}/{name}.bin"), fs.open_output_stream(f"{base}/{name}.idx")
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            codes = [c + end for c in encode([t or "" for t in texts])]
-            body = [payload(i, c, flag) for i, c in zip(ids, codes)]
+            ids, n = with_end(*encode(batch.column("text")), end_id)
+            codes, at = ids.astype(dtype).tobytes(), np.concatenate([[0], np.cumsum(n) * width]).tolist()
+            body = [payload(i, codes[a:b], flag) for i, a, b in zip(batch.column("doc_id").to_pylist(), at, at[1:])]
             sizes = [struct.pack("<Q", len(b)) for b in body]
             crc = masked(crc32c(sizes + body)).astype("<u4")
             entry = np.zeros(len(body), dtype=ENTRY)
             entry["length"] = [len(b) for b in body]
             framed = entry["length"] + 16
             entry["offset"] = offset + np.cumsum(framed) - framed
-            n = np.array([len(c) // width for c in codes])
             entry["before"] = tokens + np.cumsum(n) - n
             index.write(entry.tobytes())
             half = len(body)
