@@ -104,6 +104,39 @@ def with_line_numbers(df: DataFrame, name: str = "line_no") -> DataFrame:
     return _apply_offsets(tagged, ["_pf_file", _PID], name, False)
 
 
+def total_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows before this one in the order of the
+    unique column ``order``.  Sums run inside ranges of the order; a range's
+    offset is the sum of the ranges before it (one row a range), so no task sees
+    all rows.  The ranges are checkpointed: a second range exchange would draw
+    other bounds."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(order).withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
+    sums = ranged.groupBy(_PID).agg(F.sum(value).alias("_pf_sum"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(_PID, F.coalesce(F.sum("_pf_sum").over(ahead), F.lit(0)).alias("_pf_off"))
+    inside = Window.partitionBy(_PID).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("_pf_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, _PID)
+    return out.withColumn(name, F.col("_pf_off") + F.col("_pf_in")).drop(_PID, "_pf_off", "_pf_in")
+
+
+def with_occurrence(df: DataFrame, keys: list[str], order: str, name: str = "occurrence", block: int = 1 << 16) -> DataFrame:
+    """Number rows of equal ``keys`` from 0 in the order of ``order``, a unique
+    non-negative row number.  A key that fills a third of the table is numbered
+    in blocks of ``block`` consecutive row numbers, each a window of its own; a
+    block's offset is a running sum over the blocks of its key, one row each."""
+    blocked = df.withColumn("_pf_block", F.floor(F.col(order) / block).cast("long"))
+    # null keys are equal: the joins below need a value for them
+    names = [f"_pf_g{i}" for i in range(len(keys))]
+    blocked = blocked.select("*", *[F.struct(F.col(k).alias("v")).alias(n) for k, n in zip(keys, names)])
+    counts = blocked.groupBy(*names, "_pf_block").agg(F.count(F.lit(1)).alias("_pf_n"))
+    before = Window.partitionBy(*names).orderBy("_pf_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_pf_off", F.coalesce(F.sum("_pf_n").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*names, "_pf_block").orderBy(order)) - 1
+    out = blocked.withColumn("_pf_in", inside).join(counts, [*names, "_pf_block"])
+    return out.withColumn(name, F.col("_pf_off") + F.col("_pf_in")).drop(*names, "_pf_block", "_pf_n", "_pf_off", "_pf_in")
+
+
 def batch_number(row_index, k: int) -> Column:
     """Batches of ``k`` consecutive rows."""
     ri = F.col(row_index) if isinstance(row_index, str) else row_index

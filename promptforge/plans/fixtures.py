@@ -205,3 +205,52 @@ class Tables:
         out = F.when(F.col("conv_id") % 10 == 3, F.col("text")) \
                .otherwise(F.concat(F.lit("[/INST] Absolutely! Here is the rephrased prompt: "), F.col("text")))
         return c.select("conv_id", "turn", out.alias("output"))
+
+    # ---- replies of whole runs (jobs that ask more than once) ----------
+    def loop_replies(self, stop_at: tuple[str, int] | None = None):
+        """``ask`` of an iterative run: a reply is made of its request's text, so
+        it depends on the history in it.  At ``stop_at`` (stage, iteration) the
+        replies are not there yet."""
+        from promptforge.functions.messages import message_text
+
+        asked = {"generate": 0, "select": 0}
+
+        def ask(stage: str, reqs: DataFrame) -> DataFrame | None:
+            if stage in ("tifa", "vqa"):
+                return self.run_replies(reqs, *(("q_pos", "Yes ", "two") if stage == "tifa" else ("chunk_pos", " Yes", "no")))
+            if (stage, asked[stage]) == stop_at:
+                return None
+            asked[stage] += 1
+            said = F.md5(message_text(F.get("messages", F.size("messages") - 1)))
+            if stage == "generate":
+                return reqs.select("request_id", F.concat(F.lit("P "), said).alias("reply"))
+            lines = F.transform(F.sequence(F.lit(0), F.col("prompt_id") % 2), lambda c: F.concat(
+                said, F.lit(" v"), F.col("iter").cast("string"), F.lit("."), c.cast("string")))
+            return reqs.select("request_id", F.array_join(lines, NL).alias("reply"))
+
+        return ask
+
+    def ledger_replies(self, reqs: DataFrame, number: int) -> DataFrame:
+        """Replies of one round to requests keyed by ``line_no``: none, errors,
+        filtered ones, a second reply to what was answered, and one to a
+        request nobody sent."""
+        k = F.col("line_no")
+        text = F.when(k % 13 == 0, F.col("prompt")).otherwise(F.concat(
+            F.lit("About x:" + NL + "Q: "), F.col("prompt"), F.lit(NL + "Choices: one, two, three" + NL + "A: two")))
+        row = lambda attempt, status, reply: F.struct(
+            F.lit(attempt).alias("attempt"), F.lit(status).alias("status"), reply.cast("string").alias("reply"))
+        none = F.lit(None)
+        error, ok = row(0, "error", none), row(0, "ok", text)
+        hard = k % 11 == 0
+        if number == 1:
+            sent = F.when(hard, F.array(row(0, "filtered", none))).when(k % 7 == 0, F.array(error)) \
+                .when(k % 5 == 0, F.array().cast("array<struct<attempt:int,status:string,reply:string>>")).otherwise(F.array(ok))
+        elif number == 2:
+            sent = F.when(hard, F.array(error, row(1, "filtered", none))).when(k % 14 == 0, F.array(ok)) \
+                .when(k % 5 == 0, F.array(error, row(1, "ok", text))).when(k % 3 == 0, F.array(row(0, "ok", F.lit("late")))) \
+                .otherwise(F.array().cast("array<struct<attempt:int,status:string,reply:string>>"))
+        else:
+            sent = F.when(hard & (k % 2 == 0), F.array(error)).otherwise(F.array(ok))
+        stray = reqs.sparkSession.range(1).select(F.lit("nobody").alias("request_id"), F.lit(0).alias("attempt"),
+                                                  F.lit("ok").alias("status"), F.lit("stray").alias("reply"))
+        return reqs.select("request_id", F.inline(sent)).unionByName(stray)

@@ -8,7 +8,7 @@ arrow of the survey's job table; none keeps driver-side state between runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from promptforge.functions.text import strip, yes_no
@@ -48,6 +48,37 @@ def prompt_lines(spark: SparkSession, prompt_file: str) -> DataFrame:
     return io.read_prompt_lines(spark, prompt_file).withColumn("prompt_key", sampling.text_key("prompt"))
 
 
+def keyed_lines(spark: SparkSession, prompt_file: str) -> DataFrame:
+    """``prompt_lines`` with ``occurrence``: which of the equal lines this one
+    is, from 0.  (text, occurrence) names a line whatever is put before it."""
+    return prompt_lines(spark, prompt_file).transform(rows.with_occurrence, ["prompt_key"], "line_no")
+
+
+def content_requests(lines: DataFrame, dataset: str, answered: DataFrame | None = None, kind: str = "noun_chunks") -> DataFrame:
+    """C2 / C3 over a prompt file that changes between runs: requests of the
+    lines (``keyed_lines``) that ``answered`` (prompt_key, occurrence) lacks.
+    Ids hold dataset, text and occurrence, so inserted, moved or deleted lines
+    leave the ids of all others as they are."""
+    keys = ["prompt_key", "occurrence"]
+    if answered is not None:
+        lines = lines.join(answered.select(*keys), keys, "left_anti")
+    build = requests.noun_chunk_requests if kind == "noun_chunks" else requests.visual_question_requests
+    return build(lines, prompt="prompt", keys=tuple(keys), scope=dataset)
+
+
+def content_noun_chunk_table(lines: DataFrame, dataset: str, reply_table: DataFrame, out_csv: str | None = None) -> DataFrame:
+    """``(line_no, prompt, noun_chunks)`` of the file's answered lines: replies
+    of every run, joined by the id of text and occurrence; written as CSV (K3)
+    when a path is given."""
+    keyed = content_requests(lines, dataset).select("request_id", "prompt_key", "occurrence")
+    one = replies.one_reply(reply_table, F.col("reply").isNotNull())
+    out = replies.attach_replies(keyed, one).join(lines, ["prompt_key", "occurrence"])
+    out = out.select("line_no", "prompt", F.col("reply").alias("noun_chunks"))
+    if out_csv:
+        io.write_csv(out.select("prompt", "noun_chunks"), out_csv)
+    return out
+
+
 def preparation_requests(spark: SparkSession, prompt_file: str, dataset: str, finished: DataFrame | None = None,
                          kind: str = "noun_chunks") -> DataFrame:
     """Prompt lines -> (resume: skip finished prompts) -> noun-phrase or
@@ -209,12 +240,16 @@ def annotation_candidates(cands: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def annotation_run(scored: DataFrame, prompts: DataFrame, dataset: str, out_html: str, out_rows: str | None = None,
-                   run: str = "0") -> DataFrame:
-    """Annotation rows (G7), the gallery page (K7) and, when a folder is given,
-    the run's rows added to the annotations there (U3)."""
+                   run: str = "0", per_page: int | None = None) -> DataFrame:
+    """Annotation rows (G7), the gallery (K7: one page, or pages of ``per_page``
+    entries with an index) and, when a folder is given, the run's rows added to
+    the annotations there (U3)."""
     ann = history.annotation_rows(scored, prompts, dataset)
     order = ["prompt_id", "iter", "cand_pos"]
-    io.write_annotation_html(history.annotation_html(ann, order), out_html, order)
+    if per_page:
+        io.write_gallery(*history.gallery_pages(ann, order, per_page), out_html)
+    else:
+        io.write_annotation_html(history.annotation_html(ann, order), out_html, order)
     if out_rows:
         io.append_annotations(ann, out_rows, run)
     return ann
@@ -244,6 +279,23 @@ def training_table(results: DataFrame, fmt: str, rephrased: str = "best_paraphra
     return training.format_pairs(pairs, fmt)
 
 
+def write_training_tables(results: DataFrame, path: str, formats: tuple[str, ...] = training.ALL_FORMATS,
+                          rephrased: str = "best_paraphrase", corrected: str | None = None, keys: tuple[str, ...] = ()) -> dict[str, str]:
+    """C9 for several formats at once: the correction pick is evaluated and
+    written once, and every format is rendered from that table into a folder of
+    its own.  Returns the folder of each format."""
+    unknown = [f for f in formats if f not in training.ALL_FORMATS]
+    if unknown:
+        raise ValueError(f"unknown format {unknown[0]!r}; choose from {', '.join(training.ALL_FORMATS)}")
+    spark, path = results.sparkSession, path.rstrip("/")
+    pairs = training.corrected_pairs(results, "original_prompt", rephrased, corrected).select(*keys, "original_prompt", "rephrased_prompt")
+    pairs.write.mode("overwrite").parquet(f"{path}/pairs")
+    pairs = spark.read.schema(pairs.schema).parquet(f"{path}/pairs")
+    for fmt in formats:
+        io.write_json(training.format_pairs(pairs, fmt, keys=keys), f"{path}/{fmt}")
+    return {fmt: f"{path}/{fmt}" for fmt in formats}
+
+
 # C10 --------------------------------------------------------------------------
 def generation_requests(prompts: DataFrame, prompt_col: str = "prompt", first_n: int = 200,
                         batch: int = 4) -> DataFrame:
@@ -260,6 +312,34 @@ def generation_table(reqs: DataFrame, outputs: DataFrame) -> DataFrame:
             .withColumn("rejected", F.col("generated_prompt").isNull())
 
 
+def split_once(rows_: DataFrame, reject: F.Column, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Accepted rows, rejected rows and their counts from a single evaluation of
+    ``rows_``: one write, dealt into folders by verdict, with the counts observed
+    while it runs.  A null verdict rejects."""
+    seen = Observation()
+    verdict = F.coalesce(reject, F.lit(True))
+    # the verdict first: what is counted is what is written
+    marked = rows_.withColumn("rejected", verdict).observe(
+        seen, F.count(F.when(~F.col("rejected"), 1)).alias("accepted"), F.count(F.when(F.col("rejected"), 1)).alias("rejected"))
+    marked.write.mode("overwrite").partitionBy("rejected").parquet(path)
+    counts = dict(seen.get)
+    back = rows_.sparkSession.read.schema(marked.schema).parquet(path)
+    return back.where("not rejected").drop("rejected"), back.where("rejected").drop("rejected"), counts
+
+
+def generation_run(reqs: DataFrame, outputs: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """C10 in one pass: generated prompts, rejected outputs and their counts."""
+    made = generation_table(reqs, outputs).drop("rejected")
+    return split_once(made, F.col("generated_prompt").isNull(), path)
+
+
+def qca_run(replies_: DataFrame, path: str, dataset: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """C3 with P7 in one pass: parsed replies, the anomaly report's rows and
+    their counts."""
+    parsed = evalrows.qca_table(replies_, keep=keep).withColumn("dataset", F.lit(dataset))
+    return split_once(parsed, F.col("anomaly"), path)
+
+
 # C11 --------------------------------------------------------------------------
 def icl_requests(examples: DataFrame, tests: DataFrame, n_examples: int = 100, seed: int = 42) -> DataFrame:
     ex = sampling.seeded_sample(examples.withColumn("_k", F.concat_ws("|", "prompt", "best_paraphrase")),

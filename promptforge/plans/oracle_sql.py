@@ -331,8 +331,7 @@ oracle("latest_shard", """select process, max(nextline) nextline, arg_max(file_n
   from (select distinct process, nextline, file_name from sh) group by process""", "f_shards", extra={"sh": _SH})
 oracle("merge_shards", """select file_name, process, nextline, 1 source_rank, row_index, original_prompt, round(score, 6) score
   from sh""", "f_shards", extra={"sh": _SH})
-_FLAT = """select *, case when source_rank = 0 then 'ds_combined.csv' else file_name end file from sh
-    where nextline <= 80 and (source_rank = 1 and process in (0, 1) or source_rank = 0 and process = 0)"""
+_FLAT = """select *, case when source_rank = 0 then 'ds_combined.csv' else file_name end file from sh"""
 _MRG = """select * from (select *, row_number() over (partition by original_prompt order by source_rank,
     case when source_rank = 1 then process end, case when source_rank = 1 then nextline end, row_index desc) r from flat) where r = 1"""
 _MX = {"sh": _SH, "flat": _FLAT, "mrg": _MRG}
@@ -414,8 +413,9 @@ oracle("image_paths", f"""select item_id, 'out/annotations/benchmark_' || {key_(
     'out/benchmark_process3_' || {key_('text')} || '.png' process_path,
     './annotations/benchmark_' || {key_('text')} || '.png' relative_path from benchmark""")
 
-oracle("image_files", """select page_id % 16 as bucket, sum(octet_length(encode(html || chr(10)))) as length,
-    'data:text/plain;base64,' || base64(encode(string_agg(html || chr(10), '' order by page_id))) data_url from pages group by all""")
+oracle("image_files", """select bucket, length, cast(floor((sum(length) over (order by bucket) - length) / 1048576) as bigint) pack,
+    data_url from (select page_id // 16 as bucket, cast(sum(octet_length(encode(html || chr(10)))) as bigint) as length,
+    'data:text/plain;base64,' || base64(encode(string_agg(html || chr(10), '' order by page_id))) data_url from pages group by all)""")
 
 # ------------------------------------------------------------- streaming
 oracle("incremental_replies", f"""select r.request_id, generate_subscripts(l, 1) - 1 cand_pos, unnest(l) revised_prompt
@@ -438,3 +438,5 @@ oracle("candidate_score_table", f"""select coalesce(t.cand, v.cand) cand, coales
     coalesce(t.answers, '') answers
   from st t full outer join sv v on t.cand = v.cand""", "f_tifa_answers", "f_vqa_replies",
        extra={"st": _ST, "sv": _SV})
+
+from promptforge.plans import run_oracles  # noqa: E402, F401

@@ -290,6 +290,13 @@ def q_eval_rows_qca_only(spark, sf_dir):
 CAND = ["prompt_id", "iter", "cand_pos"]
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder: every branch reads it."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _run_eval(t: Tables) -> DataFrame:
     """prompt_id, qca, chunks of every document."""
     q = _qca(t).select(F.col("doc_id").alias("prompt_id"), "qca")
@@ -300,10 +307,14 @@ def _run_requests(t: Tables) -> tuple[DataFrame, DataFrame]:
     return jobs.scoring_requests(t.run_candidates, _run_eval(t), "docs", CAND, prompt_col="revised_prompt", run="1")
 
 
-def _run_scores(t: Tables) -> DataFrame:
-    tifa, vqa = _run_requests(t)
+def _run_scores(t: Tables, ev: DataFrame | None = None) -> DataFrame:
+    """The scoring run; its parsed questions are written once, or given."""
+    ev = _written(_run_eval(t), "run-eval") if ev is None else ev
+    # the ids of requests are what replies are joined by: the rest of a request stays with its table
+    tifa, vqa = jobs.scoring_requests(t.run_candidates, ev, "docs", CAND, prompt_col="revised_prompt", run="1")
+    tifa, vqa = tifa.drop("messages"), vqa.drop("messages")
     return jobs.candidate_score_table(t.run_candidates, tifa, t.run_replies(tifa, "q_pos", "Yes ", "two"),
-                                      vqa, t.run_replies(vqa, "chunk_pos", " Yes", "no"), _run_eval(t), CAND)
+                                      vqa, t.run_replies(vqa, "chunk_pos", " Yes", "no"), ev, CAND)
 
 
 @query("req_tifa")
@@ -333,7 +344,8 @@ def q_score_run(spark, sf_dir):
 def q_chunk_scores(spark, sf_dir):
     """Positional zip of each chunk with its presence score."""
     t = Tables(spark, sf_dir)
-    e = jobs.element_rows(_run_scores(t), _run_eval(t), CAND)
+    ev = _written(_run_eval(t), "run-eval")
+    e = jobs.element_rows(_run_scores(t, ev), ev, CAND)
     return e.select(*CAND, L("chunk_pos").alias("chunk_pos"), "chunk", round6("prob").alias("prob"))
 
 
@@ -461,7 +473,8 @@ def q_history_rows(spark, sf_dir):
 
 def _history(t: Tables) -> DataFrame:
     """G2 over the scoring run: its parsed questions, answers and elements."""
-    run, ev = _run_scores(t), _run_eval(t)
+    ev = _written(_run_eval(t), "run-eval")
+    run = _written(_run_scores(t, ev), "run-scores")  # candidates, questions and elements all come from it
     sc = scores.candidate_scores(run.join(t.run_candidates, CAND))
     return history.history_text(sc, qa=jobs.question_rows(run, ev, CAND), elements=jobs.element_rows(run, ev, CAND))
 
@@ -577,25 +590,23 @@ def q_merge_shards(spark, sf_dir):
 
 
 def _flat_results(t: Tables, spark, iterative: bool) -> str:
-    """Result files as the original run leaves them, side by side: a combined
-    file and shards with headers in two orders, and a dataset whose name is
-    longer.  Rows stand in the files by descending price."""
+    """Result files of all rows: a combined file and a shard per process and
+    progress, of several part files each, with headers in two orders, and
+    datasets whose names are longer.  A file's rows descend by row index."""
     root = scratch_dir(spark, "flat")
-    s = merge.with_shard_parts(t.shards).filter("nextline <= 80")
+    s = merge.with_shard_parts(t.shards)
     value = F.concat(F.lit("["), F.col("score").cast("string"), F.lit(", 1.5]")) if iterative else F.col("score")
-    s = s.select("file_name", "source_rank", "process", "row_index", "original_prompt", value.alias("value"))
-
-    def put(rows_, name, cols):
-        rows_.coalesce(1).sortWithinPartitions(F.desc("row_index")).select(*cols).write.option("header", True) \
-            .option("quote", '"').option("escape", '"').csv(f"{root}/{name}")
-
-    a, b = ["row_index", "original_prompt", "value"], ["value", "original_prompt", "row_index"]
-    put(s.filter("source_rank = 0 and process = 0"), "ds_combined.csv", a)
-    for p, nextline in ((0, 40), (0, 80), (1, 40), (1, 80)):
-        part = s.filter(f"source_rank = 1 and file_name = 'ds_process{p}_nextline_{nextline}.csv'")
-        put(part, f"ds_process{p}_nextline_{nextline}.csv", a if p else b)
-    put(s.withColumn("original_prompt", F.lit("other")), "ds_process_x_process0_nextline_40.csv", a)
-    put(s.withColumn("original_prompt", F.lit("other")), "ds2_process0_nextline_40.csv", a)
+    shard = F.when(F.col("source_rank") == 0, "ds_combined.csv").otherwise(F.col("file_name"))
+    s = s.select(shard.alias("shard"), "process", "row_index", "original_prompt", value.alias("value"))
+    other = s.where("process = 0").withColumn("original_prompt", F.lit("other"))
+    for rows_, cols in ((s.where("shard = 'ds_combined.csv' or process % 2 = 0"), ["row_index", "original_prompt", "value"]),
+                        (s.where("shard <> 'ds_combined.csv' and process % 2 = 1"), ["value", "original_prompt", "row_index"]),
+                        (other.withColumn("shard", F.lit("ds_process_x_process0_nextline_40.csv")), ["row_index", "original_prompt", "value"]),
+                        (other.withColumn("shard", F.lit("ds2_process0_nextline_40.csv")), ["row_index", "original_prompt", "value"])):
+        # ranges of (name, row): a large name spans several files, in the order of their numbers
+        order = ["shard", F.desc("row_index")]
+        rows_.repartitionByRange(*order).sortWithinPartitions(*order).select("shard", *cols).write.mode("append").partitionBy("shard") \
+            .option("header", True).option("quote", '"').option("escape", '"').csv(root)
     return root
 
 
@@ -613,7 +624,7 @@ def _merge_run(spark, sf_dir, iterative: bool) -> DataFrame:
 
 @query("merge_run")
 def q_merge_run(spark, sf_dir):
-    """C8, scoring mode, over flat files with mixed headers."""
+    """C8, scoring mode, over all rows in files with mixed headers."""
     return _merge_run(spark, sf_dir, False)
 
 
@@ -815,12 +826,17 @@ def q_image_paths(spark, sf_dir):
 
 @query("image_files")
 def q_image_files(spark, sf_dir):
-    """S9 + P11: pages written as files (one a bucket) and read as bytes."""
+    """S9 + P11: pages written as files of 16 each, listed by path and length,
+    packed into tasks of about a MB and read as bytes."""
     path = scratch_dir(spark, "images")
-    p = Tables(spark, sf_dir).pages.withColumn("bucket", F.pmod("page_id", F.lit(16)))
-    p.repartition("bucket").sortWithinPartitions("bucket", "page_id").select("bucket", "html").write.partitionBy("bucket").text(path)
-    files = io.read_images(spark, path, "*.txt")
-    return files.select(L("bucket").alias("bucket"), L("length").alias("length"), misc.data_url("path", "content").alias("data_url"))
+    p = Tables(spark, sf_dir).pages.withColumn("bucket", F.floor(F.col("page_id") / 16))
+    # a bucket holds 16 pages at most, so a file and its row stay small at any size of the table
+    p = p.repartitionByRange("bucket").sortWithinPartitions("bucket", "page_id").withColumn(
+        "name", F.format_string("b%012d", "bucket"))
+    p.select("name", "html").write.partitionBy("name").text(path)
+    files = io.read_packed_images(spark, path, 1 << 20, "*.txt")
+    return files.select(F.substring("name", 2, 12).cast("long").alias("bucket"), L("length").alias("length"), "pack",
+                        misc.data_url("path", "content").alias("data_url"))
 
 
 # ------------------------------------------------------------- streaming
@@ -854,3 +870,7 @@ def q_candidate_score_table(spark, sf_dir):
     return s.select("cand", "n_questions", "n_correct", round6("tifa").alias("tifa"), "n_chunks", "n_open",
                     round6("vqa").alias("vqa"), round6("sum").alias("sum"),
                     F.array_join("answers", " | ").alias("answers"))
+
+
+# queries of whole jobs register themselves
+from promptforge.plans import run_queries  # noqa: E402, F401

@@ -7,13 +7,15 @@ a lost executor re-runs its task instead of leaving half-written files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptforge.functions.text import one_line, strip
 from promptforge.operators.merge import with_shard_parts
-from promptforge.operators.rows import with_line_numbers
+from promptforge.operators.rows import total_before, with_line_numbers
+from promptforge.session import scratch_dir
+from promptforge.sources import commits
 
 QCA_SCHEMA = T.StructType([
     T.StructField("prompt", T.StringType()),
@@ -99,48 +101,82 @@ def read_optional(read, *args, **kwargs) -> DataFrame | None:
         raise
 
 
-def _shard_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """(file, file_name, header) of the CSV files of dataset ``name`` under
-    ``root``, in either layout: ``{name}_process{p}_nextline_{n}.csv`` and
-    ``{name}_combined.csv`` side by side (files, or folders of part files), or
-    ``shard=<file name>`` folders.  The whole name must match, so a longer
-    dataset name is another dataset."""
-    exact = rf"/(?:shard=)?(\Q{name}\E_(?:process\d+_nextline_\d+|combined)\.csv)(?:/|$)"
-    pattern = f"{root}/{{{name}_*.csv,shard={name}_*.csv}}"
-    lines = spark.read.option("recursiveFileLookup", "true").text(pattern)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
-    lines = lines.withColumn("n", F.monotonically_increasing_id())  # rows of a split are in file order
-    lines = lines.withColumn("file_name", F.regexp_extract("file", exact, 1)).filter("file_name <> '' and at = 0")
-    return lines.groupBy("file", "file_name").agg(F.min_by("value", "n").alias("header"))
+def _file_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """(file, at, line): all lines of the files; ``at`` orders those of a file,
+    however it was split."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(pattern)
+    # a split's rows are in file order and its offset in the file is known
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
+
+
+def _quotes(c) -> F.Column:
+    return F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
+
+
+def _records(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """(file, at, record).  Files in which every line holds an even number of
+    quotes have a record per line and stay split.  In the others, a line ends a
+    record where the file's quotes so far are even: a window over the lines of
+    such a file, in file order."""
+    plain = lines.join(tables.where("not quoted_ends").select("file"), "file", "left_semi").select(
+        "file", "at", F.regexp_replace("line", "\r$", "").alias("record"))
+    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    joined = lines.join(tables.where("quoted_ends").select("file"), "file", "left_semi")
+    joined = joined.withColumn("_before", F.coalesce(F.sum(_quotes("line")).over(w), F.lit(0)))
+    joined = joined.withColumn("_record", F.sum(F.when(F.col("_before") % 2 == 0, 1).otherwise(0)).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    # a record is one row of a file, so its lines are one value anyway
+    whole = joined.groupBy("file", "_record").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    whole = whole.select("file", F.col("l")[0]["at"].alias("at"), F.regexp_replace(F.array_join("l.line", "\n"), "\r$", "").alias("record"))
+    return plain.unionByName(whole).where("record <> ''")
 
 
 def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
-    """S7 + S8: the result files of dataset ``name`` under ``root`` (layouts:
-    :func:`_shard_files`).  Files may have different headers: each group of
-    files with one header is read by it, and the groups are united by column
-    name (missing columns become null).  Empty files are skipped.
+    """S7 + S8: the result files of dataset ``name`` under ``root``, in either
+    layout: ``{name}_process{p}_nextline_{n}.csv`` and ``{name}_combined.csv``
+    side by side (files, or folders of part files), or ``shard=<file name>``
+    folders.  The whole name must match, so a longer dataset name is another
+    dataset.  Empty files are skipped.
+
+    Files may have different headers.  The headers go into a table of one row a
+    file (written under the checkpoint folder), and the records are parsed by
+    position and matched to their file's header in a join: neither the driver
+    nor the plan holds the files one by one.  Missing columns become null.
 
     Adds ``file_name``, ``process``, ``nextline``, ``source_rank`` (0 for the
-    combined file, 1 for shards), ``file`` and ``position``, which orders the
-    rows of a file as they stand in it.
+    combined file, 1 for shards), ``file`` and ``position`` (a struct), which
+    orders the rows of a file as they stand in it.
     """
     from pyspark.errors import AnalysisException
 
     st = _as_schema(spark, schema)
-    files = _shard_files(spark, root.rstrip("/"), name).collect()  # one row a file
-    if not files:
+    root = root.rstrip("/")
+    exact = rf"/(?:shard=)?(\Q{name}\E_(?:process\d+_nextline_\d+|combined)\.csv)(?:/|$)"
+    lines = _file_lines(spark, f"{root}/{{{name}_*.csv,shard={name}_*.csv}}").where(F.regexp_extract("file", exact, 1) != "")
+    tables = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("first"), F.max(_quotes("line") % 2 == 1).alias("quoted_ends"))
+    tables = tables.select("file", F.regexp_extract("file", exact, 1).alias("file_name"), F.col("first.at").alias("header_at"),
+                           F.regexp_replace("first.line", "\r$", "").alias("header"), "quoted_ends")
+    path = scratch_dir(spark, "shard-files")
+    tables.write.parquet(path)
+    tables = spark.read.parquet(path)
+    # one number to the driver: the largest number of columns (commas bound it)
+    width = tables.agg(F.max(F.length("header") - F.length(F.replace("header", F.lit(","), F.lit(""))) + 1)).first()[0]
+    if width is None:
         raise AnalysisException(f"PATH_NOT_FOUND: no result files of dataset {name!r} under {root}")
-    out = None
-    for header in sorted({f["header"] for f in files}):
-        paths = [f["file"] for f in files if f["header"] == header]
-        raw = spark.read.options(**_CSV_OPTS).csv(paths)
-        raw = raw.withColumn("file", F.col("_metadata.file_path")).withColumn("position", F.monotonically_increasing_id())
-        known = {c: F.col(f"`{c}`") for c in raw.columns}
-        fields = [known.get(f.name, F.lit(None)).try_cast(f.dataType).alias(f.name) for f in st.fields if f.name not in INDEX_COLUMNS]
-        part = raw.select(*fields, "file", "position")
-        out = part if out is None else out.unionByName(part)
-    exact = r"/(?:shard=)?([^/]*_(?:process\d+_nextline_\d+|combined)\.csv)(?:/|$)"
-    out = out.withColumn("file_name", F.regexp_extract("file", exact, 1))
+    columns = [f"c{i}" for i in range(width)]
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+    def cells(df: DataFrame, text: str, name: str) -> DataFrame:
+        parsed = df.withColumn("_csv", F.from_csv(text, ", ".join(f"{c} string" for c in columns), options))
+        return parsed.withColumn(name, F.array(*[F.col(f"_csv.{c}") for c in columns])).drop("_csv")
+
+    heads = cells(tables, "header", "names").select("file", "file_name", "header_at", "names")
+    rows = _records(lines, tables).join(heads, "file").where(F.col("at") != F.col("header_at"))
+    rows = cells(rows, "record", "cells")
+    picked = [F.get("cells", F.array_position("names", F.lit(f.name)) - 1).try_cast(f.dataType).alias(f.name)
+              for f in st.fields if f.name not in INDEX_COLUMNS]
+    out = rows.select(*picked, "file", F.col("at").alias("position"), "file_name")
     out = out.withColumn("source_rank", F.when(F.endswith("file_name", F.lit("_combined.csv")), 0).otherwise(1))
     return with_shard_parts(out, "file_name")
 
@@ -153,6 +189,23 @@ def read_images(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return r.load(path)
 
 
+def pack_files(files: DataFrame, target_bytes: int) -> DataFrame:
+    """(path, length) -> (path, length, pack): files in the order of their paths,
+    packed into runs of about ``target_bytes``: a file's run is the number of
+    whole targets before it."""
+    totals = total_before(files.select("path", "length"), "path", "length", "before")
+    return totals.select("path", "length", F.floor(F.col("before") / target_bytes).cast("long").alias("pack"))
+
+
+def read_packed_images(spark: SparkSession, path: str, target_bytes: int = 64 << 20, glob: str | None = None) -> DataFrame:
+    """S9 by size: the paths and lengths are listed without reading a file, packed
+    into runs of about ``target_bytes``, and each run's files are read together:
+    (path, length, content, partition columns, pack)."""
+    files = read_images(spark, path, glob)
+    packs = pack_files(files.select("path", "length"), target_bytes).select("path", "pack")
+    return files.join(packs, "path")
+
+
 def parse_list_col(c, elem_type: str = "double"):
     """A stringified list (``[0.5, 0.75]`` / ``['a', 'b']``) back to an array."""
     return F.from_json(c if not isinstance(c, str) else F.col(c), f"array<{elem_type}>",
@@ -226,7 +279,23 @@ def write_annotation_html(blocks: DataFrame, path: str, order_cols: list[str]) -
     blocks.orderBy("part", *order_cols).select("html").write.mode("overwrite").text(path)
 
 
+def write_gallery(pages: DataFrame, index: DataFrame, path: str) -> None:
+    """K7 by pages: ``history.gallery_pages`` as one file a page (folders
+    ``pages/page=<n>``) and the index page beside them."""
+    pages.repartitionByRange("page").sortWithinPartitions("page", "part", "at").select("page", "html") \
+        .write.mode("overwrite").partitionBy("page").text(f"{path}/pages")
+    index.orderBy("part", "page").select("html").write.mode("overwrite").text(f"{path}/index")
+
+
+def write_batch(df: DataFrame, path: str, batch_id: str | int) -> None:
+    """K8: results of one call, added exactly once: a repeated batch id replaces
+    its rows, and readers see complete batches alone (``sources.commits``)."""
+    commits.commit_batch(df, path, batch_id)
+
+
 def write_incremental(df: DataFrame, path: str, batch_col: str = "batch_no") -> None:
-    """K8: results appended per call; the batch number is a column of ordinary
-    files (a folder for every few rows would drown the file system)."""
+    """K8 without a batch id: results are appended per call, so a repeated call
+    repeats its rows (:func:`write_batch` does not).  The batch number is a
+    column of ordinary files (a folder for every few rows would drown the file
+    system)."""
     df.sortWithinPartitions(batch_col).write.mode("append").parquet(path)
