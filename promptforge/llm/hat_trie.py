@@ -43,9 +43,9 @@ BLOOM_BITS = 1 << 26
 _BITS = 21              # bits of a word number; three rest words make one 63-bit key
 _WORDS = 1 << 19        # word places counted at once
 _MASK = (1 << _BITS) - 1
-_RUNS = "bucket int, lang string, phrases string, counts binary, places long"
-_RUN_SCHEMA = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("phrases", pa.large_string()),
-                         ("counts", pa.large_binary()), ("places", pa.int64())])
+_RUNS = "bucket int, langs array<string>, phrases array<string>, counts array<binary>, places array<long>"
+_RUN_SCHEMA = pa.schema([("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("phrases", pa.list_(pa.string())),
+                         ("counts", pa.list_(pa.binary())), ("places", pa.list_(pa.int64()))])
 
 # bytes that end a piece: . , ; : ! ? and \n \v \f \r; bytes between words: blank and tab
 _PIECE_END = np.zeros(256, dtype=bool)
@@ -84,18 +84,19 @@ class Places:
         off = off - off[0]
         low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
         gap = _GAP[low]
-        begin = ~gap
+        word = ~gap
+        begin, last = word.copy(), word.copy()
         begin[1:] &= gap[:-1]
-        first = off[:-1][np.diff(off) > 0]
-        begin[first] = ~gap[first]
+        last[:-1] &= gap[1:]
+        full = np.diff(off) > 0
+        begin[off[:-1][full]] = word[off[:-1][full]]
+        last[off[1:][full] - 1] = word[off[1:][full] - 1]
         start = np.flatnonzero(begin)
+        bound = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - start)]).astype(np.int64)
         # a piece ends at each of its marks and where a row ends
         self.row = np.searchsorted(off, start, side="right") - 1
-        self.piece = np.cumsum(_PIECE_END[low])[start] + self.row if len(start) else np.zeros(0, np.int64)
-        self.piece = self.piece.astype(np.int64)
-        body = low[~gap]
-        where = np.cumsum(~gap)[start] - 1 if len(start) else np.zeros(0, np.int64)
-        bound = np.append(where, len(body)).astype(np.int64)
+        self.piece = np.searchsorted(np.flatnonzero(_PIECE_END[low]), start) + self.row
+        body = low[word]
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bound.tobytes()), pa.py_buffer(body)])
         coded = words.dictionary_encode()
         self.words: list[bytes] = coded.dictionary.to_pylist()
@@ -106,23 +107,27 @@ class Vocabulary:
     """Numbers of (language, word), from 1, with a hash of each that all tasks agree on."""
 
     def __init__(self):
-        self.number: dict[tuple[str, bytes], int] = {}
-        self.hash = np.zeros(1, np.uint64)
+        self.number: dict[str, dict[bytes, int]] = {}
+        self.words: list[bytes | None] = [None]
+        self.langs: list[str] = []
+        self.hash, self.lang = np.zeros(1, np.uint64), np.zeros(1, np.int64)
 
     def numbers(self, lang: str, words: list[bytes]) -> np.ndarray:
         import xxhash
 
-        get, at = self.number.get, []
-        new = []
-        salt = xxhash.xxh64_intdigest(lang.encode(), 7)
-        for w in words:
-            i = get((lang, w))
-            if i is None:
-                i = self.number[lang, w] = len(self.number) + 1
-                new.append(xxhash.xxh64_intdigest(w, salt))
-            at.append(i)
+        if lang not in self.number:
+            self.number[lang] = {}
+            self.langs.append(lang)
+        known = self.number[lang]
+        at = [known.get(w, 0) for w in words]
+        new = [w for w, i in zip(words, at) if not i]
         if new:
-            self.hash = np.concatenate([self.hash, np.array(new, np.uint64)])
+            salt, digest = xxhash.xxh64_intdigest(lang.encode(), 7), xxhash.xxh64_intdigest
+            known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.words += new
+            self.hash = np.concatenate([self.hash, np.array([digest(w, salt) for w in new], np.uint64)])
+            self.lang = np.concatenate([self.lang, np.full(len(new), self.langs.index(lang))])
+            at = [i or known[w] for w, i in zip(words, at)]
         return np.array(at, dtype=np.int64)
 
 
@@ -134,39 +139,35 @@ class HatTrie:
     def __init__(self, burst: int = 1 << 14):
         self.burst = burst
         self.root: dict[int, dict | tuple] = {}
-        self.size: dict[int, int] = {}  # entries below each first word
         self.entries = 0
 
     def add(self, first: np.ndarray, rest: np.ndarray, count: np.ndarray) -> None:
-        """Add counts of distinct (first, rest), sorted by them."""
+        """Add counts of distinct (first, rest), sorted by first."""
         if not len(first):
             return
-        cut = np.flatnonzero(np.diff(first)) + 1
-        bounds = [0, *cut.tolist(), len(first)]
+        heads = np.append(0, np.flatnonzero(np.diff(first)) + 1)
+        root, burst, grown = self.root, self.burst, 0
+        words, bounds = first[heads].tolist(), [*heads.tolist(), len(first)]
         rest, count = rest.tolist(), count.tolist()
-        for a, b in zip(bounds, bounds[1:]):
-            self._add(int(first[a]), rest[a:b], count[a:b])
-
-    def _add(self, word: int, rest: list[int], count: list[int]) -> None:
-        below = self.root.get(word)
-        if below is None:
-            below = self.root[word] = {}
-        grown = 0
-        if type(below) is dict:
-            before = len(below)
-            get = below.get
-            for r, n in zip(rest, count):
-                below[r] = get(r, 0) + n
-            grown = len(below) - before
-            if len(below) > self.burst:
-                self.root[word] = self._split(below)
-        else:
-            own, children = below
-            for r, n in zip(rest, count):
-                box = children.setdefault(r >> 2 * _BITS, {}) if r else own
-                grown += r not in box
-                box[r] = box.get(r, 0) + n
-        self.size[word] = self.size.get(word, 0) + grown
+        for word, a, b in zip(words, bounds, bounds[1:]):
+            box = root.get(word)
+            if box is None:
+                root[word] = box = dict(zip(rest[a:b], count[a:b]))
+                grown += b - a
+            elif type(box) is dict:
+                before, get = len(box), box.get
+                for r, n in zip(rest[a:b], count[a:b]):
+                    box[r] = get(r, 0) + n
+                grown += len(box) - before
+            else:
+                own, children = box
+                for r, n in zip(rest[a:b], count[a:b]):
+                    leaf = children.setdefault(r >> 2 * _BITS, {}) if r else own
+                    grown += r not in leaf
+                    leaf[r] = leaf.get(r, 0) + n
+                continue
+            if len(box) > burst:
+                root[word] = self._split(box)
         self.entries += grown
 
     @staticmethod
@@ -179,58 +180,65 @@ class HatTrie:
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Take out the largest subtrees until at most ``keep`` entries stay:
         first words, rests and counts of what was taken."""
+        size = {w: len(box) if type(box) is dict else len(box[0]) + sum(map(len, box[1].values())) for w, box in self.root.items()}
         firsts, sizes, rests, counts = [], [], [], []
-        for word in sorted(self.size, key=self.size.get, reverse=True):
+        for word in sorted(size, key=size.get, reverse=True) if keep else size:
             if self.entries <= keep:
                 break
             below = self.root.pop(word)
-            boxes = [below] if type(below) is dict else [below[0], *below[1].values()]
-            for box in boxes:
+            for box in [below] if type(below) is dict else [below[0], *below[1].values()]:
                 rests += box.keys()
                 counts += box.values()
-            n = self.size.pop(word)
             firsts.append(word)
-            sizes.append(n)
-            self.entries -= n
+            sizes.append(size[word])
+            self.entries -= size[word]
         return np.repeat(np.array(firsts, np.int64), sizes), np.array(rests, np.int64), np.array(counts, np.int64)
 
 
 def _runs(vocabulary: Vocabulary, taken: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """The taken subtrees as sorted runs: one row per prefix partition and language."""
+    """The taken subtrees as sorted runs: one row per prefix partition, which
+    holds a run of each language."""
     first, rest, count = taken
-    names = list(vocabulary.number)
-    seconds, thirds, fourths = rest >> 2 * _BITS, rest >> _BITS & _MASK, rest & _MASK
+    places = [first, rest >> 2 * _BITS, rest >> _BITS & _MASK, rest & _MASK]
     h = vocabulary.hash
-    bucket = (_chain(h[first], h[seconds], h[thirds]) % np.uint64(buckets)).astype(np.int64)
-    langs = sorted({lang for lang, _ in names})
-    code = {lang: i for i, lang in enumerate(langs)}
-    lang = np.array([0] + [code[g] for g, _ in names], dtype=np.int64)[first]
-    rank = np.empty(len(names) + 1, np.int64)  # word order; 0, no word, before all
-    by_word = pc.sort_indices(pa.array([b""] + [w for _, w in names], pa.large_binary())).to_numpy()
-    rank[by_word] = np.arange(len(by_word))
-    order = np.lexsort((rank[fourths], rank[thirds], rank[seconds], rank[first], lang, bucket))
-    words = pa.array([None] + [w.decode() for _, w in names], pa.large_string())
-    take = lambda at: words.take(pa.array(at[order]))
-    phrase = pc.binary_join_element_wise(take(first), take(seconds), take(thirds), take(fourths),
+    bucket = (_chain(*(h[w] for w in places[:3])) % np.uint64(buckets)).astype(np.int64)
+    lang = vocabulary.lang[first]
+    # the words that occur, in the order of their bytes; 0, no word, before all
+    used = np.zeros(len(h), dtype=bool)
+    used[0] = True
+    for w in places:
+        used[w] = True
+    used = np.flatnonzero(used)
+    words = pa.array([vocabulary.words[i] or b"" for i in used.tolist()], pa.large_binary())
+    by_word = pc.sort_indices(words).to_numpy()
+    rank = np.empty(len(h), np.int64)
+    rank[used[by_word]] = np.arange(len(used))
+    places = [rank[w] for w in places]
+    # at most four words of 21 bits: two numbers to sort by behind partition and language
+    order = np.lexsort((places[2] << _BITS | places[3], places[0] << _BITS | places[1], bucket * len(vocabulary.langs) + lang))
+    text = words.take(pa.array(by_word)).cast(pa.large_string())
+    text = pa.concat_arrays([pa.array([None], pa.large_string()), text.slice(1)])
+    phrase = pc.binary_join_element_wise(*[text.take(pa.array(w[order])) for w in places if w.any()],
                                          pa.scalar(" ", pa.large_string()), null_handling="skip")
     count, bucket, lang = count[order].astype("<i8"), bucket[order], lang[order]
-    cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(lang) != 0)) + 1
-    at = np.concatenate([[0], cut, [len(bucket)]]).astype(np.int64)
-    lists = pa.LargeListArray.from_arrays(pa.array(at), phrase)
+    run = np.append(0, np.flatnonzero((np.diff(bucket) != 0) | (np.diff(lang) != 0)) + 1)
+    at = np.append(run, len(bucket))
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at), phrase), pa.scalar("\n", pa.large_string()))
+    counts = pa.Array.from_buffers(pa.large_binary(), len(run), [None, pa.py_buffer((at * 8).tobytes()), pa.py_buffer(count.tobytes())])
+    head = np.append(0, np.flatnonzero(np.diff(bucket[run])) + 1)
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(np.append(head, len(run)), pa.int32()), values)
     return pa.RecordBatch.from_arrays([
-        pa.array(bucket[at[:-1]], pa.int32()), pa.array([langs[i] for i in lang[at[:-1]]], pa.string()),
-        pc.binary_join(lists, pa.scalar("\n", pa.large_string())),
-        pa.array([count[a:b].tobytes() for a, b in zip(at, at[1:])], pa.large_binary()),
-        pa.array(np.zeros(len(at) - 1, np.int64))], schema=_RUN_SCHEMA)
+        pa.array(bucket[run][head], pa.int32()), lists(pa.array([vocabulary.langs[i] for i in lang[run].tolist()], pa.string())),
+        lists(joined.cast(pa.string())), lists(counts.cast(pa.binary())),
+        lists(pa.array(np.zeros(len(run)), pa.int64()))], schema=_RUN_SCHEMA)
 
 
 def _words_and_pairs(word: np.ndarray, piece: np.ndarray, hashes, bloom) -> Iterator[tuple]:
     """Counts of words and of pairs of neighbours in one piece."""
     own = word[:-3]
-    first, n = np.unique(own, return_counts=True)
-    yield first, np.zeros(len(first), np.int64), n
     at = np.flatnonzero(piece[:-3] == piece[1:-2])
-    pair, n = np.unique(own[at] << _BITS | word[at + 1], return_counts=True)
+    # a word alone is a pair with no word
+    pair, n = np.unique(np.concatenate([own << _BITS, own[at] << _BITS | word[at + 1]]), return_counts=True)
     yield pair >> _BITS, (pair & _MASK) << 2 * _BITS, n
 
 
@@ -278,17 +286,18 @@ def _count(kind, buckets: int, room: int, lang_col: str, shared=None):
                     for some in kind(word, piece, vocabulary.hash, bloom):
                         trie.add(*some)
                     if trie.entries > room:
-                        yield _runs(vocabulary, trie.spill(room // 2), buckets)
-                    if len(vocabulary.number) > _MASK - (_WORDS + 4):
+                        yield _runs(vocabulary, trie.spill(room // 4), buckets)
+                    if len(vocabulary.words) > _MASK - (_WORDS + 4):
                         yield _runs(vocabulary, trie.spill(0), buckets)
                         vocabulary = Vocabulary()
         if trie.entries:
             yield _runs(vocabulary, trie.spill(0), buckets)
         if bloom is None and places:  # words of each language in all
-            n = len(places)
+            one = lambda values, kind: pa.array([values], pa.list_(kind))
+            names = list(places)
             yield pa.RecordBatch.from_arrays([
-                pa.array([-1] * n, pa.int32()), pa.array(list(places), pa.string()), pa.array([""] * n, pa.large_string()),
-                pa.array([b""] * n, pa.large_binary()), pa.array(list(places.values()), pa.int64())], schema=_RUN_SCHEMA)
+                pa.array([-1], pa.int32()), one(names, pa.string()), one([""] * len(names), pa.string()),
+                one([b""] * len(names), pa.binary()), one([places[n] for n in names], pa.int64())], schema=_RUN_SCHEMA)
 
     return run
 
@@ -299,14 +308,14 @@ def _merge(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
         for group in sorted_groups(batches, ["bucket"]):
+            flat = {c: pc.list_flatten(group.column(c)).combine_chunks() for c in ("langs", "phrases", "counts", "places")}
             if group.column("bucket")[0].as_py() < 0:
-                total = group.group_by("lang", use_threads=False).aggregate([("places", "sum")])
-                yield from pa.table([total["lang"], pa.nulls(len(total), pa.string()), total["places_sum"]], schema=schema).to_batches()
+                total = pa.table({"lang": flat["langs"], "n": flat["places"]}).group_by("lang", use_threads=False).aggregate([("n", "sum")])
+                yield from pa.table([total["lang"], pa.nulls(len(total), pa.string()), total["n_sum"]], schema=schema).to_batches()
                 continue
-            lang = group.column("lang").combine_chunks()
-            lists = pc.split_pattern(group.column("phrases").combine_chunks().cast(pa.large_string()), "\n")
-            count = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<i8")
-            rows = pa.table({"lang": lang.dictionary_encode().take(pc.list_parent_indices(lists)), "phrase": pc.list_flatten(lists),
+            lists = pc.split_pattern(flat["phrases"].cast(pa.large_string()), "\n")
+            count = np.frombuffer(b"".join(flat["counts"].to_pylist()), "<i8")
+            rows = pa.table({"lang": flat["langs"].dictionary_encode().take(pc.list_parent_indices(lists)), "phrase": pc.list_flatten(lists),
                              "f": pa.array(count)})
             total = rows.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
             total = total.filter(pc.greater_equal(total["f_sum"], least))
@@ -351,12 +360,12 @@ def pair_filter(pairs: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang",
-                  room: int = 700_000, buckets: int | None = None, bloom_bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
+                  room: int = 600_000, buckets: int | None = None, bloom_bits: int = BLOOM_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of 1 to 4 words with f >= ``least``,
     and (lang, n).  ``room``: entries of a task's trie."""
     spark = docs.sparkSession
     # prefix partitions follow the session's shuffle partitions, which follow the data
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
