@@ -29,25 +29,29 @@ def reply_stream(spark: SparkSession, reply_dir: str, schema: str = REPLY_SCHEMA
 
 def ingest_replies(spark: SparkSession, reply_dir: str, requests: DataFrame, out_dir: str, checkpoint: str,
                    parse: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True,
-                   schema: str = REPLY_SCHEMA, unmatched_dir: str | None = None) -> StreamingQuery:
+                   schema: str = REPLY_SCHEMA, unmatched_dir: str | None = None, max_wait: int = 16) -> StreamingQuery:
     """New reply files joined with the request table (R6 / J10), optionally
     parsed, appended to Parquet under ``out_dir/batch=<n>``.
 
-    A reply whose request is not known yet is kept in ``unmatched_dir`` (beside
-    ``out_dir`` by default) and tried again with every later batch.  Each batch
-    overwrites folders of its own number, so a batch that is run again after a
-    failure leaves the same rows."""
+    A reply whose request is not known yet waits in ``unmatched_dir`` (beside
+    ``out_dir`` by default) and is tried again with the next ``max_wait``
+    batches; then it is written once to ``<unmatched_dir>_expired`` and carried
+    no further, so what a batch carries does not grow with the stream's age.
+    Each batch overwrites folders of its own number, so a batch that is run
+    again after a failure leaves the same rows."""
     waiting = (unmatched_dir or out_dir.rstrip("/") + "_unmatched").rstrip("/")
 
     def write(batch: DataFrame, number: int) -> None:
-        pool = batch
+        pool = batch.withColumn("waited", F.lit(0))
         if number:
-            pool = pool.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{waiting}/batch={number - 1}"))
-        joined = pool.join(requests, "request_id")
+            before = batch.sparkSession.read.schema(pool.schema).parquet(f"{waiting}/batch={number - 1}")
+            pool = pool.unionByName(before.withColumn("waited", F.col("waited") + 1))
+        joined = pool.drop("waited").join(requests, "request_id")
         out = parse(joined) if parse else joined
         out.withColumn("ingested_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={number}")
-        left = pool.join(requests.select("request_id"), "request_id", "left_anti")
-        left.select(*batch.columns).write.mode("overwrite").parquet(f"{waiting}/batch={number}")
+        left = pool.join(requests.select("request_id"), "request_id", "left_anti").select(*pool.columns)
+        left.where(F.col("waited") < max_wait).write.mode("overwrite").parquet(f"{waiting}/batch={number}")
+        left.where(F.col("waited") >= max_wait).write.mode("overwrite").parquet(f"{waiting}_expired/batch={number}")
 
     w = reply_stream(spark, reply_dir, schema).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

@@ -282,3 +282,16 @@ def test_replies_before_their_request_are_kept(spark, tmp_dir):
     spark.createDataFrame([("r3", "ok", "c")], rep).write.mode("append").parquet(reply_dir)
     ingest_replies(spark, reply_dir, both, out, ck).awaitTermination()
     assert sorted(r.reply for r in spark.read.parquet(out).collect()) == ["a", "c", "early"]
+
+
+def test_unmatched_replies_expire(spark, tmp_dir):
+    reqs = spark.createDataFrame([("r1", 1), ("late", 2)], "request_id string, prompt_id long")
+    reply_dir, out, ck = f"{tmp_dir}/in", f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    for n, ids in enumerate((["nobody"], ["late"], ["r1"], ["r1"])):
+        spark.createDataFrame([(i, "ok", "a") for i in ids], "request_id string, status string, reply string") \
+            .write.mode("append").parquet(reply_dir)
+        known = reqs if n >= 2 else reqs.where("request_id = 'r1'")
+        ingest_replies(spark, reply_dir, known, out, ck, max_wait=2).awaitTermination()
+    assert sorted(r.request_id for r in spark.read.parquet(out).collect()) == ["late", "r1", "r1"]
+    assert [r.request_id for r in spark.read.parquet(f"{out}_unmatched_expired").collect()] == ["nobody"]
+    assert spark.read.parquet(f"{out}_unmatched/batch=3").count() == 0
