@@ -351,6 +351,8 @@ oracle("dedup_keep_first", """select original_prompt, file_name, row_index, roun
     from sh where original_prompt is not null) where r = 1""", "f_shards", extra={"sh": _SH})
 oracle("csv_roundtrip", "select doc_id, text, case when lang = 'es' then null else lang end lang from documents")
 
+oracle("csv_split_roundtrip", """select doc_id, text || ' "q" ' || chr(10) || ' ' || lang text, lang from documents""")
+
 # ------------------------------------------------------------------ timers
 oracle("timer_averages", """select purpose, min(seq) first_seq, round(coalesce(avg(elapsed), -1.0), 6) average_time
   from f_purposes group by purpose""", "f_purposes")

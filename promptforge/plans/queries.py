@@ -679,6 +679,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return io.read_csv(spark, path, "doc_id bigint, text string, lang string")
 
 
+@query("csv_split_roundtrip")
+def q_csv_split_roundtrip(spark, sf_dir):
+    """S4 by splits: texts with quotes and line ends in quoted fields, read
+    without a file being one task."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.concat("text", F.lit(' "q" \n '), "lang").alias("text"), "lang")
+    path = scratch_dir(spark, "csv")
+    io.write_csv(d, path)
+    return io.read_split_csv(spark, path, "doc_id bigint, text string, lang string")
+
+
 # ------------------------------------------------------------------ timers
 @query("timer_averages")
 def q_timer_averages(spark, sf_dir):

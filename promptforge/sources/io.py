@@ -78,10 +78,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     (SURVEY 4.3 #9)."""
     df = _by_name(spark.read.options(**_CSV_OPTS).csv(path),
                   _as_schema(spark, schema) if schema is not None else None)
-    if pandas_na:
-        df = df.select(*[F.when(~F.col(f.name).isin(PANDAS_NA), F.col(f.name)).alias(f.name)
-                         if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
-    return df
+    return _without_na(df) if pandas_na else df
 
 
 def read_qca_json(spark: SparkSession, path: str, array_file: bool = False) -> DataFrame:
@@ -116,22 +113,78 @@ def _quotes(c) -> F.Column:
 
 def _records(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """(file, at, record).  Files in which every line holds an even number of
-    quotes have a record per line and stay split.  In the others, a line ends a
-    record where the file's quotes so far are even: a window over the lines of
-    such a file, in file order."""
+    quotes have a record per line.  In the others a line begins a record where
+    the file's quotes so far are even.  Both stay split: a split's quotes are
+    counted by itself, and what lies before it in its file (quotes, and the last
+    record that began there) comes from a table of one row a split."""
     plain = lines.join(tables.where("not quoted_ends").select("file"), "file", "left_semi").select(
         "file", "at", F.regexp_replace("line", "\r$", "").alias("record"))
-    w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    joined = lines.join(tables.where("quoted_ends").select("file"), "file", "left_semi")
-    joined = joined.withColumn("_before", F.coalesce(F.sum(_quotes("line")).over(w), F.lit(0)))
-    joined = joined.withColumn("_record", F.sum(F.when(F.col("_before") % 2 == 0, 1).otherwise(0)).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    # a record is one row of a file, so its lines are one value anyway
-    whole = joined.groupBy("file", "_record").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    whole = whole.select("file", F.col("l")[0]["at"].alias("at"), F.regexp_replace(F.array_join("l.line", "\n"), "\r$", "").alias("record"))
+    joined = lines.join(tables.where("quoted_ends").select("file"), "file", "left_semi").withColumn("_block", F.col("at.block"))
+    ahead = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # the splits of a file
+    inside = Window.partitionBy("file", "_block").orderBy("at")
+    quotes = joined.groupBy("file", "_block").agg(F.sum(_quotes("line")).alias("_q"))
+    quotes = quotes.withColumn("_ahead", F.coalesce(F.sum("_q").over(ahead), F.lit(0)))
+    own = F.coalesce(F.sum(_quotes("line")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = joined.withColumn("_own", own).join(quotes, ["file", "_block"])
+    marked = marked.withColumn("_begin", F.when((F.col("_ahead") + F.col("_own")) % 2 == 0, F.col("at")))
+    marked = marked.withColumn("_record", F.max("_begin").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = marked.groupBy("file", "_block").agg(F.max("_begin").alias("_last"))
+    starts = starts.select("file", "_block", F.max("_last").over(ahead).alias("_carry"))
+    whole = marked.join(starts, ["file", "_block"]).groupBy("file", F.coalesce("_record", "_carry").alias("at")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))  # a record's lines are one value anyway
+    whole = whole.select("file", "at", F.regexp_replace(F.array_join("l.line", "\n"), "\r$", "").alias("record"))
     return plain.unionByName(whole).where("record <> ''")
 
 
+def _csv_rows(spark: SparkSession, lines: DataFrame, st: T.StructType) -> DataFrame | None:
+    """The records of CSV files with headers: the columns of ``st`` by header
+    name (null where a file lacks one), ``file`` and ``position``.  None if there
+    is no line at all.
+
+    The headers go into a table of one row a file (written under the checkpoint
+    folder); records are parsed by position and matched to their file's header
+    in a join, so neither the driver nor the plan holds the files one by one."""
+    tables = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("first"), F.max(_quotes("line") % 2 == 1).alias("quoted_ends"))
+    tables = tables.select("file", F.col("first.at").alias("header_at"), F.regexp_replace("first.line", "\r$", "").alias("header"),
+                           "quoted_ends")
+    path = scratch_dir(spark, "csv-files")
+    tables.write.parquet(path)
+    tables = spark.read.parquet(path)
+    # one number to the driver: the largest number of columns (commas bound it)
+    width = tables.agg(F.max(F.length("header") - F.length(F.replace("header", F.lit(","), F.lit(""))) + 1)).first()[0]
+    if width is None:
+        return None
+    columns = [f"c{i}" for i in range(width)]
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "maxCharsPerColumn": "-1"}
+
+    def cells(df: DataFrame, text: str, name: str) -> DataFrame:
+        parsed = df.withColumn("_csv", F.from_csv(text, ", ".join(f"{c} string" for c in columns), options))
+        return parsed.withColumn(name, F.array(*[F.col(f"_csv.{c}") for c in columns])).drop("_csv")
+
+    heads = cells(tables, "header", "names").select("file", "header_at", "names")
+    rows = _records(lines, tables).join(heads, "file").where(F.col("at") != F.col("header_at"))
+    picked = [F.get("cells", F.array_position("names", F.lit(f.name)) - 1).try_cast(f.dataType).alias(f.name)
+              for f in st.fields if f.name not in INDEX_COLUMNS]
+    return cells(rows, "record", "cells").select(*picked, "file", F.col("at").alias("position"))
+
+
+def read_split_csv(spark: SparkSession, path: str, schema: T.StructType | str, pandas_na: bool = True) -> DataFrame:
+    """S4 for large files: as :func:`read_csv`, but a file is split however its
+    fields are quoted, line ends in them included.  Two passes over the text come
+    before the rows: one for headers, one for quotes where lines are joined."""
+    st = _as_schema(spark, schema)
+    out = _csv_rows(spark, _file_lines(spark, path), st)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([f for f in st.fields if f.name not in INDEX_COLUMNS]))
+    return _without_na(out.drop("file", "position")) if pandas_na else out.drop("file", "position")
+
+
+def _without_na(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(~F.col(f.name).isin(PANDAS_NA), F.col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema.fields])
+
+
 def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.StructType | str) -> DataFrame:
     """S7 + S8: the result files of dataset ``name`` under ``root``, in either
     layout: ``{name}_process{p}_nextline_{n}.csv`` and ``{name}_combined.csv``
@@ -139,10 +192,7 @@ def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.Stru
     folders.  The whole name must match, so a longer dataset name is another
     dataset.  Empty files are skipped.
 
-    Files may have different headers.  The headers go into a table of one row a
-    file (written under the checkpoint folder), and the records are parsed by
-    position and matched to their file's header in a join: neither the driver
-    nor the plan holds the files one by one.  Missing columns become null.
+    Files may have different headers (:func:`_csv_rows`).
 
     Adds ``file_name``, ``process``, ``nextline``, ``source_rank`` (0 for the
     combined file, 1 for shards), ``file`` and ``position`` (a struct), which
@@ -150,33 +200,13 @@ def read_result_shards(spark: SparkSession, root: str, name: str, schema: T.Stru
     """
     from pyspark.errors import AnalysisException
 
-    st = _as_schema(spark, schema)
     root = root.rstrip("/")
     exact = rf"/(?:shard=)?(\Q{name}\E_(?:process\d+_nextline_\d+|combined)\.csv)(?:/|$)"
     lines = _file_lines(spark, f"{root}/{{{name}_*.csv,shard={name}_*.csv}}").where(F.regexp_extract("file", exact, 1) != "")
-    tables = lines.groupBy("file").agg(F.min(F.struct("at", "line")).alias("first"), F.max(_quotes("line") % 2 == 1).alias("quoted_ends"))
-    tables = tables.select("file", F.regexp_extract("file", exact, 1).alias("file_name"), F.col("first.at").alias("header_at"),
-                           F.regexp_replace("first.line", "\r$", "").alias("header"), "quoted_ends")
-    path = scratch_dir(spark, "shard-files")
-    tables.write.parquet(path)
-    tables = spark.read.parquet(path)
-    # one number to the driver: the largest number of columns (commas bound it)
-    width = tables.agg(F.max(F.length("header") - F.length(F.replace("header", F.lit(","), F.lit(""))) + 1)).first()[0]
-    if width is None:
+    out = _csv_rows(spark, lines, _as_schema(spark, schema))
+    if out is None:
         raise AnalysisException(f"PATH_NOT_FOUND: no result files of dataset {name!r} under {root}")
-    columns = [f"c{i}" for i in range(width)]
-    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-
-    def cells(df: DataFrame, text: str, name: str) -> DataFrame:
-        parsed = df.withColumn("_csv", F.from_csv(text, ", ".join(f"{c} string" for c in columns), options))
-        return parsed.withColumn(name, F.array(*[F.col(f"_csv.{c}") for c in columns])).drop("_csv")
-
-    heads = cells(tables, "header", "names").select("file", "file_name", "header_at", "names")
-    rows = _records(lines, tables).join(heads, "file").where(F.col("at") != F.col("header_at"))
-    rows = cells(rows, "record", "cells")
-    picked = [F.get("cells", F.array_position("names", F.lit(f.name)) - 1).try_cast(f.dataType).alias(f.name)
-              for f in st.fields if f.name not in INDEX_COLUMNS]
-    out = rows.select(*picked, "file", F.col("at").alias("position"), "file_name")
+    out = out.withColumn("file_name", F.regexp_extract("file", exact, 1))
     out = out.withColumn("source_rank", F.when(F.endswith("file_name", F.lit("_combined.csv")), 0).otherwise(1))
     return with_shard_parts(out, "file_name")
 

@@ -185,6 +185,22 @@ def test_result_files_with_quoted_line_ends_and_splits(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_csv_records_over_split_ends(spark, tmp_dir):
+    rnd = random.Random(5)
+    piece = lambda: "".join(rnd.choice(['a', 'b,', '"', "\n", "\n\n", " x ", "é"]) for _ in range(rnd.randrange(1, 60)))
+    data = [(i, piece(), None if i % 7 == 0 else "v") for i in range(400)]
+    frame_ = spark.createDataFrame(data, "k long, t string, v string").coalesce(1)
+    io.write_csv(frame_, f"{tmp_dir}/csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = io.read_split_csv(spark, f"{tmp_dir}/csv", "k long, t string, v string", pandas_na=False)
+        assert sorted((r.k, r.t, r.v) for r in got.collect()) == data
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert io.read_split_csv(spark, f"{tmp_dir}/csv/_SUCCESS", "k long").count() == 0
+
+
 def test_files_are_packed_by_size(spark, tmp_dir):
     rnd = random.Random(3)
     sizes = [(f"p{i:04d}", rnd.choice([1, 10, 500, 5000])) for i in range(300)]

@@ -15,18 +15,20 @@ sys.path.insert(0, ROOT)
 
 # composed jobs of SURVEY 2.12 -> functions in promptforge/plans/jobs.py
 JOBS = {
-    "C1": "sample_prompts", "C2": "preparation_requests, noun_chunk_table",
-    "C3": "preparation_requests, qca_table", "C4": "scoring_requests, candidate_score_table",
-    "C5": "selection_requests(best_only=True), scoring_requests, candidate_score_table",
-    "C6": "iteration_requests, selection_requests, candidates_from_selection, question_rows, element_rows, iterative_results",
-    "C7": "annotation_candidates, annotation_run", "C8": "merge_results", "C9": "training_table",
-    "C10": "generation_requests, generation_table", "C11": "icl_requests, icl_table", "C12": "timer_summary",
+    "C1": "sample_prompts", "C2": "keyed_lines, content_requests, content_noun_chunk_table",
+    "C3": "preparation_requests, qca_run; operators/ledger.py", "C4": "scoring_requests, candidate_score_table; loop.score_pending",
+    "C5": "selection_requests(best_only=True), scoring_requests, candidate_score_table", "C6": "loop.iterative_run, iterative_results",
+    "C7": "annotation_candidates, annotation_run", "C8": "merge_results", "C9": "training_table, write_training_tables",
+    "C10": "generation_requests, generation_run", "C11": "icl_requests, icl_table", "C12": "timer_summary",
 }
 # registered queries that run a job or operator the survey's column does not name
 BY_QUERY = {
     "S5": "qca_json_roundtrip", "S7": "merge_shards, merge_run", "S9": "image_files", "K5": "averages_sink", "K6": "timer_sink",
-    "K8": "incremental_batches, merge_shards", "R5": "score_run", "U3": "annotation_append", "C4": "score_run",
-    "C8": "merge_run, merge_run_iterative",
+    "K7": "annotation_html, annotation_gallery", "K8": "incremental_commits, incremental_batches, merge_shards", "R5": "score_run",
+    "R7": "open_requests, qca_ledger", "J4": "resume_pending, score_run_resumed", "U3": "annotation_append, incremental_commits",
+    "P7": "qca_errors, generation_run", "C1": "sample_prompts_run", "C2": "noun_chunk_run", "C3": "qca_ledger",
+    "C4": "score_run, score_run_resumed", "C5": "instant_run", "C6": "iterative_run", "C7": "annotation_gallery",
+    "C8": "merge_run, merge_run_iterative", "C9": "training_run", "C10": "generation_run", "C11": "icl_run", "C12": "timer_run",
 }
 
 
