@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptforge.llm.common import WORD, materialise
@@ -238,12 +238,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of the mix, each as often as it is taken, with all columns of
-    ``docs``.  Rows that repeat id and text share what they are taken evenly."""
-    share = mix(docs, id_col, text_col, **options).groupBy("doc_id", "key").agg(F.sum("times").alias("_all"), F.count(F.lit(1)).alias("_rows"))
-    share = share.where("_all > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_all", "_rows")
-    rows = docs.withColumn("_text_key", F.xxhash64(f"`{text_col}`"))
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    extra = F.pmod(F.monotonically_increasing_id(), F.col("_rows")) < F.pmod(F.col("_all"), F.col("_rows"))
-    times = F.floor(F.col("_all") / F.col("_rows")) + extra.cast("long")
-    out = rows.join(share, same).withColumn("_times", times).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ``docs``, whatever their names.  Rows that repeat id and text share what they
+    are taken evenly; what is left over goes to the first of them in the order
+    of a hash of all columns, so a task that runs again takes the same rows."""
+    share = mix(docs, id_col, text_col, **options).groupBy("doc_id", "key").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("rows"))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    keys = [F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("key"),
+            F.xxhash64(*cols, *[c.isNull() for c in cols]).alias("h")]
+    # equal rows are one row with a count; of a repeated id and text, one row per different row
+    kinds = docs.select(*keys).groupBy("doc_id", "key", "h").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("doc_id", "key").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    same = lambda a, b, names: [a[n].eqNullSafe(b[n]) for n in names]
+    left = F.pmod("all", "rows") - F.col("before")
+    taken = kinds.join(share, same(kinds, share, ["doc_id", "key"])).select(
+        kinds["doc_id"].alias("id"), kinds["key"].alias("k"), F.col("h").alias("hash"),
+        (F.col("n") * F.floor(F.col("all") / F.col("rows")) + F.greatest(F.lit(0), F.least("n", left))).cast("int").alias("times"))
+    rows = docs.select(*keys, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).alias("row")).dropDuplicates(["doc_id", "key", "h"])
+    on = rows["doc_id"].eqNullSafe(taken["id"]) & (rows["key"] == taken["k"]) & (rows["h"] == taken["hash"])
+    out = rows.join(taken.where("times > 0"), on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -209,7 +209,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     least: float = LEAST_SCORE, **fit_options) -> DataFrame:
     """The documents whose language is recognised: not ``und``, and a score of
-    at least ``least``; columns as they came."""
+    at least ``least``; columns as they came, whatever their names.  Texts go to
+    Python, a verdict comes back; the rows themselves stay with Spark."""
     model = fit(training_sample(docs, id_col, text_col, lang_col, crc_bucket(id_col) != 2), **fit_options)
-    found = predict(docs, model, text_col, "_lang_pred", "_lang_score")
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).drop("_lang_pred", "_lang_score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf(T.BooleanType())
+    def recognised(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = Scorer(shared.value)
+        for texts in columns:
+            found = (score(t.as_py()) for t in texts)
+            yield pa.array([lang != "und" and share >= least for lang, share in found], pa.bool_())
+
+    return docs.where(recognised(F.col(f"`{text_col}`").cast("string")))

@@ -310,6 +310,28 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(_decode(model), _with(rows, T.StructField("decoded", T.StringType())))
 
 
+def encode_and_decode(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and with ``text_col`` as the ids decode to it, in one
+    pass: a task has one worker with one table of words.  A column named
+    ``ids`` is replaced."""
+    rows = docs.drop("ids").withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(model)
+        for whole in batches:
+            place = whole.schema.get_field_index(text_col)
+            for batch in slices_by_bytes(whole, text_col):
+                ids = codec.encode(batch.column(place).to_pylist())
+                size = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                columns = list(batch.columns)
+                columns[place] = pa.array([codec.decode(i) for i in ids], pa.string())
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(size), pa.array(flat, pa.int32()))],
+                                                 names=[*batch.schema.names, "ids"])
+
+    return rows.mapInArrow(run, _with(rows, T.StructField("ids", T.ArrayType(T.IntegerType()))))
+
+
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32, same (the decoded text is the text, null as empty)."""
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))

@@ -222,14 +222,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """One row of each component, with all columns: of the rows with the
     smallest (id, fingerprint) the one with the smallest hash of all columns
     (a null id stays only where a component has no other)."""
-    rows = docs.mapInArrow(_fingerprints(width, text_col, docs.columns), T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    @F.arrow_udf(T.LongType())
+    def fingerprint(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+            parts = [fingerprints_of(b.column("text"), width).view(np.int64) for b in slices_by_bytes(batch, "text")]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = rows.withColumn("_tie", F.xxhash64(*cols, *[c.isNull() for c in cols]))
-    fps = materialise(rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col("_fp").alias("fp"), F.col("_tie").alias("tie")),
-                      "simhash-fingerprints")
+    # 128 bits of all columns stand for a row; the caller's columns are kept apart from the names used here
+    tie = [F.xxhash64(F.lit(i), *cols, *[c.isNull() for c in cols]).alias(f"t{i}") for i in range(2)]
+    fps = materialise(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint(F.col(f"`{text_col}`").cast("string")).alias("fp"),
+                                  *tie), "simhash-fingerprints")
     by = F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("id"), F.col("fp").alias("fp"))
     best = _labelled(fps, radius, tree_rows).groupBy("root").agg(F.min(by).alias("_b")).select(F.col("_b.fp").alias("fp"))
-    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("m"))
-    best = best.join(first, "fp").select(F.col("fp").alias("_fp"), F.col("m.tie").alias("_tie"))
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("m"))
+    best = best.join(first, "fp").select(F.col("m.t0").alias("t0"), F.col("m.t1").alias("t1"))
+    rows = docs.select(*tie, F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"))
     # rows that are equal in all columns stand together after the join
-    return rows.join(best, ["_fp", "_tie"], "left_semi").dropDuplicates(["_fp", "_tie"]).select(*cols)
+    kept = rows.join(best, ["t0", "t1"], "left_semi").dropDuplicates(["t0", "t1"])
+    return kept.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -170,3 +170,11 @@ def test_simhash_keeps_a_single_row_of_null_and_repeated_ids(spark):
     kept = simhash_bk.keep_one(docs(spark, rows)).collect()
     assert sorted((r.doc_id for r in kept), key=str) == [7, None]
     assert {r.text.lower() for r in kept} == {same, other}
+
+
+def test_simhash_keep_one_with_clashing_names(spark):
+    rows = [(1, "a b c d e", "en", "a"), (2, "a b c d e", "en", "a"), (2, "a b c d e", "en", "a"), (3, "quite another text here", "en", "a")]
+    table = docs(spark, rows).withColumnsRenamed({"fp": "_fp", "size": "_tie", "kept": "t0"})
+    kept = simhash_bk.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id, r._fp, r._tie, r.t0) for r in kept.collect()) == [(1, "x", "y", "z"), (3, "x", "y", "z")]

@@ -137,3 +137,20 @@ def test_top_k_awkward_rows(spark):
     big = spark.createDataFrame([(0, [1e9], "s", 1), (1, [1.0], "s", 1)], VEC)
     with pytest.raises(Exception, match="2\\^27"):
         bit_sliced.top_k(big, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_mixed_documents_with_clashing_names_and_repeated_rows(spark):
+    names = {"fp": "_id", "size": "_copy", "kept": "_text_key", "lang": "_times"}
+    rows = mixed_rows(7, 200, ["a", "b"]) + [(5000, "one two three", "l" if i % 2 else "m", "a") for i in range(9)] + \
+        [(None, "four five", None, "b")] * 3
+    table = docs(spark, rows).withColumnsRenamed(names)
+    out = cube_mix.mixed_documents(table.repartition(5)).cache()
+    assert out.columns == table.columns and {(r._id, r._copy, r._text_key) for r in out.collect()} == {("x", "y", "z")}
+    taken = {(r.doc_id, r.key): r for r in cube_mix.mix(table).groupBy("doc_id", "key").agg(F.sum("times").alias("n")).collect()}
+    got = out.groupBy("doc_id", F.xxhash64("text").alias("key")).agg(F.count("*").alias("n")).collect()
+    assert {(r.doc_id, r.key): r.n for r in got} == {k: r.n for k, r in taken.items() if r.n}
+    copies = {r._times: r["count"] for r in out.where("doc_id = 5000").groupBy("_times").count().collect()}
+    each = sum(copies.values()) // 9  # four rows of one kind and five of the other share evenly
+    assert all(n * each <= copies.get(kind, 0) <= n * (each + 1) for kind, n in (("l", 4), ("m", 5)))
+    again = cube_mix.mixed_documents(table.repartition(3))
+    assert rows_of(again) == rows_of(out)
