@@ -38,9 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each document, and the text they decode to."""
-    model = tokenizer_file("piece_bpe_32k.model")
-    rows = sentencepiece_trie.decode(sentencepiece_trie.encode(docs, model).drop("text"), model)
-    return rows.withColumnRenamed("decoded", "text").withColumn("n_pieces", F.size("ids"))
+    rows = sentencepiece_trie.encode_and_decode(docs, tokenizer_file("piece_bpe_32k.model"))
+    return rows.withColumn("n_pieces", F.size("ids"))
 
 
 STAGES = [
