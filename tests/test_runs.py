@@ -133,7 +133,10 @@ def test_resumed_scoring_asks_for_pending_candidates_alone(spark, tmp_dir):
     again = loop.score_pending(path, changed, evals, answers(log), "ds")
     assert sorted(r.revised_prompt for r in again.collect()) == ["b0", "k0", "new"]
     assert len(dict(log)["tifa"]) == 1  # a candidate of another text is another candidate
-    assert loop.score_pending(path, changed.withColumn("revised_prompt", F.lit("z")), evals, answers(log, ("tifa",)), "ds", call="x") is None
+    other = changed.withColumn("revised_prompt", F.lit("z"))
+    assert loop.score_pending(path, other, evals, answers(log, ("tifa",)), "ds") is None  # replies are missing
+    last = loop.score_pending(path, other.where("prompt_id = 2").unionByName(changed), evals, answers(log), "ds")
+    assert sorted(r.revised_prompt for r in last.collect()) == ["b0", "k0", "new", "z"]  # not what the unfinished call had
 
 
 # ---------------------------------------------------------------------- rows
