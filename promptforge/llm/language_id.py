@@ -1,16 +1,17 @@
 """Language ID by word-first backoff.
 
 A text's words (runs of letters, lower case) are scored one by one.  A word
-that training saw in any language scores its log relative frequency in every
-language (a floor where a language lacks it).  An unseen word backs off to
-its character n-grams, longest first: the mean over the n-grams of the first
-length of which training saw any.  The text goes to the language with the
+of the model scores its log relative frequency in every language, whichever
+language brought it into the model (a floor where training never saw it).  Any
+other word backs off to its character n-grams, longest first: the mean over
+the n-grams of the first length of which the model has any; n-grams are
+counted over all words of the sample.  The text goes to the language with the
 largest total; the score is that language's share of the likelihood.
 
 Training reads a bounded sample: at most ``docs_per_lang`` documents a
 language, chosen by a hash of the id, and ``max_docs`` in all.  The model has
 at most ``max_entries`` words and n-grams in all (the most frequent of each
-language), so it is small enough to broadcast at any size of the corpus.
+language; rarer words are unseen to it), so it is small enough to broadcast at any size of the corpus.
 Prediction is one pass without a shuffle over whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
@@ -56,6 +57,15 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = F.lit(True) if usable is None else usable
     able = docs.where(usable & F.col(f"`{id_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     keys = able.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(id_col, F.lit(11)).alias("_h"))
+    # a histogram of the hashes' leading bits says how far each language's sample reaches, so that the
+    # window below sees little more than the sample, however many tasks read the table
+    keys = keys.withColumn("_bucket", F.shiftright("_h", 52))
+    before = Window.partitionBy("lang").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reach = keys.groupBy("lang", "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    reach = reach.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(F.col("_before") < docs_per_lang)
+    reach = reach.groupBy("lang").agg(F.max("_bucket").alias("_last"))
+    # one row a language: the model lists the languages anyway
+    keys = keys.join(F.broadcast(reach), "lang").where(F.col("_bucket") <= F.col("_last"))
     first = Window.partitionBy("lang").orderBy("_h", "_id")
     keys = keys.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= docs_per_lang)
     # at most max_docs narrow rows: a proven bound for the broadcast
@@ -85,35 +95,33 @@ class Model:
 
 
 def _top(counts: DataFrame, parts: list[str], quota: int) -> DataFrame:
-    """The ``quota`` most frequent keys of each part, with the part's total."""
-    every = Window.partitionBy(*parts)
-    ranked = counts.withColumn("total", F.sum("n").over(every)).withColumn(
-        "_r", F.row_number().over(every.orderBy(F.desc("n"), "key")))
-    return ranked.where(F.col("_r") <= quota).drop("_r")
+    """The ``quota`` most frequent keys of each part."""
+    rank = F.row_number().over(Window.partitionBy(*parts).orderBy(F.desc("n"), "key"))
+    return counts.withColumn("_r", rank).where(F.col("_r") <= quota).drop("_r")
 
 
 def fit(sample: DataFrame, longest: int = LONGEST, max_entries: int = MAX_ENTRIES) -> Model:
-    """Count the words of the sample, and the n-grams of the words kept, in
-    Spark; the most frequent of each language (``max_entries`` in all) come to
-    the driver as the model."""
+    """Count the words of the sample and their n-grams in Spark.  The most
+    frequent of each language are the model's keys (``max_entries`` in all); their
+    counts in every language come to the driver."""
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
     words = materialise(words.groupBy("lang", "key").agg(F.count(F.lit(1)).alias("n")), "langid-words")
     langs = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return Model([], {}, [], np.zeros((0, 0)))
-    quota = max(1, max_entries // (len(langs) * (longest + 1)))
-    kept = materialise(_top(words, ["lang"], quota), "langid-kept")
-    marked = kept.select("lang", F.concat(F.lit(" "), "key", F.lit(" ")).alias("w"), "n")
-    grams = None
+    # keys are scored in every language: the model's table stays within max_entries keys and _CELLS scores
+    quota = max(1, min(max_entries, _CELLS // len(langs)) // (len(langs) * (longest + 1)))
+    marked = words.select("lang", F.concat(F.lit(" "), "key", F.lit(" ")).alias("w"), "n")
+    counts = words.select("lang", F.lit(0).alias("g"), "key", "n")
     for g in range(1, longest + 1):
         at = F.sequence(F.lit(1), F.length("w") - g + 1)
-        cut = marked.where(F.length("w") >= g).select("lang", F.lit(g).alias("g"), "n", F.explode(F.transform(
-            at, lambda i: F.substring("w", i, F.lit(g)))).alias("key"))  # noqa: B023
-        grams = cut if grams is None else grams.unionByName(cut)
-    grams = grams.groupBy("lang", "g", "key").agg(F.sum("n").alias("n"))
-    columns = ["lang", "g", "key", "n", "total"]
-    rows = kept.withColumn("g", F.lit(0)).select(*columns).collect() + _top(grams, ["lang", "g"], quota).select(*columns).collect()
-    rows.sort(key=lambda r: (r["g"], r["key"], r["lang"]))  # at most max_entries rows
+        counts = counts.unionByName(marked.where(F.length("w") >= g).select("lang", F.lit(g).alias("g"), F.explode(F.transform(
+            at, lambda i: F.substring("w", i, F.lit(g)))).alias("key"), "n"))  # noqa: B023
+    counts = materialise(counts.groupBy("lang", "g", "key").agg(F.sum("n").alias("n")), "langid-counts")
+    totals = counts.groupBy("lang", "g").agg(F.sum("n").alias("total"))
+    kept = _top(counts, ["lang", "g"], quota).select("g", "key").distinct()
+    rows = counts.join(kept, ["g", "key"], "left_semi").join(totals, ["lang", "g"]).select("lang", "g", "key", "n", "total").collect()
+    rows.sort(key=lambda r: (r["g"], r["key"], r["lang"]))  # at most max_entries keys, one row a language that has the key
     total = {(r["lang"], r["g"]): r["total"] for r in rows}
     known: list[dict[str, int]] = [{} for _ in range(longest + 1)]
     size = 0

@@ -1,10 +1,13 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from promptforge.llm import binary_records, byte_bpe, edit_tokens, language_id, sentencepiece_trie
@@ -56,6 +59,54 @@ def test_language_id_learns_from_training_rows_alone(spark):
     assert {r.lang_pred for r in language_id.identify(docs(spark, rows)).collect()} == set(SAMPLES)
 
 
+def brute_model(pairs, longest, quota):
+    """Counts of words (g = 0) and n-grams by language, and the keys of the model."""
+    counts = {}
+    for lang, text in pairs:
+        for word in regex.findall(r"\p{L}+", text.lower()):
+            marked = f" {word} "
+            for g, key in [(0, word)] + [(g, marked[i:i + g]) for g in range(1, longest + 1) for i in range(len(marked) - g + 1)]:
+                counts.setdefault((lang, g), Counter())[key] += 1
+    keys = [set() for _ in range(longest + 1)]
+    for (lang, g), c in counts.items():
+        keys[g] |= {k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:quota]}
+    return counts, keys
+
+
+@pytest.mark.parametrize("entries", [400_000, 90])
+def test_language_model_against_plain_counts(spark, entries):
+    rnd = random.Random(9)
+    made = lambda: "".join(rnd.choice("abcdé xyz ñ1.") for _ in range(rnd.randrange(200)))
+    pairs = [(rnd.choice(["a", "b", "c"]), made()) for _ in range(60)]
+    sample = spark.createDataFrame(pairs, "lang string, text string")
+    model = language_id.fit(sample, longest=3, max_entries=entries)
+    counts, keys = brute_model(pairs, 3, max(1, entries // (3 * 4)))
+    assert model.langs == ["a", "b", "c"]
+    assert [set(k) for k in [model.words, *model.grams]] == keys
+    for g, known in enumerate([model.words, *model.grams]):
+        for key, row in known.items():
+            for i, lang in enumerate(model.langs):
+                c = counts[lang, g]
+                assert math.isclose(model.table[row, i], math.log((c[key] or 0.5) / sum(c.values())), rel_tol=1e-12)
+
+
+def test_training_sample_takes_the_first_hashes_of_each_language(spark):
+    table = docs(spark, [(i, f"t{i}", "en" if i % 3 else "de", "a") for i in range(2000)] + [(5000, "x", "fr", "a")])
+    got = language_id.training_sample(table, docs_per_lang=50)
+    every = table.select("lang", "text", F.xxhash64("doc_id", F.lit(11)).alias("h")).collect()
+    want = {lang: {r.text for r in sorted((r for r in every if r.lang == lang), key=lambda r: r.h)[:50]} for lang in ("en", "de", "fr")}
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.lang, set()).add(r.text)
+    assert found == want
+
+
+def test_language_filter_with_clashing_names(spark):
+    table = docs(spark, lang_rows(30)).withColumnsRenamed({"fp": "_lang_pred", "size": "_lang_score", "kept": "_text"})
+    kept = language_id.keep_identified(table)
+    assert kept.columns == table.columns and kept.count() == 30 and {r._lang_pred for r in kept.collect()} == {"x"}
+
+
 def test_language_id_backs_off_to_shorter_ngrams():
     table = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4], [0.3, 0.7]]))
     model = language_id.Model(["a", "b"], {"word": 0}, [{"x": 1}, {"wo": 2, "rd": 3}], table)
@@ -226,6 +277,10 @@ def test_encode_decode_tables(spark):
         assert bool(r.ids) == bool(r.text)
     trip = sentencepiece_trie.round_trip(table, PIECES).collect()
     assert len(trip) == len(AWKWARD) and all(r.same for r in trip)
+    both = sentencepiece_trie.encode_and_decode(table, PIECES)
+    plain = sorted((r.doc_id is None, r.doc_id or 0, r.decoded, r.ids) for r in out.collect())
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.ids) for r in both.collect()) == plain
+    assert both.columns == [*table.columns, "ids"]
     again = sentencepiece_trie.encode(sentencepiece_trie.encode(table, PIECES), PIECES)
     assert again.columns == [*table.columns, "ids"]
     empty = spark.createDataFrame([], DOC)
