@@ -28,6 +28,7 @@ the longest one and a few arrays of its size); further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ _PIECE_END = np.zeros(256, dtype=bool)
 _PIECE_END[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP = _PIECE_END.copy()
 _GAP[list(b" \t")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -82,8 +85,7 @@ class Places:
         off = np.frombuffer(col.buffers()[1], np.int64)[col.offset:col.offset + n + 1] if n else np.zeros(1, np.int64)
         raw = np.frombuffer(col.buffers()[2], np.uint8)[int(off[0]):int(off[-1])] if off[-1] > off[0] else np.zeros(0, np.uint8)
         off = off - off[0]
-        low = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-        gap = _GAP[low]
+        gap = _GAP[raw]
         word = ~gap
         begin, last = word.copy(), word.copy()
         begin[1:] &= gap[:-1]
@@ -95,8 +97,8 @@ class Places:
         bound = np.concatenate([[0], np.cumsum(np.flatnonzero(last) + 1 - start)]).astype(np.int64)
         # a piece ends at each of its marks and where a row ends
         self.row = np.searchsorted(off, start, side="right") - 1
-        self.piece = np.searchsorted(np.flatnonzero(_PIECE_END[low]), start) + self.row
-        body = low[word]
+        self.piece = np.searchsorted(np.flatnonzero(_PIECE_END[raw]), start) + self.row
+        body = _LOWER[raw[word]]
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bound.tobytes()), pa.py_buffer(body)])
         coded = words.dictionary_encode()
         self.words: list[bytes] = coded.dictionary.to_pylist()
@@ -180,19 +182,20 @@ class HatTrie:
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Take out the largest subtrees until at most ``keep`` entries stay:
         first words, rests and counts of what was taken."""
-        size = {w: len(box) if type(box) is dict else len(box[0]) + sum(map(len, box[1].values())) for w, box in self.root.items()}
-        firsts, sizes, rests, counts = [], [], [], []
-        for word in sorted(size, key=size.get, reverse=True) if keep else size:
-            if self.entries <= keep:
-                break
-            below = self.root.pop(word)
-            for box in [below] if type(below) is dict else [below[0], *below[1].values()]:
-                rests += box.keys()
-                counts += box.values()
-            firsts.append(word)
-            sizes.append(size[word])
-            self.entries -= size[word]
-        return np.repeat(np.array(firsts, np.int64), sizes), np.array(rests, np.int64), np.array(counts, np.int64)
+        root = self.root
+        gone = list(root)
+        size = [len(b) if type(b) is dict else len(b[0]) + sum(map(len, b[1].values())) for b in root.values()]
+        if keep:
+            order = np.argsort(-np.array(size), kind="stable")
+            left = self.entries - np.cumsum(np.array(size)[order])
+            order = order[:int(np.searchsorted(-left, -keep)) + 1].tolist()  # until no more than ``keep`` are left
+            gone, size = [gone[i] for i in order], [size[i] for i in order]
+        boxes = list(map(root.pop, gone))
+        leaves = list(chain.from_iterable((b,) if type(b) is dict else (b[0], *b[1].values()) for b in boxes))
+        total = sum(size)
+        self.entries -= total
+        return (np.repeat(np.array(gone, np.int64), size), np.fromiter(chain.from_iterable(leaves), np.int64, total),
+                np.fromiter(chain.from_iterable(map(dict.values, leaves)), np.int64, total))
 
 
 def _runs(vocabulary: Vocabulary, taken: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int) -> pa.RecordBatch:
@@ -313,14 +316,16 @@ def _merge(least: int):
                 total = pa.table({"lang": flat["langs"], "n": flat["places"]}).group_by("lang", use_threads=False).aggregate([("n", "sum")])
                 yield from pa.table([total["lang"], pa.nulls(len(total), pa.string()), total["n_sum"]], schema=schema).to_batches()
                 continue
-            lists = pc.split_pattern(flat["phrases"].cast(pa.large_string()), "\n")
-            count = np.frombuffer(b"".join(flat["counts"].to_pylist()), "<i8")
-            rows = pa.table({"lang": flat["langs"].dictionary_encode().take(pc.list_parent_indices(lists)), "phrase": pc.list_flatten(lists),
-                             "f": pa.array(count)})
-            total = rows.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
-            total = total.filter(pc.greater_equal(total["f_sum"], least))
-            yield from pa.table([total["lang"].cast(pa.string()), total["phrase"].cast(pa.string()), total["f_sum"]],
-                                schema=schema).to_batches()
+            langs = flat["langs"].dictionary_encode()
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                mine = pc.equal(langs.indices, i)
+                phrases = pc.list_flatten(pc.split_pattern(flat["phrases"].filter(mine).cast(pa.large_string()), "\n")).dictionary_encode()
+                count = np.frombuffer(b"".join(flat["counts"].filter(mine).to_pylist()), "<i8")
+                total = np.zeros(len(phrases.dictionary), np.int64)
+                np.add.at(total, phrases.indices.to_numpy(), count)
+                kept = np.flatnonzero(total >= least)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()),
+                                                  phrases.dictionary.take(pa.array(kept)).cast(pa.string()), pa.array(total[kept])], schema=schema)
 
     return run
 
@@ -336,8 +341,8 @@ def _may_hold(bloom: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def pair_filter(pairs: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """Bloom filter of (lang, phrase) pairs of words.  Tasks set bits and send
-    each touched block of 512 bytes; at most bits / 8 bytes reach the driver."""
+    """Bloom filter of (lang, phrase) pairs of words.  Spark joins the bits by
+    words of 64; at most bits / 64 of these reach the driver."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -365,15 +370,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     and (lang, n).  ``room``: entries of a task's trie."""
     spark = docs.sparkSession
     # prefix partitions follow the session's shuffle partitions, which follow the data
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    deal = lambda runs: (runs.repartition("bucket").sortWithinPartitions("bucket")
-                         .mapInArrow(_merge(least), "lang string, phrase string, f long"))
-    short = materialise(deal(rows.mapInArrow(_count(_words_and_pairs, buckets, room, "lang"), _RUNS)), "phrase-pairs")
+    def merged(runs: DataFrame) -> DataFrame:
+        dealt = runs.repartition("bucket").sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_merge(least), "lang string, phrase string, f long")
+
+    short = materialise(merged(rows.mapInArrow(_count(_words_and_pairs, buckets, room, "lang"), _RUNS)), "phrase-pairs")
     shared = spark.sparkContext.broadcast(pair_filter(short.where(F.instr("phrase", " ") > 0), bloom_bits))
-    long = materialise(deal(rows.mapInArrow(_count(_longer, buckets, room, "lang", shared), _RUNS)), "phrase-longer")
+    long = materialise(merged(rows.mapInArrow(_count(_longer, buckets, room, "lang", shared), _RUNS)), "phrase-longer")
     totals = short.where("phrase is null").select("lang", F.col("f").alias("n"))
     return short.where("phrase is not null").unionByName(long), totals
 
