@@ -64,9 +64,10 @@ class RequestLedger:
         Returns the round's counts; the replies are read once."""
         rank = F.col("attempt") if "attempt" in replies.columns else F.lit(0)
         order = F.struct(rank.alias("a"), F.col("status").alias("s"), F.col("reply").alias("r"))
+        last = F.struct(rank.alias("a"), F.col("status").alias("s"))  # the text decides nothing here and stays behind
         # map-side combined: a request that was answered a million times is one row a task
         one = replies.where("request_id is not null").groupBy("request_id").agg(
-            F.count(F.lit(1)).alias("n"), F.max(order).alias("last"), F.min(F.when(self.valid, order)).alias("good"))
+            F.count(F.lit(1)).alias("n"), F.max(last).alias("last"), F.min(F.when(self.valid, order)).alias("good"))
         joined = self.open_after(number - 1).withColumn("_open", F.lit(True)).join(one, "request_id", "full")
         known = F.col("_open").isNotNull()
         tries = F.col("attempts") + F.coalesce("n", F.lit(0))
@@ -77,8 +78,9 @@ class RequestLedger:
         path = f"{self.path}/settling/round={number}"
         joined.where(known).select("request_id", tries.alias("attempts"), F.coalesce("last.s", "last_status").alias("last_status"),
                                    "entered", F.col("good.s").alias("status"), F.col("good.r").alias("reply"),
-                                   F.col("good").isNotNull().alias("answered")).write.mode("overwrite").parquet(path)
-        rows = self.spark.read.parquet(path)
+                                   F.col("good").isNotNull().alias("answered")).write.mode("overwrite").option(
+                                       "compression", "zstd").partitionBy("answered").parquet(path)
+        rows = self.spark.read.schema(f"{OPEN}, status string, reply string, answered boolean").parquet(path)
         commits.commit_batch(rows.where("answered").select("request_id", "attempts", "status", "reply",
                                                            F.lit(number).cast("long").alias("round")), f"{self.path}/answers", number)
         commits.commit_batch(rows.where("not answered").select("request_id", "attempts", "last_status", "entered"),

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from promptforge.functions.messages import short_key
-from promptforge.operators import history, scores
+from promptforge.operators import history, requests, scores
+from promptforge.operators.ledger import RequestLedger
 from promptforge.plans import jobs, loop
 
 CAND = ["prompt_id", "iter", "cand_pos"]
@@ -67,3 +68,17 @@ def test_resumed_scores_leave_unread_texts_behind(spark, tmp_dir):
     assert sorted(r.revised_prompt for r in s.collect()) == ["a", "b"]
     group = [x for x in plan(s.select(*CAND, "sum")).splitlines() if "Aggregate(" in x]
     assert group and not any("revised_prompt" in x for x in group)
+
+
+def test_requests_carry_kept_columns_and_rounds_group_short_rows(spark, tmp_dir):
+    lines = spark.createDataFrame([(0, "a kite")], "line_no long, prompt string")
+    for build in (requests.visual_question_requests, requests.noun_chunk_requests):
+        kept = build(lines, keys=("line_no",), keep=("prompt",))
+        assert kept.first().prompt == "a kite"
+        assert kept.drop("prompt").collect() == build(lines, keys=("line_no",)).collect()
+    ledger = RequestLedger(spark, f"{tmp_dir}/ledger", F.col("status") == "ok")
+    ledger.enter(spark.createDataFrame([("a",), ("b",)], "request_id string"))
+    sent = [("a", "ok", "z", 0), ("a", "ok", "y", 0), ("a", "error", "zz", 1), ("b", "error", "x", 0), ("b", "filtered", "w", 0)]
+    ledger.settle(spark.createDataFrame(sent, "request_id string, status string, reply string, attempt int"), 1)
+    assert [(r.reply, r.attempts) for r in ledger.answers().collect()] == [("y", 3)]
+    assert [(r.last_status, r.attempts) for r in ledger.open_after(1).collect()] == [("filtered", 2)]
