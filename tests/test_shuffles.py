@@ -6,6 +6,7 @@ from promptforge.functions.messages import short_key
 from promptforge.operators import history, requests, scores
 from promptforge.operators.ledger import RequestLedger
 from promptforge.plans import jobs, loop
+from promptforge.plans.fixtures import Tables
 
 CAND = ["prompt_id", "iter", "cand_pos"]
 QCA = "struct<questions:array<string>,choices:array<string>,answers:array<string>>"
@@ -92,3 +93,11 @@ def test_lines_are_numbered_without_shuffling_their_texts(spark, tmp_dir):
     said = jobs.content_requests(lines, "ds").select("request_id", F.col("prompt_key").alias("reply"))
     out = jobs.content_noun_chunk_table(lines, "ds", said, f"{tmp_dir}/csv")
     assert out.count() == 3 and "Window" not in plan(out)  # read back, not made a second time
+
+
+def test_candidate_texts_do_not_multiply_rows(spark, tmp_dir):
+    docs = [(1, "a"), (1, "b"), (2, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_dir}/documents.parquet")
+    run = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 1, 0), (3, 0, 0)], "prompt_id long, iter int, cand_pos int")
+    got = Tables(spark, tmp_dir).with_candidate_text(run).collect()
+    assert sorted((r.prompt_id, r.cand_pos, str(r.revised_prompt)) for r in got) == [(1, 0, "b v0.0"), (1, 1, "b v0.1"), (2, 0, "None")]
