@@ -29,7 +29,8 @@ are carried by ``encode`` and ignored by nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ from pyspark.sql import types as T
 from promptforge.llm.common import slices_by_bytes
 
 MARK = "▁"
+_PAIRS = 400_000    # pairs of pieces a worker remembers
 _UNKNOWN = -10.0  # below the lowest score, for a character without a piece (unigram)
 
 
@@ -63,6 +65,7 @@ class Vocabulary:
         self.hidden = hidden
         self.ids = {p: i for i, p in enumerate(self.pieces) if not hidden[i]}
         self.scores = [sp.get_score(i) for i in range(self.size)]
+        self.score_of = {p: self.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans a blank mark")
@@ -117,22 +120,28 @@ class Trie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.whole: dict[str, bool] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
-
-    def encode(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        # pieces that merging their own characters gives, met so far: number and, by the number of the piece
+        # before it, whether merging leaves the two apart; characters without a piece are numbered behind the vocabulary
+        self.fits: dict[str, tuple[int, dict[int, bool]]] = {}
+        self.unmet = set(vocabulary.ids)
+        self.loose: list[str] = []
+        self.pairs = 0
+        self.packed = [np.int32(i).astype("<i4").tobytes() for i in range(vocabulary.size)]
+
+    def encode(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """ids of every distinct word."""
-        step = self._score if self.v.kind == "unigram" else self._follow
+        return {w: tuple(np.frombuffer(ids, dtype="<i4").tolist()) for w, ids in self.encode_packed(words).items()}
+
+    def encode_packed(self, words: Iterable[str]) -> dict[str, bytes]:
+        """ids of every distinct word, four bytes each."""
+        return (self._scored if self.v.kind == "unigram" else self._merged)(words)
+
+    def _scored(self, words: Iterable[str]) -> dict[str, bytes]:
         out, last, table = {}, "", [(0, 0.0)]
         for word in sorted(set(words)):
-            shared = 0
-            for a, b in zip(word, last):
-                if a != b:
-                    break
-                shared += 1
-            del table[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                table.append(step(word, end, table))
+            del table[_shared(word, last) + 1:]
+            for end in range(len(table), len(word) + 1):
+                table.append(self._score(word, end, table))
             last = word
             out[word] = self._ids(word, table)
         return out
@@ -153,47 +162,82 @@ class Trie:
                 best = start, total
         return best
 
-    def _follow(self, word: str, end: int, table: list) -> tuple[int, float]:
-        """(start of the last piece, 0) of word[:end] under merging."""
-        whole, apart = self.whole, self.apart
-        # exactly one piece fits; short ones are tried first, as they fit most often
-        for start in range(end - 1, max(-1, end - 1 - self.v.longest), -1):
-            piece = word[start:end]
-            known = whole.get(piece)
-            if known is None:  # pieces that merging their own characters gives
-                known = end - start == 1 or piece in self.v.ids and self._merge(piece) == [piece]
-                if known or piece in self.v.ids:
-                    whole[piece] = known
-            if not known:
-                continue
-            if start == 0:
-                return 0, 0.0
-            pair = word[table[start][0]:start], piece
-            fine = apart.get(pair)
-            if fine is None:  # two pieces that merging leaves apart
-                if len(apart) > 200_000:
-                    apart.clear()
-                fine = apart[pair] = self._merge(pair[0] + piece) == list(pair)
-            if fine:
-                return start, 0.0
-        raise ValueError(f"no last piece for {word[:end]!r}")
+    def _merged(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The forward table of a prefix holds the number of its last piece and
+        the ids of all its pieces.  Exactly one last piece fits; short ones are
+        tried first, as they fit most often."""
+        longest, packed, unmet = self.v.longest, self.packed, self.unmet
+        fits = self.fits.get
+        out, last, pieces, ids = {}, "", [-1], [b""]
+        for word in sorted(set(words)):
+            at = _shared(word, last) + 1
+            del pieces[at:], ids[at:]
+            for end in range(at, len(word) + 1):
+                for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                    fit = fits(word[start:end])
+                    if fit is None:
+                        if start < end - 1 and word[start:end] not in unmet:
+                            continue
+                        fit = self._prove(word[start:end])
+                        if fit is None:
+                            continue
+                    if not start:
+                        break
+                    fine = fit[1].get(pieces[start])
+                    if fine is None:
+                        fine = self._apart(pieces[start], fit)
+                    if fine:
+                        break
+                else:
+                    raise ValueError(f"no last piece for {word[:end]!r}")
+                pieces.append(fit[0])
+                ids.append(ids[start] + packed[fit[0]])
+            last = word
+            out[word] = ids[-1]
+        return out
+
+    def _prove(self, piece: str) -> tuple[int, dict[int, bool]] | None:
+        """What ``fits`` holds of a piece met for the first time; None if merging
+        its characters gives other pieces."""
+        if piece in self.unmet:
+            self.unmet.remove(piece)
+            if self._merge(piece) != [piece]:
+                return None
+            number = self.v.ids[piece]
+        else:
+            number = self.v.size + len(self.loose)
+            self.loose.append(piece)
+            self.packed.append(np.array([self.v.bytes[b] for b in piece.encode()], dtype="<i4").tobytes())
+        self.fits[piece] = number, {}
+        return self.fits[piece]
+
+    def _apart(self, left: int, fit: tuple[int, dict[int, bool]]) -> bool:
+        """Does merging leave the two pieces apart?"""
+        if self.pairs >= _PAIRS:
+            self.pairs = 0
+            for _, known in self.fits.values():
+                known.clear()
+        self.pairs += 1
+        pair = [self.v.pieces[i] if i < self.v.size else self.loose[i - self.v.size] for i in (left, fit[0])]
+        fit[1][left] = fine = self._merge("".join(pair)) == pair
+        return fine
 
     def _merge(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none merge."""
-        ids, scores = self.v.ids, self.v.scores
+        score, none = self.v.score_of.get, float("-inf")
         parts = list(text)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                at = ids.get(parts[i] + parts[i + 1])
-                if at is not None and (best is None or scores[at] > best[0]):
-                    best = scores[at], i
-            if best is None:
-                return parts
-            i = best[1]
+        joined = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined and (best := max(joined)) > none:
+            i = joined.index(best)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-
-    def _ids(self, word: str, table: list) -> tuple[int, ...]:
+            del joined[i]
+            if i:
+                joined[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(joined):
+                joined[i] = score(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _ids(self, word: str, table: list) -> bytes:
         out: list[int] = []
         end = len(word)
         while end:
@@ -201,7 +245,17 @@ class Trie:
             at = self.v.ids.get(word[start:end])
             out += [at] if at is not None else [self.v.bytes[b] for b in reversed(word[start:end].encode())]
             end = start
-        return tuple(reversed(out))
+        return np.array(out[::-1], dtype="<i4").tobytes()
+
+
+def _shared(a: str, b: str) -> int:
+    """Characters that two words begin with."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 class Codec:
@@ -223,12 +277,17 @@ class Codec:
                 now[w] = ids
             else:
                 new.append(w)
-        now.update((w, np.array(i, dtype="<i4").tobytes()) for w, i in self.trie.encode(new).items())
+        now.update(self.trie.encode_packed(new))
         self.late.update(now)
         if len(self.late) > self.room:
             self.late, self.old = {}, self.late
         return now
 
+    def forget(self) -> None:
+        """Give back the table of words."""
+        self.late, self.old = {}, {}
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [marked_words(t or "", self.v.prefix, self.v.barrier) for t in texts]
         get = self._learn(set().union(*words)).__getitem__
@@ -259,9 +318,8 @@ class Codec:
 
 def _encode(path: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
-        for whole in batches:
-            for batch in slices_by_bytes(whole, text_col):
+        with _codec(path) as codec:
+            for batch in (part for whole in batches for part in slices_by_bytes(whole, text_col)):
                 ids = codec.encode(batch.column(text_col).to_pylist())
                 size = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -273,11 +331,11 @@ def _encode(path: str, text_col: str):
 
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path)
-        for batch in batches:
-            col = batch.column("ids")
-            texts = [codec.decode(np.array([], np.int32) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False)) for x in col]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        with _codec(path) as codec:
+            for batch in batches:
+                col = batch.column("ids")
+                texts = [codec.decode(np.array([], np.int32) if x.as_py() is None else x.values.to_numpy(zero_copy_only=False)) for x in col]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return run
 
@@ -285,11 +343,16 @@ def _decode(path: str):
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(path: str) -> Codec:
-    """One codec per worker process and model, so its table of words lives on."""
+@contextmanager
+def _codec(path: str) -> Iterator[Codec]:
+    """One codec per worker process and model.  Its table of words lives as
+    long as a task: a worker that goes on to other work holds none."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    try:
+        yield _CODECS[path]
+    finally:
+        _CODECS[path].forget()
 
 
 def _with(rows: DataFrame, *fields: T.StructField) -> T.StructType:
@@ -317,10 +380,10 @@ def encode_and_decode(docs: DataFrame, model: str, text_col: str = "text") -> Da
     rows = docs.drop("ids").withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model)
-        for whole in batches:
-            place = whole.schema.get_field_index(text_col)
-            for batch in slices_by_bytes(whole, text_col):
+        with _codec(model) as codec:
+            # small slices: the columns carried beside the text need their room too
+            for batch in (part for whole in batches for part in slices_by_bytes(whole, text_col, 2 << 20)):
+                place = batch.schema.get_field_index(text_col)
                 ids = codec.encode(batch.column(place).to_pylist())
                 size = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 columns = list(batch.columns)
@@ -339,9 +402,8 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        codec = _codec(model)
-        for whole in batches:
-            for batch in slices_by_bytes(whole, "_text"):
+        with _codec(model) as codec:
+            for batch in (part for whole in batches for part in slices_by_bytes(whole, "_text")):
                 texts = batch.column("_text").to_pylist()
                 ids = codec.encode(texts)
                 back = [codec.decode(i) for i in ids]

@@ -346,3 +346,19 @@ def test_edits_from_a_column(spark):
     for (_, text, edits), r in zip(cases, sorted(got, key=lambda r: r.doc_id)):
         edits = [(s or 0, e or 0, t or "") for s, e, t in (x for x in edits or [] if x)]
         assert r.n_edits == len(edits) and r.n_tokens_after == len(counter.encode(edited(text, edits)))
+
+
+def test_a_worker_keeps_no_words_between_tasks():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"text": odd_texts(50)})
+    assert sum(b.num_rows for b in sentencepiece_trie._encode(PIECES, "text")(iter([batch]))) == batch.num_rows
+    codec = sentencepiece_trie._CODECS[PIECES]
+    assert not codec.late and not codec.old
+
+
+def test_pairs_are_forgotten_beyond_their_bound(monkeypatch):
+    from sentencepiece import SentencePieceProcessor
+    monkeypatch.setattr(sentencepiece_trie, "_PAIRS", 50)
+    codec, texts = sentencepiece_trie.Codec(PIECES), odd_texts(300)
+    assert [g.tolist() for g in codec.encode(texts)] == SentencePieceProcessor(model_file=PIECES).encode(texts)
+    assert 0 < sum(len(known) for _, known in codec.trie.fits.values()) <= 50
