@@ -144,9 +144,9 @@ class Scorer:
     """Scores texts with a model.  White-space tokens are scored once and kept
     in a bounded table; a full table starts anew."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, room: int = _ROOM):
         self.model, self.langs = model, len(model.langs)
-        self.room = max(1024, min(_ROOM, _CELLS // (self.langs + 1)))
+        self.room = max(1024, min(room, _CELLS // (self.langs + 1)))
         self.table = np.empty((self.room, self.langs + 1))
         self.rows: dict[str, int] = {}
 
@@ -224,7 +224,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf(T.BooleanType())
     def recognised(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score = Scorer(shared.value)
+        score = Scorer(shared.value, _ROOM // 2)  # whole rows pass beside the texts and need their room
         for texts in columns:
             found = (score(t.as_py()) for t in texts)
             yield pa.array([lang != "und" and share >= least for lang, share in found], pa.bool_())
