@@ -215,6 +215,14 @@ def test_files_are_packed_by_size(spark, tmp_dir):
     assert [(r.path, r.length, r.pack) for r in got] == want
 
 
+def test_gallery_pages_are_one_file_each(spark, tmp_dir):
+    data = spark.range(25).select(F.col("id").alias("k"), F.lit("t").alias("original_prompt"), F.lit("i.png").alias("image_path"))
+    io.write_gallery(*history.gallery_pages(data, ["k"], per_page=10), f"{tmp_dir}/g")
+    for page in range(3):
+        assert len(os.listdir(f"{tmp_dir}/g/pages/page={page}")) == 1
+    assert spark.read.schema("value string, page long").text(f"{tmp_dir}/g/pages").where("value like '<li>%'").count() == 25
+
+
 def test_gallery_pages_and_index(spark, tmp_dir):
     data = spark.createDataFrame([(i, f"p<{i}>", f"img{i}.png") for i in range(25)], "k long, original_prompt string, image_path string")
     io.write_gallery(*history.gallery_pages(data, ["k"], per_page=10), f"{tmp_dir}/g")
