@@ -164,14 +164,14 @@ class Trie:
 
     def _merged(self, words: Iterable[str]) -> dict[str, bytes]:
         """The forward table of a prefix holds the number of its last piece and
-        the ids of all its pieces.  Exactly one last piece fits; short ones are
-        tried first, as they fit most often."""
+        where that begins.  Exactly one last piece fits; short ones are tried
+        first, as they fit most often."""
         longest, packed, unmet = self.v.longest, self.packed, self.unmet
         fits = self.fits.get
-        out, last, pieces, ids = {}, "", [-1], [b""]
+        out, last, pieces, starts = {}, "", [-1], [0]
         for word in sorted(set(words)):
             at = _shared(word, last) + 1
-            del pieces[at:], ids[at:]
+            del pieces[at:], starts[at:]
             for end in range(at, len(word) + 1):
                 for start in range(end - 1, max(-1, end - 1 - longest), -1):
                     fit = fits(word[start:end])
@@ -191,9 +191,13 @@ class Trie:
                 else:
                     raise ValueError(f"no last piece for {word[:end]!r}")
                 pieces.append(fit[0])
-                ids.append(ids[start] + packed[fit[0]])
-            last = word
-            out[word] = ids[-1]
+                starts.append(start)
+            last, end, ids = word, len(word), []
+            while end:
+                ids.append(packed[pieces[end]])
+                end = starts[end]
+            ids.reverse()
+            out[word] = b"".join(ids)
         return out
 
     def _prove(self, piece: str) -> tuple[int, dict[int, bool]] | None:

@@ -362,3 +362,14 @@ def test_pairs_are_forgotten_beyond_their_bound(monkeypatch):
     codec, texts = sentencepiece_trie.Codec(PIECES), odd_texts(300)
     assert [g.tolist() for g in codec.encode(texts)] == SentencePieceProcessor(model_file=PIECES).encode(texts)
     assert 0 < sum(len(known) for _, known in codec.trie.fits.values()) <= 50
+
+
+def test_the_table_of_a_long_word_grows_with_its_length():
+    import tracemalloc
+    codec = sentencepiece_trie.Codec(PIECES)
+    codec.encode(["ab" * 50])
+    tracemalloc.start()
+    codec.encode(["ab" * 10_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
