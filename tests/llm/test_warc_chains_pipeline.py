@@ -247,3 +247,37 @@ def test_extension_passes_added_and_dropped_words():
     other = run[:22] + run[23:40] + [900] + run[40:]  # the seeds lie between both
     got = substring_chain.passages(run, other, [(23, 22), (35, 34)])
     assert [(x0, x1, y0, y1) for x0, x1, y0, y1, _ in got] == [(0, 60, 0, 60)]
+
+
+def test_fuzzy_passages_whose_seeds_stand_first_in_fragments(spark):
+    """Two holders share a passage with edits; every seed's first holder has a fragment of 20 words only."""
+    rnd = random.Random(13)
+    rows, pairs = [], []
+    for _ in range(30):
+        run, d = words(rnd, 80), len(rows)
+        parts = [run[i:i + 20] for i in range(0, 80, 20)] + [run[i:i + 20] for i in range(10, 70, 20)] + [run, edited(rnd, run, 0.1)]
+        rows += [(d + i, " ".join(words(rnd, 60) + p + words(rnd, 60))) for i, p in enumerate(parts)]
+        if 1 - levenshtein(parts[-2], parts[-1]) / max(len(parts[-2]), len(parts[-1])) >= 0.8:
+            pairs.append((d + 8, d + 7))
+    got = {(r.doc_id, r.other_id) for r in substring_chain.repeated_passages(docs(spark, rows)).collect()}
+    assert got <= set(pairs) and len(pairs) > 25 and len(got) >= 0.95 * len(pairs)
+
+
+def test_fuzzy_passages_of_common_lines(spark):
+    """Lines of 20 words in 70 older documents each; later ones hold three of them, other words between."""
+    rnd = random.Random(14)
+    lines = [words(rnd, 20) for _ in range(3)]
+    rows = [(i, " ".join(words(rnd, 40) + lines[i % 3] + words(rnd, 40))) for i in range(210)]
+    for d in range(300, 304):
+        run = lines[0] + words(rnd, 1) + lines[1] + words(rnd, 2) + lines[2]
+        rows.append((d, " ".join(words(rnd, 40) + run + words(rnd, 40))))
+    got = {(r.doc_id, r.other_id) for r in substring_chain.repeated_passages(docs(spark, rows)).collect()}
+    assert got == {(a, b) for a in range(300, 304) for b in range(300, a)}
+
+
+def test_runs_of_the_least_length_with_several_anchors(spark):
+    rnd = random.Random(15)
+    run = words(rnd, 50)
+    parts = [run[:28], run[24:], run, run]
+    rows = [(i, " ".join(words(rnd, 60) + p + words(rnd, 60))) for i, p in enumerate(parts)]
+    assert {(r.doc_id, r.other_id) for r in substring_chain.repeated_passages(docs(spark, rows)).collect()} == {(3, 2)}
