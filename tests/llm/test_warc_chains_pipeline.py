@@ -1,13 +1,15 @@
 import base64
+import glob
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from promptforge.llm import substring_chain, warc
-from promptforge.session import scratch_dir
+from promptforge.session import ensure_checkpoint_dir, scratch_dir
 from tests.llm.helpers import AWKWARD, DOC, docs, rows_of
 
 PAGES = [
@@ -281,3 +283,21 @@ def test_runs_of_the_least_length_with_several_anchors(spark):
     parts = [run[:28], run[24:], run, run]
     rows = [(i, " ".join(words(rnd, 60) + p + words(rnd, 60))) for i, p in enumerate(parts)]
     assert {(r.doc_id, r.other_id) for r in substring_chain.repeated_passages(docs(spark, rows)).collect()} == {(3, 2)}
+
+
+def test_chains_leave_no_shuffle_files_and_only_the_tables_their_result_reads(spark):
+    top = ensure_checkpoint_dir(spark).removeprefix("file:") + "/promptforge"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.rsplit("/", 1)[1] for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    tables, files = set(glob.glob(f"{top}/chain-*")), shuffles()
+    rows, want = planted(seed=5)
+    result = substring_chain.repeated_passages(docs(spark, rows))
+    new = sorted(p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{top}/chain-*")) - tables)
+    assert new == ["chain-links", "chain-rest"]
+    until = time.time() + 20  # Spark removes them beside the next job
+    while shuffles() - files and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - files
+    for _ in range(2):
+        got = result.collect()
+        assert {r.doc_id for r in got} | {r.other_id for r in got} == want
