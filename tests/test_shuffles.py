@@ -1,5 +1,8 @@
 """What the runs shuffle, broadcast and group by, beside the results."""
 
+import glob
+import os
+
 from pyspark.sql import functions as F
 
 from promptforge.functions.messages import short_key
@@ -101,3 +104,40 @@ def test_candidate_texts_do_not_multiply_rows(spark, tmp_dir):
     run = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (2, 1, 0), (3, 0, 0)], "prompt_id long, iter int, cand_pos int")
     got = Tables(spark, tmp_dir).with_candidate_text(run).collect()
     assert sorted((r.prompt_id, r.cand_pos, str(r.revised_prompt)) for r in got) == [(1, 0, "b v0.0"), (1, 1, "b v0.1"), (2, 0, "None")]
+
+
+def test_what_finished_calls_asked_leaves_the_disk(spark, tmp_dir):
+    """A batch's requests and pending candidates stay while its scores are missing and go with their commit."""
+    files = lambda name: glob.glob(f"{tmp_dir}/r/{name}/data/*/*.parquet")
+    asked = ("asked", "asked_vqa", "pending", "asked_text", "asked_select", "cands")
+    cands = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 0, 1, "b"), (3, 0, None, "n"), (None, 0, 0, "z")],
+                                  "prompt_id long, iter int, cand_pos int, revised_prompt string")
+
+    def ask(stage, reqs, there=True):
+        if stage == "vqa" and not there:
+            return None
+        return reqs.select("request_id", F.lit("ok").alias("status"), F.lit({"generate": "P", "select": "one\ntwo"}.get(stage, "yes")).alias("reply"))
+
+    ev = evals(spark).distinct()
+    assert loop.score_pending(f"{tmp_dir}/r", cands, ev, lambda *a: ask(*a, there=False), "ds", call=0) is None
+    assert files("asked") and files("asked_vqa") and files("pending")
+    got = loop.score_pending(f"{tmp_dir}/r", cands, ev, ask, "ds", call=0)
+    assert not any(files(x) for x in asked) and not loop.commits.has_batch(spark, f"{tmp_dir}/r/asked", "0-tifa")
+    # as by a plain join on the keys: rows of a repeated key multiply, null keys meet nothing
+    assert sorted((r.prompt_id, r.cand_pos, r.revised_prompt, r.n_chunks) for r in got.collect()) == [(1, 0, "a", 2), (1, 1, "b", 4)]
+    rows = loop.finished(spark, f"{tmp_dir}/r")
+    assert rows.where("cand_pos = 1").count() == 4 and rows.count() == 5
+    later = loop.score_pending(f"{tmp_dir}/r", cands.where("prompt_id is not null"), ev, ask, "ds", call=1)
+    assert later.count() == 2 and loop.finished(spark, f"{tmp_dir}/r").count() == 5  # nothing with a whole key was pending
+    prompts = spark.createDataFrame([(1, "a kite"), (3, "sun")], "prompt_id long, original_prompt string")
+    assert loop.iterative_run(f"{tmp_dir}/r/loop", prompts, ev, ask, 2, "ds") == 2
+    assert not glob.glob(f"{tmp_dir}/r/loop/[ac]*/data/*/*.parquet") and loop.finished(spark, f"{tmp_dir}/r/loop").count() == 8
+
+
+def test_steps_of_a_scoring_call_free_their_shuffle_files(spark, tmp_dir):
+    """A committed batch leaves no shuffle files behind, whenever the driver collects its garbage."""
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    left = lambda: {x for x in local.getAllFiles().mkString("|").split("|") if x.endswith(".data") and os.path.getsize(x) > 10_000}
+    before = left()
+    loop.commits.commit_batch(spark.range(500_000).repartition(3, "id"), f"{tmp_dir}/t", 0)
+    assert not left() - before
