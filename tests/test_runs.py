@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from promptforge import session
 from promptforge.operators import history, rows
 from promptforge.operators.ledger import RequestLedger
 from promptforge.plans import jobs, loop
@@ -260,3 +261,22 @@ def test_all_training_formats_from_one_table(spark, tmp_dir):
     assert sorted((r.original_prompt, r.rephrased_and_corrected_prompt) for r in got) == [("o", "r"), ("p", "c")]
     with pytest.raises(ValueError):
         jobs.write_training_tables(data, f"{tmp_dir}/no", formats=("hf", "pdf"))
+
+
+def test_gallery_shuffles_what_entries_are_made_of(spark, tmp_dir):
+    scored = spark.createDataFrame([(1, 0, 0, "a<b", 1.0, 0.5, 1.5), (1, 0, -1, "p", 0.5, 0.5, 1.0), (2, 0, 0, "c", 0.0, 0.0, 0.0)],
+                                   "prompt_id long, iter int, cand_pos int, revised_prompt string, tifa double, vqa double, sum double")
+    prompts = spark.createDataFrame([(1, "p"), (2, None), (2, "twice")], "prompt_id long, original_prompt string")
+    ann = jobs.annotation_run(scored, prompts, "ds", f"{tmp_dir}/g", per_page=2)
+    want = sorted(r.image_path for r in ann.where("original_prompt is not null").collect())
+    html = [r.value for r in spark.read.text(f"{tmp_dir}/g/pages").where("value like '<li>%'").collect()]
+    got = sorted(x.split('src="')[1].split('"')[0] for x in html)
+    assert got == want and len(got) == 4
+    data = spark.range(9).select(F.col("id").alias("k"), F.lit("t").alias("original_prompt"), F.lit("i.png").alias("image_path"))
+    pages, _ = history.gallery_pages(data, ["k"], per_page=4)
+    text = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("<li>") < text.index("RepartitionByExpression")  # printed top down: entries behind the exchange
+    tables = pages.inputFiles()
+    assert tables and os.path.exists(tables[0].removeprefix("file://").removeprefix("file:"))
+    session.dropped(pages)
+    assert not os.path.exists(os.path.dirname(tables[0].removeprefix("file://").removeprefix("file:")))
